@@ -41,16 +41,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-class WordHashes(dict):
-    """64-bit hash of each word (bytes); forgets all beyond a million words."""
+class Memo(dict):
+    """Keeps make(key) of the keys seen last: up to twice `most` of them, none longer than `longest`."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = xxhash.xxh64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = h
-        return h
+    def __init__(self, make, most: int = 600_000, longest: int = 48):
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
 
 
 def ascii_words(text: str | None) -> list[bytes]:
@@ -65,6 +71,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def word_hashes() -> Memo:
+    return Memo(xxhash.xxh64_intdigest)
+
+
 _ODD = [int(xxhash.xxh64_intdigest(f"position {i}")) | 1 for i in range(64)]
 
 

@@ -18,6 +18,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import Memo
+
 SPACE = "▁"  # how a model of this kind writes a space
 
 
@@ -53,11 +55,12 @@ class PieceCodec:
         self.unknown = re.compile("([^" + re.escape("".join(p for p in self.ids if len(p) == 1)) + "])")
         self.automaton = ahocorasick.Automaton()
         for p in self.ids:
-            self.automaton.add_word(p, p)
+            self.automaton.add_word(p, (len(p) - 1, p))
         self.automaton.make_automaton()
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.ids), None) for p in self.ids}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.words = _Words(self)
+        self.words = Memo(self.spaced)  # by run without its first space
+        self.tails = Memo(self.bare)
 
     def merged(self, text: str) -> list[str]:
         """The model's own rule: merge the neighbours whose joined piece scores highest, the leftmost first."""
@@ -83,10 +86,8 @@ class PieceCodec:
     def known(self, text: str) -> list[str]:
         """Pieces of a text all of whose characters are pieces."""
         longest: list[str | None] = [None] * len(text)
-        for end, p in self.automaton.iter(text):
-            start = end - len(p) + 1
-            if longest[start] is None or len(longest[start]) < len(p):
-                longest[start] = p
+        for end, (back, p) in self.automaton.iter(text):  # of those with one start, the longest comes last
+            longest[end - back] = p
         out: list[str] = []
         at, failed, piece = 0, bytearray(len(text) // 8 + 1), longest[0] if text else None
         while at < len(text):
@@ -110,6 +111,15 @@ class PieceCodec:
             ids += [self.byte_ids[b] for b in part.encode()] if k % 2 else [self.ids[p] for p in self.known(part)]
         return ids
 
+    def bare(self, run: str) -> str:
+        return " ".join(map(str, self.run(run)))
+
+    def spaced(self, run: str) -> str:
+        head, line, rest = run.partition("\n")
+        if line and head and "\n" not in self.ids:  # most new runs only join two known ones at a line's end
+            return f"{self.words[head]} {self.byte_ids[10]}{' ' * bool(rest)}{self.tails[rest]}"
+        return self.bare(SPACE + run.replace(" ", SPACE))
+
     def encode_decimal(self, text: str | None) -> str:
         """The ids of a text, in decimals joined by spaces, with the end id."""
         if not text:
@@ -131,34 +141,6 @@ class PieceCodec:
         return self.decode_decimal(" ".join(map(str, ids)) or str(self.end_id)).decode("utf-8", "replace")
 
 
-class _Words(dict):
-    """By run without the space before it: its ids, in decimals joined by spaces. Long ones are not kept."""
-
-    def __init__(self, codec: PieceCodec):
-        self.codec = codec
-        self.unspaced: dict[str, str] = {}
-
-    def __missing__(self, run: str) -> str:
-        head, line, rest = run.partition("\n")
-        if line and head and "\n" not in self.codec.ids:  # most runs that are new only join two known ones at a line's end
-            tail = " ".join(map(str, self.codec.run(line + rest))) if len(rest) > 64 or "\n" in rest else f"{self.codec.byte_ids[10]}{' ' * bool(rest)}{self.bare(rest)}"
-            return f"{self[head]} {tail}"
-        out = " ".join(map(str, self.codec.run(SPACE + run.replace(" ", SPACE))))
-        if len(run) <= 48:
-            if len(self) > 1_000_000:
-                self.clear()
-            self[run] = out
-        return out
-
-    def bare(self, run: str) -> str:
-        """As it is without a space before it."""
-        if (out := self.unspaced.get(run)) is None:
-            if len(self.unspaced) > 1_000_000:
-                self.unspaced.clear()
-            out = self.unspaced[run] = " ".join(map(str, self.codec.run(run)))
-        return out
-
-
 @lru_cache(maxsize=2)
 def codec(model_file: str) -> PieceCodec:
     return PieceCodec(model_file)

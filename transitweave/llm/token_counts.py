@@ -19,6 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import Memo
+
 END = "</w>"
 
 
@@ -44,7 +46,8 @@ class PrefixCounter:
         self.special_mark = "<|"
         self.of_byte = _byte_characters()
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.totals = _Totals(self)
+        self.totals = Memo(self.word_total)
+        self.chunks = Memo(self.chunk_total)
 
     def merged(self, symbols: list[str]) -> list[str]:
         """The library's own rule: merge the pair of lowest rank, the leftmost first."""
@@ -100,13 +103,19 @@ class PrefixCounter:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return text.lower()
 
+    def chunk_total(self, chunk: str) -> int:
+        """Tokens between white space; no word and no composed character reaches across it."""
+        return sum(map(self.totals.__getitem__, self.words_of.findall(self.normalised(chunk))))
+
     def total(self, text: str | None) -> int:
         """Tokens of a whole text. Special tokens in it count as one each, as in the library."""
         if not text:
             return 0
         if self.special_mark in text and (n := len(self.special.findall(text))):
             return n + sum(map(self.total, self.special.split(text)))
-        return sum(map(self.totals.__getitem__, self.words_of.findall(self.normalised(text))))
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # str.split() takes these for white space
+            return self.chunk_total(text)
+        return sum(map(self.chunks.__getitem__, text.split()))
 
     def prefixes(self, text: str | None) -> list[int]:
         """For each n, the tokens of the first n characters of the normalised text (without special tokens in it)."""
@@ -127,21 +136,6 @@ class PrefixCounter:
         return self.normalised(text or "")[: bisect_right(tops, budget) - 1]
 
 
-class _Totals(dict):
-    """Count by word; forgets all beyond a million words, and does not keep long ones."""
-
-    def __init__(self, counter: PrefixCounter):
-        self.counter = counter
-
-    def __missing__(self, word: str) -> int:
-        n = self.counter.word_total(word)
-        if len(word) <= 48:
-            if len(self) > 1_000_000:
-                self.clear()
-            self[word] = n
-        return n
-
-
 def _symbols(token: str) -> list[str]:
     return [*token[: -len(END) - 1], token[-len(END) - 1 :]] if token.endswith(END) and len(token) > len(END) else list(token)
 
