@@ -24,26 +24,48 @@ from .common import Memo
 END = "</w>"
 
 
+class WordRules:
+    """How a tokenizer file of one kind normalises and finds words: NFC, white space, lower case; one pattern; bytes.
+
+    Other files raise ValueError. White space needs no care, as no word holds it.
+    """
+
+    def __init__(self, spec: dict):
+        normal, split = spec["normalizer"], spec["pre_tokenizer"]
+        kinds = [x["type"] for x in normal.get("normalizers", [])], [x["type"] for x in split.get("pretokenizers", [])]
+        if spec["model"]["type"] != "BPE" or spec["model"]["end_of_word_suffix"] != END or kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]):
+            raise ValueError("not a tokenizer file of the kind known here")
+        self.pattern = regex.compile(split["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
+
+    def normalised(self, text: str) -> str:
+        """As the library does, but for white space; lower case character by character."""
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        return text.lower()
+
+    def words(self, text: str) -> list[str]:
+        return self.pattern.findall(self.normalised(text))
+
+    @staticmethod
+    def whole_only(text: str) -> bool:
+        """Whether the text may hold special tokens, or separators that only str.split() takes for white space."""
+        return "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f")
+
+
 class PrefixCounter:
     """Counts tokens as the tokenizers library does with a merge-type file whose words end in </w>.
 
-    The file must normalise by NFC, white space and lower case, split by one
-    pattern and map bytes to characters; other files raise ValueError.
+    The file must be of the kind that WordRules knows.
     """
 
     def __init__(self, tokenizer_file: str):
         with open(tokenizer_file, encoding="utf-8") as f:
             spec = json.load(f)
-        model, normal, split = spec["model"], spec["normalizer"], spec["pre_tokenizer"]
-        kinds = [x["type"] for x in normal.get("normalizers", [])], [x["type"] for x in split.get("pretokenizers", [])]
-        if model["type"] != "BPE" or model["end_of_word_suffix"] != END or kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]):
-            raise ValueError(f"{tokenizer_file}: not a file of the kind that this counter knows")
+        self.rules, model = WordRules(spec), spec["model"]
         self.rank = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): k for k, m in enumerate(model["merges"])}
         self.vocab = set(model["vocab"])
         self.longest = max(len(t.removesuffix(END)) for t in self.vocab)
-        self.words_of = regex.compile(split["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]))
-        self.special_mark = "<|"
         self.of_byte = _byte_characters()
         self.pairs: dict[tuple[str, str], bool] = {}
         self.totals = Memo(self.word_total)
@@ -97,31 +119,24 @@ class PrefixCounter:
             ends.append(self.closed(mapped, at, counts, last))
         return ends
 
-    def normalised(self, text: str) -> str:
-        """As the library normalises, but for white space, which no word holds: lower case character by character."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return text.lower()
-
     def chunk_total(self, chunk: str) -> int:
         """Tokens between white space; no word and no composed character reaches across it."""
-        return sum(map(self.totals.__getitem__, self.words_of.findall(self.normalised(chunk))))
+        return sum(map(self.totals.__getitem__, self.rules.words(chunk)))
 
     def total(self, text: str | None) -> int:
         """Tokens of a whole text. Special tokens in it count as one each, as in the library."""
         if not text:
             return 0
-        if self.special_mark in text and (n := len(self.special.findall(text))):
-            return n + sum(map(self.total, self.special.split(text)))
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # str.split() takes these for white space
-            return self.chunk_total(text)
+        if self.rules.whole_only(text):
+            parts = self.special.split(text)
+            return len(parts) - 1 + sum(map(self.chunk_total, parts))
         return sum(map(self.chunks.__getitem__, text.split()))
 
     def prefixes(self, text: str | None) -> list[int]:
         """For each n, the tokens of the first n characters of the normalised text (without special tokens in it)."""
         out, done = [0], 0
-        text = self.normalised(text or "")
-        for m in self.words_of.finditer(text):
+        text = self.rules.normalised(text or "")
+        for m in self.rules.pattern.finditer(text):
             out += [done] * (m.start() + 1 - len(out))
             out += [done + n for n in self.word_prefixes(m[0])[1:]]
             done = out[-1]
@@ -133,7 +148,7 @@ class PrefixCounter:
         for n in self.prefixes(text):
             most = max(most, n)
             tops.append(most)
-        return self.normalised(text or "")[: bisect_right(tops, budget) - 1]
+        return self.rules.normalised(text or "")[: bisect_right(tops, budget) - 1]
 
 
 def _symbols(token: str) -> list[str]:

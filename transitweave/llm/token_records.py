@@ -16,10 +16,12 @@ shared folder may be any store that it knows.
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Memo, partitions, shared_dir
+from .token_counts import WordRules
 
 _MASK = 0xA282EAD8
 _CHUNK = 8 << 20
@@ -39,9 +42,9 @@ def masked_crc(data: bytes) -> int:
     return (((c >> 15) | (c << 17)) + _MASK) & 0xFFFFFFFF
 
 
-def framed(ids: np.ndarray) -> bytes:
-    """A record of uint16 or uint32 ids."""
-    body = ids.itemsize.to_bytes(4, "little") + ids.astype(ids.dtype.newbyteorder("<"), copy=False).tobytes()
+def framed(ids: bytes, width: int) -> bytes:
+    """A record of little-endian ids of `width` bytes each."""
+    body = width.to_bytes(4, "little") + ids
     head = len(body).to_bytes(8, "little")
     return b"".join((head, masked_crc(head).to_bytes(4, "little"), body, masked_crc(body).to_bytes(4, "little")))
 
@@ -55,29 +58,36 @@ def unframed(record: bytes) -> np.ndarray:
 
 
 class FileEncoder:
-    """Encodes with the tokenizers library, each run between white space once.
+    """Encodes with the tokenizers library, each word once.
 
-    The library's normaliser, pattern and merges of such files never reach across
-    white space, so the ids of a text are those of its runs in a row. Texts with
-    special tokens or separators that Python alone takes for white space are
-    encoded whole.
+    The library merges inside words only, so the ids of a text are those of its
+    words in a row. Texts that may hold special tokens go to the library whole.
     """
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(tokenizer_file)
-        self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.runs = Memo(self.whole)
+        self.rules = WordRules(json.loads(self.library.to_str()))
+        self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
+        self.words, self.runs = Memo(self.whole), Memo(self.run, most=900_000)
+
+    def packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, f"<u{self.width}").tobytes()
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return self.packed(self.library.encode(text, add_special_tokens=False).ids)
+
+    def run(self, text: str) -> bytes:
+        if not text.isascii() and not is_normalized("NFC", self.rules.normalised(text)):
+            return self.whole(text)  # the library would normalise a lower-cased word a second time
+        return b"".join(map(self.words.__getitem__, self.rules.words(text)))
 
     def encode(self, text: str | None) -> bytes:
-        """Ids of a text, of self.dtype each."""
+        """Ids of a text, of self.width bytes each."""
         if not text:
             return b""
-        if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        if self.rules.whole_only(text):
             return self.whole(text)
         return b"".join(map(self.runs.__getitem__, text.split()))
 
@@ -102,8 +112,8 @@ def write_records(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
-        e, end = encoder(tokenizer_file), None
-        end = np.array([end_id], e.dtype).tobytes()
+        e = encoder(tokenizer_file)
+        end = e.packed([end_id])
         name = f"part-{TaskContext.get().partitionId():06d}.rec"
         temporary = f"{root}/.{name}-{uuid.uuid4().hex}"
         out, offset = None, 0
@@ -113,12 +123,12 @@ def write_records(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int
                 out = store.open_output_stream(temporary)
             offsets, lengths, counts = [], [], []
             for text in batch.column(1).to_pylist():
-                ids = np.frombuffer(e.encode(text) + end, e.dtype)
-                record = framed(ids)
+                ids = e.encode(text) + end
+                record = framed(ids, e.width)
                 out.write(record)
                 offsets.append(offset)
                 lengths.append(len(record))
-                counts.append(len(ids))
+                counts.append(len(ids) // e.width)
                 offset += len(record)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([name] * len(counts), pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64()), pa.array(counts, pa.int64())], names=["doc_id", "file", "offset", "length", "n_tokens"])
         if out is not None:
