@@ -36,6 +36,9 @@ class WordRules:
         if spec["model"]["type"] != "BPE" or spec["model"]["end_of_word_suffix"] != END or kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]):
             raise ValueError("not a tokenizer file of the kind known here")
         self.pattern = regex.compile(split["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        newer = [c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
+        self.newer = regex.compile(f"[{''.join(newer)}]" if newer else r"[^\s\S]")  # letters of a later Unicode than the library's
 
     def normalised(self, text: str) -> str:
         """As the library does, but for white space; lower case character by character."""
@@ -43,8 +46,14 @@ class WordRules:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return text.lower()
 
+    def spans(self, normal: str) -> Iterator[tuple[int, int]]:
+        return (m.span() for m in self.pattern.finditer(self.newer.sub("\ue000", normal)))
+
     def words(self, text: str) -> list[str]:
-        return self.pattern.findall(self.normalised(text))
+        normal = self.normalised(text)
+        if normal.isascii() or not self.newer.search(normal):
+            return self.pattern.findall(normal)
+        return [normal[a:b] for a, b in self.spans(normal)]
 
     @staticmethod
     def whole_only(text: str) -> bool:
@@ -136,9 +145,9 @@ class PrefixCounter:
         """For each n, the tokens of the first n characters of the normalised text (without special tokens in it)."""
         out, done = [0], 0
         text = self.rules.normalised(text or "")
-        for m in self.rules.pattern.finditer(text):
-            out += [done] * (m.start() + 1 - len(out))
-            out += [done + n for n in self.word_prefixes(m[0])[1:]]
+        for start, end in self.rules.spans(text):
+            out += [done] * (start + 1 - len(out))
+            out += [done + n for n in self.word_prefixes(text[start:end])[1:]]
             done = out[-1]
         return out + [done] * (len(text) + 1 - len(out))
 

@@ -79,8 +79,8 @@ class FileEncoder:
         return self.packed(self.library.encode(text, add_special_tokens=False).ids)
 
     def run(self, text: str) -> bytes:
-        if not text.isascii() and not is_normalized("NFC", self.rules.normalised(text)):
-            return self.whole(text)  # the library would normalise a lower-cased word a second time
+        if not text.isascii() and (max(text) > "\u1aaf" or not is_normalized("NFC", self.rules.normalised(text))):
+            return self.whole(text)  # scripts in which Unicode versions differ, and words that the library would change a second time
         return b"".join(map(self.words.__getitem__, self.rules.words(text)))
 
     def encode(self, text: str | None) -> bytes:
