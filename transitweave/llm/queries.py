@@ -12,6 +12,7 @@ from .piece_codec import piece_digests
 from .shards import byte_shards
 from .token_counts import token_counts
 from .token_records import read_records, record_folder, write_records
+from .suffix_dedup import repeat_digests
 from .topk import top_k
 
 
@@ -27,6 +28,10 @@ def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(table(spark, sf_dir, "documents"), length=100)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
@@ -38,7 +43,7 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_shards, op6_exact_top_k, op7_piece_codec, op9_token_counts, op10_token_records)}
+    return {f.__name__: f for f in (op2_byte_shards, op6_exact_top_k, op7_piece_codec, op8_suffix_dedup, op9_token_counts, op10_token_records)}
 
 
 def oracle_sql() -> dict[str, str]:
