@@ -10,6 +10,7 @@ encoding anything again.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -38,7 +39,8 @@ class WordRules:
         self.pattern = regex.compile(split["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
         every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
         newer = [c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
-        self.newer = regex.compile(f"[{''.join(newer)}]" if newer else r"[^\s\S]")  # letters of a later Unicode than the library's
+        self.newer = re.compile(f"[{''.join(newer)}]")  # letters of a later Unicode than the library's
+        self.least_newer = min(newer)
 
     def normalised(self, text: str) -> str:
         """As the library does, but for white space; lower case character by character."""
@@ -51,7 +53,7 @@ class WordRules:
 
     def words(self, text: str) -> list[str]:
         normal = self.normalised(text)
-        if normal.isascii() or not self.newer.search(normal):
+        if normal.isascii() or max(normal) < self.least_newer or not self.newer.search(normal):
             return self.pattern.findall(normal)
         return [normal[a:b] for a, b in self.spans(normal)]
 

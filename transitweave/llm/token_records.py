@@ -70,7 +70,7 @@ class FileEncoder:
         self.library = Tokenizer.from_file(tokenizer_file)
         self.rules = WordRules(json.loads(self.library.to_str()))
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
-        self.words, self.runs = Memo(self.whole), Memo(self.run, most=900_000)
+        self.words, self.runs = Memo(self.whole), Memo(self.run)
 
     def packed(self, ids: list[int]) -> bytes:
         return np.array(ids, f"<u{self.width}").tobytes()
