@@ -8,18 +8,34 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import leaks
 from .piece_codec import piece_digests
+from .quality import quality_scores, train
 from .shards import byte_shards
 from .token_counts import token_counts
 from .token_records import read_records, record_folder, write_records
 from .suffix_dedup import repeat_digests
 from .topk import top_k
+from .urls import url_verdicts
+
+
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=0.6)
 
 
 def op2_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_shards(table(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op3_quality_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_scores(docs, train(docs, table(spark, sf_dir, "labels"), most=20_000))
+
+
+def op5_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages"))
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
@@ -43,7 +59,7 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_shards, op6_exact_top_k, op7_piece_codec, op8_suffix_dedup, op9_token_counts, op10_token_records)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_byte_shards, op3_quality_ranker, op5_url_verdicts, op6_exact_top_k, op7_piece_codec, op8_suffix_dedup, op9_token_counts, op10_token_records)}
 
 
 def oracle_sql() -> dict[str, str]:
