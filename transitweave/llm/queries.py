@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontaminate import leaks
+from .ngram_join import similar_documents
 from .piece_codec import piece_digests
 from .quality import quality_scores, train
 from .shards import byte_shards
@@ -32,6 +33,10 @@ def op3_quality_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, train(docs, table(spark, sf_dir, "labels"), most=20_000))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"), n=3, num=9, den=10)
+
+
 def op5_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages"))
 
@@ -59,7 +64,7 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_byte_shards, op3_quality_ranker, op5_url_verdicts, op6_exact_top_k, op7_piece_codec, op8_suffix_dedup, op9_token_counts, op10_token_records)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_byte_shards, op3_quality_ranker, op4_ngram_jaccard_join, op5_url_verdicts, op6_exact_top_k, op7_piece_codec, op8_suffix_dedup, op9_token_counts, op10_token_records)}
 
 
 def oracle_sql() -> dict[str, str]:
