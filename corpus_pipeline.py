@@ -1,7 +1,59 @@
-"""A corpus pipeline out of the operators."""
-STAGES: list = []
+"""A corpus pipeline: documents in, tokens of clean and distinct documents out.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
+and read again as the docs of the next one. All but the last return the columns
+of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from transitweave.llm.common import table, written
+from transitweave.llm.decontaminate import without_leaks
+from transitweave.llm.ngram_join import one_of_each
+from transitweave.llm.piece_codec import piece_digests
+from transitweave.llm.quality import good_documents, train
+from transitweave.llm.suffix_dedup import cut_documents
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return good_documents(docs, train(docs, table(spark, sf_dir, "labels"), most=20_000))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of documents with a five-word Jaccard similarity of 0.8 or more, the smallest id stays."""
+    return one_of_each(docs, n=5, num=4, den=5)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of strings of 100 that also start earlier go; documents stay, if need be empty."""
+    return cut_documents(docs, length=100)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item, copied or edited, go."""
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"), least=0.6)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document."""
+    return piece_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("suffix-array dedup", repeats), ("benchmark decontamination", decontaminate), ("SentencePiece encoding and decoding", pieces)]
+
+#: SQL can't express the fitted classifier, the alignment or the pieces.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents; what each returns is written to the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, "stage-" + name.split(" ")[0].lower())
+    return docs

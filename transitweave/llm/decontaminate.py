@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,22 +117,43 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.6) -> DataFram
     read; of benchmark, item_id and text. The benchmark comes in blocks of a fixed
     number of items, whatever its size.
     """
-    spark = docs.sparkSession
-    rows, tests = docs.select("doc_id", "text"), benchmark.select("item_id", "text").where("text is not null")
+    rows = docs.select("doc_id", "text")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, score double, first_word int, last_word int"
-    blocks = tests.count() // _ITEMS + 1
     out = None
+    for shared in _seeds(docs, benchmark):
+        part = _leaks_of(rows, shared, least, schema)
+        out = part if out is None else out.unionByName(part)
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.6) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no test item as leaks() finds them."""
+    column = docs.columns.index("text")
+    for shared in _seeds(docs, benchmark):
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not shared.value.found(t, least) for t in batch.column(column).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
+
+
+def _seeds(docs: DataFrame, benchmark: DataFrame) -> list[Broadcast]:
+    """For each block of items its seeds."""
+    tests = benchmark.select("item_id", "text").where("text is not null")
+    blocks = tests.count() // _ITEMS + 1
+    out = []
     for block in range(blocks):
         items = [(r.item_id, words(r.text)) for r in tests.where(F.expr(f"pmod(xxhash64(item_id, text), {blocks})") == block).collect()]
         items = sorted((x for x in items if x[1]), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         if items:
-            part = _leaks_of(rows, items, least, schema)
-            out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], schema) if out is None else out
+            out.append(_seeds_of(docs, items))
+    return out
 
 
-def _leaks_of(rows: DataFrame, items: list[tuple[int, list[bytes]]], least: float, schema: str) -> DataFrame:
-    spark = rows.sparkSession
+def _seeds_of(docs: DataFrame, items: list[tuple[int, list[bytes]]]) -> Broadcast:
+    spark = docs.sparkSession
     known = spark.sparkContext.broadcast(list(dict.fromkeys(w for _, ws in items for w in ws)))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,11 +167,13 @@ def _leaks_of(rows: DataFrame, items: list[tuple[int, list[bytes]]], least: floa
             some = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some], pa.int64())], names=["k", "n"])
 
-    total = {r.k: r.n for r in rows.select("text").mapInArrow(counted, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
+    total = {r.k: r.n for r in docs.select("text").mapInArrow(counted, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
     n = len(known.value)
     seeds = Seeds(items, {w: total.get(k, 0) for k, w in enumerate(known.value)}, sum(v for k, v in total.items() if k <= n), total.get(n + 1, 0))
-    shared = spark.sparkContext.broadcast(seeds)
+    return spark.sparkContext.broadcast(seeds)
+
 
+def _leaks_of(rows: DataFrame, shared: Broadcast, least: float, schema: str) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
         for batch in batches:

@@ -357,3 +357,13 @@ def similar_documents(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10,
     own = F.when(F.col("id") != _NO_ID, F.col("id"))
     out = signatures.select("id", "n", "node").join(of_node, "node", "left")
     return out.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), own).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """The rows of docs, with all their columns, whose doc_id is the smallest of its component.
+
+    Rows that repeat that id stay, and so do rows with a null id.
+    """
+    dropped = similar_documents(docs, n, num, den).where("doc_id <> component_id").select("doc_id").distinct()
+    dropped = written(dropped, "near-copies")
+    return docs.join(F.broadcast(dropped) if dropped.count() <= _SMALL else dropped, "doc_id", "left_anti").select(docs.columns)

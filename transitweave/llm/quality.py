@@ -135,3 +135,15 @@ def quality_scores(docs: DataFrame, ranker: Ranker) -> DataFrame:
 
     rows = docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {id_type}, score double, predicted int")
     return rows.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def good_documents(docs: DataFrame, ranker: Ranker) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is 0.5 or more."""
+    column = docs.columns.index("text")
+
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([features(t) for t in batch.column(column).to_pylist()], float).reshape(-1, len(FEATURES))
+            yield batch.filter(pa.array(ranker.scores(x) >= 0.5))
+
+    return docs.mapInArrow(good, docs.schema)

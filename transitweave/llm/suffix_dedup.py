@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import mixed, partitions, written
 
@@ -391,6 +392,27 @@ def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
     return rows.join(runs, "doc", "left").select("doc_id", "text", "runs").mapInArrow(cut, f"doc_id {id_type}, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
+def cut_documents(docs: DataFrame, length: int = 100) -> DataFrame:
+    """The rows of docs, with all their columns: text without the repeats, n_chars as long as the new text.
+
+    A null text stays null. Characters of which only some bytes are left go, too.
+    """
+    runs = repeated_starts(docs, length, "doc_id", "text").groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID)).alias("doc"))
+    joined = rows.join(runs, "doc", "left").select("row", "runs")
+    column = docs.columns.index("text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, texts = batch.column(0), batch.column(0).field(column).to_pylist()
+            left = [t if t is None or not r else _cut(t.encode(), r, length)[0].decode("utf-8", "ignore") for t, r in zip(texts, batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([row, pa.array(left, pa.string())], names=["row", "text"])
+
+    out = joined.mapInArrow(cut, T.StructType([T.StructField("row", docs.schema), T.StructField("text", T.StringType())]))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
+
+
 def repeat_digests(docs: DataFrame, length: int = 100) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of without_repeats."""
     return without_repeats(docs, length).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
