@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from transitweave.llm.common import table, written
+from transitweave.llm.common import ship, table, written
 from transitweave.llm.decontaminate import without_leaks
 from transitweave.llm.ngram_join import one_of_each
 from transitweave.llm.piece_codec import piece_digests
@@ -25,11 +25,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of documents with a five-word Jaccard similarity of 0.8 or more, the smallest id stays."""
+    ship(spark)
     return one_of_each(docs, n=5, num=4, den=5)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of strings of 100 that also start earlier go; documents stay, if need be empty."""
+    ship(spark)
     return cut_documents(docs, length=100)
 
 
@@ -40,6 +42,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document."""
+    ship(spark)
     return piece_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import ascii_words, mixed, partitions, shingle_hashes, word_hashes, written
 
 _SLOTS = 1 << 20  # counters of words: fixed, words share them by hash
-_BYTES = 128  # of a bitmap
+_BYTES = 128  # of a bitmap at least; it has as many bits as n-grams at least
 _TILE = 2048  # classes of a block or group compared at once
 _LEAF, _FAN = 32, 8
 _SMALL = 4_000_000  # rows of two longs that may be broadcast
@@ -56,10 +56,12 @@ def _word_ranks(docs: DataFrame) -> np.ndarray:
     return ranks
 
 
-def _bitmap(grams: np.ndarray) -> np.ndarray:
-    bits = np.zeros(_BYTES * 8, np.uint8)
-    bits[(mixed(grams) & np.uint64(_BYTES * 8 - 1)).astype(np.int64)] = 1
-    return np.packbits(bits)
+def _bitmap(grams: np.ndarray) -> bytes:
+    """Bits by hash; as many as the next power of two, so that a longer bitmap folds onto a shorter one."""
+    size = max(_BYTES * 8, 1 << (len(grams) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(mixed(grams) & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
 
 
 def _set_of(text: str | None, n: int, hashes) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +96,7 @@ def _signatures(docs: DataFrame, n: int, num: int, den: int, ranks: np.ndarray)
                 common = sum(rank[i : len(rank) - width + 1 + i] for i in range(width))[at]
                 first = size + (-size * num // den) + 1  # a set as similar has ceil(size * num / den) of them at least
                 nodes.append(_class_of(grams))
-                maps.append(_bitmap(grams).tobytes())
+                maps.append(_bitmap(grams))
                 keys.append(grams[np.lexsort((grams, common))[:first]].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(maps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "node", "bitmap", "keys"])
 
@@ -188,39 +190,72 @@ class _Union:
             self.of[max(x, y)] = min(x, y)
 
 
-def _compared(nodes: np.ndarray, sizes: np.ndarray, maps: np.ndarray, sides: np.ndarray, sets, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def _found(sizes: np.ndarray, maps: list[bytes], sides: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a block with room for enough common n-grams. Sets that can be similar have bitmaps of one length, or of one and its double."""
+    lengths = np.array([len(m) for m in maps])
+    both = bool(sides.any() and not sides.all())
+    for length in np.unique(lengths):
+        own, double = lengths == length, lengths == 2 * length
+        bits = {False: own, True: double}
+        trees: dict[tuple[bool, int], tuple[np.ndarray, _Tree]] = {}
+        for longer, rows in bits.items():
+            for side in (0, 1) if both else (-1,):
+                at = np.flatnonzero(rows & (sides == side)) if both else np.flatnonzero(rows)
+                if len(at):
+                    m = np.frombuffer(b"".join(maps[i] for i in at), np.uint64).reshape(len(at), -1)
+                    if longer:
+                        m = m[:, : m.shape[1] // 2] | m[:, m.shape[1] // 2 :]
+                    trees[longer, side] = at, _Tree(sizes[at], m)
+        meets = [((False, 0), (False, 1)), ((False, 0), (True, 1)), ((False, 1), (True, 0))] if both else [((False, -1), (False, -1)), ((False, -1), (True, -1))]
+        for one, two in meets:
+            if one in trees and two in trees:
+                (i, a), (j, b) = trees[one], trees[two]
+                for x, y in _pairs(a, b, num, den, one == two):
+                    yield i[x], j[y]
+
+
+def _compared(nodes: np.ndarray, sizes: np.ndarray, maps: list[bytes], sides: np.ndarray, sets, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect the rows of one block as all its pairs would; with sets, pairs are compared exactly."""
     union = _Union(len(nodes))
-    maps = maps.view(np.uint64)
     if len(nodes) == 2:
-        found: Iterator = iter([(np.zeros(1, np.int64), np.ones(1, np.int64))]) if sets is not None or _close(sizes, maps, num, den) else iter(())
-    elif sides.any() and not sides.all():
-        one, two = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
-        found = ((one[x], two[y]) for x, y in _pairs(_Tree(sizes[one], maps[one]), _Tree(sizes[two], maps[two]), num, den, False))
+        close = sets is not None or _close(sizes, maps, num, den)
+        found: Iterator = iter([(np.zeros(1, np.int64), np.ones(1, np.int64))] if close else ())
     else:
-        tree = _Tree(sizes, maps)
-        found = _pairs(tree, tree, num, den, True)
+        found = _found(sizes, maps, sides, num, den)
+    label = np.arange(len(nodes))  # as of the last refresh: equal labels are connected for sure
     for xs, ys in found:
-        for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
-            x, y = union.find(x), union.find(y)
-            if x != y and (sets is None):
+        apart = label[xs] != label[ys]
+        joined = False
+        for x, y in zip(xs[apart].tolist(), ys[apart].tolist(), strict=True):
+            if union.find(x) != union.find(y) and (sets is None or _similar(sets[x], sets[y], num, den)):
                 union.join(x, y)
-        if sets is not None:
-            for x, y in zip(xs.tolist(), ys.tolist(), strict=True):
-                if union.find(x) != union.find(y) and _similar(sets[x], sets[y], num, den):
-                    union.join(x, y)
+                joined = True
+        if joined:
+            label = np.array([union.find(x) for x in range(len(nodes))]) if len(nodes) <= 64 else _refreshed(union)
     root = np.array([union.find(x) for x in range(len(nodes))])
     own = root != np.arange(len(nodes))
     return nodes[own], nodes[root[own]]
 
 
-def _close(sizes: np.ndarray, maps: np.ndarray, num: int, den: int) -> bool:
+def _refreshed(union: _Union) -> np.ndarray:
+    label = np.array(union.of)
+    while True:
+        further = label[label]
+        if (further == label).all():
+            return label
+        label = further
+
+
+def _close(sizes: np.ndarray, maps: list[bytes], num: int, den: int) -> bool:
     """As the tree decides for two leaves."""
     if sizes.min() * den < num * sizes.max():
         return False
-    common = int(np.bitwise_count(maps[0] & maps[1]).sum())
-    spare = int((sizes - np.bitwise_count(maps).sum(1, dtype=np.int64)).min())
-    return bool(_room(common + spare, int(sizes.sum()), num, den))
+    short, long = sorted((np.frombuffer(m, np.uint64) for m in maps), key=len)
+    if len(long) > len(short):
+        long = long[: len(short)] | long[len(short) :]
+    both = np.stack([short, long])
+    spare = int((np.sort(sizes) - np.bitwise_count(both).sum(1, dtype=np.int64)).min()) if len(maps[0]) != len(maps[1]) else int((sizes - np.array([np.bitwise_count(np.frombuffer(m, np.uint64)).sum() for m in maps], np.int64)).min())
+    return bool(_room(int(np.bitwise_count(short & long).sum()) + spare, int(sizes.sum()), num, den))
 
 
 def _similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -238,10 +273,10 @@ def _by_block(rows: DataFrame, num: int, den: int, exact: bool) -> DataFrame:
 
         def handle(t: pa.Table) -> pa.RecordBatch:
             block, side, node, n = (np.array(t.column(k)) for k in ("block", "side", "node", "n"))
-            maps = np.frombuffer(b"".join(t.column("bitmap").to_pylist()), np.uint8).reshape(-1, _BYTES)
+            maps = t.column("bitmap").to_pylist()
             sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()] if exact else None
             cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
-            out = [_compared(node[i:j], n[i:j], np.ascontiguousarray(maps[i:j]), side[i:j], sets and sets[i:j], num, den) for i, j in zip(cuts[:-1], cuts[1:], strict=True) if j - i > 1]
+            out = [_compared(node[i:j], n[i:j], maps[i:j], side[i:j], sets and sets[i:j], num, den) for i, j in zip(cuts[:-1], cuts[1:], strict=True) if j - i > 1]
             a, b = (np.unique(np.stack([np.concatenate(x) for x in zip(*out, strict=True)]), axis=1)) if out else (np.zeros(0, np.int64),) * 2
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -343,7 +378,7 @@ def similar_documents(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10,
                 if len(grams) and _class_of(grams) == node:  # rows of one id may have different texts
                     kept.append(i)
                     sizes.append(len(grams))
-                    maps.append(_bitmap(grams).tobytes())
+                    maps.append(_bitmap(grams))
                     data.append(grams.tobytes())
             at = pa.array(kept, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(1).take(at), batch.column(2).take(at), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary()), pa.array(data, pa.binary())], names=["node", "root", "n", "bitmap", "set"])
