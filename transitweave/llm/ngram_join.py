@@ -77,25 +77,26 @@ def _class_of(grams: np.ndarray) -> int:
 
 
 def _signatures(docs: DataFrame, n: int, num: int, den: int, ranks: np.ndarray) -> DataFrame:
-    """id, n, node, bitmap, keys of each document; a document without words has n = 0 and no node."""
+    """id, n, node of each document, and bitmap and keys of the first of each class in a batch; without words n is 0 and node null."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = word_hashes()
         for batch in batches:
-            sizes, nodes, maps, keys = [], [], [], []
+            sizes, nodes, maps, keys, seen = [], [], [], [], set()
             for text in batch.column(1).to_pylist():
                 grams, at, h = _set_of(text, n, hashes)
                 size = len(grams)
                 sizes.append(size)
-                if not size:
-                    nodes.append(None), maps.append(None), keys.append(None)
+                nodes.append(_class_of(grams) if size else None)
+                if not size or nodes[-1] in seen:
+                    maps.append(None), keys.append(None)
                     continue
+                seen.add(nodes[-1])
                 rank = shared.value[(h & np.uint64(_SLOTS - 1)).astype(np.int64)].astype(np.int64)
                 width = min(n, len(h))
                 common = sum(rank[i : len(rank) - width + 1 + i] for i in range(width))[at]
                 first = size + (-size * num // den) + 1  # a set as similar has ceil(size * num / den) of them at least
-                nodes.append(_class_of(grams))
                 maps.append(_bitmap(grams))
                 keys.append(grams[np.lexsort((grams, common))[:first]].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(maps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "node", "bitmap", "keys"])
@@ -356,13 +357,14 @@ def similar_documents(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10,
     plain = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID)).alias("id"), docs[text_col].alias("text"))
     signatures = written(_signatures(plain, n, num, den, _word_ranks(plain)), "signatures")
     some = signatures.where("node is not null")
-    classes = written(some.groupBy("node").agg(F.min("id").alias("any_id"), F.min(F.when(F.col("id") != _NO_ID, F.col("id"))).alias("least"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("keys").alias("keys")), "classes")
-
-    keyed = classes.select("node", F.explode("keys").alias("key"))
-    several = keyed.groupBy("key").count().where("count > 1").select("key")
-    hits = keyed.join(several, "key").join(classes.select("node", "n", "bitmap"), "node")
-    hits = written(hits, "hits")
-    candidates = components(_by_block(_tiled(hits, "key", True, num, den), num, den, exact=False))
+    classes = written(some.groupBy("node").agg(F.min("id").alias("any_id"), F.min(F.when(F.col("id") != _NO_ID, F.col("id"))).alias("least")), "classes")
+    bitmaps = some.where("bitmap is not null").select("node", "bitmap").dropDuplicates(["node"])
+
+    keyed = some.select("node", "n", F.explode("keys").alias("key"))
+    several = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+    hits = written(keyed.join(several, "key").dropDuplicates(["key", "node"]), "hits")
+    blocks = _tiled(hits, "key", True, num, den).select("block", "side", "node", "n")
+    candidates = components(_by_block(blocks.join(bitmaps, "node"), num, den, exact=False))
     wanted = written(candidates.join(classes.select("node", "any_id"), "node").select(F.col("any_id").alias("id"), F.col("node").alias("wanted"), "root"), "candidates")
     if wanted.count() <= _SMALL:
         texts = plain.join(F.broadcast(wanted), "id")
