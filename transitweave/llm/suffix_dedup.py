@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .common import mixed, partitions, written
 
 _BASE = 0x9E3779B97F4A7C15
-_CHUNK = 1 << 21  # bytes hashed at once; positions in it take 22 bits
+_CHUNK = 1 << 19  # bytes hashed at once; positions in it take 22 bits
 _SORTED = 1 << 21  # bytes of contexts whose suffixes are sorted at once
 _WIDE = 50_000  # contexts of one anchor beyond which Spark compares its strings
 _NO_ID = -(1 << 63)
