@@ -90,7 +90,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes() -> Memo:
-    return Memo(xxhash.xxh64_intdigest)
+    return Memo(xxhash.xxh64_intdigest, most=200_000)
 
 
 _ODD = [int(xxhash.xxh64_intdigest(f"position {i}")) | 1 for i in range(64)]
