@@ -84,7 +84,7 @@ SELECTS = {
     "delay_summary": "SELECT count(*) AS n, avg(delay_seconds) AS mean, round(coalesce(stddev_samp(delay_seconds), 0), 6) AS stddev, quantile_cont(delay_seconds, 0.5) AS p50, round(quantile_cont(abs(delay_seconds), 0.9), 6) AS p90_abs FROM observations",
     "profile_resolution": f"""SELECT trip_id, CASE WHEN e.n IS NOT NULL THEN 'exact' WHEN d.n IS NOT NULL THEN 'route_direction' WHEN r.n IS NOT NULL THEN 'route' WHEN w.n IS NOT NULL THEN 'network' ELSE 'default' END AS level, round(coalesce(e.reliability, d.reliability, r.reliability, w.reliability, 0), 9) AS reliability, coalesce(e.n, d.n, r.n, w.n, 0) AS n, coalesce(e.n, d.n, r.n, w.n, 0) < 20 AS insufficient
         FROM (SELECT trip_id, route_id, coalesce(direction_id, -1) AS direction_key, {WINDOW('departure_seconds')} AS time_window FROM hops WHERE stop_sequence = 1) l LEFT JOIN p_exact e USING (route_id, direction_key, time_window) LEFT JOIN p_direction d USING (route_id, direction_key) LEFT JOIN p_route r USING (route_id) LEFT JOIN p_network w ON true""",
-    "route_patterns": "SELECT route_id, coalesce(direction_id, -1) AS direction_id, stops, count(*) AS trips, min(trip_id) AS first_trip FROM (SELECT trip_id, route_id, direction_id, string_agg(from_stop_id::VARCHAR, '|' ORDER BY stop_sequence) || '|' || arg_max(to_stop_id, stop_sequence)::VARCHAR AS stops FROM hops WHERE route_id < 5 GROUP BY ALL) GROUP BY ALL",
+    "route_patterns": "SELECT route_id, coalesce(direction_id, -1) AS direction_id, stops, count(*) AS trips, min(trip_id) AS first_trip FROM (SELECT trip_id, route_id, direction_id, string_agg(from_stop_id::VARCHAR, '|' ORDER BY stop_sequence) || '|' || arg_max(to_stop_id, stop_sequence)::VARCHAR AS stops FROM hops GROUP BY ALL) GROUP BY ALL",
     "observation_backfill": "SELECT observation_id, trip_id, stop_sequence, gap FROM (SELECT event_id AS observation_id, trip_id, stop_sequence, abs(hour(ts) * 3600 + minute(ts) * 60 - arrival_seconds) AS gap, row_number() OVER (PARTITION BY event_id ORDER BY abs(hour(ts) * 3600 + minute(ts) * 60 - arrival_seconds), stop_sequence) AS k FROM events JOIN stop_times ON trip_id = user_id) WHERE k = 1",
     "max_speed_bound": f"SELECT round(max({METERS('a.stop_lat', 'b.stop_lat', 'a.stop_lon', 'b.stop_lon')} / (arrival_seconds - departure_seconds)) * 1.001, 6) AS meters_per_second FROM hops JOIN stops a ON a.stop_id = from_stop_id JOIN stops b ON b.stop_id = to_stop_id WHERE arrival_seconds > departure_seconds",
     "earliest_arrival_rounds": ", urgent AS (SELECT * FROM hops WHERE service_id = '1-URGENT'), walks AS (SELECT from_stop_id, to_stop_id, min(coalesce(min_transfer_time, 0)) AS seconds FROM clique WHERE transfer_type <> 3 AND from_stop_id <> to_stop_id GROUP BY ALL), f0 AS (SELECT * FROM (VALUES (1, 1::BIGINT, 28800::BIGINT), (2, 2, 28800), (3, 1, 50400)) AS t(query_id, stop_id, arrival)), starts AS (SELECT query_id, arrival AS until FROM f0),"

@@ -232,7 +232,7 @@ def profile_resolution(n):
 
 @query
 def route_patterns(n):
-    return timetable.patterns(_hops(n).where("route_id < 5")).fillna(-1, ["direction_id"])
+    return timetable.patterns(_hops(n)).fillna(-1, ["direction_id"])
 
 
 @query
