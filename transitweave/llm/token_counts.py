@@ -53,6 +53,9 @@ class WordRules:
 
     def words(self, text: str) -> list[str]:
         normal = self.normalised(text)
+        core = normal.rstrip(",.;:!?")
+        if core.isalpha() and max(core) < "\u0250":  # letters, then marks: nothing to search for
+            return [core, normal[len(core) :]] if len(core) < len(normal) else [core]
         if normal.isascii() or max(normal) < self.least_newer or not self.newer.search(normal):
             return self.pattern.findall(normal)
         return [normal[a:b] for a, b in self.spans(normal)]
@@ -77,7 +80,7 @@ class PrefixCounter:
         self.vocab = set(model["vocab"])
         self.longest = max(len(t.removesuffix(END)) for t in self.vocab)
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]))
-        self.of_byte = _byte_characters()
+        self.of_byte = byte_characters()
         self.pairs: dict[tuple[str, str], bool] = {}
         self.totals = Memo(self.word_total)
         self.chunks = Memo(self.chunk_total)
@@ -166,7 +169,7 @@ def _symbols(token: str) -> list[str]:
     return [*token[: -len(END) - 1], token[-len(END) - 1 :]] if token.endswith(END) and len(token) > len(END) else list(token)
 
 
-def _byte_characters() -> list[str]:
+def byte_characters() -> list[str]:
     """The printable character for each byte: Latin-1's own where it prints, else the next one from 256."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
     out, spare = [], 256

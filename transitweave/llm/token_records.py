@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Memo, partitions, shared_dir
-from .token_counts import WordRules
+from .token_counts import WordRules, byte_characters
 
 _MASK = 0xA282EAD8
 _CHUNK = 8 << 20
@@ -61,7 +61,9 @@ class FileEncoder:
     """Encodes with the tokenizers library, each word once.
 
     The library merges inside words only, so the ids of a text are those of its
-    words in a row. Texts that may hold special tokens go to the library whole.
+    words in a row: a word goes straight to the library's model, in the printable
+    characters for its bytes. Texts that may hold special tokens go to the
+    library whole.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -69,11 +71,18 @@ class FileEncoder:
 
         self.library = Tokenizer.from_file(tokenizer_file)
         self.rules = WordRules(json.loads(self.library.to_str()))
-        self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
-        self.words, self.runs = Memo(self.whole), Memo(self.run)
+        self.model = self.library.model
+        size = self.library.get_vocab_size()
+        self.width = 2 if size <= 1 << 16 else 4
+        self.id_bytes = [k.to_bytes(self.width, "little") for k in range(size)]
+        self.characters = dict(enumerate(byte_characters()))
+        self.words, self.runs = Memo(self.word), Memo(self.run)
 
     def packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
+        return b"".join(map(self.id_bytes.__getitem__, ids))
+
+    def word(self, word: str) -> bytes:
+        return self.packed([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.characters))])
 
     def whole(self, text: str) -> bytes:
         return self.packed(self.library.encode(text, add_special_tokens=False).ids)
