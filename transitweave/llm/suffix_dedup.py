@@ -7,8 +7,8 @@ in them, so they meet if texts are dealt by anchors.
 
 1. Each run of starts with one anchor (a context: the bytes of all strings that
    start in it) gives a row: hash of the anchor, hash of the context, place. Rows
-   whose context occurs earlier are repeats as a whole; a task keeps only its
-   first row of each context, so a passage that is everywhere gives a row a task.
+   whose context occurs earlier are repeats as a whole; a task keeps only the
+   first row of each context in some megabytes, so copies give few rows.
 2. Anchors that have different contexts are where repeats begin or end. Only
    their bytes are fetched; their suffixes are sorted in two stages, and equal
    neighbours by common prefix show which starts are repeats.
@@ -30,6 +30,7 @@ from .common import mixed, partitions, written
 
 _BASE = 0x9E3779B97F4A7C15
 _CHUNK = 1 << 19  # bytes hashed at once; positions in it take 22 bits
+_HELD = 1 << 18  # contexts held before they go out
 _SORTED = 1 << 21  # bytes of contexts whose suffixes are sorted at once
 _WIDE = 50_000  # contexts of one anchor beyond which Spark compares its strings
 _NO_ID = -(1 << 63)
@@ -111,28 +112,35 @@ def _contexts(docs: DataFrame, length: int) -> DataFrame:
                     owners.append(i)
                     offsets.append(at)
                     filled += len(part)
+                    if sum(len(r[0]) for r in rows) >= _HELD:
+                        yield _firsts(rows)
+                        rows.clear()
             flush()
-            if not rows:
-                continue
-            anchor, context, doc, start, n = map(np.concatenate, zip(*rows, strict=True))
-            order = np.lexsort((start, doc, context))
-            again = np.zeros(len(order), bool)
-            c = context[order]
-            again[1:] = c[1:] == c[:-1]
-            keep, drop = order[~again], order[again]
-            doc2, start2, n2 = _joined(doc[drop], start[drop], n[drop])
-            zero = np.zeros(len(doc2), np.int64)
-            yield _batch(
-                np.concatenate([anchor[keep], mixed(doc2.view(np.uint64) + start2.view(np.uint64)).view(np.int64)]),
-                np.concatenate([context[keep], zero]),
-                np.concatenate([doc[keep], doc2]),
-                np.concatenate([start[keep], start2]),
-                np.concatenate([n[keep], -n2]),
-            )
+            if rows:
+                yield _firsts(rows)
 
     return docs.mapInArrow(found, "anchor long, context long, doc long, start long, n long")
 
 
+def _firsts(rows: list[list[np.ndarray]]) -> pa.RecordBatch:
+    """The first row of each context, and the others as repeats."""
+    anchor, context, doc, start, n = map(np.concatenate, zip(*rows, strict=True))
+    order = np.lexsort((start, doc, context))
+    again = np.zeros(len(order), bool)
+    c = context[order]
+    again[1:] = c[1:] == c[:-1]
+    keep, drop = order[~again], order[again]
+    doc2, start2, n2 = _joined(doc[drop], start[drop], n[drop])
+    zero = np.zeros(len(doc2), np.int64)
+    return _batch(
+        np.concatenate([anchor[keep], mixed(doc2.view(np.uint64) + start2.view(np.uint64)).view(np.int64)]),
+        np.concatenate([context[keep], zero]),
+        np.concatenate([doc[keep], doc2]),
+        np.concatenate([start[keep], start2]),
+        np.concatenate([n[keep], -n2]),
+    )
+
+
 def _batch(anchor, context, doc, start, n) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (anchor, context, doc, start, n)], names=["anchor", "context", "doc", "start", "n"])
 
