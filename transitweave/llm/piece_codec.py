@@ -59,8 +59,8 @@ class PieceCodec:
         self.automaton.make_automaton()
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.ids), None) for p in self.ids}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.words = Memo(self.spaced)  # by run without its first space
-        self.tails = Memo(self.bare)
+        self.words = Memo(self.spaced, most=150_000)  # by run without its first space
+        self.tails = Memo(self.bare, most=150_000)
 
     def merged(self, text: str) -> list[str]:
         """The model's own rule: merge the neighbours whose joined piece scores highest, the leftmost first."""
