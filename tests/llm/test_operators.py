@@ -193,3 +193,36 @@ def test_pipeline(spark):
 
 def test_all_registered():
     assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 11))
+
+
+@pytest.mark.parametrize("wide", [3, 50_000])
+def test_repeats_of_rows_and_null_ids(spark, wide, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "_WIDE", wide)
+    rng = np.random.default_rng(5)
+    some = lambda: "".join(rng.choice(list("ab\n"), int(rng.integers(9, 60))))
+    more = [(None, some()) for _ in range(20)] + [(int(i), some()) for i in rng.integers(0, 20, 60)]
+    long = "".join(rng.choice(list("abcdefgh"), 300))
+    mixed = more + more[30:50] + [(900, long), (900, long), (900, long[50:] + "x"), (None, "y" + long), (None, "z" + long[:200])]
+    for rows, length in (([r[:2] for r in ODD], 100), (mixed, 9), (mixed[::-1], 100)):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        keyed = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), suffix_dedup.version_of(F.col("doc_id"), F.col("text")).alias("version")).collect()
+        brute = suffix_dedup.brute_force({(r.doc, r.version): r.text.encode() for r in keyed}, length)
+        want = sorted((str(r.doc_id), *brute[r.doc, r.version]) for r in keyed)
+        assert sorted((str(r.doc_id), r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeat_digests(df, length).collect()) == want
+        cut = suffix_dedup.cut_documents(df.withColumn("n_chars", F.length("text").cast("long")), length).collect()
+        assert sorted((str(r.doc_id), hashlib.sha256((r.text or "").encode()).hexdigest()) for r in cut) == sorted((i, sha) for i, _, _, sha in want)
+
+
+def test_null_ids_with_one_text_leave_one(spark):
+    text = "".join(np.random.default_rng(6).choice(list("abcdefgh"), 150))
+    df = spark.createDataFrame([(None, text), (None, text), (None, text), (None, "b" * 50), (None, "b" * 50)], "doc_id long, text string")
+    assert sorted(r.n_removed for r in suffix_dedup.repeat_digests(df, 100).collect()) == [0, 0, 0, 150, 150]
+    assert sorted(len(r.text) for r in suffix_dedup.cut_documents(df.withColumn("n_chars", F.length("text").cast("long")), 100).collect()) == [0, 0, 50, 50, 150]
+
+
+def test_near_copies_go_by_row(spark):
+    ship(spark)
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (2, a + " end"), (2, b), (3, c), (3, c), (None, a), (None, b + " end"), (None, "d " * 9), (None, None)]
+    got = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, got)) == sorted(str(type(got[0])(doc_id=i, text=t)) for i, t in rows if (i, t) in {(1, a), (2, b), (3, c), (None, "d " * 9), (None, None)})

@@ -11,8 +11,10 @@ from pathlib import Path
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+NO_ID = -(1 << 63)
 _OWN: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 
@@ -59,6 +61,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def version_of(doc_id: Column, text: Column) -> Column:
+    """With the id, what tells documents apart: 63 bits of the text's hash, and a sign that puts null ids before all others."""
+    h = F.xxhash64(text.cast("binary"))
+    return F.when(doc_id.isNull(), h.bitwiseOR(F.lit(NO_ID))).otherwise(h.bitwiseAND(F.lit((1 << 63) - 1)))
+
+
 class Memo(dict):
     """Keeps make(key) of the keys seen last: up to twice `most` of them, none longer than `longest`."""
 

@@ -25,14 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_words, mixed, partitions, shingle_hashes, word_hashes, written
+from .common import NO_ID, ascii_words, mixed, partitions, shingle_hashes, version_of, word_hashes, written
 
 _SLOTS = 1 << 20  # counters of words: fixed, words share them by hash
 _BYTES = 128  # of a bitmap at least; it has as many bits as n-grams at least
 _TILE = 2048  # classes of a block or group compared at once
 _LEAF, _FAN = 32, 8
 _SMALL = 4_000_000  # rows of two longs that may be broadcast
-_NO_ID = -(1 << 63)
 
 
 def _word_ranks(docs: DataFrame) -> np.ndarray:
@@ -77,14 +76,14 @@ def _class_of(grams: np.ndarray) -> int:
 
 
 def _signatures(docs: DataFrame, n: int, num: int, den: int, ranks: np.ndarray) -> DataFrame:
-    """id, n, node of each document, and bitmap and keys of the first of each class in a batch; without words n is 0 and node null."""
+    """id, version, n, node of each document, and bitmap and keys of the first of each class in a batch; without words n is 0 and node null."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = word_hashes()
         for batch in batches:
             sizes, nodes, maps, keys, seen = [], [], [], [], set()
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 grams, at, h = _set_of(text, n, hashes)
                 size = len(grams)
                 sizes.append(size)
@@ -99,9 +98,9 @@ def _signatures(docs: DataFrame, n: int, num: int, den: int, ranks: np.ndarray)
                 first = size + (-size * num // den) + 1  # a set as similar has ceil(size * num / den) of them at least
                 maps.append(_bitmap(grams))
                 keys.append(grams[np.lexsort((grams, common))[:first]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(maps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "node", "bitmap", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(maps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "version", "n", "node", "bitmap", "keys"])
 
-    return docs.mapInArrow(signed, "id long, n long, node long, bitmap binary, keys array<long>")
+    return docs.mapInArrow(signed, "id long, version long, n long, node long, bitmap binary, keys array<long>")
 
 
 def _room(overlap, size_sum, num: int, den: int):
@@ -353,11 +352,15 @@ def similar_documents(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10,
     rows and equal ids are documents like any others. An empty table gives no
     rows; other columns are not read.
     """
-    spark = docs.sparkSession
-    plain = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID)).alias("id"), docs[text_col].alias("text"))
-    signatures = written(_signatures(plain, n, num, den, _word_ranks(plain)), "signatures")
+    return _placed(docs, n, num, den, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def _placed(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """similar_documents, with the version of each row and the root of its component (null without words)."""
+    plain = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), docs[text_col].alias("text"), version_of(docs[id_col], docs[text_col]).alias("version"))
+    signatures = written(_signatures(plain.select("id", "version", "text"), n, num, den, _word_ranks(plain)), "signatures")
     some = signatures.where("node is not null")
-    classes = written(some.groupBy("node").agg(F.min("id").alias("any_id"), F.min(F.when(F.col("id") != _NO_ID, F.col("id"))).alias("least")), "classes")
+    classes = written(some.groupBy("node").agg(F.min("id").alias("any_id"), F.min(F.when(F.col("id") != NO_ID, F.col("id"))).alias("least")), "classes")
     bitmaps = some.where("bitmap is not null").select("node", "bitmap").dropDuplicates(["node"])
 
     keyed = some.select("node", "n", F.explode("keys").alias("key"))
@@ -390,17 +393,20 @@ def similar_documents(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10,
 
     placed = classes.select("node", "least").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = placed.join(least, "root").select("node", "component_id")
-    own = F.when(F.col("id") != _NO_ID, F.col("id"))
-    out = signatures.select("id", "n", "node").join(of_node, "node", "left")
-    return out.select(own.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), own).otherwise(F.col("component_id")).alias("component_id"))
+    of_node = placed.join(least, "root").select("node", "root", "component_id")
+    own = F.when(F.col("id") != NO_ID, F.col("id"))
+    out = signatures.select("id", "version", "n", "node").join(of_node, "node", "left")
+    return out.select(own.alias("doc_id"), "version", "root", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), own).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The rows of docs, with all their columns, whose doc_id is the smallest of its component.
+    """The rows of docs, with all their columns, that are the first of their component.
 
-    Rows that repeat that id stay, and so do rows with a null id.
+    First is the smallest id (null ids last), of one id the smallest version; rows
+    that repeat both stay, and so do rows without words.
     """
-    dropped = similar_documents(docs, n, num, den).where("doc_id <> component_id").select("doc_id").distinct()
-    dropped = written(dropped, "near-copies")
-    return docs.join(F.broadcast(dropped) if dropped.count() <= _SMALL else dropped, "doc_id", "left_anti").select(docs.columns)
+    placed = written(_placed(docs, n, num, den).where("root is not null").select("root", F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "version").alias("key")), "near-copies")
+    first = placed.groupBy("root").agg(F.min("key").alias("first"))
+    dropped = written(placed.join(first, "root").where("key <> first").select(F.col("key.id").alias("id"), "key.version").distinct(), "dropped")
+    keyed = docs.select("*", F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("id"), version_of(docs["doc_id"], docs["text"]).alias("version"))
+    return keyed.join(F.broadcast(dropped) if dropped.count() <= _SMALL else dropped, ["id", "version"], "left_anti").select(docs.columns)

@@ -22,18 +22,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mixed, partitions, written
+from .common import NO_ID, mixed, partitions, version_of, written
 
 _BASE = 0x9E3779B97F4A7C15
 _CHUNK = 1 << 19  # bytes hashed at once; positions in it take 22 bits
 _HELD = 1 << 18  # contexts held before they go out
 _SORTED = 1 << 21  # bytes of contexts whose suffixes are sorted at once
 _WIDE = 50_000  # contexts of one anchor beyond which Spark compares its strings
-_NO_ID = -(1 << 63)
+_RUNS = "doc long, version long, start long, n long"
+
+
+def _key(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
+    return F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc"), version_of(docs[id_col], docs[text_col]).alias("version")
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,12 +82,12 @@ class _Anchors:
 
 
 def _contexts(docs: DataFrame, length: int) -> DataFrame:
-    """anchor, context, doc, start, n: contexts with n > 0; with n < 0, repeats that a task has found itself."""
+    """anchor, context, doc, version, start, n: contexts with n > 0; with n < 0, repeats that a task has found itself."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = _Anchors(length)
         for batch in batches:
-            ids = np.asarray(batch.column(0).fill_null(_NO_ID))
+            ids, versions = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             rows: list[list[np.ndarray]] = []
             texts, owners, offsets, filled = [], [], [], 0
 
@@ -96,10 +100,11 @@ def _contexts(docs: DataFrame, length: int) -> DataFrame:
                     left = np.repeat(ends, sizes) - np.arange(len(text))
                     anchor, context, first, n = anchors.of(text, left)
                     k = np.searchsorted(ends, first, side="right")
-                    rows.append([anchor, context, ids[np.array(owners)][k], first - (ends - sizes)[k] + np.array(offsets)[k], n])
+                    of = np.array(owners)[k]
+                    rows.append([anchor, context, ids[of], versions[of], first - (ends - sizes)[k] + np.array(offsets)[k], n])
                 texts, owners, offsets, filled = [], [], [], 0
 
-            for i, value in enumerate(batch.column(1)):
+            for i, value in enumerate(batch.column(2)):
                 data = value.as_py()
                 if data is None or len(data) < length:
                     continue
@@ -119,40 +124,47 @@ def _contexts(docs: DataFrame, length: int) -> DataFrame:
             if rows:
                 yield _firsts(rows)
 
-    return docs.mapInArrow(found, "anchor long, context long, doc long, start long, n long")
+    return docs.mapInArrow(found, f"anchor long, context long, {_RUNS}")
+
+
+def _same(a: tuple[np.ndarray, ...], i, j) -> np.ndarray:
+    """Whether rows i and j of columns are at one place."""
+    return np.logical_and.reduce([c[i] == c[j] for c in a])
 
 
 def _firsts(rows: list[list[np.ndarray]]) -> pa.RecordBatch:
-    """The first row of each context, and the others as repeats."""
-    anchor, context, doc, start, n = map(np.concatenate, zip(*rows, strict=True))
-    order = np.lexsort((start, doc, context))
+    """The first row of each context, and the others as repeats unless they are at its place."""
+    anchor, context, doc, version, start, n = map(np.concatenate, zip(*rows, strict=True))
+    order = np.lexsort((start, version, doc, context))
     again = np.zeros(len(order), bool)
     c = context[order]
     again[1:] = c[1:] == c[:-1]
-    keep, drop = order[~again], order[again]
-    doc2, start2, n2 = _joined(doc[drop], start[drop], n[drop])
+    first = np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))
+    keep, drop = order[~again], order[again & ~_same((doc, version, start), order, order[first])]
+    doc2, version2, start2, n2 = _joined(doc[drop], version[drop], start[drop], n[drop])
     zero = np.zeros(len(doc2), np.int64)
     return _batch(
         np.concatenate([anchor[keep], mixed(doc2.view(np.uint64) + start2.view(np.uint64)).view(np.int64)]),
         np.concatenate([context[keep], zero]),
         np.concatenate([doc[keep], doc2]),
+        np.concatenate([version[keep], version2]),
         np.concatenate([start[keep], start2]),
         np.concatenate([n[keep], -n2]),
     )
 
 
-def _batch(anchor, context, doc, start, n) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (anchor, context, doc, start, n)], names=["anchor", "context", "doc", "start", "n"])
+def _batch(*columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["anchor", "context", "doc", "version", "start", "n"][-len(columns) :])
 
 
-def _joined(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _joined(doc: np.ndarray, version: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs of starts that meet become one."""
-    order = np.lexsort((start, doc))
-    doc, start, n = doc[order], start[order], n[order]
+    order = np.lexsort((start, version, doc))
+    doc, version, start, n = doc[order], version[order], start[order], n[order]
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + n[:-1])
+    new[1:] = (doc[1:] != doc[:-1]) | (version[1:] != version[:-1]) | (start[1:] != start[:-1] + n[:-1])
     first = np.flatnonzero(new)
-    return doc[first], start[first], np.add.reduceat(n, first) if len(first) else n
+    return doc[first], version[first], start[first], np.add.reduceat(n, first) if len(first) else n
 
 
 def _judged(contexts: DataFrame) -> DataFrame:
@@ -164,10 +176,10 @@ def _judged(contexts: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [np.asarray(batch.column(k)) for k in range(5)]
+            cols = [np.asarray(batch.column(k)) for k in range(6)]
             if held is not None:
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
-            anchor, context, doc, start, n = cols
+            anchor, context, doc, version, start, n = cols
             marks = n < 0
             new_anchor = np.ones(len(anchor), bool)
             new_anchor[1:] = anchor[1:] != anchor[:-1]
@@ -178,20 +190,21 @@ def _judged(contexts: DataFrame) -> DataFrame:
             several = np.bincount(group, minlength=2)[group] > 1
             if gone:
                 several |= group == 1
-            out = ~new
+            of = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            out = ~new & ~_same((doc, version, start), slice(None), of)  # the same place twice is no repeat
             send = first[several]
             if gone:
                 send = send[send != 0]
-            d, s, m = _joined(doc[out], start[out], n[out])
+            d, v, s, m = _joined(doc[out], version[out], start[out], n[out])
             zero = np.zeros(len(d), np.int64)
-            yield _batch(np.concatenate([anchor[send], anchor[marks], zero]), np.concatenate([context[send], context[marks], zero]), np.concatenate([doc[send], doc[marks], d]), np.concatenate([start[send], start[marks], s]), np.concatenate([n[send], n[marks], -m]))
+            yield _batch(*(np.concatenate([c[send], c[marks], x]) for c, x in zip(cols, (zero, zero, d, v, s, -m), strict=True)))
             if len(first) and anchor[first[-1]] == anchor[-1]:
                 held, gone = [c[first[-1] : first[-1] + 1] for c in cols], bool(several[-1])
             else:
                 held, gone = None, False
 
-    spread = contexts.repartition(partitions(contexts.sparkSession), "anchor").sortWithinPartitions("anchor", "context", "doc", "start")
-    return spread.mapInArrow(judge, "anchor long, context long, doc long, start long, n long")
+    spread = contexts.repartition(partitions(contexts.sparkSession), "anchor").sortWithinPartitions("anchor", "context", "doc", "version", "start")
+    return spread.mapInArrow(judge, f"anchor long, context long, {_RUNS}")
 
 
 def _directly(words: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
@@ -298,58 +311,56 @@ def _equal_starts(contexts: list[bytes], counts: np.ndarray, length: int) -> np.
 
 
 def _by_suffixes(edges: DataFrame, length: int) -> DataFrame:
-    """Repeats among contexts (anchor, doc, start, n, bytes), whose groups by anchor fit in memory."""
+    """Repeats among contexts (anchor, doc, version, start, n, bytes), whose groups by anchor fit in memory."""
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
 
         def sort(rows: list[tuple]) -> pa.RecordBatch:
-            _, doc, start, n, data = zip(*rows, strict=True)
-            doc, start, n = (np.array(x, np.int64) for x in (doc, start, n))
+            _, doc, version, start, n, data = zip(*rows, strict=True)
+            doc, version, start, n = (np.array(x, np.int64) for x in (doc, version, start, n))
             group = _equal_starts(list(data), n, length)
             of = np.repeat(np.arange(len(n)), n)
             at = start[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-            order = np.lexsort((at, doc[of], group))
+            order = np.lexsort((at, version[of], doc[of], group))
             g = group[order]
-            d, s = doc[of][order], at[order]
+            place = doc[of][order], version[of][order], at[order]
             later = np.zeros(len(order), bool)  # the same place twice is no repeat
-            later[1:] = (g[1:] == g[:-1]) & ((d[1:] != d[:-1]) | (s[1:] != s[:-1]))
-            d, s, m = _joined(d[later], s[later], np.ones(later.sum(), np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int64()), pa.array(m, pa.int64())], names=["doc", "start", "n"])
+            later[1:] = (g[1:] == g[:-1]) & ~_same(place, slice(1, None), slice(None, -1))
+            return _batch(*_joined(*(x[later] for x in place), np.ones(later.sum(), np.int64)))
 
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
                 if size > _SORTED and row[0] != held[-1][0]:
                     yield sort(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[4])
+                size += len(row[5])
         if held:
             yield sort(held)
 
     spread = edges.repartition(partitions(edges.sparkSession), "anchor").sortWithinPartitions("anchor")
-    return spread.select("anchor", "doc", "start", "n", "bytes").mapInArrow(repeats, "doc long, start long, n long")
+    return spread.select("anchor", "doc", "version", "start", "n", "bytes").mapInArrow(repeats, _RUNS)
 
 
 def _by_hashes(edges: DataFrame, length: int) -> DataFrame:
     """The same for anchors with very many contexts: a row for each string, grouped by Spark."""
-    strings = edges.select("doc", "start", "bytes", F.explode(F.expr("sequence(0L, n - 1)")).alias("i")).select(
-        F.sha2(F.expr(f"substring(bytes, cast(i + 1 as int), {length})"), 256).alias("string"), "doc", (F.col("start") + F.col("i")).alias("start")
+    strings = edges.select("doc", "version", "start", "bytes", F.explode(F.expr("sequence(0L, n - 1)")).alias("i")).select(
+        F.sha2(F.expr(f"substring(bytes, cast(i + 1 as int), {length})"), 256).alias("string"), "doc", "version", (F.col("start") + F.col("i")).alias("start")
     )
-    firsts = strings.groupBy("string").agg(F.min(F.struct("doc", "start")).alias("first"))
-    return strings.join(firsts, "string").where(F.struct("doc", "start") != F.col("first")).select("doc", "start", F.lit(1).cast("long").alias("n"))
+    firsts = strings.groupBy("string").agg(F.min(F.struct("doc", "version", "start")).alias("first"))
+    return strings.join(firsts, "string").where(F.struct("doc", "version", "start") != F.col("first")).select("doc", "version", "start", F.lit(1).cast("long").alias("n"))
 
 
 def repeated_starts(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
-    """doc, start, n: runs of starts of strings that also start earlier. The rows of docs with null ids are doc -2**63."""
-    plain = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("binary").alias("text"))
-    judged = written(_judged(_contexts(plain, length)), "repeats")
-    marks = judged.where("n < 0").select("doc", "start", (-F.col("n")).alias("n"))
-    edges = judged.where("n > 0").select("anchor", "doc", "start", "n")
+    """doc, version, start, n: runs of starts of strings that also start earlier. The rows of docs with null ids are doc -2**63."""
+    texts = docs.select(*_key(docs, id_col, text_col), docs[text_col].cast("binary").alias("text"))
+    judged = written(_judged(_contexts(texts, length)), "repeats")
+    marks = judged.where("n < 0").select("doc", "version", "start", (-F.col("n")).alias("n"))
+    edges = judged.where("n > 0").select("anchor", "doc", "version", "start", "n")
     wide = edges.groupBy("anchor").count().where(F.col("count") > _WIDE).select("anchor", F.lit(True).alias("wide"))
-    texts = plain.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), "text")
-    fetched = edges.join(texts, "doc").select("anchor", "doc", "start", "n", F.expr(f"substring(text, cast(start + 1 as int), cast(n + {length - 1} as int))").alias("bytes"))
+    fetched = edges.join(texts, ["doc", "version"]).select("anchor", "doc", "version", "start", "n", F.expr(f"substring(text, cast(start + 1 as int), cast(n + {length - 1} as int))").alias("bytes"))
     fetched = written(fetched.join(wide, "anchor", "left"), "repeat-edges")
     found = _by_suffixes(fetched.where("wide is null"), length)
     if not fetched.where("wide").isEmpty():
@@ -357,6 +368,17 @@ def repeated_starts(docs: DataFrame, length: int, id_col: str, text_col: str) ->
     return marks.unionByName(found)
 
 
+def _with_runs(rows: DataFrame, runs: DataFrame, length: int, size: Column, order: Column) -> DataFrame:
+    """rows (doc, version, ...) with the runs of their document; of null-id rows with one text, all but the first lose it whole."""
+    runs = runs.groupBy("doc", "version").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
+    if rows.where("version < 0").isEmpty():
+        return rows.join(runs, ["doc", "version"], "left")
+    copy = F.row_number().over(Window.partitionBy("doc", "version").orderBy(order)) > 1
+    both = rows.where("version >= 0").withColumn("copy", F.lit(False)).unionByName(rows.where("version < 0").withColumn("copy", copy))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), (size - length + 1).cast("long").alias("n")))
+    return both.join(runs, ["doc", "version"], "left").withColumn("runs", F.when(F.col("copy") & (size >= length), whole).otherwise(F.col("runs")))
+
+
 def _cut(data: bytes, runs: list, length: int) -> tuple[bytes, int]:
     """What is left of a text, and how many maximal runs went."""
     spans: list[list[int]] = []
@@ -376,16 +398,18 @@ def _cut(data: bytes, runs: list, length: int) -> tuple[bytes, int]:
 def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, kept (binary), n_bytes, n_removed, n_spans.
 
-    A null text counts as empty. Earlier means a smaller id (null ids first), or
-    the same document and an earlier start. Rows with one id are versions of one
-    document: what goes from one goes from all, at the same place, and the same
-    place is no repeat of itself; so repeated rows give equal results. An empty
-    table gives no rows; other columns are not read. A text may lose bytes in
-    the middle of a character: kept is bytes.
+    A null text counts as empty. Earlier means a smaller id (null ids first), of
+    one id a smaller hash of the text (see version_of), or the same document and
+    an earlier start. Rows that repeat an id and its text are one document: the
+    same place is no repeat of itself, and they give equal results. Rows with one
+    id and different texts are different documents, and so is each row with a
+    null id: of those with one text, one counts as the first. An empty table
+    gives no rows; other columns are not read. A text may lose bytes in the
+    middle of a character: kept is bytes.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    runs = repeated_starts(docs, length, id_col, text_col).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("binary").alias("text"), F.coalesce(docs[id_col].cast("long"), F.lit(_NO_ID)).alias("doc"))
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("binary").alias("text"), *_key(docs, id_col, text_col))
+    joined = _with_runs(rows, repeated_starts(docs, length, id_col, text_col), length, F.octet_length("text"), F.col("version"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -397,7 +421,7 @@ def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
                 names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans"],
             )
 
-    return rows.join(runs, "doc", "left").select("doc_id", "text", "runs").mapInArrow(cut, f"doc_id {id_type}, kept binary, n_bytes long, n_removed long, n_spans long")
+    return joined.select("doc_id", "text", "runs").mapInArrow(cut, f"doc_id {id_type}, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def cut_documents(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -405,9 +429,8 @@ def cut_documents(docs: DataFrame, length: int = 100) -> DataFrame:
 
     A null text stays null. Characters of which only some bytes are left go, too.
     """
-    runs = repeated_starts(docs, length, "doc_id", "text").groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(_NO_ID)).alias("doc"))
-    joined = rows.join(runs, "doc", "left").select("row", "runs")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), *_key(docs, "doc_id", "text"))
+    joined = _with_runs(rows, repeated_starts(docs, length, "doc_id", "text"), length, F.octet_length("row.text"), F.to_json("row")).select("row", "runs")
     column = docs.columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
