@@ -226,3 +226,30 @@ def test_near_copies_go_by_row(spark):
     rows = [(1, a), (2, a + " end"), (2, b), (3, c), (3, c), (None, a), (None, b + " end"), (None, "d " * 9), (None, None)]
     got = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(str, got)) == sorted(str(type(got[0])(doc_id=i, text=t)) for i, t in rows if (i, t) in {(1, a), (2, b), (3, c), (None, "d " * 9), (None, None)})
+
+
+def test_url_counts_are_exact(spark):
+    ship(spark)
+    rng = np.random.default_rng(7)
+    name = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), n))
+    urls = [f"http://{h}/{name(60)}" for h in rng.choice(["net", "example.net/en", "example.com/de", "my.org/fr", "else.com"], 4000)] + [None, "", "é日"]
+    rows = url_verdicts(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    counts = [{}, {}]
+    padded = [b"\2" * 4 + (u or "").encode() + b"\3" for u in urls]
+    for u, r, x in ((urls[r.page_id], r, padded[r.page_id]) for r in rows):
+        if r.rule and zlib.crc32(u.encode()) % 3 != 1:
+            n = counts[r.verdict == "block"]
+            for at in range(4, len(x)):
+                for k in range(5):
+                    for key in ((k, x[at - k : at]), (k, x[at - k : at + 1])):
+                        n[key] = n.get(key, 0) + 1
+    assert len(rows) == len(urls) and all(counts)
+    for r in rows[::7] + rows[-3:]:
+        x, total = padded[r.page_id], 0.0
+        for at in range(4, len(x)):
+            p = [1 / 256, 1 / 256]
+            for k in range(5):
+                for c in (0, 1):
+                    p[c] = (counts[c].get((k, x[at - k : at + 1]), 0) + 4 * p[c]) / (counts[c].get((k, x[at - k : at]), 0) + 4)
+            total += np.log(p[0]) - np.log(p[1])
+        assert r.difference == pytest.approx(total / (len(x) - 4), abs=1e-8)
