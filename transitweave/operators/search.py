@@ -55,6 +55,42 @@ def earliest_arrivals(origins: DataFrame, hops: DataFrame, walks: DataFrame, boa
     return best
 
 
+def earliest_to_fixpoint(origins: DataFrame, hops: DataFrame, transfers: DataFrame, deadline_s: float | None = None) -> DataFrame:
+    """query_id, stop_id, arrival: earliest arrivals with any number of boardings and walks, without a horizon.
+
+    hops: those of the services of one day. transfers may hold rules of a stop with
+    itself: after a ride, another trip can be boarded there only that many seconds
+    later, or (type 3) not at all. So a label has its arrival and, apart from it,
+    the time from which it can board. Rules of single trips are not known here.
+    """
+    limit = time.monotonic() + deadline_s if deadline_s else None
+    seconds = F.coalesce("min_transfer_time", F.lit(0))
+    walks = transfers.where("transfer_type <> 3 AND from_stop_id <> to_stop_id").groupBy("from_stop_id", "to_stop_id").agg(F.min(seconds).alias("seconds"))
+    rules = transfers.where("from_stop_id = to_stop_id").groupBy(F.col("from_stop_id").alias("stop_id")).agg(F.max(seconds).alias("wait"), F.max(F.col("transfer_type") == 3).alias("forbidden"))
+    w = Window.partitionBy("trip_id").orderBy("stop_sequence")
+    broken = (F.col("from_stop_id") != F.lag("to_stop_id").over(w)) | (F.col("departure_seconds") < F.lag("arrival_seconds").over(w))
+    hops = hops.withColumn("broken", F.coalesce(broken, F.lit(False)).cast("int")).withColumn("part", F.sum("broken").over(w))
+    hops = _kept(hops.select("trip_id", "part", "stop_sequence", "from_stop_id", "to_stop_id", "departure_seconds", "arrival_seconds", "pickup_type", "drop_off_type"))
+    later = hops.select("trip_id", "part", "stop_sequence", F.col("to_stop_id").alias("stop_id"), F.col("arrival_seconds").alias("arrival"))
+    ends = [F.min("arrival").alias("arrival"), F.min("ready").alias("ready")]
+    best = _kept(origins.select("query_id", "stop_id", "arrival", F.col("arrival").alias("ready")).groupBy("query_id", "stop_id").agg(*ends))
+    frontier = best
+    while not frontier.isEmpty():
+        if limit and time.monotonic() > limit:
+            raise SearchLimit("the search passed its deadline")
+        board = frontier.join(hops, F.col("stop_id") == F.col("from_stop_id")).where("departure_seconds >= ready AND pickup_type <> 1 AND drop_off_type <> 1")
+        board = board.groupBy("query_id", "trip_id", "part").agg(F.min("stop_sequence").alias("from_sequence"))
+        ride = board.join(later, ["trip_id", "part"]).where("stop_sequence >= from_sequence").groupBy("query_id", "stop_id").agg(F.min("arrival").alias("arrival"))
+        ride = ride.join(rules, "stop_id", "left").select("query_id", "stop_id", "arrival", F.expr("if(coalesce(forbidden, false), NULL, arrival + coalesce(wait, 0))").alias("ready"))
+        walk = frontier.join(walks, F.col("stop_id") == F.col("from_stop_id")).select("query_id", F.col("to_stop_id").alias("stop_id"), (F.col("arrival") + F.col("seconds")).alias("arrival"))
+        new = ride.unionByName(walk.withColumn("ready", F.col("arrival"))).groupBy("query_id", "stop_id").agg(*ends)
+        old = best.withColumnsRenamed({"arrival": "old", "ready": "old_ready"})
+        better = "old IS NULL OR arrival < old OR coalesce(ready < old_ready, old_ready IS NULL AND ready IS NOT NULL)"
+        frontier = _kept(new.join(old, ["query_id", "stop_id"], "left").where(better).drop("old", "old_ready"))
+        best = _kept(best.unionByName(frontier).groupBy("query_id", "stop_id").agg(*ends))
+    return best.drop("ready")
+
+
 def pareto(alternatives: DataFrame, group: list[str]) -> DataFrame:
     """Rows for which no other of their group is as good in arrival, cost and transfers and better in one. Equal rows stay once.
 

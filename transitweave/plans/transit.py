@@ -14,6 +14,8 @@ from ..operators import search, timetable
 from ..sources.bridge import Network
 
 REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: Queries that SQL of bounded length can't express.
+UNBOUNDED: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(f: Callable[[Network], DataFrame]) -> Callable[[Network], DataFrame]:
@@ -259,6 +261,20 @@ def earliest_arrival_rounds(n):
     return search.earliest_arrivals(origins, hops, walks, boardings=2)
 
 
+def service_day_hops(n: Network, date: str) -> DataFrame:
+    return _hops(n).join(F.broadcast(cal.active_services(n.calendar(), n.calendar_dates(), date)), "service_id", "left_semi")
+
+
+def earliest_arrival_fixpoint(spark: SparkSession, folder: str) -> DataFrame:
+    """As earliest_arrival_rounds, over all services of a date, with any number of boardings and walks."""
+    n = Network(spark, folder)
+    origins = spark.createDataFrame([(1, 1, 28800), (2, 2, 28800), (3, 1, 50400)], "query_id int, stop_id long, arrival long")
+    return search.earliest_to_fixpoint(origins, service_day_hops(n, "2026-06-29"), timetable.station_transfers(n.stops(), n.transfers()))
+
+
+UNBOUNDED["earliest_arrival_fixpoint"] = earliest_arrival_fixpoint
+
+
 def _alternatives(n: Network) -> DataFrame:
     """Rides from stop 1 to any stop, as alternatives."""
     h = _hops(n)
