@@ -93,16 +93,24 @@ def test_counts_and_records(spark, docs, odd, none):
     assert all(r.n_tokens <= 3 for r in truncated(odd, WORDS, 3).collect())
 
 
+def plain_top_k(rows, k, every):
+    whole = lambda v: [int(x) * 256 if abs(x) >= 2**53 else int(np.floor(x * 256)) for x in v]
+    sound = [(i, v) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    asked = {i: whole(min(v for j, v in sound if j == i)) for i, _ in sound if i % every == 0}
+    score = lambda a, b: max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(a, b))))
+    return sorted((q, n + 1, j, -s) for q, a in asked.items() for n, (s, j) in enumerate(sorted((-score(a, whole(v)), j) for j, v in sound if j != q)[:k]))
+
+
 def test_top_k(spark):
     ship(spark)
     rng = np.random.default_rng(0)
-    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(40)] + [(100 + i, [0.5, 0.5, 0.5, 0.5]) for i in range(9)] + [(200, None), (202, [1.0, None, 0.0, 0.0]), (204, [float("nan")] * 4)]
-    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 5, 10).collect()}
-    v = {i: np.floor(256 * np.array(x)).astype(int) for i, x in rows[:49]}
-    for q in (i for i in v if i % 10 == 0):
-        want = sorted((-int(v[q] @ v[j]), j) for j in v if j != q)[:5]
-        assert [got[q, k + 1] for k in range(5)] == [(j, -s) for s, j in want]
-    few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>")
+    plain = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(40)] + [(100 + i, [0.5] * 4) for i in range(9)] + [(7, [0.5] * 4)] * 6
+    odd = [(200, None), (202, [1.0, None, 0.0, 0.0]), (204, [float("nan")] * 4), (None, [1.0] * 4), (10, [9.0] * 4), (330, [1.0]), (331, [])]
+    huge = [(300, [1e307, 2.0, 0.0, 0.0]), (301, [1e200, 1.0, 1.0, 1.0]), (303, [4e5 + 0.3, -7e6, 3.3, 9.0]), (310, [4.1e5, 2e7, 1.0, 1.0]), (320, [-1e307, 1.0, 0.0, 0.0])]
+    for rows in (plain, plain + odd + huge):
+        found = top_k(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, rank int").repartition(3), 5, 10)
+        assert sorted(map(tuple, found.collect())) == plain_top_k(rows, 5, 10)
+    few = spark.createDataFrame(plain[:3], "vec_id long, embedding array<double>")
     assert top_k(few, 5, 10).count() == 2 and top_k(few.where("false"), 5, 10).count() == 0
 
 
