@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -10,6 +12,7 @@ import zipfile
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +20,8 @@ from pyspark.sql import functions as F
 NO_ID = -(1 << 63)
 _OWN: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_WRITTEN: dict[str, list[str]] = {}
+_KEPT: dict[tuple, object] = {}  # in a worker: what its tasks of one kind share
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see; a temporary one where that is unset."""
+    """The folder of spark.checkpoint.dir, which all executors see. In local mode a temporary one will do where that is unset; on a cluster it won't."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not (spark.sparkContext.master + "[").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="transitweave-")
@@ -37,12 +44,39 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage and survives lost executors."""
+    """df as a Parquet table in the shared folder: it cuts the lineage and survives lost executors. See remove_written."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_written(spark: SparkSession) -> None:
+    """Deletes what written() has left in the shared folder in this application; call it when its results have been used."""
+    jvm = spark.sparkContext._jvm
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def task_start(make=None, *key):
+    """At the start of a task in a Python worker: make(*key), which its next tasks of the same kind share.
+
+    Workers live on from stage to stage; what tasks of other kinds have left,
+    and memory that the allocators hold back, is returned.
+    """
+    for other in [k for k in _KEPT if k != (make, *key)]:
+        del _KEPT[other]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+    if make and (make, *key) not in _KEPT:
+        _KEPT[make, *key] = make(*key)
+    return _KEPT.get((make, *key))
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, which may not have it on their path."""
     app = spark.sparkContext.applicationId
@@ -57,6 +91,13 @@ def ship(spark: SparkSession) -> None:
         spark.sparkContext.addPyFile(f"{folder}/{package.name}.zip")
 
 
+def whole_ids(docs: DataFrame, column: str) -> None:
+    """Raises where ids are not whole numbers: those of other types would be cut off or lost."""
+    kind = docs.schema[column].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{column} must hold whole numbers, not {kind}")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -98,7 +139,7 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes() -> Memo:
-    return Memo(xxhash.xxh64_intdigest, most=200_000)
+    return Memo(xxhash.xxh64_intdigest, most=100_000)
 
 
 _ODD = [int(xxhash.xxh64_intdigest(f"position {i}")) | 1 for i in range(64)]

@@ -132,6 +132,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.6) ->
     for shared in _seeds(docs, benchmark):
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            task_start()
             for batch in batches:
                 yield batch.filter(pa.array([not shared.value.found(t, least) for t in batch.column(column).to_pylist()], pa.bool_()))
 
@@ -157,6 +158,7 @@ def _seeds_of(docs: DataFrame, items: list[tuple[int, list[bytes]]]) -> Broadcas
     known = spark.sparkContext.broadcast(list(dict.fromkeys(w for _, ws in items for w in ws)))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_start()
         number = {w: k for k, w in enumerate(known.value)}
         for batch in batches:
             counts = np.zeros(len(number) + 2, np.int64)  # the last two: words not in any item, documents
@@ -175,6 +177,7 @@ def _seeds_of(docs: DataFrame, items: list[tuple[int, list[bytes]]]) -> Broadcas
 
 def _leaks_of(rows: DataFrame, shared: Broadcast, least: float, schema: str) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_start()
         s = shared.value
         for batch in batches:
             of, found = [], []

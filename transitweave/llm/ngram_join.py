@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, ascii_words, mixed, partitions, shingle_hashes, version_of, word_hashes, written
+from .common import NO_ID, ascii_words, mixed, partitions, shingle_hashes, task_start, version_of, word_hashes, written
 
 _SLOTS = 1 << 20  # counters of words: fixed, words share them by hash
 _BYTES = 128  # of a bitmap at least; it has as many bits as n-grams at least
@@ -38,6 +38,7 @@ def _word_ranks(docs: DataFrame) -> np.ndarray:
     """For each slot the binary logarithm of how often its words occur in all documents."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_start()
         hashes = word_hashes()
         for batch in batches:
             total = np.zeros(_SLOTS, np.int64)
@@ -80,6 +81,7 @@ def _signatures(docs: DataFrame, n: int, num: int, den: int, ranks: np.ndarray)
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_start()
         hashes = word_hashes()
         for batch in batches:
             sizes, nodes, maps, keys, seen = [], [], [], [], set()
@@ -269,6 +271,7 @@ def _by_block(rows: DataFrame, num: int, den: int, exact: bool) -> DataFrame:
     """a, b: for rows (block, side, node, n, bitmap[, set]) the edges of each block. A block has two tiles at most."""
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_start()
         held: pa.Table | None = None
 
         def handle(t: pa.Table) -> pa.RecordBatch:
@@ -375,6 +378,7 @@ def _placed(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id",
         texts = plain.join(wanted, "id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_start()
         hashes = word_hashes()
         for batch in batches:
             kept, sizes, maps, data = [], [], [], []

@@ -12,13 +12,12 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Memo
+from .common import Memo, task_start
 
 SPACE = "▁"  # how a model of this kind writes a space
 
@@ -141,11 +140,6 @@ class PieceCodec:
         return self.decode_decimal(" ".join(map(str, ids)) or str(self.end_id)).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
-def codec(model_file: str) -> PieceCodec:
-    return PieceCodec(model_file)
-
-
 def piece_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_tokens, ids_sha256, decoded_sha256.
 
@@ -156,7 +150,7 @@ def piece_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model_file)
+        c = task_start(PieceCodec, model_file)
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
             for text in batch.column(1).to_pylist():
@@ -174,7 +168,7 @@ def encoded_pieces(docs: DataFrame, model_file: str, id_col: str = "doc_id", tex
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model_file)
+        c = task_start(PieceCodec, model_file)
         for batch in batches:
             ids = [c.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(i) for i in ids], pa.string())], names=["doc_id", "ids", "decoded"])

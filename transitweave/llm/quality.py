@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import task_start
+
 FEATURES = ["length", "word_length", "distinct", "top_word", "upper", "digit", "stop", "comma", "mark", "symbol", "line_length", "repeated_lines", "ended_words", "odd_words", "long_words", "same_neighbours"]
 _CLASS = np.zeros(256, np.int64)  # of bytes: 1 upper, 2 digit, 3 . ? ; :, 4 comma, 5 !, 6 other ASCII signs, 7 letters and bytes over 127
 for _b in range(256):
@@ -106,6 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most:
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "good", "text")
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_start()
         for batch in batches:
             x = [features(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "good", "x"])
@@ -128,6 +131,7 @@ def quality_scores(docs: DataFrame, ranker: Ranker) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_start()
         for batch in batches:
             x = np.array([features(t) for t in batch.column(1).to_pylist()], float).reshape(-1, len(FEATURES))
             s = ranker.scores(x)
@@ -142,6 +146,7 @@ def good_documents(docs: DataFrame, ranker: Ranker) -> DataFrame:
     column = docs.columns.index("text")
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_start()
         for batch in batches:
             x = np.array([features(t) for t in batch.column(column).to_pylist()], float).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(ranker.scores(x) >= 0.5))

@@ -14,13 +14,12 @@ import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Memo
+from .common import Memo, task_start
 
 END = "</w>"
 
@@ -179,11 +178,6 @@ def byte_characters() -> list[str]:
     return out
 
 
-@lru_cache(maxsize=2)
-def counter(tokenizer_file: str) -> PrefixCounter:
-    return PrefixCounter(tokenizer_file)
-
-
 def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_bytes (UTF-8), n_tokens, over_limit.
 
@@ -193,7 +187,7 @@ def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = 2048, id_col
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(tokenizer_file)
+        c = task_start(PrefixCounter, tokenizer_file)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             n = [c.total(t) for t in texts]
@@ -210,7 +204,7 @@ def truncated(docs: DataFrame, tokenizer_file: str, budget: int, id_col: str = "
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(tokenizer_file)
+        c = task_start(PrefixCounter, tokenizer_file)
         for batch in batches:
             texts = [c.cut(t, budget) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(map(c.total, texts), pa.int64())], names=["doc_id", "text", "n_tokens"])

@@ -20,7 +20,6 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from unicodedata import is_normalized
 
 import numpy as np
@@ -30,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, partitions, shared_dir
+from .common import Memo, partitions, shared_dir, task_start
 from .token_counts import WordRules, byte_characters
 
 _MASK = 0xA282EAD8
@@ -101,11 +100,6 @@ class FileEncoder:
         return b"".join(map(self.runs.__getitem__, text.split()))
 
 
-@lru_cache(maxsize=2)
-def encoder(tokenizer_file: str) -> FileEncoder:
-    return FileEncoder(tokenizer_file)
-
-
 def write_records(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes all documents and returns the written index: doc_id, file, offset, length, n_tokens.
 
@@ -121,7 +115,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
-        e = encoder(tokenizer_file)
+        e = task_start(FileEncoder, tokenizer_file)
         end = e.packed([end_id])
         name = f"part-{TaskContext.get().partitionId():06d}.rec"
         temporary = f"{root}/.{name}-{uuid.uuid4().hex}"
