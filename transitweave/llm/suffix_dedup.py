@@ -6,18 +6,21 @@ strings of that length choose the same anchor, the least hash of the short grams
 in them, so they meet if texts are dealt by anchors.
 
 1. Each run of starts with one anchor (a context: the bytes of all strings that
-   start in it) gives a row: hash of the anchor, hash of the context, place. Rows
-   whose context occurs earlier are repeats as a whole; a task keeps only the
-   first row of each context in some megabytes, so copies give few rows.
+   start in it) gives a row: hash of the anchor, hashes of the context, place.
+   Copies of a whole context give few rows: a task keeps only the first in some
+   megabytes, and of the rest only the first of the corpus goes on.
 2. Anchors that have different contexts are where repeats begin or end. Only
    their bytes are fetched; their suffixes are sorted in two stages, and equal
    neighbours by common prefix show which starts are repeats.
-3. The repeats of a document are joined to it and cut out.
+3. An anchor with very many contexts is made longer first, to the left for the
+   strings that have enough room there and to the right for the others, so that
+   its contexts are sorted in several parts. The more of a string its anchor
+   takes, the fewer different contexts are left; with all of it, there is one.
+4. The repeats of a document are joined to it and cut out.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,22 +29,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NO_ID, mixed, partitions, version_of, written
+from .common import NO_ID, mixed, partitions, task_start, version_of, whole_ids, written
 
-_BASE = 0x9E3779B97F4A7C15
-_CHUNK = 1 << 19  # bytes hashed at once; positions in it take 22 bits
+_BASE, _OTHER_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_CHUNK = 1 << 18  # bytes hashed at once; positions in it take 22 bits
 _HELD = 1 << 18  # contexts held before they go out
-_SORTED = 1 << 21  # bytes of contexts whose suffixes are sorted at once
-_WIDE = 50_000  # contexts of one anchor beyond which Spark compares its strings
+_SORTED = 1 << 20  # bytes of contexts whose suffixes are sorted at once
+_WIDE = 1000  # contexts of one anchor beyond which it is made longer
 _RUNS = "doc long, version long, start long, n long"
+_ROWS = ["anchor", "context", "check", "doc", "version", "start", "n", "at"]
+_BYTES = mixed(np.arange(1, 257, dtype=np.uint64))  # a number for each byte, for the second hash
 
 
 def _key(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
+    whole_ids(docs, id_col)
     return F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc"), version_of(docs[id_col], docs[text_col]).alias("version")
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
@@ -51,12 +57,15 @@ class _Anchors:
 
     def __init__(self, length: int):
         self.length, self.gram = length, max(1, length // 3)
-        self.up, self.down = _powers(_CHUNK + 1)
+        self.up, self.down = _powers(_CHUNK + 1, _BASE)
+        self.other_up, self.other_down = _powers(_CHUNK + 1, _OTHER_BASE)
 
     def of(self, text: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, ...]:
         """text: bytes of several texts; left: at each byte, how many its own text has from there on.
 
-        Returns anchor hash, context hash, first start and number of starts of each context.
+        Returns anchor hash, context hash, 32 bits of an independent one, first
+        start, number of starts, and the anchor's place after the first start of
+        each context. Contexts are equal if anchors, both hashes and places are.
         """
         n, g, width = len(text), self.gram, self.length - self.gram + 1
         sums = np.zeros(n + 1, np.uint64)
@@ -78,13 +87,16 @@ class _Anchors:
         first, end = first[whole[first]], end[whole[first]]
         to = end + self.length - 1
         context = mixed((sums[to] - sums[first]) * self.down[first] + (to - first).astype(np.uint64))
-        return grams[at[first]].view(np.int64), context.view(np.int64), first, end - first
+        sums[1:] = np.cumsum(_BYTES[text] * self.other_up[:n])
+        check = mixed((sums[to] - sums[first]) * self.other_down[first]) >> np.uint64(32)
+        return grams[at[first]].view(np.int64), context.view(np.int64), check.astype(np.int64), first, end - first, at[first] - first
 
 
 def _contexts(docs: DataFrame, length: int) -> DataFrame:
-    """anchor, context, doc, version, start, n: contexts with n > 0; with n < 0, repeats that a task has found itself."""
+    """_ROWS: contexts with n > 0; with n < 0, repeats that a task has found itself."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_start()
         anchors = _Anchors(length)
         for batch in batches:
             ids, versions = np.asarray(batch.column(0)), np.asarray(batch.column(1))
@@ -98,10 +110,10 @@ def _contexts(docs: DataFrame, length: int) -> DataFrame:
                     text = np.frombuffer(b"".join(texts), np.uint8)
                     ends = np.cumsum(sizes)
                     left = np.repeat(ends, sizes) - np.arange(len(text))
-                    anchor, context, first, n = anchors.of(text, left)
+                    anchor, context, check, first, n, at = anchors.of(text, left)
                     k = np.searchsorted(ends, first, side="right")
                     of = np.array(owners)[k]
-                    rows.append([anchor, context, ids[of], versions[of], first - (ends - sizes)[k] + np.array(offsets)[k], n])
+                    rows.append([anchor, context, check, ids[of], versions[of], first - (ends - sizes)[k] + np.array(offsets)[k], n, at])
                 texts, owners, offsets, filled = [], [], [], 0
 
             for i, value in enumerate(batch.column(2)):
@@ -124,37 +136,30 @@ def _contexts(docs: DataFrame, length: int) -> DataFrame:
             if rows:
                 yield _firsts(rows)
 
-    return docs.mapInArrow(found, f"anchor long, context long, {_RUNS}")
+    return docs.mapInArrow(found, ", ".join(f"{c} long" for c in _ROWS))
 
 
-def _same(a: tuple[np.ndarray, ...], i, j) -> np.ndarray:
-    """Whether rows i and j of columns are at one place."""
-    return np.logical_and.reduce([c[i] == c[j] for c in a])
+def _same(columns: tuple[np.ndarray, ...], i, j) -> np.ndarray:
+    """Whether rows i and j are equal in all columns."""
+    return np.logical_and.reduce([c[i] == c[j] for c in columns])
 
 
 def _firsts(rows: list[list[np.ndarray]]) -> pa.RecordBatch:
     """The first row of each context, and the others as repeats unless they are at its place."""
-    anchor, context, doc, version, start, n = map(np.concatenate, zip(*rows, strict=True))
+    anchor, context, check, doc, version, start, n, at = map(np.concatenate, zip(*rows, strict=True))
     order = np.lexsort((start, version, doc, context))
     again = np.zeros(len(order), bool)
-    c = context[order]
-    again[1:] = c[1:] == c[:-1]
+    again[1:] = _same((context, anchor, check, at), order[1:], order[:-1])
     first = np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))
     keep, drop = order[~again], order[again & ~_same((doc, version, start), order, order[first])]
     doc2, version2, start2, n2 = _joined(doc[drop], version[drop], start[drop], n[drop])
     zero = np.zeros(len(doc2), np.int64)
-    return _batch(
-        np.concatenate([anchor[keep], mixed(doc2.view(np.uint64) + start2.view(np.uint64)).view(np.int64)]),
-        np.concatenate([context[keep], zero]),
-        np.concatenate([doc[keep], doc2]),
-        np.concatenate([version[keep], version2]),
-        np.concatenate([start[keep], start2]),
-        np.concatenate([n[keep], -n2]),
-    )
+    anywhere = mixed(doc2.view(np.uint64) + start2.view(np.uint64)).view(np.int64)
+    return _batch(_ROWS, *(np.concatenate(x) for x in zip((c[keep] for c in (anchor, context, check, doc, version, start, n, at)), (anywhere, zero, zero, doc2, version2, start2, -n2, zero), strict=True)))
 
 
-def _batch(*columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["anchor", "context", "doc", "version", "start", "n"][-len(columns) :])
+def _batch(names: list[str], *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=names)
 
 
 def _joined(doc: np.ndarray, version: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -168,27 +173,33 @@ def _joined(doc: np.ndarray, version: np.ndarray, start: np.ndarray, n: np.ndarr
 
 
 def _judged(contexts: DataFrame) -> DataFrame:
-    """Rows of _contexts met by anchor: repeats (n < 0), and contexts whose anchor has several different ones (n > 0)."""
+    """Rows of _contexts met by anchor: repeats (n < 0), and contexts whose anchor has several different ones (n > 0).
+
+    Rows are dealt by ranges of anchor and context, so that no anchor is too much
+    for a task. An anchor at a range's end may go on in the next one, and counts as
+    one with several contexts.
+    """
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_start()
         # The row before: the last anchor's last new context, and whether it has gone out already.
-        held, gone = None, False
+        held, gone, begun = None, False, False
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [np.asarray(batch.column(k)) for k in range(6)]
+            cols = [np.asarray(batch.column(k)) for k in range(len(_ROWS))]
             if held is not None:
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
-            anchor, context, doc, version, start, n = cols
+            anchor, context, check, doc, version, start, n, at = cols
             marks = n < 0
             new_anchor = np.ones(len(anchor), bool)
             new_anchor[1:] = anchor[1:] != anchor[:-1]
             new = new_anchor.copy()
-            new[1:] |= (context[1:] != context[:-1]) | marks[1:] | marks[:-1]
+            new[1:] |= ~_same((context, check, at), slice(1, None), slice(None, -1)) | marks[1:] | marks[:-1]
             first = np.flatnonzero(new & ~marks)
             group = np.cumsum(new_anchor)[first]
             several = np.bincount(group, minlength=2)[group] > 1
-            if gone:
+            if gone or not begun:
                 several |= group == 1
             of = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
             out = ~new & ~_same((doc, version, start), slice(None), of)  # the same place twice is no repeat
@@ -197,14 +208,18 @@ def _judged(contexts: DataFrame) -> DataFrame:
                 send = send[send != 0]
             d, v, s, m = _joined(doc[out], version[out], start[out], n[out])
             zero = np.zeros(len(d), np.int64)
-            yield _batch(*(np.concatenate([c[send], c[marks], x]) for c, x in zip(cols, (zero, zero, d, v, s, -m), strict=True)))
+            yield _batch(_ROWS, *(np.concatenate([c[send], c[marks], x]) for c, x in zip(cols, (zero, zero, zero, d, v, s, -m, zero), strict=True)))
+            begun = True
             if len(first) and anchor[first[-1]] == anchor[-1]:
                 held, gone = [c[first[-1] : first[-1] + 1] for c in cols], bool(several[-1])
             else:
                 held, gone = None, False
+        if held is not None and not gone:
+            yield _batch(_ROWS, *held)
 
-    spread = contexts.repartition(partitions(contexts.sparkSession), "anchor").sortWithinPartitions("anchor", "context", "doc", "version", "start")
-    return spread.mapInArrow(judge, f"anchor long, context long, {_RUNS}")
+    order = ["anchor", "context", "check", "at", "doc", "version", "start"]
+    spread = contexts.repartitionByRange(partitions(contexts.sparkSession), "anchor", "context").sortWithinPartitions(*order)
+    return spread.mapInArrow(judge, ", ".join(f"{c} long" for c in _ROWS))
 
 
 def _directly(words: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
@@ -314,6 +329,7 @@ def _by_suffixes(edges: DataFrame, length: int) -> DataFrame:
     """Repeats among contexts (anchor, doc, version, start, n, bytes), whose groups by anchor fit in memory."""
 
     def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_start()
         held: list[tuple] = []
         size = 0
 
@@ -328,7 +344,7 @@ def _by_suffixes(edges: DataFrame, length: int) -> DataFrame:
             place = doc[of][order], version[of][order], at[order]
             later = np.zeros(len(order), bool)  # the same place twice is no repeat
             later[1:] = (g[1:] == g[:-1]) & ~_same(place, slice(1, None), slice(None, -1))
-            return _batch(*_joined(*(x[later] for x in place), np.ones(later.sum(), np.int64)))
+            return _batch(["doc", "version", "start", "n"], *_joined(*(x[later] for x in place), np.ones(later.sum(), np.int64)))
 
         for batch in batches:
             for row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
@@ -344,13 +360,44 @@ def _by_suffixes(edges: DataFrame, length: int) -> DataFrame:
     return spread.select("anchor", "doc", "version", "start", "n", "bytes").mapInArrow(repeats, _RUNS)
 
 
-def _by_hashes(edges: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many contexts: a row for each string, grouped by Spark."""
-    strings = edges.select("doc", "version", "start", "bytes", F.explode(F.expr("sequence(0L, n - 1)")).alias("i")).select(
-        F.sha2(F.expr(f"substring(bytes, cast(i + 1 as int), {length})"), 256).alias("string"), "doc", "version", (F.col("start") + F.col("i")).alias("start")
+def _longer(rows: DataFrame, length: int) -> DataFrame:
+    """rows (anchor, doc, version, start, n, at, low, high, bytes) in two parts each, whose anchors are longer.
+
+    The anchor of a row takes the bytes from `low` to `high`, counted from `at`.
+    With d the half of what a string has besides, a string that begins d bytes
+    before the anchor or more takes them in on the left; any other has enough on
+    the right.
+    """
+    half = f"cast(ceil(({length} - (high - low)) / 2) as int)"
+    rows = rows.withColumn("d", F.expr(half)).withColumn("m", F.expr("greatest(0L, least(n, at + low - d + 1))"))
+    left = "anchor", "0", "substring(bytes, cast(at + low - d + 1 as int), d)"
+    right = "anchor", "1", f"substring(bytes, cast(at + high + 1 as int), cast({length} + low - d + 1 - high as int))"
+    parts = (
+        f"named_struct('anchor', xxhash64({', '.join(left)}), 'start', start, 'n', m, 'at', at, 'low', low - d, 'high', high, 'bytes', substring(bytes, 1, cast(m + {length - 1} as int)))",
+        f"named_struct('anchor', xxhash64({', '.join(right)}), 'start', start + m, 'n', n - m, 'at', at - m, 'low', low, 'high', {length} + low - d + 1, 'bytes', substring(bytes, cast(m + 1 as int), cast(n - m + {length - 1} as int)))",
     )
-    firsts = strings.groupBy("string").agg(F.min(F.struct("doc", "version", "start")).alias("first"))
-    return strings.join(firsts, "string").where(F.struct("doc", "version", "start") != F.col("first")).select("doc", "version", "start", F.lit(1).cast("long").alias("n"))
+    return rows.select("doc", "version", F.explode(F.expr(f"filter(array({', '.join(parts)}), p -> p.n > 0)")).alias("p")).select("doc", "version", "p.*")
+
+
+def _in_parts(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame | None]:
+    """rows whose anchors have _WIDE contexts at most, and the repeats (doc, version, start, n) found on the way there.
+
+    Only equal bytes are taken for repeats here: contexts that don't differ any more once they are shorter.
+    """
+    ready, repeats = None, None
+    while True:
+        wide = written(rows.groupBy("anchor").count().where(F.col("count") > _WIDE).select("anchor", F.lit(True).alias("wide")), "wide-anchors")
+        if wide.isEmpty():
+            return rows if ready is None else ready.unionByName(rows), repeats
+        rows = written(rows.join(wide, "anchor", "left"), "repeat-edges")
+        narrow = rows.where("wide is null").drop("wide")
+        ready = narrow if ready is None else ready.unionByName(narrow)
+        parts = written(_longer(rows.where("wide"), length), "repeat-parts")
+        keys = ["anchor", "at", "low", "high", "bytes"]
+        firsts = written(parts.groupBy(*keys).agg(F.min(F.struct("doc", "version", "start")).alias("first"), F.first("n").alias("n")), "repeat-firsts")
+        again = parts.join(firsts.drop("n"), keys).where(F.struct("doc", "version", "start") != F.col("first")).select("doc", "version", "start", "n")
+        repeats = again if repeats is None else repeats.unionByName(again)
+        rows = firsts.select(*keys, "n", "first.*")
 
 
 def repeated_starts(docs: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
@@ -358,14 +405,12 @@ def repeated_starts(docs: DataFrame, length: int, id_col: str, text_col: str) ->
     texts = docs.select(*_key(docs, id_col, text_col), docs[text_col].cast("binary").alias("text"))
     judged = written(_judged(_contexts(texts, length)), "repeats")
     marks = judged.where("n < 0").select("doc", "version", "start", (-F.col("n")).alias("n"))
-    edges = judged.where("n > 0").select("anchor", "doc", "version", "start", "n")
-    wide = edges.groupBy("anchor").count().where(F.col("count") > _WIDE).select("anchor", F.lit(True).alias("wide"))
-    fetched = edges.join(texts, ["doc", "version"]).select("anchor", "doc", "version", "start", "n", F.expr(f"substring(text, cast(start + 1 as int), cast(n + {length - 1} as int))").alias("bytes"))
-    fetched = written(fetched.join(wide, "anchor", "left"), "repeat-edges")
-    found = _by_suffixes(fetched.where("wide is null"), length)
-    if not fetched.where("wide").isEmpty():
-        found = found.unionByName(_by_hashes(fetched.where("wide"), length))
-    return marks.unionByName(found)
+    edges = judged.where("n > 0").select("anchor", "doc", "version", "start", "n", "at", F.lit(0).cast("long").alias("low"), F.lit(max(1, length // 3)).cast("long").alias("high"))
+    fetched = edges.join(texts, ["doc", "version"]).withColumn("bytes", F.expr(f"substring(text, cast(start + 1 as int), cast(n + {length - 1} as int))")).drop("text")
+    fetched = written(fetched, "repeat-edges")
+    narrow, repeats = _in_parts(fetched, length)
+    found = marks.unionByName(_by_suffixes(narrow, length))
+    return found if repeats is None else found.unionByName(repeats)
 
 
 def _with_runs(rows: DataFrame, runs: DataFrame, length: int, size: Column, order: Column) -> DataFrame:
@@ -404,14 +449,18 @@ def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
     same place is no repeat of itself, and they give equal results. Rows with one
     id and different texts are different documents, and so is each row with a
     null id: of those with one text, one counts as the first. An empty table
-    gives no rows; other columns are not read. A text may lose bytes in the
-    middle of a character: kept is bytes.
+    gives no rows; other columns are not read. Very long texts are searched by
+    overlapping parts, whole. A text may lose bytes in the middle of a character:
+    kept is bytes. Ids that are not whole numbers raise ValueError. Copies of a
+    whole context (up to 68 starts of one anchor) are known by 96 bits of two
+    hashes besides the anchor's; all else is compared byte by byte.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("binary").alias("text"), *_key(docs, id_col, text_col))
     joined = _with_runs(rows, repeated_starts(docs, length, id_col, text_col), length, F.octet_length("text"), F.col("version"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_start()
         for batch in batches:
             data = [x or b"" for x in batch.column(1).to_pylist()]
             left = [_cut(d, r, length) if r else (d, 0) for d, r in zip(data, batch.column(2).to_pylist(), strict=True)]
@@ -434,6 +483,7 @@ def cut_documents(docs: DataFrame, length: int = 100) -> DataFrame:
     column = docs.columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_start()
         for batch in batches:
             row, texts = batch.column(0), batch.column(0).field(column).to_pylist()
             left = [t if t is None or not r else _cut(t.encode(), r, length)[0].decode("utf-8", "ignore") for t, r in zip(texts, batch.column(1).to_pylist(), strict=True)]
@@ -447,19 +497,3 @@ def cut_documents(docs: DataFrame, length: int = 100) -> DataFrame:
 def repeat_digests(docs: DataFrame, length: int = 100) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of without_repeats."""
     return without_repeats(docs, length).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def brute_force(texts: dict[int, bytes], length: int) -> dict[int, tuple[int, int, str]]:
-    """For tests: n_removed, n_spans and kept_sha256 by looking each string up."""
-    seen: set[bytes] = set()
-    out = {}
-    for i in sorted(texts):
-        data, gone = texts[i], bytearray(len(texts[i]))
-        for at in range(len(data) - length + 1):
-            s = data[at : at + length]
-            if s in seen:
-                gone[at : at + length] = b"\1" * length
-            seen.add(s)
-        kept = bytes(b for b, g in zip(data, gone, strict=True) if not g)
-        out[i] = sum(gone), sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()
-    return out
