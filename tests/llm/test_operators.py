@@ -107,7 +107,8 @@ def test_top_k(spark):
     plain = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(40)] + [(100 + i, [0.5] * 4) for i in range(9)] + [(7, [0.5] * 4)] * 6
     odd = [(200, None), (202, [1.0, None, 0.0, 0.0]), (204, [float("nan")] * 4), (None, [1.0] * 4), (10, [9.0] * 4), (330, [1.0]), (331, [])]
     huge = [(300, [1e307, 2.0, 0.0, 0.0]), (301, [1e200, 1.0, 1.0, 1.0]), (303, [4e5 + 0.3, -7e6, 3.3, 9.0]), (310, [4.1e5, 2e7, 1.0, 1.0]), (320, [-1e307, 1.0, 0.0, 0.0])]
-    for rows in (plain, plain + odd + huge):
+    many = [(i, [float(x) for x in rng.integers(-40, 40, 3)]) for i in range(3000)]  # scores lie close together
+    for rows in (plain, plain + odd + huge, many):
         found = top_k(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, rank int").repartition(3), 5, 10)
         assert sorted(map(tuple, found.collect())) == plain_top_k(rows, 5, 10)
     few = spark.createDataFrame(plain[:3], "vec_id long, embedding array<double>")

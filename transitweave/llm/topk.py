@@ -143,11 +143,12 @@ def _selected(candidates: DataFrame, state: DataFrame, tiles: int, k: int, low:
     candidates over `lower`; `split` says whether more than k have its value or a
     higher one. Queries with fewer than k candidates end with the lowest value.
     """
-    span = high - low + 1  # values in the bin that is split
+    width = 1
+    while width * BINS <= high - low:
+        width *= BINS  # so that all bins of all rounds are whole
     while True:
-        width = -(-span // BINS)
 
-        def counts(tile: pa.Table, block: pa.Table, span=span, width=width) -> pa.Table:
+        def counts(tile: pa.Table, block: pa.Table, width=width) -> pa.Table:
             own, kth, lower, split = (np.asarray(block.column(c)) for c in ("vec_id", "kth", "lower", "split"))
             total = np.zeros((len(own), BINS), np.int64)
             for ids, s, use in _scored(tile, block):
@@ -155,8 +156,8 @@ def _selected(candidates: DataFrame, state: DataFrame, tiles: int, k: int, low:
                 if not by_score:
                     use = use & (s == kth[:, None]) & split[:, None]
                 bins = value.astype(np.uint64) - lower.astype(np.uint64)[:, None]  # of 64 bits, whatever the signs
-                use = use & (value >= lower[:, None]) & (bins < span)
                 bins //= np.uint64(width)
+                use = use & (value >= lower[:, None]) & (bins < BINS)
                 q = np.broadcast_to(np.arange(len(own))[:, None], bins.shape)[use]
                 total += np.bincount(q * BINS + bins[use].astype(np.int64), minlength=total.size).reshape(total.shape)
             q, b = np.nonzero(total)
@@ -175,4 +176,4 @@ def _selected(candidates: DataFrame, state: DataFrame, tiles: int, k: int, low:
         state = written(state, "topk-queries")
         if width == 1:
             return state
-        span = width
+        width //= BINS
