@@ -1,6 +1,3 @@
-import random
-from statistics import mean
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,17 +85,7 @@ def test_stream_keeps_the_newest(spark, tmp_path):
     assert spark.table("once").count() == 2
 
 
-def test_simulation(spark):
-    legs = [("i", 0, 100, 200, True, 50.0, 80.0, 0.9, False), ("i", 1, 300, 400, False, None, None, None, True), ("j", 0, 100, 200, True, 30.0, None, 1.0, False)]
-    rows = spark.createDataFrame(legs, "itinerary_id string, position int, departure int, arrival int, known boolean, mean double, deviation double, on_time double, insufficient boolean")
-    got = {r.itinerary_id: r for r in simulation.simulated(rows, 200, 7).collect()}
-    rng, late = random.Random(7), []
-    for _ in range(200):
-        a, b = rng.normalvariate(50.0, 80.0), rng.normalvariate(600.0, 600.0)
-        if min(7200, max(-900, a)) <= 100:
-            late.append(min(7200, max(-900, b)))
-    assert got["i"].completion == len(late) / 200 and got["i"].expected_delay == pytest.approx(mean(late)) and got["i"].insufficient
-    assert (got["j"].completion, got["j"].on_time, got["j"].p90_delay, got["j"].adherence) == (1.0, 1.0, 30.0, 1.0)
+def test_simulation_ranking(spark):
     ranked = simulation.simulation_ranking(spark.createDataFrame([("i", 0, 100, 0.5, 0.5), ("j", 0, 200, 1.0, 1.0)], "itinerary_id string, departure int, arrival int, completion double, adherence double").withColumn("g", F.lit(1)), ["g"])
     assert {r.itinerary_id: (r["rank"], r.score) for r in ranked.collect()} == {"j": (1, 90.0), "i": (2, 60.0)}
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import time
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,15 +96,20 @@ def earliest_to_fixpoint(origins: DataFrame, hops: DataFrame, transfers: DataFra
 def pareto(alternatives: DataFrame, group: list[str]) -> DataFrame:
     """Rows for which no other of their group is as good in arrival, cost and transfers and better in one. Equal rows stay once.
 
-    By arrival, then transfers, then cost, a row can only be dominated by one
-    before it: a running minimum of the cost for each number of transfers shows it.
+    Only the cheapest row of each arrival and number of transfers can stay, and of
+    those only the ones that no earlier arrival with as many transfers undercuts:
+    two aggregations and a running minimum leave few rows. They are then joined
+    with each other for all numbers of transfers, however many there are.
     """
-    rows = alternatives.dropDuplicates([*group, "arrival", "cost", "transfers"])
-    levels = 8
-    w = Window.partitionBy(*group).orderBy("arrival", "transfers", "cost").rowsBetween(Window.unboundedPreceding, -1)
-    lower = [F.min(F.when(F.col("transfers") <= k, F.col("cost"))).over(w) for k in range(levels)]
-    least = F.element_at(F.array(*lower), F.least(F.col("transfers") + 1, F.lit(levels)).cast("int"))
-    return rows.withColumn("least", least).where("least IS NULL OR cost < least").drop("least")
+    best = alternatives.dropDuplicates([*group, "arrival", "cost", "transfers"])
+    least = best.groupBy(*group, "arrival", "transfers").agg(F.min("cost").alias("cost"))
+    before = F.min("cost").over(Window.partitionBy(*group, "transfers").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1))
+    stairs = least.withColumn("before", before).where("before IS NULL OR cost < before").drop("before")
+    other = stairs.select(*(F.col(c).alias(f"o_{c}") for c in [*group, "arrival", "cost", "transfers"]))
+    on = [F.col(f"o_{g}").eqNullSafe(F.col(g)) for g in group] + [F.col("o_transfers") < F.col("transfers"), F.col("o_arrival") <= F.col("arrival"), F.col("o_cost") <= F.col("cost")]
+    keys = [*group, "arrival", "cost", "transfers"]
+    undominated = stairs.join(other, reduce(and_, on), "left_anti").select(*(F.col(c).alias(f"k_{c}") for c in keys))
+    return best.join(undominated, reduce(and_, [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in keys]), "left_semi")
 
 
 def direct_alternatives(hops: DataFrame, origin: int, destination: int, after: int, horizon: int = 10800) -> DataFrame:

@@ -1,63 +1,13 @@
-"""Monte-Carlo runs of itineraries: does each transfer hold, and how late is the arrival?"""
+"""Ranking of itineraries by transfers that hold, legs on time, and speed."""
 
 from __future__ import annotations
 
-import random
-from collections.abc import Iterator
-from statistics import mean
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Fixed values of the domain: limits of a sampled delay, delays of a leg without a profile, what counts as on time.
-LEAST_DELAY, MOST_DELAY = -900, 7200
-UNKNOWN_MEAN, UNKNOWN_DEVIATION = 600.0, 600.0
-EARLY, LATE = -120, 600
+# Fixed values of the domain: the weights of the score.
 COMPLETION, ADHERENCE, SPEED = 0.55, 0.25, 0.20
 
-_OUT = "itinerary_id string, completion double, adherence double, on_time double, expected_delay double, p90_delay double, insufficient boolean"
-
-
-def _runs(legs, simulations: int, seed: int) -> tuple[float, float, float, float]:
-    rng, delays = random.Random(seed), []
-    gaps = [b["departure"] - a["arrival"] for a, b in zip(legs, legs[1:], strict=False)]
-    for _ in range(simulations):
-        drawn = []
-        for leg in legs:
-            m, d = (leg["mean"], leg["deviation"] or 0.0) if leg["known"] else (UNKNOWN_MEAN, UNKNOWN_DEVIATION)
-            drawn.append(min(MOST_DELAY, max(LEAST_DELAY, m if d == 0 else rng.normalvariate(m, d))))
-        if all(x <= gap for x, gap in zip(drawn, gaps, strict=False)):
-            delays.append(drawn[-1])
-    if not delays:
-        return 0.0, 0.0, 0.0, 0.0
-    delays.sort()
-    return len(delays) / simulations, sum(EARLY <= d <= LATE for d in delays) / simulations, mean(delays), delays[round(0.9 * (len(delays) - 1))]
-
-
-def simulated(legs: DataFrame, simulations: int = 1000, seed: int = 42) -> DataFrame:
-    """One row per itinerary of legs.
-
-    legs: itinerary_id, position, departure, arrival, known, mean, deviation,
-    on_time, insufficient. An itinerary's legs are one array, so tasks take whole
-    itineraries without a group in memory; every itinerary has the same seed.
-    """
-    if simulations < 1:
-        raise ValueError("simulations must be positive")
-    leg = F.struct("position", "departure", "arrival", "known", "mean", "deviation", "on_time", "insufficient")
-    rows = legs.groupBy(F.col("itinerary_id").cast("string").alias("itinerary_id")).agg(F.sort_array(F.collect_list(leg)).alias("legs"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for key, found in zip(batch["itinerary_id"], batch["legs"], strict=True):
-                adherence = mean(float(x["on_time"]) if x["known"] else 0.0 for x in found)
-                done, on_time, expected, p90 = _runs(found, simulations, seed)
-                out.append((key, done, adherence, on_time, expected, p90, any(bool(x["insufficient"]) for x in found)))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
-
-    return rows.mapInPandas(run, _OUT)
-
 
 def simulation_score(completion: Column, adherence: Column, duration: Column, fastest: Column) -> Column:
     """0 to 100: transfers that hold, legs on time, and speed against the fastest."""

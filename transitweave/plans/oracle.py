@@ -14,7 +14,7 @@ WINDOW = "CASE WHEN ({0} // 3600) % 24 < 6 THEN 'overnight' WHEN ({0} // 3600) %
 METERS = f"2 * {EARTH} * asin(least(1.0::DOUBLE, sqrt(pow(sin((radians({{1}} - {{0}})) / 2), 2) + cos(radians({{0}})) * cos(radians({{1}})) * pow(sin((radians({{3}} - {{2}})) / 2), 2))))".format
 
 VIEWS = {
-    "stops": "SELECT s_suppkey AS stop_id, s_name AS stop_name, s_nationkey::BIGINT AS parent_station, 49 + (s_suppkey % 97) / 100.0::DOUBLE AS stop_lat, -123 - (s_suppkey % 89) / 100.0::DOUBLE AS stop_lon FROM supplier",
+    "stops": "SELECT s_suppkey AS stop_id, s_name AS stop_name, s_suppkey // 4 AS parent_station, 49 + (s_suppkey % 97) / 100.0::DOUBLE AS stop_lat, -123 - (s_suppkey % 89) / 100.0::DOUBLE AS stop_lon FROM supplier",
     "trips": "SELECT o_orderkey AS trip_id, o_custkey % 50 AS route_id, CASE WHEN o_orderkey % 10 <> 0 THEN o_orderkey % 2 END AS direction_id, o_orderpriority AS service_id FROM orders",
     "routes": "SELECT DISTINCT route_id, route_id % 4 AS route_type, CASE WHEN route_id % 5 <> 0 THEN 'R' || route_id END AS short_name, CASE WHEN route_id % 10 <> 0 THEN 'Route ' || route_id END AS long_name FROM trips",
     "stop_times": """SELECT trip_id, stop_id, stop_sequence, d - 60 AS arrival_seconds, d AS departure_seconds, CASE WHEN p % 11 = 0 THEN 1 WHEN p % 13 = 0 THEN 3 ELSE 0 END AS pickup_type, CASE WHEN p % 17 = 0 THEN 1 WHEN p % 19 = 0 THEN 3 ELSE 0 END AS drop_off_type
@@ -36,7 +36,7 @@ VIEWS = {
     "service_days": """SELECT service_id, service_date FROM (SELECT service_id, days, unnest(generate_series(start_date, end_date, INTERVAL 1 DAY))::DATE AS service_date FROM calendar) d WHERE substr(days, isodow(service_date)::INT, 1) = '1'
         AND NOT EXISTS (SELECT 1 FROM calendar_dates x WHERE x.service_id = d.service_id AND x.service_date = d.service_date AND exception_type = 2) UNION SELECT service_id, service_date FROM calendar_dates WHERE exception_type = 1""",
     "clique": "SELECT * FROM transfers UNION ALL SELECT a.stop_id, b.stop_id, 2, 120 FROM stops a JOIN stops b USING (parent_station) WHERE a.stop_id <> b.stop_id AND NOT EXISTS (SELECT 1 FROM transfers t WHERE t.from_stop_id = a.stop_id AND t.to_stop_id = b.stop_id)",
-    "alternatives": f"""SELECT trip_id, destination, departure, arrival, reliability, round(-ln(greatest(reliability, {FLOOR})), 9) AS cost, ((d_seq - o_seq) % 3)::INT AS transfers FROM (SELECT a.*, coalesce(e.reliability, d.reliability, r.reliability, w.reliability, 0) AS reliability
+    "alternatives": f"""SELECT trip_id, destination, departure, arrival, reliability, round(-ln(greatest(reliability, {FLOOR})), 9) AS cost, 0 AS transfers, route_id FROM (SELECT a.*, coalesce(e.reliability, d.reliability, r.reliability, w.reliability, 0) AS reliability
         FROM (SELECT o.trip_id, o.route_id, coalesce(o.direction_id, -1) AS direction_key, o.stop_sequence AS o_seq, x.stop_sequence AS d_seq, o.departure_seconds AS departure, x.to_stop_id AS destination, x.arrival_seconds AS arrival, {WINDOW('x.arrival_seconds')} AS time_window FROM hops o JOIN hops x ON o.trip_id = x.trip_id AND x.stop_sequence >= o.stop_sequence WHERE o.from_stop_id = 1) a
         LEFT JOIN p_exact e USING (route_id, direction_key, time_window) LEFT JOIN p_direction d USING (route_id, direction_key) LEFT JOIN p_route r USING (route_id) LEFT JOIN p_network w ON true)""",
 }
@@ -58,21 +58,29 @@ SELECTS = {
     "connections_lead": f"SELECT trip_id, from_stop_id, to_stop_id, departure_seconds, arrival_seconds, stop_sequence, route_id, coalesce(direction_id, -1) AS direction_id, service_id, {NAME} AS route_name FROM hops JOIN routes USING (route_id)",
     "departures_from_stop": "SELECT trip_id, to_stop_id, departure_seconds, stop_sequence FROM hops WHERE from_stop_id = 1 AND departure_seconds >= 28800 AND pickup_type <> 1 AND drop_off_type <> 1 ORDER BY departure_seconds, trip_id, stop_sequence LIMIT 20 OFFSET 5",
     "departures_window": "SELECT trip_id, to_stop_id, departure_seconds, arrival_seconds FROM hops WHERE from_stop_id = 2 AND departure_seconds BETWEEN 25200 AND 36000 AND pickup_type <> 1",
-    "bulk_departures": "SELECT from_stop_id, service_id, count(*) AS n, min(departure_seconds) AS first FROM hops WHERE departure_seconds >= 28800 AND pickup_type <> 1 GROUP BY ALL",
-    "trip_connections": "SELECT trip_id, stop_sequence, from_stop_id, to_stop_id, departure_seconds, arrival_seconds FROM hops WHERE trip_id = (SELECT min(trip_id) FROM trips)",
+    "bulk_departures": "SELECT from_stop_id, to_stop_id, trip_id, stop_sequence, service_id, departure_seconds, arrival_seconds FROM hops WHERE departure_seconds >= 28800 AND pickup_type <> 1",
+    "trip_connections": "SELECT trip_id, stop_sequence, from_stop_id, to_stop_id, departure_seconds, arrival_seconds FROM hops WHERE trip_id = (SELECT max(trip_id) FROM trips) AND stop_sequence >= 2",
     "stop_search": "SELECT stop_id, stop_name FROM stops WHERE stop_id IN (SELECT stop_id FROM stop_times) AND contains(lower(stop_name), '#00000001') ORDER BY stop_name, stop_id LIMIT 20",
     "stops_with_service": "SELECT stop_id, stop_name, parent_station FROM stops WHERE stop_id IN (SELECT stop_id FROM stop_times)",
-    "transfers_from": "SELECT * REPLACE (coalesce(min_transfer_time, -1) AS min_transfer_time) FROM transfers WHERE transfer_type <> 3",
+    "transfers_from": "SELECT * REPLACE (coalesce(min_transfer_time, -1) AS min_transfer_time) FROM transfers WHERE from_stop_id = 1",
     "station_clique_transfers": "SELECT * REPLACE (coalesce(min_transfer_time, -1) AS min_transfer_time) FROM clique",
     "same_stop_rules": "SELECT from_stop_id AS stop_id, max(coalesce(min_transfer_time, 0)) AS min_seconds, max((transfer_type = 3)::INT) AS forbidden FROM transfers WHERE from_stop_id = to_stop_id GROUP BY ALL",
     "active_services": "SELECT service_id FROM service_days WHERE service_date = DATE '2026-07-27'",
     "service_day_expansion": "SELECT service_id, service_date::VARCHAR AS service_date FROM service_days",
     "first_active_date": "SELECT service_id, min(service_date)::VARCHAR AS first_date FROM service_days GROUP BY ALL",
-    "next_operating_date": "SELECT service_id, min(service_date)::VARCHAR AS next_date FROM service_days WHERE service_date > DATE '2026-07-27' GROUP BY ALL",
+    "next_operating_date": """SELECT trip_id, next_date FROM trips JOIN (SELECT d.service_id, min(d.service_date)::VARCHAR AS next_date FROM (SELECT service_id, days, unnest(generate_series(DATE '2026-07-28', end_date, INTERVAL 1 DAY))::DATE AS service_date FROM calendar) d
+        LEFT JOIN calendar_dates x ON x.service_id = d.service_id AND x.service_date = d.service_date WHERE exception_type = 1 OR (exception_type IS DISTINCT FROM 2 AND substr(days, isodow(d.service_date)::INT, 1) = '1') GROUP BY ALL) USING (service_id)""",
     "service_range": "SELECT min(start_date)::VARCHAR AS first_date, max(end_date)::VARCHAR AS last_date FROM calendar",
-    "rail_trips": "SELECT service_id, count(DISTINCT route_id) AS routes, count(*) AS trips FROM trips JOIN routes USING (route_id) WHERE route_type = 1 GROUP BY ALL",
+    "rail_trips": ", rail AS (SELECT trip_id, route_id FROM trips JOIN routes USING (route_id) WHERE route_type = 1 AND service_id IN (SELECT service_id FROM service_days WHERE service_date = DATE '2026-06-29')) SELECT trip_id, route_id, (SELECT count(DISTINCT route_id) FROM rail) AS routes FROM rail",
     "route_count_between": "SELECT count(DISTINCT route_id) AS routes, count(*) AS pairs FROM stop_times o JOIN stop_times d ON o.trip_id = d.trip_id AND d.stop_sequence > o.stop_sequence JOIN trips t ON t.trip_id = o.trip_id WHERE o.stop_id = 1 AND d.stop_id = 2",
-    "integration_cases": "SELECT route_id, trip_id, from_stop_id, departure_seconds FROM (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY departure_seconds, trip_id, stop_sequence) AS k FROM hops WHERE pickup_type = 0) WHERE k = 1 ORDER BY departure_seconds >= 86400 DESC, departure_seconds, trip_id LIMIT 10",
+    "integration_cases": f""", sampled AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY trip_id) AS k FROM trips) WHERE k = 1 ORDER BY route_id, trip_id LIMIT 500),
+        candidate AS (SELECT *, row_number() OVER (PARTITION BY origin, destination ORDER BY service_date, departure, trip_id, o_seq) AS pair_rank FROM (
+            SELECT o.stop_id AS origin, o.stop_sequence AS o_seq, o.departure_seconds AS departure, d.stop_id AS destination, d.arrival_seconds AS arrival, trip_id, route_id, service_date
+            FROM sampled JOIN (SELECT service_id, min(service_date) AS service_date FROM service_days GROUP BY ALL) USING (service_id) JOIN stop_times o USING (trip_id)
+            JOIN LATERAL (SELECT * FROM stop_times l WHERE l.trip_id = o.trip_id AND l.stop_sequence > o.stop_sequence AND l.stop_id <> o.stop_id AND l.drop_off_type <> 1 ORDER BY l.stop_sequence DESC LIMIT 1) d ON true WHERE o.pickup_type <> 1)),
+        unique_pairs AS (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY service_date, departure, trip_id, origin, destination) AS route_rank FROM candidate WHERE pair_rank = 1)
+        SELECT origin, a.stop_name AS origin_name, destination, b.stop_name AS destination_name, service_date::VARCHAR AS service_date, departure, trip_id, route_id, {NAME} AS route_name, arrival FROM unique_pairs JOIN stops a ON a.stop_id = origin JOIN stops b ON b.stop_id = destination JOIN routes USING (route_id)
+        WHERE route_rank = 1 ORDER BY departure >= 86400 DESC, unique_pairs.service_date, route_id, trip_id, origin, destination LIMIT 20""",
     "latest_observations": "SELECT * REPLACE (service_date::VARCHAR AS service_date, coalesce(scheduled_arrival, -1) AS scheduled_arrival) FROM latest",
     "observation_dedup": "SELECT trip_id, count(*) AS n FROM (SELECT DISTINCT trip_id, stop_id, stop_sequence, service_date, observed_at FROM observations) GROUP BY ALL",
     "trip_samples": "SELECT * REPLACE (service_date::VARCHAR AS service_date, coalesce(direction_id, -1) AS direction_id) FROM samples",
@@ -91,7 +99,41 @@ SELECTS = {
     + ",".join(_ROUND.format(k=k, p=k - 1) for k in (1, 2)) + " SELECT * FROM f2",
     "pareto_alternatives": "SELECT DISTINCT destination, arrival, cost, transfers FROM alternatives a WHERE NOT EXISTS (SELECT 1 FROM alternatives b WHERE b.destination = a.destination AND b.arrival <= a.arrival AND b.cost <= a.cost AND b.transfers <= a.transfers AND (b.arrival < a.arrival OR b.cost < a.cost OR b.transfers < a.transfers))",
     "rank_alternatives": ", x AS (SELECT * REPLACE (round(reliability, 6) AS reliability), arrival - departure AS duration, min(arrival - departure) OVER () AS fastest FROM alternatives WHERE destination = 2), s AS (SELECT *, round(greatest(0, least(100, 100 * (0.5::DOUBLE * reliability + 0.5::DOUBLE * least(1.0::DOUBLE, fastest::DOUBLE / greatest(1, duration))))), 6) AS score FROM x), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, reliability DESC, arrival, transfers, trip_id) AS rank FROM s) SELECT rank::INT AS rank, trip_id, departure, arrival, reliability, score FROM r WHERE rank <= 3",
-    "semantic_dedupe": "SELECT destination, count(*) AS n FROM (SELECT DISTINCT destination, departure, arrival FROM alternatives) GROUP BY ALL",
+    "semantic_dedupe": "SELECT destination, count(*) AS n FROM (SELECT DISTINCT route_id, destination, departure, arrival FROM alternatives) GROUP BY ALL",
+    "departures_per_stop": "SELECT from_stop_id, service_id, count(*) AS n, min(departure_seconds) AS first FROM hops WHERE departure_seconds >= 28800 AND pickup_type <> 1 GROUP BY ALL",
+    "bulk_trip_connections": "SELECT trip_id, stop_sequence, from_stop_id, to_stop_id, departure_seconds, arrival_seconds FROM hops WHERE route_id = 7",
+    "snapshot_connections": f"SELECT trip_id, stop_sequence, from_stop_id, to_stop_id, departure_seconds, arrival_seconds, pickup_type, drop_off_type, route_id, service_id, {NAME} AS route_name FROM hops JOIN routes USING (route_id)",
+    "find_stops": "SELECT stop_id, stop_name, parent_station FROM stops WHERE stop_id IN (SELECT from_stop_id FROM transfers)",
+    "stop_search_wildcards": "SELECT stop_id, stop_name FROM stops WHERE stop_name ILIKE '%SUPPLIER#%_3%' AND stop_id IN (SELECT stop_id FROM stop_times) ORDER BY stop_name, stop_id LIMIT 20",
+    "leg_exists": """SELECT l.trip_id, l.stop_sequence, EXISTS (SELECT 1 FROM stop_times o JOIN stop_times d ON d.trip_id = o.trip_id AND d.stop_sequence > o.stop_sequence
+        WHERE o.trip_id = l.trip_id AND o.stop_id = l.from_stop_id AND d.stop_id = l.to_stop_id AND o.departure_seconds = l.departure AND d.arrival_seconds = l.arrival_seconds) AS present
+        FROM (SELECT *, departure_seconds + CASE WHEN trip_id % 3 = 0 THEN 60 ELSE 0 END AS departure FROM hops) l""",
+    "feed_version": "SELECT min(start_date)::VARCHAR || ':' || max(end_date)::VARCHAR AS version FROM calendar",
+    "profile_version": "SELECT coalesce(max(observed_at)::VARCHAR, 'no-profiles') AS version FROM observations WHERE trip_id < 0",
+    "service_dates": "SELECT (ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/Vancouver')::DATE::VARCHAR AS service_date, count(*) AS n FROM events GROUP BY ALL",
+    "speed_bound_metadata": f""", edges AS (SELECT from_stop_id, to_stop_id, arrival_seconds - departure_seconds AS seconds, 'ride' AS kind FROM hops UNION ALL SELECT from_stop_id, to_stop_id, coalesce(min_transfer_time, 0), 'transfer' FROM transfers WHERE transfer_type <> 3),
+        placed AS (SELECT kind, seconds, {METERS('a.stop_lat', 'b.stop_lat', 'a.stop_lon', 'b.stop_lon')} AS metres FROM edges JOIN stops a ON a.stop_id = from_stop_id JOIN stops b ON b.stop_id = to_stop_id),
+        scoped AS (SELECT 'rides' AS scope, * FROM placed WHERE kind = 'ride' UNION ALL SELECT 'all', * FROM placed),
+        summed AS (SELECT scope, max(metres / CASE WHEN seconds > 0 THEN seconds END) AS most, count(*) AS edges, min(CASE WHEN seconds <= 0 THEN 'takes no time: ' || kind END) AS reason FROM scoped WHERE metres > 0 GROUP BY scope)
+        SELECT scope, reason IS NULL AS enabled, CASE WHEN reason IS NULL THEN round(most * 1.001, 6) END AS meters_per_second, edges, reason FROM summed""",
+    "diagnostics_counts": " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS rows FROM {t}" for t in ("stops", "trips", "routes", "stop_times", "calendar", "calendar_dates", "transfers")),
+    "profile_lookup": "SELECT route_id, direction_key, time_window, n, reliability FROM p_exact WHERE route_id IN (1, 5, 9) AND time_window IN ('midday', 'evening')",
+    "profile_fallbacks": """SELECT 'route_direction' AS profile_level, route_id::VARCHAR AS route_key, direction_key, n, dates, on_time, reliability FROM p_direction
+        UNION ALL SELECT 'route', route_id::VARCHAR, -1, n, dates, on_time, reliability FROM p_route UNION ALL SELECT 'network', '*', -1, n, dates, on_time, reliability FROM p_network""",
+    "latest_count": "SELECT count(*) AS n FROM latest",
+    "bulk_transfers": "SELECT * REPLACE (coalesce(min_transfer_time, -1) AS min_transfer_time) FROM transfers",
+    "service_operates": """SELECT p.service_id, p.service_date::VARCHAR AS service_date, CASE exception_type WHEN 1 THEN true WHEN 2 THEN false ELSE coalesce(p.service_date BETWEEN start_date AND end_date AND substr(days, isodow(p.service_date)::INT, 1) = '1', false) END AS operates
+        FROM (SELECT DISTINCT service_id, unnest(generate_series(DATE '2026-07-20', DATE '2026-08-10', INTERVAL 1 DAY))::DATE AS service_date FROM trips) p LEFT JOIN calendar_dates x ON x.service_id = p.service_id AND x.service_date = p.service_date LEFT JOIN calendar c ON c.service_id = p.service_id""",
+    "active_or_unruled_services": "SELECT DISTINCT service_id FROM trips WHERE service_id = '4-NOT SPECIFIED' OR service_id IN (SELECT service_id FROM service_days WHERE service_date = DATE '2026-07-26')",
+    "calendar_rules": "SELECT c.service_id, days, start_date::VARCHAR AS start_date, end_date::VARCHAR AS end_date, coalesce(exception_type, -1) AS exception_type FROM calendar c LEFT JOIN calendar_dates x ON x.service_id = c.service_id AND x.service_date = DATE '2026-07-27'",
+    "feed_expiry": "SELECT max(end_date)::VARCHAR AS last_date, max(end_date) < DATE '2026-12-10' AS expired, CASE WHEN max(end_date) - DATE '2026-12-10' BETWEEN 0 AND 30 THEN 'expires on ' || max(end_date)::VARCHAR END AS warning FROM calendar",
+    "pareto_by_transfers": """, x AS (SELECT o_custkey % 100 AS customer, (o_orderdate::DATE - DATE '1992-01-01') * 60 AS arrival, round(o_totalprice, 2) AS cost, (o_orderkey % 23)::INT AS transfers FROM orders)
+        SELECT DISTINCT customer, arrival, cost, transfers FROM x a WHERE NOT EXISTS (SELECT 1 FROM x b WHERE b.customer = a.customer AND b.arrival <= a.arrival AND b.cost <= a.cost AND b.transfers <= a.transfers AND (b.arrival < a.arrival OR b.cost < a.cost OR b.transfers < a.transfers))""",
+    "structural_dedupe": "SELECT trip_id, count(*) AS n FROM (SELECT DISTINCT trip_id, o.stop_id AS a, d.stop_id AS b FROM stop_times o JOIN stop_times d USING (trip_id) WHERE d.stop_sequence > o.stop_sequence) GROUP BY ALL",
+    "trips_not_active": "SELECT trip_id FROM trips WHERE service_id IN (SELECT service_id FROM service_days WHERE service_date = DATE '2026-06-29') AND service_id NOT IN (SELECT service_id FROM service_days WHERE service_date = DATE '2026-07-27')",
+    "simulation_ranking": """, x AS (SELECT *, arrival - departure AS duration, min(arrival - departure) OVER (PARTITION BY destination) AS fastest FROM (SELECT DISTINCT concat_ws('-', trip_id, departure, arrival) AS itinerary_id, destination, departure, arrival, round(reliability, 6) AS adherence FROM alternatives)),
+        s AS (SELECT *, round(greatest(0, least(100, 100 * (0.55::DOUBLE + 0.25::DOUBLE * adherence + 0.20::DOUBLE * CASE WHEN duration <= 0 THEN 1 ELSE greatest(0, least(1, fastest::DOUBLE / duration)) END))), 6) AS score FROM x)
+        SELECT destination, rank::INT AS rank, itinerary_id, score FROM (SELECT *, row_number() OVER (PARTITION BY destination ORDER BY score DESC, arrival, itinerary_id) AS rank FROM s) WHERE rank <= 3""",
 }
 
 

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import gtfs
 from ..operators import calendar as cal
+from ..operators import lookups, search, simulation, timetable
 from ..operators import reliability as rel
-from ..operators import search, timetable
 from ..sources.bridge import Network
 
 REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,9 @@ def _hops(n: Network) -> DataFrame:
     return timetable.connections(n.stop_times(), n.trips())
 
 
+HOP = ["trip_id", "stop_sequence", "from_stop_id", "to_stop_id", "departure_seconds", "arrival_seconds"]
+
+
 def _samples(n: Network) -> DataFrame:
     return rel.samples(n.observations(), n.trips())
 
@@ -88,25 +91,112 @@ def connections_lead(n):
 
 @query
 def departures_from_stop(n):
-    d = timetable.departures(_hops(n), 1, 28800)
+    d = timetable.departures(lookups.hops_of_stop(n.stop_times(), n.trips(), 1), 1, 28800)
     return d.select("trip_id", "to_stop_id", "departure_seconds", "stop_sequence").orderBy("departure_seconds", "trip_id", "stop_sequence").offset(5).limit(20)
 
 
 @query
 def departures_window(n):
-    return timetable.departures(_hops(n), 2, 25200, 36000, alighting=False).select("trip_id", "to_stop_id", "departure_seconds", "arrival_seconds")
+    hops = lookups.hops_of_stop(n.stop_times(), n.trips(), 2)
+    return timetable.departures(hops, 2, 25200, 36000, alighting=False).select("trip_id", "to_stop_id", "departure_seconds", "arrival_seconds")
 
 
 @query
 def bulk_departures(n):
+    at = _hops(n).where("departure_seconds >= 28800 AND pickup_type <> 1")
+    return at.select("from_stop_id", "to_stop_id", "trip_id", "stop_sequence", "service_id", "departure_seconds", "arrival_seconds")
+
+
+@query
+def departures_per_stop(n):
     at = _hops(n).where("departure_seconds >= 28800 AND pickup_type <> 1")
     return at.groupBy("from_stop_id", "service_id").agg(F.count(F.lit(1)).alias("n"), F.min("departure_seconds").alias("first"))
 
 
 @query
 def trip_connections(n):
-    first = n.trips().agg(F.min("trip_id").alias("trip_id"))
-    return _hops(n).join(F.broadcast(first), "trip_id", "left_semi").select("trip_id", "stop_sequence", "from_stop_id", "to_stop_id", "departure_seconds", "arrival_seconds")
+    last = n.trips().agg(F.max("trip_id").alias("trip_id"))
+    return lookups.trip_connections(n.stop_times(), n.trips(), last, 2).select(*HOP)
+
+
+@query
+def bulk_trip_connections(n):
+    return lookups.trip_connections(n.stop_times(), n.trips(), n.trips().where("route_id = 7").select("trip_id")).select(*HOP)
+
+
+@query
+def snapshot_connections(n):
+    h = timetable.connections(n.stop_times(), n.trips(), n.routes())
+    name = gtfs.route_name(F.col("short_name"), F.col("long_name"), F.col("route_id")).alias("route_name")
+    return h.select(*HOP, "pickup_type", "drop_off_type", "route_id", "service_id", name)
+
+
+@query
+def find_stops(n):
+    return lookups.with_ids(n.stops(), "stop_id", n.transfers().select("from_stop_id").distinct()).select("stop_id", "stop_name", "parent_station")
+
+
+@query
+def stop_search_wildcards(n):
+    return lookups.stops_like(n.stops(), n.stop_times(), "SUPPLIER#%_3", 20).select("stop_id", "stop_name")
+
+
+@query
+def leg_exists(n):
+    """Every hop of the timetable as a leg; those of each third trip are a minute off."""
+    name = lambda side: n.stops().select(F.col("stop_id").alias(f"{side}_stop_id"), F.col("stop_name").alias(f"{side}_name"))
+    legs = _hops(n).join(name("from"), "from_stop_id").join(name("to"), "to_stop_id")
+    legs = legs.withColumn("departure_seconds", F.col("departure_seconds") + F.when(F.col("trip_id") % 3 == 0, 60).otherwise(0))
+    legs = legs.select("trip_id", "stop_sequence", "route_id", "from_stop_id", "to_stop_id", "from_name", "to_name", "departure_seconds", "arrival_seconds")
+    return lookups.legs_known(legs, n.stop_times(), n.trips(), n.stops()).select("trip_id", "stop_sequence", "present")
+
+
+@query
+def feed_version(n):
+    return lookups.feed_version(n.feed_info())
+
+
+@query
+def profile_version(n):
+    return lookups.profile_version(n.observations().where("trip_id < 0"), "observed_at")
+
+
+@query
+def service_dates(n):
+    return n.events().groupBy(lookups.service_date_of(F.col("ts")).alias("service_date")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def speed_bound_metadata(n):
+    """The bound over rides alone, and with transfers, of which one takes no time."""
+    place = lambda side: n.stops().select(F.col("stop_id").alias(f"{side}_stop_id"), F.col("stop_lat").alias(f"{side}_lat"), F.col("stop_lon").alias(f"{side}_lon"))
+    rides = _hops(n).select("from_stop_id", "to_stop_id", (F.col("arrival_seconds") - F.col("departure_seconds")).alias("seconds"), F.lit("ride").alias("kind"))
+    walks = n.transfers().where("transfer_type <> 3").select("from_stop_id", "to_stop_id", F.coalesce("min_transfer_time", F.lit(0)).cast("long").alias("seconds"), F.lit("transfer").alias("kind"))
+    placed = lambda e: e.join(place("from"), "from_stop_id").join(place("to"), "to_stop_id").withColumn("metres", gtfs.haversine_meters(F.col("from_lat"), F.col("from_lon"), F.col("to_lat"), F.col("to_lon")))
+    alone, all_edges = lookups.speed_bound(placed(rides)), lookups.speed_bound(placed(rides.unionByName(walks)))
+    return alone.withColumn("scope", F.lit("rides")).unionByName(all_edges.withColumn("scope", F.lit("all")))
+
+
+@query
+def diagnostics_counts(n):
+    tables = {"stops": n.stops(), "trips": n.trips(), "routes": n.routes(), "stop_times": n.stop_times(), "calendar": n.calendar(), "calendar_dates": n.calendar_dates(), "transfers": n.transfers()}
+    return lookups.table_counts(tables)
+
+
+@query
+def profile_lookup(n):
+    keys = n.spark.createDataFrame([(1, "midday"), (5, "evening"), (9, "midday")], "route_id long, time_window string")
+    return lookups.profiles_for(rel.Profiles(_samples(n)).exact(), keys).select("route_id", "direction_key", "time_window", "n", "reliability")
+
+
+@query
+def profile_fallbacks(n):
+    return lookups.fallback_profiles(rel.Profiles(_samples(n)))
+
+
+@query
+def latest_count(n):
+    return rel.latest(n.observations()).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -121,7 +211,12 @@ def stops_with_service(n):
 
 @query
 def transfers_from(n):
-    return n.transfers().where("transfer_type <> 3").fillna(-1)
+    return n.transfers().where("from_stop_id = 1").fillna(-1)
+
+
+@query
+def bulk_transfers(n):
+    return n.transfers().fillna(-1)
 
 
 @query
@@ -151,8 +246,33 @@ def first_active_date(n):
 
 @query
 def next_operating_date(n):
-    days = cal.service_days(n.calendar(), n.calendar_dates()).where("service_date > DATE'2026-07-27'")
-    return days.groupBy("service_id").agg(F.min("service_date").alias("next_date"))
+    """For every trip."""
+    dates = cal.next_dates(n.trips(), n.calendar(), n.calendar_dates(), "2026-07-27")
+    return n.trips().select("trip_id", "service_id").join(F.broadcast(dates), "service_id").select("trip_id", "next_date")
+
+
+@query
+def service_operates(n):
+    days = n.spark.sql("SELECT explode(sequence(DATE'2026-07-20', DATE'2026-08-10')) AS service_date")
+    pairs = n.trips().select("service_id").distinct().crossJoin(F.broadcast(days))  # services by three weeks
+    return cal.operates(pairs, n.calendar(), n.calendar_dates())
+
+
+@query
+def active_or_unruled_services(n):
+    return cal.active_or_unruled(n.trips(), n.calendar().where("service_id <> '4-NOT SPECIFIED'"), n.calendar_dates(), "2026-07-26")
+
+
+@query
+def calendar_rules(n):
+    """Rule and exceptions of each service on one date."""
+    on = n.calendar_dates().where("service_date = DATE'2026-07-27'").select("service_id", "exception_type")
+    return n.calendar().join(on, "service_id", "left").select("service_id", "days", "start_date", "end_date", F.coalesce("exception_type", F.lit(-1)).alias("exception_type"))
+
+
+@query
+def feed_expiry(n):
+    return cal.expiry(n.calendar(), "2026-12-10").select("last_date", "expired", "warning")
 
 
 @query
@@ -162,8 +282,11 @@ def service_range(n):
 
 @query
 def rail_trips(n):
-    r = n.routes().where("route_type = 1")
-    return n.trips().join(r, "route_id").groupBy("service_id").agg(F.countDistinct("route_id").alias("routes"), F.count(F.lit(1)).alias("trips"))
+    """Trips of rail routes on a date; how many routes they belong to stands in each row."""
+    active = cal.active_services(n.calendar(), n.calendar_dates(), "2026-06-29")
+    trips = n.trips().join(n.routes().where("route_type = 1"), "route_id").join(F.broadcast(active), "service_id", "left_semi")
+    routes = trips.agg(F.countDistinct("route_id").alias("routes"))
+    return trips.select("trip_id", "route_id").crossJoin(F.broadcast(routes))  # a single row
 
 
 @query
@@ -174,9 +297,8 @@ def route_count_between(n):
 
 @query
 def integration_cases(n):
-    w = Window.partitionBy("route_id").orderBy("departure_seconds", "trip_id", "stop_sequence")
-    cases = _hops(n).where("pickup_type = 0").withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
-    return cases.orderBy(F.desc(F.col("departure_seconds") >= 86400), "departure_seconds", "trip_id").limit(10).select("route_id", "trip_id", "from_stop_id", "departure_seconds")
+    dates = cal.service_days(n.calendar(), n.calendar_dates()).groupBy("service_id").agg(F.min("service_date").alias("service_date"))
+    return lookups.integration_cases(n.stop_times(), n.trips(), n.routes(), n.stops(), dates, 20)
 
 
 @query
@@ -276,13 +398,13 @@ UNBOUNDED["earliest_arrival_fixpoint"] = earliest_arrival_fixpoint
 
 
 def _alternatives(n: Network) -> DataFrame:
-    """Rides from stop 1 to any stop, as alternatives."""
-    h = _hops(n)
+    """Rides without a change from stop 1 to any stop, as alternatives."""
+    h = lookups.hops_of_stop(n.stop_times(), n.trips(), 1)
     o = h.where("from_stop_id = 1").select("trip_id", "route_id", "direction_id", F.col("stop_sequence").alias("o_seq"), F.col("departure_seconds").alias("departure"))
     d = h.select("trip_id", F.col("stop_sequence").alias("d_seq"), F.col("to_stop_id").alias("destination"), F.col("arrival_seconds").alias("arrival"))
     legs = o.join(d, "trip_id").where("d_seq >= o_seq").withColumn("time_window", gtfs.time_window(F.col("arrival")))
     legs = rel.resolved(legs, rel.Profiles(_samples(n)))
-    return search.with_costs(legs).withColumn("transfers", (F.col("d_seq") - F.col("o_seq")).cast("int") % 3).select("trip_id", "destination", "departure", "arrival", "reliability", "cost", "transfers")
+    return search.with_costs(legs).select("trip_id", "route_id", "destination", "departure", "arrival", "reliability", "cost", "transfers")
 
 
 @query
@@ -290,12 +412,40 @@ def pareto_alternatives(n):
     return search.pareto(_alternatives(n), ["destination"]).select("destination", "arrival", "cost", "transfers")
 
 
+@query
+def pareto_by_transfers(n):
+    """Orders as alternatives of their customers' segments: sums, dates and as many transfers as priorities tell apart."""
+    return search.pareto(n.orders_as_alternatives(), ["customer"]).select("customer", "arrival", "cost", "transfers")
+
+
 @query
 def rank_alternatives(n):
-    a = _alternatives(n).where("destination = 2").withColumn("reliability", F.round("reliability", 6)).drop("cost")
+    a = _alternatives(n).where("destination = 2").withColumn("reliability", F.round("reliability", 6)).drop("cost", "route_id")
     return search.ranked(a, 3).select("rank", "trip_id", "departure", "arrival", "reliability", "score")
 
 
 @query
 def semantic_dedupe(n):
-    return _alternatives(n).dropDuplicates(["destination", "departure", "arrival"]).groupBy("destination").agg(F.count(F.lit(1)).alias("n"))
+    """Journeys of one route with the same stops and times are one, whatever their trips."""
+    same = _alternatives(n).dropDuplicates(["route_id", "destination", "departure", "arrival"])
+    return same.groupBy("destination").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def structural_dedupe(n):
+    """Legs with one trip, origin and destination are one, though a trip may call twice."""
+    return lookups.calls_paired(n.stop_times()).dropDuplicates(["trip_id", "from_stop_id", "to_stop_id"]).groupBy("trip_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def trips_not_active(n):
+    """Trips that run on the first of two dates and not on the second."""
+    on = lambda d: n.trips().join(F.broadcast(cal.active_services(n.calendar(), n.calendar_dates(), d)), "service_id", "left_semi").select("trip_id")
+    return on("2026-06-29").join(on("2026-07-27"), "trip_id", "left_anti")
+
+
+@query
+def simulation_ranking(n):
+    """Rides without a change, with shares of samples in place of simulated ones, ranked by destination."""
+    a = _alternatives(n).select(F.concat_ws("-", "trip_id", "departure", "arrival").alias("itinerary_id"), "destination", "departure", "arrival", F.lit(1.0).alias("completion"), F.round("reliability", 6).alias("adherence"))
+    return simulation.simulation_ranking(a.dropDuplicates(["itinerary_id", "destination"]), ["destination"]).where("rank <= 3").select("destination", "rank", "itinerary_id", "score")

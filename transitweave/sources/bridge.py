@@ -27,7 +27,7 @@ class Network:
 
     def stops(self) -> DataFrame:
         k = F.col("s_suppkey")
-        return self._read("supplier").select(k.alias("stop_id"), F.col("s_name").alias("stop_name"), F.col("s_nationkey").cast("long").alias("parent_station"), (49 + (k % 97) / 100).alias("stop_lat"), (-123 - (k % 89) / 100).alias("stop_lon"))
+        return self._read("supplier").select(k.alias("stop_id"), F.col("s_name").alias("stop_name"), F.floor(k / 4).alias("parent_station"), (49 + (k % 97) / 100).alias("stop_lat"), (-123 - (k % 89) / 100).alias("stop_lon"))
 
     def trips(self) -> DataFrame:
         k = F.col("o_orderkey")
@@ -53,9 +53,20 @@ class Network:
     def transfers(self) -> DataFrame:
         return self.spark.createDataFrame(TRANSFERS, "from_stop_id long, to_stop_id long, transfer_type int, min_transfer_time int")
 
+    def feed_info(self) -> DataFrame:
+        """No version is given, so that first and last day make one."""
+        days = self.calendar().agg(F.min("start_date").alias("feed_start_date"), F.max("end_date").alias("feed_end_date"))
+        return days.withColumn("feed_version", F.lit(None).cast("string"))
+
     def events(self) -> DataFrame:
         return self._read("events")
 
+    def orders_as_alternatives(self) -> DataFrame:
+        """Alternatives with many numbers of transfers: customer, arrival, cost, transfers."""
+        o = self._read("orders")
+        day = F.datediff("o_orderdate", F.lit("1992-01-01"))
+        return o.select((F.col("o_custkey") % 100).alias("customer"), (day * 60).alias("arrival"), F.round(F.col("o_totalprice"), 2).alias("cost"), (F.col("o_orderkey") % 23).cast("int").alias("transfers"))
+
     def observations(self) -> DataFrame:
         """Delays from events: a user is a trip, an event type a stop."""
         e, ts = self._read("events"), F.col("ts")
