@@ -3,8 +3,10 @@
 1. Documents with equal sets become one class; all that follows is on classes.
 2. Two sets similar enough share one of their first few n-grams in any fixed
    order of all n-grams. The order puts n-grams of rare words first, so few
-   classes that are unlike meet. Classes that share such a key form a block;
-   blocks of very common keys are split by size, then into tiles.
+   classes that are unlike meet. Classes that share such a key form a block. With
+   one n-gram more, two sets share two: a key of very many classes gives way to
+   its pairs with their other n-grams. What is large still is split by size, then
+   into tiles.
 3. A block is a signature tree: a leaf is a class with a bitmap of its n-grams, a
    node holds the bitmaps of its leaves, combined by OR, and the range of their
    sizes. Two trees are traversed together; pairs of nodes whose bitmaps and
@@ -25,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, ascii_words, mixed, partitions, shingle_hashes, task_start, version_of, word_hashes, written
+from .common import NO_ID, ascii_words, mixed, partitions, shingle_hashes, task_start, version_of, whole_ids, word_hashes, written
 
 _SLOTS = 1 << 20  # counters of words: fixed, words share them by hash
 _BYTES = 128  # of a bitmap at least; it has as many bits as n-grams at least
 _TILE = 2048  # classes of a block or group compared at once
 _LEAF, _FAN = 32, 8
-_SMALL = 4_000_000  # rows of two longs that may be broadcast
+_SMALL = 500_000  # rows of two longs that may be broadcast
 
 
 def _word_ranks(docs: DataFrame) -> np.ndarray:
@@ -77,7 +79,10 @@ def _class_of(grams: np.ndarray) -> int:
 
 
 def _signatures(docs: DataFrame, n: int, num: int, den: int, ranks: np.ndarray) -> DataFrame:
-    """id, version, n, node of each document, and bitmap and keys of the first of each class in a batch; without words n is 0 and node null."""
+    """id, version, n, node of each document, and bitmap and keys of the first of each class in a batch; without words n is 0 and node null.
+
+    The last key is the one more that two similar sets need to share two.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +104,7 @@ def _signatures(docs: DataFrame, n: int, num: int, den: int, ranks: np.ndarray)
                 common = sum(rank[i : len(rank) - width + 1 + i] for i in range(width))[at]
                 first = size + (-size * num // den) + 1  # a set as similar has ceil(size * num / den) of them at least
                 maps.append(_bitmap(grams))
-                keys.append(grams[np.lexsort((grams, common))[:first]].view(np.int64))
+                keys.append(grams[np.lexsort((grams, common))[: first + 1]].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(maps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "version", "n", "node", "bitmap", "keys"])
 
     return docs.mapInArrow(signed, "id long, version long, n long, node long, bitmap binary, keys array<long>")
@@ -193,21 +198,17 @@ class _Union:
 
 
 def _found(sizes: np.ndarray, maps: list[bytes], sides: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of a block with room for enough common n-grams. Sets that can be similar have bitmaps of one length, or of one and its double."""
+    """Pairs of rows of a block with room for enough common n-grams. A longer bitmap is folded onto a shorter one's length."""
     lengths = np.array([len(m) for m in maps])
     both = bool(sides.any() and not sides.all())
     for length in np.unique(lengths):
-        own, double = lengths == length, lengths == 2 * length
-        bits = {False: own, True: double}
         trees: dict[tuple[bool, int], tuple[np.ndarray, _Tree]] = {}
-        for longer, rows in bits.items():
+        most = length << math.ceil(math.log2(den / num))  # sets with longer ones are too large
+        for longer, rows in ((False, lengths == length), (True, (lengths > length) & (lengths <= most))):
             for side in (0, 1) if both else (-1,):
                 at = np.flatnonzero(rows & (sides == side)) if both else np.flatnonzero(rows)
                 if len(at):
-                    m = np.frombuffer(b"".join(maps[i] for i in at), np.uint64).reshape(len(at), -1)
-                    if longer:
-                        m = m[:, : m.shape[1] // 2] | m[:, m.shape[1] // 2 :]
-                    trees[longer, side] = at, _Tree(sizes[at], m)
+                    trees[longer, side] = at, _Tree(sizes[at], np.stack([_folded(maps[i], length) for i in at]))
         meets = [((False, 0), (False, 1)), ((False, 0), (True, 1)), ((False, 1), (True, 0))] if both else [((False, -1), (False, -1)), ((False, -1), (True, -1))]
         for one, two in meets:
             if one in trees and two in trees:
@@ -216,6 +217,11 @@ def _found(sizes: np.ndarray, maps: list[bytes], sides: np.ndarray, num: int, de
                     yield i[x], j[y]
 
 
+def _folded(bitmap: bytes, length: int) -> np.ndarray:
+    """A bitmap on `length` bytes."""
+    return np.bitwise_or.reduce(np.frombuffer(bitmap, np.uint64).reshape(len(bitmap) // length, -1), axis=0)
+
+
 def _compared(nodes: np.ndarray, sizes: np.ndarray, maps: list[bytes], sides: np.ndarray, sets, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect the rows of one block as all its pairs would; with sets, pairs are compared exactly."""
     union = _Union(len(nodes))
@@ -252,12 +258,9 @@ def _close(sizes: np.ndarray, maps: list[bytes], num: int, den: int) -> bool:
     """As the tree decides for two leaves."""
     if sizes.min() * den < num * sizes.max():
         return False
-    short, long = sorted((np.frombuffer(m, np.uint64) for m in maps), key=len)
-    if len(long) > len(short):
-        long = long[: len(short)] | long[len(short) :]
-    both = np.stack([short, long])
-    spare = int((np.sort(sizes) - np.bitwise_count(both).sum(1, dtype=np.int64)).min()) if len(maps[0]) != len(maps[1]) else int((sizes - np.array([np.bitwise_count(np.frombuffer(m, np.uint64)).sum() for m in maps], np.int64)).min())
-    return bool(_room(int(np.bitwise_count(short & long).sum()) + spare, int(sizes.sum()), num, den))
+    a, b = (_folded(m, min(map(len, maps))) for m in maps)
+    spare = int((sizes - np.bitwise_count(np.stack([a, b])).sum(1, dtype=np.int64)).min())
+    return bool(_room(int(np.bitwise_count(a & b).sum()) + spare, int(sizes.sum()), num, den))
 
 
 def _similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -305,7 +308,7 @@ def _tiled(rows: DataFrame, group: str, bands: bool, num: int, den: int) -> Data
     With bands, a large group is first split by size: sets whose sizes differ by
     more than a band can't be similar, so tiles meet inside a band and with the next.
     """
-    step = math.log(den / num) * 1.0001
+    step = max(1e-6, math.log(den / num) * 1.0001)
     band = F.floor(F.log("n") / step).cast("long") if bands else F.lit(0).cast("long")
     rows = rows.withColumn("band", band)
     large = rows.groupBy(group).count().where(F.col("count") > _TILE).select(group)
@@ -344,6 +347,43 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if found is None else found
 
 
+def _shared_keys(keyed: DataFrame) -> DataFrame:
+    """The rows of keyed (key, node, n) whose key has several nodes, with their number as `nodes`.
+
+    Keys with more than a fair share of all rows are spread over several tasks;
+    there are few of them, as each has a 4P-th of the rows, with P partitions.
+    """
+    spread = partitions(keyed.sparkSession)
+    counts = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("nodes")).where("nodes > 1"), "key-counts")
+    rows = counts.agg(F.sum("nodes")).first()[0] or 0
+    common = counts.where(F.col("nodes") > max(64, rows // (4 * spread))).select("key", F.lit(spread).alias("salts"))
+    keyed = keyed.join(F.broadcast(common), "key", "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), "salts")).cast("int")).drop("salts")
+    counts = counts.join(F.broadcast(common), "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return keyed.join(counts, ["key", "salt"]).drop("salt")
+
+
+def _hits(signed: DataFrame, num: int, den: int) -> DataFrame:
+    """key, node, n: classes (node, n, keys) by keys that several share; a wide key by pairs with each other key of its classes.
+
+    Similar sets share one of their keys but the last one more. Over a threshold
+    of a half, sets that differ have two n-grams in common at least, and then they
+    share two of all their keys.
+    """
+    own = F.expr(f"slice(keys, 1, cast(n - (n * {num} + {den - 1}) div {den} + 1 as int))")
+    keyed = written(signed.select(F.explode(own).alias("key"), "node", "n").distinct(), "keys")
+    shared = written(_shared_keys(keyed), "shared-keys")
+    if 2 * num <= den:
+        return shared.select("key", "node", "n")
+    wide = shared.where(F.col("nodes") > _TILE)
+    narrow = shared.where(F.col("nodes") <= _TILE).select("key", "node", "n")
+    if wide.isEmpty():
+        return narrow
+    whole = signed.dropDuplicates(["node"]).select("node", "keys")
+    pairs = wide.join(whole, "node").select(F.col("key").alias("one"), "node", "n", F.explode("keys").alias("other")).where("one <> other")
+    pairs = pairs.select(F.xxhash64(F.least("one", "other"), F.greatest("one", "other")).alias("key"), "node", "n").distinct()
+    return narrow.unionByName(_shared_keys(written(pairs, "key-pairs")).select("key", "node", "n"))
+
+
 def similar_documents(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id.
 
@@ -353,22 +393,27 @@ def similar_documents(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10,
     words, have none and no links, and are components of their own. Null ids come
     after all others: a component has a null id if all its ids are null. Repeated
     rows and equal ids are documents like any others. An empty table gives no
-    rows; other columns are not read.
+    rows; other columns are not read. Very long texts are taken whole. Ids that are
+    not whole numbers, and a threshold that is not over 0 and up to 1, raise
+    ValueError. Sets are compared by 64-bit hashes of their n-grams, and equal ones
+    known by 64 bits of MD5: of a thousand million different sets, two are taken for
+    one with a chance of 3 %.
     """
     return _placed(docs, n, num, den, id_col, text_col).select("doc_id", "n_shingles", "component_id")
 
 
 def _placed(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """similar_documents, with the version of each row and the root of its component (null without words)."""
+    whole_ids(docs, id_col)
+    if not 0 < num <= den:
+        raise ValueError("the threshold must be over 0 and up to 1")
     plain = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), docs[text_col].alias("text"), version_of(docs[id_col], docs[text_col]).alias("version"))
     signatures = written(_signatures(plain.select("id", "version", "text"), n, num, den, _word_ranks(plain)), "signatures")
     some = signatures.where("node is not null")
     classes = written(some.groupBy("node").agg(F.min("id").alias("any_id"), F.min(F.when(F.col("id") != NO_ID, F.col("id"))).alias("least")), "classes")
     bitmaps = some.where("bitmap is not null").select("node", "bitmap").dropDuplicates(["node"])
 
-    keyed = some.select("node", "n", F.explode("keys").alias("key"))
-    several = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-    hits = written(keyed.join(several, "key").dropDuplicates(["key", "node"]), "hits")
+    hits = written(_hits(some.where("keys is not null").select("node", "n", "keys"), num, den), "hits")
     blocks = _tiled(hits, "key", True, num, den).select("block", "side", "node", "n")
     candidates = components(_by_block(blocks.join(bitmaps, "node"), num, den, exact=False))
     wanted = written(candidates.join(classes.select("node", "any_id"), "node").select(F.col("any_id").alias("id"), F.col("node").alias("wanted"), "root"), "candidates")
