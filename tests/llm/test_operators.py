@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from transitweave.llm import ngram_join, queries, suffix_dedup
-from transitweave.llm.common import ship
-from transitweave.llm.decontaminate import leaks, without_leaks
+from transitweave.llm.common import ship, word_hashes
+from transitweave.llm.decontaminate import best_alignment, leaks, without_leaks
 from transitweave.llm.piece_codec import encoded_pieces, piece_digests
 from transitweave.llm.quality import fit, quality_scores, train
 from transitweave.llm.shards import byte_shards
@@ -151,8 +151,8 @@ def test_repeats(spark, none, wide, monkeypatch):
     assert suffix_dedup.repeat_digests(none, 9).count() == 0
 
 
-@pytest.mark.parametrize("tile", [20, 2048])
-def test_join(spark, odd, none, tile, monkeypatch):
+@pytest.mark.parametrize(("tile", "num", "den"), [(20, 9, 10), (2048, 9, 10), (5, 4, 5), (2048, 1, 3), (10, 1, 4), (20, 1, 1)])
+def test_join(spark, odd, none, tile, num, den, monkeypatch):
     monkeypatch.setattr(ngram_join, "_TILE", tile)
     rng = np.random.default_rng(3)
     base = [list(rng.choice(list("abcdefghijklmnop"), rng.integers(5, 60))) for _ in range(6)]
@@ -161,22 +161,35 @@ def test_join(spark, odd, none, tile, monkeypatch):
         w = list(base[rng.integers(0, 6)])
         for _ in range(rng.integers(0, 6)):
             w[rng.integers(0, len(w))] = rng.choice(list("abcxyz"))
-        rows.append((i, " ".join(w)))
+        rows.append((i, " ".join(w[: rng.integers(1, 60)] if num * 2 < den else w)))
+    long = [f"v{k}" for k in range(2500)]  # bitmaps of several lengths
+    rows += [(500 + k, " ".join(long[: 2500 - k * 400])) for k in range(6)] + [(506, " ".join(long) + " end")]
     sets = {}
     for i, t in rows:
         w = (t or "").lower().split()
         sets[i] = {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} if w else set()
     root = {i: i for i in sets}
-    for _ in sets:
-        for i in sets:
-            for j in sets:
-                if sets[i] and 10 * len(sets[i] & sets[j]) >= 9 * len(sets[i] | sets[j]):
-                    root[i] = min(root[i], root[j])
-        if all(root[root[i]] == root[i] for i in root):
-            break
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), 3, 9, 10).collect()}
+    links = [(i, j) for i in sets for j in sets if i < j and sets[i] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in links:
+            low = min(root[i], root[j])
+            changed |= root[i] != low or root[j] != low
+            root[i] = root[j] = low
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, key int, node string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_documents(df, 3, num, den).collect()}
     assert got == {i: (len(sets[i]), root[i]) for i in sets}
-    assert ngram_join.similar_documents(odd).count() == len(ODD) and ngram_join.similar_documents(none).count() == 0
+    if tile == 2048:
+        assert ngram_join.similar_documents(odd).count() == len(ODD) and ngram_join.similar_documents(none).count() == 0
+
+
+def test_join_rejects(spark, odd):
+    for bad in ((0, 1), (3, 2)):
+        with pytest.raises(ValueError):
+            ngram_join.similar_documents(odd, 3, *bad)
+    with pytest.raises(ValueError):
+        ngram_join.similar_documents(odd.withColumn("doc_id", F.col("shard")))
 
 
 def test_quality(spark, docs, odd, none):
@@ -189,13 +202,44 @@ def test_quality(spark, docs, odd, none):
 
 
 def test_leaks(spark, odd, none):
+    ship(spark)
     item = "the quick brown fox jumps over the lazy dog near old river banks today"
-    tests = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "zyx wvu")], "item_id long, text string")
-    rows = [(1, f"some text before. {item.upper()}! after it"), (2, item.replace("lazy", "sleepy")), (3, "the quick brown cat sat"), (4, "nothing to see"), (5, "a zyx, wvu b"), (6, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {(r.doc_id, r.item_id) for r in leaks(docs, tests).collect()} == {(1, 1), (2, 1), (5, 4)}
-    assert {r.doc_id for r in without_leaks(docs, tests).collect()} == {3, 4, 6}
-    assert leaks(none, tests).count() == 0 and without_leaks(odd, tests).count() == len(ODD)
+    tests = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "zyx wvu"), (5, "qqq"), (1, item)], "item_id long, text string")
+    rows = [(1, f"some text before. {item.upper()}! after it"), (2, item.replace("lazy", "sleepy")), (3, "the quick brown cat sat"), (4, "nothing to see"), (5, "a zyx, wvu b"), (6, None), (7, "qqq"), (7, "qqq"), (None, item)]
+    docs = spark.createDataFrame([(*r, "x", 3) for r in rows], "doc_id long, text string, item_id string, items int")
+    assert sorted((r.doc_id or 0, r.item_id) for r in leaks(docs, tests).collect()) == [(0, 1), (1, 1), (2, 1), (5, 4), (7, 5), (7, 5)]
+    kept = without_leaks(docs, tests)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {3, 4, 6}
+    assert leaks(none, tests).count() == 0 and without_leaks(odd, tests).count() == len(ODD) and without_leaks(odd, tests.where("false")).count() == len(ODD)
+    named = spark.createDataFrame([("a", item)], "item_id string, text string")
+    assert {(r.doc_id, r.item_id) for r in leaks(docs.where("doc_id < 3"), named).collect()} == {(1, "a"), (2, "a")}
+
+
+def test_leaks_against_alignment_of_all_pairs(spark):
+    ship(spark)
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{k}" for k in range(400)]
+    some = lambda n: [vocabulary[int(k)] for k in np.minimum(399, rng.zipf(1.3, n) - 1)]
+    items = [some(n) for n in [1, 2, 3, 4, 5, 5, 6, 7, 8, 8, 12, 16, 20, 25, 30, 40, 40, 55]]
+    docs = []
+    for k, item in enumerate(items * 8):
+        out, share = [], rng.choice([0.0, 0.1, 0.2, 0.3])
+        for at, w in enumerate(item):
+            kind = rng.integers(0, 3) if rng.random() < share else 3
+            out += {0: [], 1: some(1), 2: [w, *some(1)], 3: [w]}[int(kind)]
+            if k % 8 == 5 and at % 2:
+                out += some(1)  # a word after every second one
+        docs.append(some(int(rng.integers(0, 80))) + out + some(int(rng.integers(0, 80))))
+    docs.append(some(20_000) + items[-1] + some(20_000))
+    hashes = word_hashes()
+    numbers = lambda ws: np.array([hashes[w.encode()] for w in ws], np.uint64)
+    want = {(d, i): best_alignment(numbers(item), numbers(doc))[0] / (2 * len(item)) for d, doc in enumerate(docs) for i, item in enumerate(items)}
+    want = {k: v for k, v in want.items() if v >= 0.6}
+    got = {(r.doc_id, r.item_id): r.score for r in leaks(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id int, text string"), spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(items)], "item_id int, text string")).collect()}
+    assert all(got[k] == pytest.approx(want[k]) for k in got)
+    long = {k for k in want if len(items[k[1]]) > 8}
+    assert len(long) > 40 and len(long & got.keys()) >= 0.95 * len(long)
+    assert {k for k in want if k not in long} == {k for k in got if k not in long}
 
 
 def test_urls(spark):
