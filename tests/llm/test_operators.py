@@ -13,7 +13,7 @@ from transitweave.llm.piece_codec import encoded_pieces, piece_digests
 from transitweave.llm.quality import fit, quality_scores, train
 from transitweave.llm.shards import byte_shards
 from transitweave.llm.token_counts import PrefixCounter, token_counts, truncated
-from transitweave.llm.token_records import framed, read_at, read_records, record_folder, unframed, write_records
+from transitweave.llm.token_records import FileEncoder, framed, read_at, read_records, record_folder, unframed, write_records
 from transitweave.llm.topk import top_k
 from transitweave.llm.urls import url_verdicts
 
@@ -93,6 +93,16 @@ def test_counts_and_records(spark, docs, odd, none):
     assert all(r.n_tokens <= 3 for r in truncated(odd, WORDS, 3).collect())
 
 
+def test_counts_of_all_scripts():
+    from tokenizers import Tokenizer
+
+    t, c, e = Tokenizer.from_file(WORDS), PrefixCounter(WORDS), FileEncoder(WORDS)
+    some = [chr(k) for k in range(1, 0x20000, 7) if not 0xD800 <= k < 0xE000]
+    texts = [f"x{a}y Ab{a} {a}1" for a in some] + ["".join(some[k : k + 20]) for k in range(0, len(some), 20)] + ["a" * 50_000 + " é日😀" * 9_000]
+    for text, x in zip(texts, t.encode_batch(texts, add_special_tokens=False)):
+        assert c.total(text) == len(x.ids) and np.frombuffer(e.encode(text), f"<u{e.width}").tolist() == x.ids, text[:40]
+
+
 def plain_top_k(rows, k, every):
     whole = lambda v: [int(x) * 256 if abs(x) >= 2**53 else int(np.floor(x * 256)) for x in v]
     sound = [(i, v) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]

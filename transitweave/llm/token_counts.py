@@ -59,6 +59,10 @@ class WordRules:
             return self.pattern.findall(normal)
         return [normal[a:b] for a, b in self.spans(normal)]
 
+    def doubtful(self, chunk: str) -> bool:
+        """Whether Unicode versions may differ in a run's characters, or the library would change its words a second time."""
+        return not chunk.isascii() and (max(chunk) > "\u1aaf" or not unicodedata.is_normalized("NFC", self.normalised(chunk)))
+
     @staticmethod
     def whole_only(text: str) -> bool:
         """Whether the text may hold special tokens, or separators that only str.split() takes for white space."""
@@ -72,6 +76,9 @@ class PrefixCounter:
     """
 
     def __init__(self, tokenizer_file: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(tokenizer_file)
         with open(tokenizer_file, encoding="utf-8") as f:
             spec = json.load(f)
         self.rules, model = WordRules(spec), spec["model"]
@@ -118,10 +125,12 @@ class PrefixCounter:
                 return counts[start] + 1
         raise ValueError(f"no token ends {mapped[:end]!r}")
 
-    def word_total(self, word: str) -> int:
-        mapped = "".join(map(self.of_byte.__getitem__, word.encode()))
+    def mapped_total(self, mapped: str) -> int:
         return self.closed(mapped, len(mapped), *self.inner(mapped[:-1]))
 
+    def word_total(self, word: str) -> int:
+        return self.mapped_total("".join(map(self.of_byte.__getitem__, word.encode())))
+
     def word_prefixes(self, word: str) -> list[int]:
         """Counts at each prefix of a word, by characters, from none to all."""
         mapped = "".join(map(self.of_byte.__getitem__, word.encode()))
@@ -133,7 +142,12 @@ class PrefixCounter:
         return ends
 
     def chunk_total(self, chunk: str) -> int:
-        """Tokens between white space; no word and no composed character reaches across it."""
+        """Tokens between white space; no word and no composed character reaches across it.
+
+        Doubtful runs are normalised and split into words by the library; the counting is the same.
+        """
+        if self.rules.doubtful(chunk):
+            return sum(self.mapped_total(w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk)))
         return sum(map(self.totals.__getitem__, self.rules.words(chunk)))
 
     def total(self, text: str | None) -> int:
@@ -181,7 +195,7 @@ def byte_characters() -> list[str]:
 def token_counts(docs: DataFrame, tokenizer_file: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_bytes (UTF-8), n_tokens, over_limit.
 
-    A null text counts as empty. Texts are counted whole. Repeated rows give
+    A null text counts as empty. Texts are counted whole, however long. Repeated rows give
     repeated results, an empty table none; other columns are not read.
     """
     id_type = docs.schema[id_col].dataType.simpleString()

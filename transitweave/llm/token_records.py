@@ -20,7 +20,6 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
-from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -87,8 +86,8 @@ class FileEncoder:
         return self.packed(self.library.encode(text, add_special_tokens=False).ids)
 
     def run(self, text: str) -> bytes:
-        if not text.isascii() and (max(text) > "\u1aaf" or not is_normalized("NFC", self.rules.normalised(text))):
-            return self.whole(text)  # scripts in which Unicode versions differ, and words that the library would change a second time
+        if self.rules.doubtful(text):
+            return self.whole(text)
         return b"".join(map(self.words.__getitem__, self.rules.words(text)))
 
     def encode(self, text: str | None) -> bytes:
@@ -104,14 +103,14 @@ def write_records(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int
     """Writes all documents and returns the written index: doc_id, file, offset, length, n_tokens.
 
     A null text is written as the end id alone. Rows with equal ids stand in the
-    order of their texts; null ids come first. A task that runs again writes a
+    order of their texts' CRC-32; null ids come first. A task that runs again writes a
     file of its own and names it only when it is whole, so each range has one
     whole file, whichever attempt wrote it. An empty table gives an empty index.
     """
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    dealt = rows.repartitionByRange(partitions(spark), "doc_id", F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))).sortWithinPartitions("doc_id", "text")
+    dealt = rows.repartitionByRange(partitions(spark), "doc_id", F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b"")))).sortWithinPartitions("doc_id", F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b""))), "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
