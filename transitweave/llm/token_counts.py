@@ -40,6 +40,9 @@ class WordRules:
         newer = [c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
         self.newer = re.compile(f"[{''.join(newer)}]")  # letters of a later Unicode than the library's
         self.least_newer = min(newer)
+        # Marks have an order that depends on the Unicode version, and characters that this one lacks may be marks.
+        marks = [re.escape(c) for c in map(chr, range(0x80, 0x1AB0)) if unicodedata.combining(c) or unicodedata.category(c) == "Cn"]
+        self.marks = re.compile(f"[{''.join(marks)}]")
 
     def normalised(self, text: str) -> str:
         """As the library does, but for white space; lower case character by character."""
@@ -61,7 +64,7 @@ class WordRules:
 
     def doubtful(self, chunk: str) -> bool:
         """Whether Unicode versions may differ in a run's characters, or the library would change its words a second time."""
-        return not chunk.isascii() and (max(chunk) > "\u1aaf" or not unicodedata.is_normalized("NFC", self.normalised(chunk)))
+        return not chunk.isascii() and (max(chunk) > "\u1aaf" or self.marks.search(chunk) is not None or not unicodedata.is_normalized("NFC", self.normalised(chunk)))
 
     @staticmethod
     def whole_only(text: str) -> bool:
