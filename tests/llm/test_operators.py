@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from transitweave.llm import ngram_join, queries, suffix_dedup
-from transitweave.llm.common import ship, word_hashes
+from transitweave.llm.common import hashed_words, ship
 from transitweave.llm.decontaminate import best_alignment, leaks, without_leaks
 from transitweave.llm.piece_codec import encoded_pieces, piece_digests
 from transitweave.llm.quality import fit, quality_scores, train
@@ -141,6 +141,18 @@ def plain_repeats(texts: dict[int, bytes], length: int) -> dict[int, tuple[int,
     return out
 
 
+def test_hashed_words():
+    rng = np.random.default_rng(4)
+    texts = [None, "", " \t", "A a", "x" * 700_000 + " y", "é日 É", *(" ".join(rng.choice(["a", "B", "cc", "\u00a0", "\x1c"], 300_000)) for _ in range(2)), "y " * 140_000 + "z" * 300_000 + " y"]
+    got, seen = hashed_words(texts), {}
+    for text, h in zip(texts, got):
+        words = (text or "").encode().lower().split()
+        assert len(words) == len(h)
+        for w, x in zip(words, h.tolist()):
+            assert seen.setdefault(w, x) == x
+    assert len(set(seen.values())) == len(seen) > 8
+
+
 def test_suffix_order():
     rng = np.random.default_rng(1)
     for _ in range(50):
@@ -241,8 +253,7 @@ def test_leaks_against_alignment_of_all_pairs(spark):
                 out += some(1)  # a word after every second one
         docs.append(some(int(rng.integers(0, 80))) + out + some(int(rng.integers(0, 80))))
     docs.append(some(20_000) + items[-1] + some(20_000))
-    hashes = word_hashes()
-    numbers = lambda ws: np.array([hashes[w.encode()] for w in ws], np.uint64)
+    numbers = lambda ws: hashed_words([" ".join(ws)])[0]
     want = {(d, i): best_alignment(numbers(item), numbers(doc))[0] / (2 * len(item)) for d, doc in enumerate(docs) for i, item in enumerate(items)}
     want = {k: v for k, v in want.items() if v >= 0.6}
     got = {(r.doc_id, r.item_id): r.score for r in leaks(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id int, text string"), spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(items)], "item_id int, text string")).collect()}

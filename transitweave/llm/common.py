@@ -9,6 +9,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -126,11 +128,6 @@ class Memo(dict):
         return value
 
 
-def ascii_words(text: str | None) -> list[bytes]:
-    """Words between ASCII white space (\\x20, \\x09-\\x0D), with A-Z lower-cased; UTF-8."""
-    return text.encode().lower().split() if text else []
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """Finalises 64-bit hashes so that all bits depend on all bits."""
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -138,8 +135,70 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def word_hashes() -> Memo:
-    return Memo(xxhash.xxh64_intdigest, most=100_000)
+#: Words between ASCII white space (\x20, \x09-\x0D), with A-Z lower-cased.
+ASCII_WORDS = bytes(32 if b == 32 or 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
+_BASE, _RUN = 0xA0761D6478BD642F, 1 << 18
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _BASE and of its inverse; a word begins in the first half of them."""
+    up, down = np.full(2 * _RUN, _BASE, np.uint64), np.full(2 * _RUN, pow(_BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def _pieces(data: bytes) -> Iterator[bytes]:
+    """A text in pieces of about _RUN bytes, cut at blanks. What is longer than that without a blank stays whole."""
+    at = 0
+    while len(data) - at > _RUN:
+        cut = data.rfind(b" ", at, at + _RUN)
+        if cut < 0:
+            cut = data.find(b" ", at + _RUN)
+        if cut < 0:
+            break
+        yield data[at:cut]
+        at = cut + 1
+    yield data[at:]
+
+
+def hashed_words(texts: Iterable[str | None], table: bytes = ASCII_WORDS) -> list[np.ndarray]:
+    """For each text the 64-bit hashes of its words, in order: what `table` leaves between blanks."""
+    parts: list[bytes] = []
+    owners: list[int] = []
+    found: list[list[np.ndarray]] = []
+    filled = 0
+
+    def flush() -> None:
+        nonlocal filled
+        joined = b" ".join(parts) + b" "
+        text = np.frombuffer(joined, np.uint8)
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], text == 32]).view(np.int8)))
+        starts, ends = edges[0::2], edges[1::2]
+        up, down = _powers()
+        if len(text) > len(up):  # a word longer than all powers, alone in its run
+            hashes = np.array([xxhash.xxh64_intdigest(joined[a:b]) for a, b in zip(starts, ends, strict=True)], np.uint64)
+        else:
+            sums = np.zeros(len(text) + 1, np.uint64)
+            np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up[: len(text)], out=sums[1:])
+            hashes = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        until = np.searchsorted(starts, np.cumsum([len(p) + 1 for p in parts]))
+        for k, h in zip(owners, np.split(hashes, until[:-1]), strict=True):
+            found[k].append(h)
+        parts.clear(), owners.clear()
+        filled = 0
+
+    for k, value in enumerate(texts):
+        found.append([])
+        for piece in _pieces(value.encode().translate(table)) if value else ():
+            if parts and filled + len(piece) > _RUN:
+                flush()
+            parts.append(piece), owners.append(k)
+            filled += len(piece) + 1
+    if parts:
+        flush()
+    none = np.zeros(0, np.uint64)
+    return [h[0] if len(h) == 1 else np.concatenate([none, *h]) for h in found]
 
 
 _ODD = [int(xxhash.xxh64_intdigest(f"position {i}")) | 1 for i in range(64)]

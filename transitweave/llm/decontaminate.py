@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mixed, shingle_hashes, task_start, word_hashes, written
+from .common import hashed_words, mixed, shingle_hashes, task_start, written
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 WORD, PAIR, TRIPLE, NEAR_PAIR = 1, 2, 3, 4  # kinds of seeds; a near pair may have a word between
@@ -35,10 +35,6 @@ _SMALL = 500_000  # rows of seeds that may be broadcast
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
-def words(text: str | None) -> list[bytes]:
-    return text.encode().translate(_WORDS).split() if text else []
-
-
 def best_alignment(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     """Smith-Waterman over word hashes: the best local score, and the end of the alignment in the window."""
     n = len(window)
@@ -56,9 +52,8 @@ def best_alignment(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     return best, at
 
 
-def _hashed(text: str | None, hashes) -> np.ndarray:
-    ws = words(text)
-    return np.fromiter(map(hashes.__getitem__, ws), np.uint64, len(ws))
+def hashed(texts: list[str | None]) -> list[np.ndarray]:
+    return hashed_words(texts, _WORDS)
 
 
 def seed_hashes(h: np.ndarray, kind: int, of_item: bool) -> np.ndarray:
@@ -111,9 +106,9 @@ def _counted(docs: DataFrame, item_words: DataFrame) -> DataFrame:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task_start()
-        hashes, (bits, mask) = word_hashes(), shared.value
+        bits, mask = shared.value
         for batch in batches:
-            h = np.concatenate([np.zeros(0, np.uint64), *(_hashed(t, hashes) for t in batch.column(0).to_pylist())])
+            h = np.concatenate([np.zeros(0, np.uint64), *hashed(batch.column(0).to_pylist())])
             some, n = np.unique(h[_in(bits, mask, h)], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([*some.view(np.int64).tolist(), None, None], pa.int64()), pa.array([*n.tolist(), len(h), -batch.num_rows], pa.int64())], names=["word", "n"])
 
@@ -132,9 +127,8 @@ def _candidates(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task_start()
-        hashes = word_hashes()
         for batch in batches:
-            rows = [_hashed(t, hashes) for t in batch.column(1).to_pylist()]
+            rows = hashed(batch.column(1).to_pylist())
             n = np.array([len(h) for h in rows], np.int64)
             at = np.concatenate([np.arange(k) for k in n]) if len(n) else n
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(at, pa.int64()), pa.array(np.concatenate([*rows, np.zeros(0, np.uint64)]).view(np.int64))], names=["item", "at", "word"])
@@ -161,11 +155,10 @@ def _candidates(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task_start()
-        hashes, (bits, mask) = word_hashes(), shared.value
+        bits, mask = shared.value
         for batch in batches:
             found, owners = [np.zeros(0, np.uint64)], []
-            for text in batch.column(1).to_pylist():
-                h = _hashed(text, hashes)
+            for h in hashed(batch.column(1).to_pylist()):
                 grams = np.concatenate([h[:0], *(seed_hashes(h, kind, False) for kind in kinds)])
                 found.append(np.unique(grams[_in(bits, mask, grams)]))
                 owners.append(len(found[-1]))
@@ -182,8 +175,8 @@ def _candidates(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 class _Items:
     """The items of one document, to be looked for in it."""
 
-    def __init__(self, texts: list[str], hashes, least: float):
-        self.words = [_hashed(t, hashes) for t in texts]
+    def __init__(self, texts: list[str], least: float):
+        self.words = hashed(texts)
         self.least, self.keys = least, {}
         for kind in (WORD, NEAR_PAIR, PAIR):
             of = [k for k, h in enumerate(self.words) if kind == (WORD if len(h) == 1 else NEAR_PAIR if len(h) <= _SHORT else PAIR)]
@@ -255,13 +248,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.6) -> DataFram
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task_start()
-        hashes = word_hashes()
         for batch in batches:
             of, found = [], []
             items = batch.column(2)
             first = np.asarray(items.offsets)
-            for i, (text, own) in enumerate(zip(batch.column(1).to_pylist(), items.to_pylist(), strict=True)):
-                for k, *x in _Items([o["text"] for o in own], hashes, least).found(_hashed(text, hashes)):
+            for i, (doc, own) in enumerate(zip(hashed(batch.column(1).to_pylist()), items.to_pylist(), strict=True)):
+                for k, *x in _Items([o["text"] for o in own], least).found(doc):
                     of.append(i)
                     found.append((first[i] + k, *x))
             item, score, begin, end = zip(*found, strict=True) if found else ((), (), (), ())
@@ -281,10 +273,9 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.6) ->
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task_start()
-        hashes = word_hashes()
         for batch in batches:
             texts = batch.column(0).field(column).to_pylist()
-            keep = [not own or not _Items(own, hashes, least).found(_hashed(t, hashes)) for t, own in zip(texts, batch.column(1).to_pylist(), strict=True)]
+            keep = [not own or not _Items(own, least).found(hashed([t])[0]) for t, own in zip(texts, batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_()))], names=["row"])
 
     kept = joined.mapInArrow(clean, T.StructType([T.StructField("row", docs.schema)]))

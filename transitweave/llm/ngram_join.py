@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, ascii_words, mixed, partitions, shingle_hashes, task_start, version_of, whole_ids, word_hashes, written
+from .common import NO_ID, hashed_words, mixed, partitions, shingle_hashes, task_start, version_of, whole_ids, written
 
 _SLOTS = 1 << 20  # counters of words: fixed, words share them by hash
 _BYTES = 128  # of a bitmap at least; it has as many bits as n-grams at least
@@ -41,15 +41,10 @@ def _word_ranks(docs: DataFrame) -> np.ndarray:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task_start()
-        hashes = word_hashes()
         for batch in batches:
-            total = np.zeros(_SLOTS, np.int64)
-            for text in batch.column(0).to_pylist():
-                ws = ascii_words(text)
-                h = np.fromiter(map(hashes.__getitem__, ws), np.uint64, len(ws))
-                np.add.at(total, (h & np.uint64(_SLOTS - 1)).astype(np.int64), 1)
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["slot", "n"])
+            h = np.concatenate([np.zeros(0, np.uint64), *hashed_words(batch.column(0).to_pylist())])
+            some, n = np.unique((h & np.uint64(_SLOTS - 1)).astype(np.int32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n.astype(np.int64))], names=["slot", "n"])
 
     counts = docs.select("text").mapInArrow(counted, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     table = counts.where("n >= 8").select("slot", F.floor(F.log2("n")).cast("int").alias("rank")).toArrow()  # _SLOTS rows at most
@@ -66,12 +61,9 @@ def _bitmap(grams: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def _set_of(text: str | None, n: int, hashes) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-grams of a text by ascending hash, and where each begins among the words' hashes; the latter."""
-    ws = ascii_words(text)
-    h = np.fromiter(map(hashes.__getitem__, ws), np.uint64, len(ws))
-    grams, at = np.unique(shingle_hashes(h, n), return_index=True)
-    return grams, at, h
+def _set_of(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of word hashes by ascending hash, and where each begins."""
+    return np.unique(shingle_hashes(h, n), return_index=True)
 
 
 def _class_of(grams: np.ndarray) -> int:
@@ -87,11 +79,10 @@ def _signatures(docs: DataFrame, n: int, num: int, den: int, ranks: np.ndarray)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task_start()
-        hashes = word_hashes()
         for batch in batches:
             sizes, nodes, maps, keys, seen = [], [], [], [], set()
-            for text in batch.column(2).to_pylist():
-                grams, at, h = _set_of(text, n, hashes)
+            for h in hashed_words(batch.column(2).to_pylist()):
+                grams, at = _set_of(h, n)
                 size = len(grams)
                 sizes.append(size)
                 nodes.append(_class_of(grams) if size else None)
@@ -424,11 +415,10 @@ def _placed(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id",
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task_start()
-        hashes = word_hashes()
         for batch in batches:
             kept, sizes, maps, data = [], [], [], []
-            for i, (text, node) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                grams, _, _ = _set_of(text, n, hashes)
+            for i, (h, node) in enumerate(zip(hashed_words(batch.column(0).to_pylist()), batch.column(1).to_pylist(), strict=True)):
+                grams, _ = _set_of(h, n)
                 if len(grams) and _class_of(grams) == node:  # rows of one id may have different texts
                     kept.append(i)
                     sizes.append(len(grams))
