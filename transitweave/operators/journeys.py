@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.gtfs import FLOOR, leg_cost, time_window
 from .reliability import Profiles, resolved
-from .search import SearchLimit, _kept, pareto
+from .keep import kept
+from .search import SearchLimit, pareto
 
 LEG = "struct<trip_id:bigint,from_sequence:bigint,to_sequence:bigint,from_stop:bigint,to_stop:bigint,departure:bigint,arrival:bigint>"
 _STATE = ["query_id", "stop_id", "last_trip", "required_trip"]
@@ -35,10 +36,10 @@ def _walked(labels: DataFrame, walks: DataFrame) -> DataFrame:
 
 def _closed(labels: DataFrame, walks: DataFrame) -> DataFrame:
     """Labels with all they reach on foot: walks are added until they bring no better label."""
-    whole = new = _kept(labels)
+    whole = new = kept(labels)
     while True:
         reached = _walked(new, walks).withColumn("new", F.lit(True))
-        both = _kept(_undominated(whole.withColumn("new", F.lit(False)).unionByName(reached)))
+        both = kept(_undominated(whole.withColumn("new", F.lit(False)).unionByName(reached)))
         whole, new = both.drop("new"), both.where("new").drop("new")
         if new.isEmpty():
             return whole
@@ -59,22 +60,23 @@ def journeys(searches: DataFrame, hops: DataFrame, transfers: DataFrame, profile
     walks = transfers.where("transfer_type <> 3 AND from_stop_id <> to_stop_id")
     rules = transfers.where("from_stop_id = to_stop_id").select(F.col("from_stop_id").alias("rule_stop"), "from_trip_id", "to_trip_id", "transfer_type", F.coalesce("min_transfer_time", F.lit(0)).alias("wait"))
     at = searches.select("query_id", F.col("origin").alias("stop_id"), F.col("departure").cast("long").alias("arrival"), F.lit(0.0).alias("cost"), none.alias("last_trip"), none.alias("required_trip"), (F.col("departure") + F.col("horizon")).cast("long").alias("until"), F.array().cast(f"array<{LEG}>").alias("path"))
+    hops, profiles = kept(hops), profiles.kept()
     frontier, done = _closed(at, walks), None
     for _ in range(max_transfers + 1):
         if limit and time.monotonic() > limit:
             raise SearchLimit("the search passed its deadline")
-        rode = _kept(_undominated(_costed(_rides(frontier, hops, rules), profiles)))
+        rode = kept(_undominated(_costed(_rides(frontier, hops, rules), profiles)))
         if rode.count() > most_labels:
             raise SearchLimit("the search passed its number of labels")
         there = rode.join(ends, "query_id").withColumn("there", F.col("stop_id") == F.col("destination")).drop("destination")
         arrived = there.where("there").drop("there")
-        done = _kept(arrived if done is None else done.unionByName(arrived))
+        done = kept(arrived if done is None else done.unionByName(arrived))
         cutoff = done.groupBy("query_id").agg((F.min("arrival") + max_extra).alias("cutoff"))
         onward = there.where("NOT there").drop("there").join(cutoff, "query_id", "left")
         onward = onward.withColumn("until", F.least("until", "cutoff")).where("arrival <= until").drop("cutoff")
         frontier = _closed(onward, walks)
         on_foot = frontier.join(ends, "query_id").where("stop_id = destination AND last_trip IS NULL").drop("destination")
-        done = _kept(done.unionByName(on_foot))
+        done = kept(done.unionByName(on_foot))
         if frontier.isEmpty():
             break
     last = done.groupBy("query_id").agg((F.min("arrival") + max_extra).alias("last"))
@@ -150,3 +152,68 @@ def path_violations(legs: DataFrame, keys: list[str]) -> DataFrame:
         "runs backwards": F.col("to_sequence") < F.col("from_sequence"),
     }
     return rows.select(*keys, F.explode(F.array(*(F.when(c, k) for k, c in rules.items()))).alias("rule")).where("rule IS NOT NULL")
+
+
+def itinerary_violations(asked: DataFrame, found: DataFrame, real: DataFrame) -> DataFrame:
+    """query_id, rule: what is wrong with the journeys found for searches, each rule once a search.
+
+    asked: query_id, origin, destination, departure. found: query_id, origin, destination, departure,
+    arrival, transfers, duration, path. real: trip_id, from_stop, to_stop, departure, arrival of all rides
+    that there are.
+    """
+    a = asked.select("query_id", F.col("origin").alias("a_origin"), F.col("destination").alias("a_destination"), F.col("departure").alias("a_departure"))
+    rows = a.join(found.withColumn("found", F.lit(True)), "query_id", "left")
+    legs = F.coalesce(F.size("path"), F.lit(0))
+    first, last = F.try_element_at("path", F.lit(1)), F.try_element_at("path", F.lit(-1))
+    rules = {
+        "nothing was found": F.col("found").isNull(),
+        "another origin": F.col("origin") != F.col("a_origin"),
+        "another destination": F.col("destination") != F.col("a_destination"),
+        "another departure": F.col("departure") != F.col("a_departure"),
+        "arrives before the departure asked for": F.col("arrival") < F.col("a_departure"),
+        "no legs": F.col("found").isNotNull() & (legs == 0),
+        "departs before the departure asked for": first["departure"] < F.col("a_departure"),
+        "does not end at the destination": (legs > 0) & (last["to_stop"] != F.col("a_destination")) & (last["arrival"] == F.col("arrival")),
+        "a wrong number of transfers": F.col("transfers") != F.greatest(F.lit(0), legs - 1),
+        "a wrong duration": F.col("duration") != F.col("arrival") - F.col("departure"),
+    }
+    whole = rows.select("query_id", F.explode(F.array(*(F.when(c, k) for k, c in rules.items()))).alias("rule"))
+    single = rows.where("found").select("query_id", F.posexplode("path").alias("position", "leg")).select("query_id", "position", "leg.*")
+    broken = path_violations(single, ["query_id"])
+    unreal = single.join(real.select("trip_id", "from_stop", "to_stop", "departure", "arrival"), ["trip_id", "from_stop", "to_stop", "departure", "arrival"], "left_anti").select("query_id", F.lit("a ride that there is not").alias("rule"))
+    return whole.where("rule IS NOT NULL").unionByName(broken).unionByName(unreal).distinct()
+
+
+def earliest(searches: DataFrame, hops: DataFrame, transfers: DataFrame, profiles: Profiles, max_transfers: int = 3) -> DataFrame:
+    """Of each search the journey that arrives first; of those with the fewest transfers, the most reliable, the first path."""
+    w = Window.partitionBy("query_id").orderBy("arrival", "transfers", "cost", "path")
+    found = journeys(searches, hops, transfers, profiles, max_transfers, max_extra=0)
+    return found.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
+
+
+def candidates(searches: DataFrame, hops: DataFrame, transfers: DataFrame, profiles: Profiles, limit: int = 5, max_extra: int = 1800, max_transfers: int = 3) -> DataFrame:
+    """query_id, attempt, arrival, cost, transfers, path: earliest journeys one after another, each asked a second after the last one's first boarding.
+
+    All searches go on together. One ends with `limit` different journeys, after 4 x limit attempts, without a
+    journey, or with one over max_extra seconds later than its first.
+    """
+    if limit < 1 or max_extra < 0:
+        raise ValueError("a limit of 1 or more and no negative extra time")
+    hops, profiles = kept(hops), profiles.kept()
+    ask, out = searches, None
+    identity = F.transform("path", lambda leg: F.struct(leg["trip_id"], leg["from_stop"], leg["to_stop"])).cast("string")
+    for attempt in range(limit * 4):
+        new = earliest(ask, hops, transfers, profiles, max_transfers).withColumn("attempt", F.lit(attempt)).withColumn("same", identity)
+        if out is not None:
+            fastest = out.groupBy("query_id").agg(F.min_by("arrival", "attempt").alias("fastest"))
+            new = new.join(fastest, "query_id").where(F.col("arrival") <= F.col("fastest") + max_extra).drop("fastest")
+        new = kept(new)
+        if new.isEmpty():
+            break
+        out = kept(new if out is None else out.unionByName(new))
+        enough = out.groupBy("query_id").agg(F.countDistinct("same").alias("n")).where(F.col("n") >= limit).select("query_id")
+        again = new.where("size(path) > 0").select("query_id", (F.element_at("path", 1)["departure"] + 1).alias("next")).join(enough, "query_id", "left_anti")
+        ask = kept(ask.join(again, "query_id").where("next > departure").withColumn("departure", F.col("next")).drop("next"))
+    if out is None:
+        return earliest(searches.where("false"), hops, transfers, profiles, max_transfers).withColumn("attempt", F.lit(0))
+    return out.withColumn("k", F.row_number().over(Window.partitionBy("query_id", "same").orderBy("attempt"))).where("k = 1").drop("k", "same")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.gtfs import EARLY, LATE, shrunken, time_window
+from .keep import kept
 
 KEYS = ["trip_id", "stop_id", "stop_sequence", "service_date"]
 
@@ -38,6 +39,11 @@ class Profiles:
         self.strength, self.minimum = strength, minimum
         self.counts = [F.count(F.lit(1)).alias("n"), F.countDistinct("service_date").alias("dates"), _share(F.col("ok")).alias("on_time")]
 
+    def kept(self) -> Profiles:
+        """The same, with samples computed once: all levels, and all uses of them, read what is kept."""
+        self.samples = kept(self.samples, "samples")
+        return self
+
     def network(self) -> DataFrame:
         return self.samples.agg(*self.counts).where("n > 0").withColumn("reliability", F.col("on_time"))
 
@@ -76,6 +82,6 @@ def resolved(legs: DataFrame, profiles: Profiles) -> DataFrame:
 
 def nearest_schedule(observations: DataFrame, schedule: DataFrame) -> DataFrame:
     """Each observation with the stop of its trip whose time is nearest to its own; the smaller sequence wins ties."""
-    both = observations.join(schedule, "trip_id").withColumn("gap", F.abs(F.col("observed_seconds") - F.col("arrival_seconds")))
-    w = Window.partitionBy("observation_id").orderBy("gap", "stop_sequence")
-    return both.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
+    times = schedule.groupBy("trip_id").agg(F.collect_list(F.struct("arrival_seconds", "stop_sequence")).alias("times"))  # a trip's calls are few
+    gaps = F.transform("times", lambda t: F.struct(F.abs(F.col("observed_seconds") - t["arrival_seconds"]).alias("gap"), t["stop_sequence"].alias("stop_sequence")))
+    return observations.join(times, "trip_id").withColumn("near", F.array_min(gaps)).select(*observations.columns, "near.stop_sequence", "near.gap")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import time
-import uuid
 from functools import reduce
 from operator import and_
 
@@ -11,50 +10,84 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.gtfs import leg_cost, percent_score
+from .keep import kept
+
+
+#: From when one can board where one has come by a ride; null where the stop's rules forbid it.
+_READY = "if(coalesce(forbidden, false), NULL, arrival + coalesce(wait, 0)) AS ready"
+_BETTER = "old IS NULL OR arrival < old OR coalesce(ready < old_ready, old_ready IS NULL AND ready IS NOT NULL)"
 
 
 class SearchLimit(RuntimeError):
     """A search passed its deadline or its number of labels; there is no partial result."""
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Each round uses the one before several times: without a cut, plans double by round."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.persist()
-    path = f"{folder.rstrip('/')}/search-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def _stop_rules(transfers: DataFrame) -> DataFrame:
+    """stop_id, wait, forbidden: what holds for boarding where one has got off."""
+    rules = transfers.where("from_stop_id = to_stop_id").groupBy(F.col("from_stop_id").alias("stop_id"))
+    return rules.agg(F.max(F.coalesce("min_transfer_time", F.lit(0))).alias("wait"), F.max(F.col("transfer_type") == 3).alias("forbidden"))
 
 
-def earliest_arrivals(origins: DataFrame, hops: DataFrame, walks: DataFrame, boardings: int = 4, horizon: int = 10800, deadline_s: float | None = None) -> DataFrame:
-    """query_id, stop_id, arrival: earliest arrivals with up to `boardings` boardings.
+def closed_walks(transfers: DataFrame) -> DataFrame:
+    """from_stop_id, to_stop_id, seconds: the shortest way on foot over any number of transfers, also back to where it began.
+
+    Rounds double the number of transfers until nothing is shorter. Stops that
+    are linked on foot are a station and its neighbours, so the result is small.
+    """
+    keys = ["from_stop_id", "to_stop_id"]
+    least = F.min("seconds").alias("seconds")
+    walks = kept(transfers.where("transfer_type <> 3 AND from_stop_id <> to_stop_id").groupBy(*keys).agg(F.min(F.coalesce("min_transfer_time", F.lit(0))).cast("long").alias("seconds")))
+    while True:
+        on = walks.select(F.col("from_stop_id").alias("to_stop_id"), F.col("to_stop_id").alias("end"), F.col("seconds").alias("more"))
+        further = walks.join(on, "to_stop_id").select("from_stop_id", F.col("end").alias("to_stop_id"), (F.col("seconds") + F.col("more")).alias("seconds"))
+        longer = kept(walks.unionByName(further).groupBy(*keys).agg(least))
+        if longer.join(walks, [*keys, "seconds"], "left_anti").isEmpty():
+            return longer
+        walks = longer
+
+
+def arrivals_by_boardings(origins: DataFrame, hops: DataFrame, transfers: DataFrame, boardings: int = 4, horizon: int = 10800, deadline_s: float | None = None) -> DataFrame:
+    """query_id, stop_id, boardings, arrival: earliest arrivals with so many boardings, where fewer don't do as well.
 
     origins: query_id, stop_id, arrival (the time asked for). A trip is boarded at
-    or after arrival and left at any later stop; walks (from_stop_id, to_stop_id,
-    min_transfer_time, transfer_type) follow rides, one after another. Departures
-    after the horizon don't count.
+    or after the time from which a stop can board and left at any later stop;
+    departures after the horizon don't count. Walks come before the first ride and
+    after any. transfers may hold rules of a stop with itself, as in
+    earliest_to_fixpoint: they hold where one has come by a ride.
     """
     limit = time.monotonic() + deadline_s if deadline_s else None
     start = origins.select("query_id", F.col("arrival").alias("until"))
-    walks = walks.where("transfer_type <> 3 AND from_stop_id <> to_stop_id").groupBy("from_stop_id", "to_stop_id").agg(F.min(F.coalesce("min_transfer_time", F.lit(0))).alias("seconds"))
-    best = _kept(origins.select("query_id", "stop_id", "arrival"))
-    frontier = best
-    for _ in range(boardings):
+    walks, rules = closed_walks(transfers), _stop_rules(transfers)
+    hops = kept(hops.select("trip_id", "stop_sequence", "from_stop_id", "to_stop_id", "departure_seconds", "arrival_seconds", "pickup_type", "drop_off_type"))
+    later = hops.select("trip_id", "stop_sequence", F.col("to_stop_id").alias("stop_id"), F.col("arrival_seconds").alias("arrival"))
+    ends = [F.min("arrival").alias("arrival"), F.min("ready").alias("ready")]
+
+    def on_foot(labels: DataFrame) -> DataFrame:
+        reached = labels.join(walks, F.col("stop_id") == F.col("from_stop_id")).select("query_id", F.col("to_stop_id").alias("stop_id"), (F.col("arrival") + F.col("seconds")).alias("arrival"))
+        return labels.unionByName(reached.withColumn("ready", F.col("arrival"))).groupBy("query_id", "stop_id").agg(*ends)
+
+    frontier = kept(on_foot(origins.select("query_id", "stop_id", "arrival", F.col("arrival").alias("ready"))))
+    best, out = frontier, frontier.select("query_id", "stop_id", F.lit(0).alias("boardings"), "arrival")
+    for k in range(1, boardings + 1):
         if limit and time.monotonic() > limit:
             raise SearchLimit("the search passed its deadline")
-        board = frontier.join(start, "query_id").join(hops, F.col("stop_id") == F.col("from_stop_id")).where((F.col("departure_seconds") >= F.col("arrival")) & (F.col("departure_seconds") <= F.col("until") + horizon) & (F.col("pickup_type") != 1) & (F.col("drop_off_type") != 1))
+        board = frontier.join(start, "query_id").join(hops, F.col("stop_id") == F.col("from_stop_id")).where((F.col("departure_seconds") >= F.col("ready")) & (F.col("departure_seconds") <= F.col("until") + horizon) & (F.col("pickup_type") != 1) & (F.col("drop_off_type") != 1))
         board = board.groupBy("query_id", "trip_id").agg(F.min("stop_sequence").alias("from_sequence"))
-        ride = board.join(hops.select("trip_id", "stop_sequence", F.col("to_stop_id").alias("stop_id"), F.col("arrival_seconds").alias("arrival")), "trip_id").where("stop_sequence >= from_sequence").groupBy("query_id", "stop_id").agg(F.min("arrival").alias("arrival"))
-        walk = ride.join(walks, F.col("stop_id") == F.col("from_stop_id")).select("query_id", F.col("to_stop_id").alias("stop_id"), (F.col("arrival") + F.col("seconds")).alias("arrival"))
-        new = ride.unionByName(walk).groupBy("query_id", "stop_id").agg(F.min("arrival").alias("arrival"))
-        old = best.withColumnRenamed("arrival", "old")
-        frontier = _kept(new.join(old, ["query_id", "stop_id"], "left").where("old IS NULL OR arrival < old").drop("old"))
+        ride = board.join(later, "trip_id").where("stop_sequence >= from_sequence").groupBy("query_id", "stop_id").agg(F.min("arrival").alias("arrival"))
+        ride = ride.join(rules, "stop_id", "left").selectExpr("query_id", "stop_id", "arrival", _READY)
+        old = best.withColumnsRenamed({"arrival": "old", "ready": "old_ready"})
+        both = kept(on_foot(ride).join(old, ["query_id", "stop_id"], "left").where(_BETTER))
+        frontier = both.drop("old", "old_ready")
         if frontier.isEmpty():
             break
-        best = _kept(best.unionByName(frontier).groupBy("query_id", "stop_id").agg(F.min("arrival").alias("arrival")))
-    return best
+        out = out.unionByName(both.where("old IS NULL OR arrival < old").select("query_id", "stop_id", F.lit(k).alias("boardings"), "arrival"))
+        best = kept(best.unionByName(frontier).groupBy("query_id", "stop_id").agg(*ends))
+    return out
+
+
+def earliest_arrivals(origins: DataFrame, hops: DataFrame, transfers: DataFrame, boardings: int = 4, horizon: int = 10800, deadline_s: float | None = None) -> DataFrame:
+    """query_id, stop_id, arrival: earliest arrivals with up to `boardings` boardings."""
+    return arrivals_by_boardings(origins, hops, transfers, boardings, horizon, deadline_s).groupBy("query_id", "stop_id").agg(F.min("arrival").alias("arrival"))
 
 
 def earliest_to_fixpoint(origins: DataFrame, hops: DataFrame, transfers: DataFrame, deadline_s: float | None = None) -> DataFrame:
@@ -66,16 +99,15 @@ def earliest_to_fixpoint(origins: DataFrame, hops: DataFrame, transfers: DataFra
     the time from which it can board. Rules of single trips are not known here.
     """
     limit = time.monotonic() + deadline_s if deadline_s else None
-    seconds = F.coalesce("min_transfer_time", F.lit(0))
-    walks = transfers.where("transfer_type <> 3 AND from_stop_id <> to_stop_id").groupBy("from_stop_id", "to_stop_id").agg(F.min(seconds).alias("seconds"))
-    rules = transfers.where("from_stop_id = to_stop_id").groupBy(F.col("from_stop_id").alias("stop_id")).agg(F.max(seconds).alias("wait"), F.max(F.col("transfer_type") == 3).alias("forbidden"))
+    walks = transfers.where("transfer_type <> 3 AND from_stop_id <> to_stop_id").groupBy("from_stop_id", "to_stop_id").agg(F.min(F.coalesce("min_transfer_time", F.lit(0))).alias("seconds"))
+    rules = _stop_rules(transfers)
     w = Window.partitionBy("trip_id").orderBy("stop_sequence")
     broken = (F.col("from_stop_id") != F.lag("to_stop_id").over(w)) | (F.col("departure_seconds") < F.lag("arrival_seconds").over(w))
     hops = hops.withColumn("broken", F.coalesce(broken, F.lit(False)).cast("int")).withColumn("part", F.sum("broken").over(w))
-    hops = _kept(hops.select("trip_id", "part", "stop_sequence", "from_stop_id", "to_stop_id", "departure_seconds", "arrival_seconds", "pickup_type", "drop_off_type"))
+    hops = kept(hops.select("trip_id", "part", "stop_sequence", "from_stop_id", "to_stop_id", "departure_seconds", "arrival_seconds", "pickup_type", "drop_off_type"))
     later = hops.select("trip_id", "part", "stop_sequence", F.col("to_stop_id").alias("stop_id"), F.col("arrival_seconds").alias("arrival"))
     ends = [F.min("arrival").alias("arrival"), F.min("ready").alias("ready")]
-    best = _kept(origins.select("query_id", "stop_id", "arrival", F.col("arrival").alias("ready")).groupBy("query_id", "stop_id").agg(*ends))
+    best = kept(origins.select("query_id", "stop_id", "arrival", F.col("arrival").alias("ready")).groupBy("query_id", "stop_id").agg(*ends))
     frontier = best
     while not frontier.isEmpty():
         if limit and time.monotonic() > limit:
@@ -83,13 +115,12 @@ def earliest_to_fixpoint(origins: DataFrame, hops: DataFrame, transfers: DataFra
         board = frontier.join(hops, F.col("stop_id") == F.col("from_stop_id")).where("departure_seconds >= ready AND pickup_type <> 1 AND drop_off_type <> 1")
         board = board.groupBy("query_id", "trip_id", "part").agg(F.min("stop_sequence").alias("from_sequence"))
         ride = board.join(later, ["trip_id", "part"]).where("stop_sequence >= from_sequence").groupBy("query_id", "stop_id").agg(F.min("arrival").alias("arrival"))
-        ride = ride.join(rules, "stop_id", "left").select("query_id", "stop_id", "arrival", F.expr("if(coalesce(forbidden, false), NULL, arrival + coalesce(wait, 0))").alias("ready"))
+        ride = ride.join(rules, "stop_id", "left").selectExpr("query_id", "stop_id", "arrival", _READY)
         walk = frontier.join(walks, F.col("stop_id") == F.col("from_stop_id")).select("query_id", F.col("to_stop_id").alias("stop_id"), (F.col("arrival") + F.col("seconds")).alias("arrival"))
         new = ride.unionByName(walk.withColumn("ready", F.col("arrival"))).groupBy("query_id", "stop_id").agg(*ends)
         old = best.withColumnsRenamed({"arrival": "old", "ready": "old_ready"})
-        better = "old IS NULL OR arrival < old OR coalesce(ready < old_ready, old_ready IS NULL AND ready IS NOT NULL)"
-        frontier = _kept(new.join(old, ["query_id", "stop_id"], "left").where(better).drop("old", "old_ready"))
-        best = _kept(best.unionByName(frontier).groupBy("query_id", "stop_id").agg(*ends))
+        frontier = kept(new.join(old, ["query_id", "stop_id"], "left").where(_BETTER).drop("old", "old_ready"))
+        best = kept(best.unionByName(frontier).groupBy("query_id", "stop_id").agg(*ends))
     return best.drop("ready")
 
 

@@ -42,10 +42,21 @@ VIEWS = {
 }
 
 NAME = "coalesce(short_name, long_name, route_id::VARCHAR)"
-_ROUND = """
-    b{k} AS (SELECT query_id, trip_id, min(stop_sequence) AS s FROM f{p} JOIN starts USING (query_id) JOIN urgent h ON h.from_stop_id = f{p}.stop_id AND h.departure_seconds >= f{p}.arrival AND h.departure_seconds <= until + 10800 AND pickup_type <> 1 AND drop_off_type <> 1 GROUP BY ALL),
-    r{k} AS (SELECT query_id, to_stop_id AS stop_id, min(arrival_seconds) AS arrival FROM b{k} JOIN urgent USING (trip_id) WHERE stop_sequence >= s GROUP BY ALL),
-    f{k} AS (SELECT query_id, stop_id, min(arrival) AS arrival FROM (SELECT * FROM r{k} UNION ALL SELECT query_id, to_stop_id, arrival + seconds FROM r{k} JOIN walks ON from_stop_id = stop_id UNION ALL SELECT * FROM f{p}) GROUP BY ALL)"""
+# Labels of a round: l0 are the origins with what is near on foot; each round boards from the labels of the one before.
+_SEARCH = """, today AS (SELECT * FROM hops WHERE service_id IN (SELECT service_id FROM service_days WHERE service_date = DATE '2026-06-29')),
+    walks AS (SELECT from_stop_id AS a, to_stop_id AS b, min(coalesce(min_transfer_time, 0))::BIGINT AS s FROM clique WHERE transfer_type <> 3 AND from_stop_id <> to_stop_id GROUP BY ALL),
+    paths(a, b, s, k) AS (SELECT a, b, s, 1 FROM walks UNION SELECT p.a, w.b, p.s + w.s, p.k + 1 FROM paths p JOIN walks w ON w.a = p.b WHERE p.k < 10),
+    foot AS (SELECT a, b, min(s) AS s FROM paths GROUP BY ALL),
+    rules AS (SELECT from_stop_id AS stop_id, max(coalesce(min_transfer_time, 0)) AS wait, max((transfer_type = 3)::INT) AS forbidden FROM clique WHERE from_stop_id = to_stop_id GROUP BY ALL),
+    starts AS (SELECT * FROM (VALUES (1, 1::BIGINT, 28800::BIGINT), (2, 2, 28800), (3, 1, 50400)) AS t(query_id, stop_id, until)),
+    s0 AS (SELECT query_id, stop_id, until AS arrival, until AS ready FROM starts UNION ALL SELECT query_id, b, until + s, until + s FROM starts JOIN foot ON a = stop_id),
+    l0 AS (SELECT query_id, stop_id, min(arrival) AS arrival, min(ready) AS ready FROM s0 GROUP BY ALL)"""
+_ROUND = """,
+    b{k} AS (SELECT query_id, trip_id, min(stop_sequence) AS s FROM l{p} JOIN (SELECT query_id, until FROM starts) USING (query_id) JOIN today h ON h.from_stop_id = l{p}.stop_id AND h.departure_seconds >= ready AND h.departure_seconds <= until + 10800 AND pickup_type <> 1 AND drop_off_type <> 1 GROUP BY ALL),
+    r{k} AS (SELECT query_id, to_stop_id AS stop_id, min(arrival_seconds) AS arrival FROM b{k} JOIN today USING (trip_id) WHERE stop_sequence >= s GROUP BY ALL),
+    t{k} AS (SELECT query_id, stop_id, arrival, CASE WHEN coalesce(forbidden, 0) = 0 THEN arrival + coalesce(wait, 0) END AS ready FROM r{k} LEFT JOIN rules USING (stop_id) UNION ALL SELECT query_id, b, arrival + s, arrival + s FROM r{k} JOIN foot ON a = stop_id),
+    l{k} AS (SELECT query_id, stop_id, min(arrival) AS arrival, min(ready) AS ready FROM t{k} GROUP BY ALL)"""
+_ROUNDS = _SEARCH + "".join(_ROUND.format(k=k, p=k - 1) for k in (1, 2)) + ", every AS (" + " UNION ALL ".join(f"SELECT query_id, stop_id, {k} AS boardings, arrival FROM l{k}" for k in range(3)) + ")"
 
 SELECTS = {
     "gtfs_time_parse_format": "SELECT trip_id, stop_sequence, printf('%02d:%02d:%02d', departure_seconds // 3600, departure_seconds % 3600 // 60, departure_seconds % 60) AS text, departure_seconds AS seconds FROM stop_times",
@@ -95,8 +106,9 @@ SELECTS = {
     "route_patterns": "SELECT route_id, coalesce(direction_id, -1) AS direction_id, stops, count(*) AS trips, min(trip_id) AS first_trip FROM (SELECT trip_id, route_id, direction_id, string_agg(from_stop_id::VARCHAR, '|' ORDER BY stop_sequence) || '|' || arg_max(to_stop_id, stop_sequence)::VARCHAR AS stops FROM hops GROUP BY ALL) GROUP BY ALL",
     "observation_backfill": "SELECT observation_id, trip_id, stop_sequence, gap FROM (SELECT event_id AS observation_id, trip_id, stop_sequence, abs(hour(ts) * 3600 + minute(ts) * 60 - arrival_seconds) AS gap, row_number() OVER (PARTITION BY event_id ORDER BY abs(hour(ts) * 3600 + minute(ts) * 60 - arrival_seconds), stop_sequence) AS k FROM events JOIN stop_times ON trip_id = user_id) WHERE k = 1",
     "max_speed_bound": f"SELECT round(max({METERS('a.stop_lat', 'b.stop_lat', 'a.stop_lon', 'b.stop_lon')} / (arrival_seconds - departure_seconds)) * 1.001, 6) AS meters_per_second FROM hops JOIN stops a ON a.stop_id = from_stop_id JOIN stops b ON b.stop_id = to_stop_id WHERE arrival_seconds > departure_seconds",
-    "earliest_arrival_rounds": ", urgent AS (SELECT * FROM hops WHERE service_id = '1-URGENT'), walks AS (SELECT from_stop_id, to_stop_id, min(coalesce(min_transfer_time, 0)) AS seconds FROM clique WHERE transfer_type <> 3 AND from_stop_id <> to_stop_id GROUP BY ALL), f0 AS (SELECT * FROM (VALUES (1, 1::BIGINT, 28800::BIGINT), (2, 2, 28800), (3, 1, 50400)) AS t(query_id, stop_id, arrival)), starts AS (SELECT query_id, arrival AS until FROM f0),"
-    + ",".join(_ROUND.format(k=k, p=k - 1) for k in (1, 2)) + " SELECT * FROM f2",
+    "earliest_arrival_rounds": _ROUNDS + " SELECT query_id, stop_id, min(arrival) AS arrival FROM every GROUP BY ALL",
+    "snapshot_search_rounds": _ROUNDS + " SELECT query_id, stop_id, boardings, arrival FROM (SELECT *, min(arrival) OVER (PARTITION BY query_id, stop_id ORDER BY boardings ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM every) WHERE before IS NULL OR arrival < before",
+    "walks_closed": _SEARCH + " SELECT a AS from_stop_id, b AS to_stop_id, s AS seconds FROM foot",
     "pareto_alternatives": "SELECT DISTINCT destination, arrival, cost, transfers FROM alternatives a WHERE NOT EXISTS (SELECT 1 FROM alternatives b WHERE b.destination = a.destination AND b.arrival <= a.arrival AND b.cost <= a.cost AND b.transfers <= a.transfers AND (b.arrival < a.arrival OR b.cost < a.cost OR b.transfers < a.transfers))",
     "rank_alternatives": ", x AS (SELECT * REPLACE (round(reliability, 6) AS reliability), arrival - departure AS duration, min(arrival - departure) OVER () AS fastest FROM alternatives WHERE destination = 2), s AS (SELECT *, round(greatest(0, least(100, 100 * (0.5::DOUBLE * reliability + 0.5::DOUBLE * least(1.0::DOUBLE, fastest::DOUBLE / greatest(1, duration))))), 6) AS score FROM x), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, reliability DESC, arrival, transfers, trip_id) AS rank FROM s) SELECT rank::INT AS rank, trip_id, departure, arrival, reliability, score FROM r WHERE rank <= 3",
     "semantic_dedupe": "SELECT destination, count(*) AS n FROM (SELECT DISTINCT route_id, destination, departure, arrival FROM alternatives) GROUP BY ALL",
@@ -134,9 +146,18 @@ SELECTS = {
     "simulation_ranking": """, x AS (SELECT *, arrival - departure AS duration, min(arrival - departure) OVER (PARTITION BY destination) AS fastest FROM (SELECT DISTINCT concat_ws('-', trip_id, departure, arrival) AS itinerary_id, destination, departure, arrival, round(reliability, 6) AS adherence FROM alternatives)),
         s AS (SELECT *, round(greatest(0, least(100, 100 * (0.55::DOUBLE + 0.25::DOUBLE * adherence + 0.20::DOUBLE * CASE WHEN duration <= 0 THEN 1 ELSE greatest(0, least(1, fastest::DOUBLE / duration)) END))), 6) AS score FROM x)
         SELECT destination, rank::INT AS rank, itinerary_id, score FROM (SELECT *, row_number() OVER (PARTITION BY destination ORDER BY score DESC, arrival, itinerary_id) AS rank FROM s) WHERE rank <= 3""",
+    "stored_departures": "SELECT trip_id, stop_sequence, from_stop_id, to_stop_id, departure_seconds, arrival_seconds FROM hops WHERE from_stop_id = 1 AND departure_seconds >= 28800 AND pickup_type <> 1 AND drop_off_type <> 1",
+    "stored_violations": """SELECT * FROM (SELECT 'hop starts at an unknown stop' AS rule, count(*) AS rows FROM hops WHERE from_stop_id = 5 UNION ALL SELECT 'hop ends at an unknown stop', count(*) FROM hops WHERE to_stop_id = 5
+        UNION ALL SELECT 'transfer from an unknown stop', count(*) FROM transfers WHERE from_stop_id = 5 OR from_stop_id NOT IN (SELECT stop_id FROM stops) UNION ALL SELECT 'transfer to an unknown stop', count(*) FROM transfers WHERE to_stop_id = 5 OR to_stop_id NOT IN (SELECT stop_id FROM stops)
+        UNION ALL SELECT 'stops is not as long as when written', 1) WHERE rows > 0""",
+    "csv_reason_codes": "SELECT CASE WHEN trip_id % 10 = 4 THEN 'empty route_id' WHEN trip_id % 10 = 3 THEN 'invalid direction_id' WHEN route_id = 7 THEN 'orphan route_id' ELSE 'kept' END AS reason, count(*) AS n FROM trips GROUP BY ALL",
+    "rt_schedule_match": """SELECT position, stop_sequence, stop_id FROM (SELECT position, t.stop_sequence, t.stop_id, row_number() OVER (PARTITION BY position ORDER BY t.stop_sequence NULLS LAST) AS k FROM
+        (SELECT event_id AS position, user_id, CASE WHEN event_id % 3 <> 0 THEN event_id % 10 END AS stop, CASE WHEN event_id % 3 <> 1 THEN event_id % 4 + 1 END AS seq FROM events) e
+        LEFT JOIN stop_times t ON t.trip_id = user_id AND (stop IS NULL OR stop = t.stop_id) AND (seq IS NULL OR seq = t.stop_sequence)) WHERE k = 1""",
+    "stream_latest_observations": "SELECT * REPLACE (service_date::VARCHAR AS service_date, coalesce(scheduled_arrival, -1) AS scheduled_arrival) FROM latest",
 }
 
 
 def oracle_sql() -> dict[str, str]:
     views = ",\n".join(f"{k} AS ({v})" for k, v in VIEWS.items())
-    return {k: f"WITH {views}{'' if s.startswith(',') else chr(10)}{s}" for k, s in SELECTS.items()}
+    return {k: f"WITH RECURSIVE {views}{'' if s.startswith(',') else chr(10)}{s}" for k, s in SELECTS.items()}

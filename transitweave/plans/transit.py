@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,9 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions import gtfs
 from ..operators import calendar as cal
-from ..operators import lookups, search, simulation, timetable
+from ..operators import cleaning, journeys, keep, lookups, realtime, search, simulation, timetable
 from ..operators import reliability as rel
+from ..sources import feed, stored
 from ..sources.bridge import Network
+from ..streaming import observations as streamed
 
 REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Queries that SQL of bounded length can't express.
@@ -186,12 +189,12 @@ def diagnostics_counts(n):
 @query
 def profile_lookup(n):
     keys = n.spark.createDataFrame([(1, "midday"), (5, "evening"), (9, "midday")], "route_id long, time_window string")
-    return lookups.profiles_for(rel.Profiles(_samples(n)).exact(), keys).select("route_id", "direction_key", "time_window", "n", "reliability")
+    return lookups.profiles_for(rel.Profiles(_samples(n)).kept().exact(), keys).select("route_id", "direction_key", "time_window", "n", "reliability")
 
 
 @query
 def profile_fallbacks(n):
-    return lookups.fallback_profiles(rel.Profiles(_samples(n)))
+    return lookups.fallback_profiles(rel.Profiles(_samples(n)).kept())
 
 
 @query
@@ -301,6 +304,62 @@ def integration_cases(n):
     return lookups.integration_cases(n.stop_times(), n.trips(), n.routes(), n.stops(), dates, 20)
 
 
+def _stored(n: Network) -> stored.Timetable:
+    """The network as a stored timetable in the shared folder, read back."""
+    target = f"{keep.folder(n.spark)}/timetable-{uuid.uuid4().hex}"
+    profiles = rel.Profiles(_samples(n)).kept()
+    tables = {"stops": n.stops(), "hops": _hops(n), "transfers": n.transfers(), "calendar": n.calendar(), "calendar_dates": n.calendar_dates(), "profiles": profiles.exact(), "fallback_profiles": lookups.fallback_profiles(profiles)}
+    stored.write_timetable(tables, target)
+    return stored.read_timetable(n.spark, target)
+
+
+@query
+def stored_departures(n):
+    """From a stored timetable, whose files are sorted by what is asked for."""
+    return timetable.departures(_stored(n).tables["hops"], 1, 28800).select(*HOP)
+
+
+@query
+def stored_violations(n):
+    """A stored timetable that has lost a stop."""
+    t = _stored(n)
+    t.tables["stops"] = t.tables["stops"].where("stop_id <> 5")
+    return stored.violations(t)
+
+
+@query
+def csv_reason_codes(n):
+    """Trips written as the text file of a feed, one in ten of them spoilt, and read with reasons."""
+    target = f"{keep.folder(n.spark)}/feed-{uuid.uuid4().hex}"
+    spoilt = F.when(F.col("trip_id") % 10 == 3, "x").otherwise(F.coalesce(F.col("direction_id").cast("string"), F.lit("")))
+    rows = n.trips().select(F.when(F.col("trip_id") % 10 == 4, "").otherwise(F.col("route_id").cast("string")).alias("route_id"), "service_id", F.col("trip_id").cast("string").alias("trip_id"), spoilt.alias("direction_id"))
+    rows.write.option("header", True).option("emptyValue", "").csv(f"{target}/trips.txt")
+    found = feed.typed(feed.raw(n.spark, target, "trips"), "trips")
+    found = cleaning.with_orphans(found, "route_id", n.routes().where("route_id <> 7").select(F.col("route_id").cast("string").alias("route_id")), "route_id")
+    return found.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def rt_schedule_match(n):
+    """Events as realtime updates that name a stop, a sequence, or both."""
+    e = F.col("event_id")
+    asked = n.events().select(
+        F.col("ts").alias("observed_at"), F.col("user_id").alias("trip_id"), F.to_date("ts").alias("service_date"), e.alias("position"),
+        F.when(e % 3 != 0, e % 10).alias("asked_stop"), F.when(e % 3 != 1, e % 4 + 1).alias("asked_sequence"), F.lit(0).alias("arrival"), F.lit(0).alias("departure"),
+    )
+    return realtime.matched(asked, n.stop_times()).select("position", F.col("scheduled.stop_sequence").alias("stop_sequence"), F.col("scheduled.stop_id").alias("stop_id"))
+
+
+@query
+def stream_latest_observations(n):
+    """The newest observation of each stop visit, as a stream leaves it."""
+    target = f"{keep.folder(n.spark)}/stream-{uuid.uuid4().hex}"
+    n.observations().write.parquet(f"{target}/in")
+    stream = n.spark.readStream.schema(n.observations().schema).parquet(f"{target}/in")
+    streamed.keep_newest(stream, f"{target}/out", f"{target}/state").awaitTermination()
+    return streamed.newest(n.spark, f"{target}/out").fillna(-1, ["scheduled_arrival"])
+
+
 @query
 def latest_observations(n):
     return rel.latest(n.observations()).fillna(-1, ["scheduled_arrival"])
@@ -319,27 +378,27 @@ def trip_samples(n):
 
 @query
 def profile_network(n):
-    return rel.Profiles(_samples(n)).network()
+    return rel.Profiles(_samples(n)).kept().network()
 
 
 @query
 def profile_route(n):
-    return rel.Profiles(_samples(n)).route()
+    return rel.Profiles(_samples(n)).kept().route()
 
 
 @query
 def profile_route_direction(n):
-    return rel.Profiles(_samples(n)).route_direction()
+    return rel.Profiles(_samples(n)).kept().route_direction()
 
 
 @query
 def profile_exact(n):
-    return rel.Profiles(_samples(n)).exact()
+    return rel.Profiles(_samples(n)).kept().exact()
 
 
 @query
 def profiles_below_minimum(n):
-    return rel.Profiles(_samples(n)).exact().where("insufficient").agg(F.count(F.lit(1)).alias("n"))
+    return rel.Profiles(_samples(n)).kept().exact().where("insufficient").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -351,7 +410,7 @@ def delay_summary(n):
 @query
 def profile_resolution(n):
     legs = _hops(n).where("stop_sequence = 1").select("trip_id", "route_id", "direction_id", gtfs.time_window(F.col("departure_seconds")).alias("time_window"))
-    return rel.resolved(legs, rel.Profiles(_samples(n), minimum=20)).select("trip_id", "level", F.round("reliability", 9).alias("reliability"), "n", "insufficient")
+    return rel.resolved(legs, rel.Profiles(_samples(n), minimum=20).kept()).select("trip_id", "level", F.round("reliability", 9).alias("reliability"), "n", "insufficient")
 
 
 @query
@@ -375,35 +434,88 @@ def max_speed_bound(n):
     return h.agg(F.round(F.max(speed) * 1.001, 6).alias("meters_per_second"))
 
 
-@query
-def earliest_arrival_rounds(n):
-    origins = n.spark.createDataFrame([(1, 1, 28800), (2, 2, 28800), (3, 1, 50400)], "query_id int, stop_id long, arrival long")
-    hops = _hops(n).where("service_id = '1-URGENT'")
-    walks = timetable.station_transfers(n.stops(), n.transfers())
-    return search.earliest_arrivals(origins, hops, walks, boardings=2)
+def _origins(n: Network) -> DataFrame:
+    return n.spark.createDataFrame([(1, 1, 28800), (2, 2, 28800), (3, 1, 50400)], "query_id int, stop_id long, arrival long")
 
 
 def service_day_hops(n: Network, date: str) -> DataFrame:
     return _hops(n).join(F.broadcast(cal.active_services(n.calendar(), n.calendar_dates(), date)), "service_id", "left_semi")
 
 
+@query
+def earliest_arrival_rounds(n):
+    """Two boardings, over all services of a date."""
+    return search.earliest_arrivals(_origins(n), service_day_hops(n, "2026-06-29"), timetable.station_transfers(n.stops(), n.transfers()), boardings=2)
+
+
+@query
+def snapshot_search_rounds(n):
+    """As earliest_arrival_rounds, with what each further boarding gains."""
+    return search.arrivals_by_boardings(_origins(n), service_day_hops(n, "2026-06-29"), timetable.station_transfers(n.stops(), n.transfers()), boardings=2)
+
+
+@query
+def walks_closed(n):
+    return search.closed_walks(timetable.station_transfers(n.stops(), n.transfers()))
+
+
 def earliest_arrival_fixpoint(spark: SparkSession, folder: str) -> DataFrame:
     """As earliest_arrival_rounds, over all services of a date, with any number of boardings and walks."""
     n = Network(spark, folder)
-    origins = spark.createDataFrame([(1, 1, 28800), (2, 2, 28800), (3, 1, 50400)], "query_id int, stop_id long, arrival long")
-    return search.earliest_to_fixpoint(origins, service_day_hops(n, "2026-06-29"), timetable.station_transfers(n.stops(), n.transfers()))
+    return search.earliest_to_fixpoint(_origins(n), service_day_hops(n, "2026-06-29"), timetable.station_transfers(n.stops(), n.transfers()))
 
 
 UNBOUNDED["earliest_arrival_fixpoint"] = earliest_arrival_fixpoint
 
 
+def _asked(n: Network) -> DataFrame:
+    return n.spark.createDataFrame([(1, 1, 2, 28800, 7200), (2, 3, 8, 28800, 7200)], "query_id int, origin long, destination long, departure long, horizon long")
+
+
+def _rules(n: Network) -> DataFrame:
+    none = F.lit(None).cast("long")
+    return timetable.station_transfers(n.stops(), n.transfers()).withColumns({"from_trip_id": none, "to_trip_id": none})
+
+
+def unbounded(f: Callable[[Network], DataFrame]) -> Callable[[Network], DataFrame]:
+    UNBOUNDED[f.__name__] = lambda spark, folder: _plain(f(Network(spark, folder)))
+    return f
+
+
+def _journeys(n: Network, **bounds) -> DataFrame:
+    return journeys.journeys(_asked(n), service_day_hops(n, "2026-06-29"), _rules(n), rel.Profiles(_samples(n)), **bounds)
+
+
+@unbounded
+def mc_raptor_alternatives(n):
+    """Pareto-best journeys over all services of a date."""
+    return _journeys(n).select("query_id", "arrival", F.round("cost", 6).alias("cost"), "transfers")
+
+
+@unbounded
+def itinerary_nested(n):
+    return journeys.itineraries(_journeys(n, max_transfers=1))
+
+
+@unbounded
+def path_violations(n):
+    legs = journeys.legs_of(_journeys(n).withColumnRenamed("arrival", "end"), ["query_id", "end", "cost"])
+    return journeys.path_violations(legs, ["query_id", "end", "cost"])
+
+
+@unbounded
+def plan_candidates(n):
+    found = journeys.candidates(_asked(n), service_day_hops(n, "2026-06-29"), _rules(n), rel.Profiles(_samples(n)), limit=2, max_transfers=1)
+    return found.select("query_id", "attempt", "arrival", "transfers")
+
+
 def _alternatives(n: Network) -> DataFrame:
     """Rides without a change from stop 1 to any stop, as alternatives."""
     h = lookups.hops_of_stop(n.stop_times(), n.trips(), 1)
     o = h.where("from_stop_id = 1").select("trip_id", "route_id", "direction_id", F.col("stop_sequence").alias("o_seq"), F.col("departure_seconds").alias("departure"))
     d = h.select("trip_id", F.col("stop_sequence").alias("d_seq"), F.col("to_stop_id").alias("destination"), F.col("arrival_seconds").alias("arrival"))
     legs = o.join(d, "trip_id").where("d_seq >= o_seq").withColumn("time_window", gtfs.time_window(F.col("arrival")))
-    legs = rel.resolved(legs, rel.Profiles(_samples(n)))
+    legs = rel.resolved(legs, rel.Profiles(_samples(n)).kept())
     return search.with_costs(legs).select("trip_id", "route_id", "destination", "departure", "arrival", "reliability", "cost", "transfers")
 
 
