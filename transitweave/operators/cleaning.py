@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import feed
+from .keep import kept as kept_once
+
 # Child table, its column, the parent table and its key; ? may be blank. In the order of checks.
 RULES = [
     ("routes", "agency_id", "agency", "agency_id"),
@@ -62,3 +65,15 @@ def reason_counts(tables: dict[str, DataFrame]) -> DataFrame:
         part = df.groupBy("reason").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table"), "reason", "n")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def cleaned_feed(spark: SparkSession, folder: str, target: str, dry_run: bool = False) -> DataFrame:
+    """table, reason, n of a folder of text tables; with rows to remove, and unless dry_run, a cleaned version under target.
+
+    Rows are told apart by their values: a reason carries no row number, as a file read in parts has none.
+    """
+    tables = judged(feed.read_feed(spark, folder))
+    counts = kept_once(reason_counts(tables))
+    if not dry_run and not counts.where("reason IS NOT NULL").isEmpty():
+        feed.write_feed(kept(tables), target, replace=True)
+    return counts

@@ -42,8 +42,8 @@ def profile_version(profiles: DataFrame, column: str = "updated_at") -> DataFram
 
 
 def service_date_of(moment: Column, zone: str = "America/Vancouver") -> Column:
-    """The date of a moment (a timestamp of the session's zone, which must be UTC) by the clock of `zone`."""
-    return F.to_date(F.from_utc_timestamp(moment, zone))
+    """The date of a moment by the clock of `zone`, whatever the session's zone."""
+    return F.to_date(F.convert_timezone(None, F.lit(zone), moment))
 
 
 def trip_connections(stop_times: DataFrame, trips: DataFrame, ids: DataFrame | Iterable | None, from_sequence: int = 0) -> DataFrame:

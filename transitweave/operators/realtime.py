@@ -16,7 +16,9 @@ def event_delay(event: Column, scheduled: Column, date: Column, zone: str) -> Co
     """The event's own delay; else its time less the scheduled one, counted from midnight of the service date by the wall clock."""
     midnight = F.make_timestamp_ntz(F.year(date), F.month(date), F.dayofmonth(date), F.lit(0), F.lit(0), F.lit(0))
     clock = midnight + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), scheduled.cast("decimal(18,6)"))
-    planned = F.unix_timestamp(F.to_utc_timestamp(clock.cast("timestamp"), zone))
+    since = F.convert_timezone(F.lit(zone), F.lit("UTC"), clock) - F.make_timestamp_ntz(F.lit(1970), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    part = lambda name: F.extract(F.lit(name), since).cast("long")  # noqa: E731  the session's zone plays no part
+    planned = part("DAY") * 86400 + part("HOUR") * 3600 + part("MINUTE") * 60 + part("SECOND")
     return F.coalesce(event["delay"].cast("long"), event["time"] - planned)
 
 

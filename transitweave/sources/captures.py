@@ -75,7 +75,8 @@ def decoded(data: bytes, message: str = "feed") -> dict:
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
     """path, header, entity, reason of each file: reason is null, or why nothing could be read from it.
 
-    Empty bodies and web pages are refused, as what a server sends in place of a feed. A file is one poll and fits in a task.
+    Empty bodies (which Spark's reader may leave out by itself) and web pages are refused, as what a server sends
+    in place of a feed. A file is one poll and fits in a task.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
     schema = spark.createDataFrame([], f"path string, {FEED}, reason string").schema
