@@ -28,13 +28,8 @@ def folder(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame, name: str = "kept") -> DataFrame:
-    """df, computed once: written to the folder that the cluster names for it, which cuts the plan and survives lost executors.
-
-    Without such a folder, in local mode only, it is persisted.
-    """
+    """df, computed once: written to the folder for it, which cuts the plan and survives lost executors."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and (spark.sparkContext.master + "[").startswith("local["):
-        return df.persist()
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
