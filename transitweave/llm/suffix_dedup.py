@@ -36,6 +36,7 @@ _CHUNK = 1 << 18  # bytes hashed at once; positions in it take 22 bits
 _HELD = 1 << 18  # contexts held before they go out
 _SORTED = 1 << 20  # bytes of contexts whose suffixes are sorted at once
 _WIDE = 1000  # contexts of one anchor beyond which it is made longer
+_SALTS = 16
 _RUNS = "doc long, version long, start long, n long"
 _ROWS = ["anchor", "context", "check", "doc", "version", "start", "n", "at"]
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))  # a number for each byte, for the second hash
@@ -395,7 +396,10 @@ def _in_parts(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame | None
         parts = written(_longer(rows.where("wide"), length), "repeat-parts")
         keys = ["anchor", "at", "low", "high", "bytes"]
         firsts = written(parts.groupBy(*keys).agg(F.min(F.struct("doc", "version", "start")).alias("first"), F.first("n").alias("n")), "repeat-firsts")
-        again = parts.join(firsts.drop("n"), keys).where(F.struct("doc", "version", "start") != F.col("first")).select("doc", "version", "start", "n")
+        # A context of very many copies is spread over several tasks; only wide anchors come here, so the firsts are few.
+        salted = parts.withColumn("salt", F.pmod(F.xxhash64("doc", "version", "start"), F.lit(_SALTS)))
+        meets = firsts.drop("n").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
+        again = salted.join(meets, [*keys, "salt"]).where(F.struct("doc", "version", "start") != F.col("first")).select("doc", "version", "start", "n")
         repeats = again if repeats is None else repeats.unionByName(again)
         rows = firsts.select(*keys, "n", "first.*")
 
