@@ -499,7 +499,7 @@ def itinerary_nested(n):
 
 @unbounded
 def path_violations(n):
-    legs = journeys.legs_of(_journeys(n).withColumnRenamed("arrival", "end"), ["query_id", "end", "cost"])
+    legs = journeys.legs_of(_journeys(n, max_transfers=1).withColumnRenamed("arrival", "end"), ["query_id", "end", "cost"])
     return journeys.path_violations(legs, ["query_id", "end", "cost"])
 
 
