@@ -270,6 +270,53 @@ def test_urls(spark):
     assert got == [("a.example.net", "/en/x", "example.net/en/"), ("net", "", None), ("example.com", "/de/1", "example.com/de/"), ("my.org", "/fr/", "org/fr/"), ("", "", None), ("", "", None), ("example.com", "/en/1", None), ("notnet", "/x", None)]
 
 
+def test_urls_of_odd_tables(spark):
+    ship(spark)
+    urls = ["http://net/a", "http://net/a", None, "", "ftp://x.org/b", "http://a.net/c"]
+    pages = spark.createDataFrame([(i, u, "x", 1) for i, u in enumerate(urls)], "page_id int, url string, gram string, key int")
+    rows = url_verdicts(pages.unionByName(pages)).collect()  # only one verdict has URLs to learn from
+    assert len(rows) == 12 and {(r.rule, r.verdict, r.difference) for r in rows} == {("net/", "block", 0.0), (None, "allow", 0.0)}
+    assert url_verdicts(pages.where("false")).count() == 0
+
+
+def test_pairwise_fit_is_a_minimum():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(500, 16))
+    good = x[:, 0] + 0.5 * x[:, 3] + rng.normal(size=500) > 0
+    ranker = fit(x, good, 4000)
+    z = np.clip((x - x.mean(0)) / x.std(0), -8, 8)
+    again = np.random.default_rng(7)
+    d = z[again.choice(np.flatnonzero(good), 4000)] - z[again.choice(np.flatnonzero(~good), 4000)]
+    loss = lambda w: np.log1p(np.exp(-d @ w)).mean() + 5e-4 * w @ w
+    least = loss(ranker.weights)
+    assert all(loss(ranker.weights + e) >= least for e in rng.normal(size=(200, 16)) * 0.01)
+    errors = lambda t: (good != (z @ ranker.weights >= t)).sum()
+    assert errors(ranker.threshold) <= min(errors(t) for t in z @ ranker.weights) + 2
+    assert ((ranker.scores(x) >= 0.5) == (z @ ranker.weights >= ranker.threshold)).all()
+
+
+def test_repeats_in_very_long_texts(spark):
+    rng = np.random.default_rng(9)
+    text = "".join(rng.choice(list("abcdefgh"), 300_000))
+    rows = [(1, text), (2, "x" + text[250_000:280_000] + "y"), (3, None), (4, "short")]
+    df = spark.createDataFrame([(*r, 1, 2, b"z") for r in rows], "doc_id long, text string, version int, start int, bytes binary")
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeat_digests(df).collect()}
+    assert got == {i: (n, s, hashlib.sha256(k.encode()).hexdigest()) for i, n, s, k in ((1, 0, 0, text), (2, 30_000, 1, "xy"), (3, 0, 0, ""), (4, 0, 0, "short"))}
+
+
+def test_stages_on_odd_rows(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in ODD], "doc_id long, text string, lang string, source string, n_chars long").withColumn("version", F.lit("v")).withColumn("id", F.lit(1)).withColumn("row", F.lit(2))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, DIR)
+        assert stage(spark, docs.where("false"), DIR).count() == 0
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == docs.columns and out.count() <= len(ODD)
+        else:
+            assert out.count() == len(ODD)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -334,6 +381,11 @@ def test_url_counts_are_exact(spark):
                     for key in ((k, x[at - k : at]), (k, x[at - k : at + 1])):
                         n[key] = n.get(key, 0) + 1
     assert len(rows) == len(urls) and all(counts)
+    cut = lambda v: [r.difference for r in rows if not r.rule and r.verdict == v]
+    assert cut("allow") and cut("block") and max(cut("block")) < min(cut("allow"))
+    held = [(r.difference, r.verdict == "allow") for r in rows if r.rule and zlib.crc32(urls[r.page_id].encode()) % 3 == 1]
+    right = lambda t: sum((d >= t) == a for d, a in held if a) / sum(a for _, a in held) + sum((d >= t) == a for d, a in held if not a) / sum(not a for _, a in held)
+    assert right(min(cut("allow"))) >= max(right(d) for d, _ in held) - 0.02
     for r in rows[::7] + rows[-3:]:
         x, total = padded[r.page_id], 0.0
         for at in range(4, len(x)):

@@ -447,5 +447,6 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> Data
     placed = written(_placed(docs, n, num, den).where("root is not null").select("root", F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "version").alias("key")), "near-copies")
     first = placed.groupBy("root").agg(F.min("key").alias("first"))
     dropped = written(placed.join(first, "root").where("key <> first").select(F.col("key.id").alias("id"), "key.version").distinct(), "dropped")
-    keyed = docs.select("*", F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("id"), version_of(docs["doc_id"], docs["text"]).alias("version"))
-    return keyed.join(F.broadcast(dropped) if dropped.count() <= _SMALL else dropped, ["id", "version"], "left_anti").select(docs.columns)
+    keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("id"), version_of(docs["doc_id"], docs["text"]).alias("version"))
+    kept = keyed.join(F.broadcast(dropped) if dropped.count() <= _SMALL else dropped, ["id", "version"], "left_anti")
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

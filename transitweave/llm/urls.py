@@ -108,6 +108,8 @@ def _shares(grams: DataFrame, counts: DataFrame) -> DataFrame:
 def differences(pages: DataFrame, counts: DataFrame) -> DataFrame:
     """page_id, url and difference, log P(url | accepted) - log P(url | rejected) by character, of each row."""
     spark = pages.sparkSession
+    if not all(counts.agg(F.sum("n0"), F.sum("n1")).first()):  # nothing to compare with
+        return pages.select("page_id", "url", F.lit(0.0).alias("difference"))
     size = pages.agg(F.sum(F.coalesce(F.octet_length("url"), F.lit(0)) + 1)).first()[0] or 0
     parts = max(4 * partitions(spark), -(-size // _PART))
     rows = pages.select(F.pmod(F.xxhash64("page_id", "url"), F.lit(parts)).alias("part"), "page_id", "url")
@@ -173,8 +175,9 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, mo
     """One row per row of pages: page_id, host, path, rule, verdict, difference.
 
     A null URL, or one without ://, has an empty host and path and fits no rule;
-    it is judged by its characters all the same. Without any URL that a rule
-    fits, the models know nothing and all others are allowed. Repeated rows give
+    it is judged by its characters all the same. Where no URL teaches one of the
+    models, because rules of one verdict fit none, there is nothing to compare:
+    the difference is 0 and all URLs without a rule are allowed. Repeated rows give
     repeated results, an empty table none; only page_id and url are read.
     """
     rows = pages.select("page_id", "url")
