@@ -4,8 +4,11 @@ from math import exp, log
 import pytest
 from pyspark.sql import functions as F
 
+from transitweave.operators import boarding
 from transitweave.operators import journeys as jo
+from transitweave.operators.keep import kept
 from transitweave.operators.reliability import Profiles
+from transitweave.operators.search import SearchLimit
 from transitweave.plans.requests import JourneyRequest, answered
 
 HOPS = "trip_id long, stop_sequence long, to_sequence long, from_stop_id long, to_stop_id long, departure_seconds long, arrival_seconds long, pickup_type int, drop_off_type int, route_id long, direction_id int"
@@ -67,25 +70,101 @@ def pareto(ways):
     return {a for a in ways if not any(b != a and b[0] <= a[0] and b[1] <= a[1] + 1e-9 and b[2] <= a[2] for b in ways)}
 
 
-@pytest.mark.parametrize("seed", [2])
-def test_journeys_against_all_ways(spark, seed):
-    hops, rules, samples = network(seed)
-    profiles = Profiles(spark.createDataFrame(samples, SAMPLES))
+def lines(seed):
+    """Lines of several trips, some of which pass others, around ten o'clock, when the window of the day changes; one stop is called at twice."""
+    rng = random.Random(seed)
+    hops, trip = [], 100
+    for route, stops in enumerate(([0, 1, 2, 3, 4], [5, 1, 3, 6], [0, 2, 0, 5, 6])):
+        for _ in range(rng.randrange(3, 7)):
+            t, boards = 34200 + rng.randrange(0, 3600, 120), [int(rng.random() < 0.1) for _ in stops]
+            for k, (at, to) in enumerate(zip(stops, stops[1:], strict=False)):
+                arrival = t + rng.choice([180, 300, 900])
+                hops.append((trip, k + 1, k + 2, at, to, t, arrival, boards[k] if trip % 3 else 0, 0, route, 0))
+                t = arrival + 60
+            trip += 1
+    walks = [(1, 2, 2, 120, None, None), (4, 3, 2, 60, None, None), (3, 3, 2, 240, None, None), (2, 2, 2, 600, 103, None)]
+    share = {(r, w): rng.choice([0.25, 0.5, 0.75, 1.0]) for r in range(3) for w in ("morning_peak", "midday")}
+    samples = [(1, "d", r, 0, w, 0.0 if k < 40 * p else 900.0) for (r, w), p in share.items() for k in range(40)]
+    return hops, walks, samples
+
+
+def moved(seed, network):
+    """A network whose stops, trips and routes no other has, so that all are searched together."""
+    hops, walks, samples = network
+    stop, trip = (lambda x: x if x is None else x + 1000 * seed), (lambda x: x if x is None else x + 100_000 * seed)
+    hops = [(trip(h[0]), h[1], h[2], stop(h[3]), stop(h[4]), *h[5:9], stop(h[9]), h[10]) for h in hops]
+    return hops, [(stop(w[0]), stop(w[1]), w[2], w[3], trip(w[4]), trip(w[5])) for w in walks], [(s[0], s[1], stop(s[2]), *s[3:]) for s in samples]
+
+
+def test_journeys_against_all_ways(spark):
+    """Over 24 random networks: the same journeys as all ways give, and paths that can be ridden."""
+    made = {seed: (moved(seed, network(seed)), 28800, 7200) for seed in range(12)} | {seed: (moved(seed, lines(seed)), 34200, 5400) for seed in range(12, 24)}
+    hops, rules, samples = (sum((m[0][k] for m in made.values()), []) for k in range(3))
+    profiles = Profiles(spark.createDataFrame(samples, SAMPLES)).kept()
     exact = {(r.route_id, r.time_window): r.reliability for r in profiles.exact().collect()}
     fallback = profiles.network().first().reliability
     route = {r.route_id: r.reliability for r in profiles.route().collect()}
     chance = lambda r, t: exact.get((r, "morning_peak" if t < 36000 else "midday"), route.get(r, fallback))
-    pairs = [(0, 4), (0, 6), (3, 1), (5, 2), (1, 3), (2, 6)]
-    ask = spark.createDataFrame([(k, a, b, 28800, 7200) for k, (a, b) in enumerate(pairs)], ASK)
-    h, r = spark.createDataFrame(hops, HOPS), spark.createDataFrame(rules, RULES)
-    rows = jo.journeys(ask, h, r, profiles, max_transfers=2, max_extra=7200).collect()
-    for k, (a, b) in enumerate(pairs):
-        want = pareto(all_journeys(hops, rules, chance, a, b, 28800, 36000, 3))
-        got = {(x.arrival, round(x.cost, 9), x.transfers) for x in rows if x.query_id == k}
-        assert {(t, n, round(c, 6)) for t, c, n in got} == {(t, n, round(c, 6)) for t, c, n in want}, (k, a, b)
-    assert all(abs(x.reliability - exp(-x.cost)) < 1e-9 for x in rows)
-    legs = jo.legs_of(jo.journeys(ask, h, r, profiles, max_transfers=2).withColumnRenamed("arrival", "end"), ["query_id", "end", "cost"])
+    asked = [(len(made) * k + seed, 1000 * seed + a, 1000 * seed + b, start, horizon) for seed, (_, start, horizon) in made.items() for k, (a, b) in enumerate([(0, 4), (0, 6), (3, 1), (5, 2), (1, 3), (2, 6), (1, 2), (0, 2)])]
+    ask, h, r = spark.createDataFrame(asked, ASK), spark.createDataFrame(hops, HOPS), spark.createDataFrame(rules, RULES)
+    found = kept(jo.journeys(ask, h, r, profiles, max_transfers=2, max_extra=7200))
+    rows, some = found.collect(), 0
+    for query, a, b, start, horizon in asked:
+        (own, walks, _), *_ = made[query % len(made)]
+        want = pareto(all_journeys(own, walks, chance, a, b, start, start + horizon, 3))
+        got = {(x.arrival, round(x.cost, 9), x.transfers) for x in rows if x.query_id == query}
+        assert {(t, n, round(c, 6)) for t, c, n in got} == {(t, n, round(c, 6)) for t, c, n in want}, (query % len(made), a, b)
+        some += len(want)
+    assert some > 100 and all(abs(x.reliability - exp(-x.cost)) < 1e-9 and len(x.path) == x.transfers + 1 for x in rows)
+    legs = jo.legs_of(found.withColumnRenamed("arrival", "end"), ["query_id", "end", "cost"])
     assert jo.path_violations(legs, ["query_id", "end", "cost"]).count() == 0
+    # each leg is a ride of its trip between these calls
+    at, to = {(x[0], x[1]): (x[3], x[5]) for x in hops}, {(x[0], x[1]): (x[4], x[6]) for x in hops}
+    assert all(at[leg.trip_id, leg.from_sequence] == (leg.from_stop, leg.departure) and to[leg.trip_id, leg.to_sequence] == (leg.to_stop, leg.arrival) for leg in legs.collect())
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, jo.journeys(ask.repartition(3), h.repartition(5), r, profiles, max_transfers=2, max_extra=7200).collect()))
+
+
+def test_a_label_boards_one_trip_of_a_chain(spark):
+    """Sixty trips of one line, two of which pass others: after a ride there is a label a stop and window, where all later trips would give sixty."""
+    hops = [(k, i + 1, i + 2, i, i + 1, 30000 + 60 * k + 300 * i, 30000 + 60 * k + 300 * i + 240 - 150 * (k in (20, 40)), 0, 0, 1, 0) for k in range(60) for i in range(5)]
+    hops = [h if h[0] not in (20, 40) else (*h[:5], h[5] - 60 * h[1], h[6] - 60 * h[1], *h[7:]) for h in hops]
+    samples = [(1, "d", 1, 0, w, 0.0) for w in ("morning_peak", "midday") for _ in range(5)]
+    net = boarding.prepared(spark.createDataFrame(hops, HOPS), spark.createDataFrame([], RULES), Profiles(spark.createDataFrame(samples, SAMPLES)).kept(), 7200)
+    chains = boarding.chains(boarding.calls_of_patterns(spark.createDataFrame(hops, HOPS)))
+    assert chains.agg(F.countDistinct("level")).first()[0] == 2
+    label = spark.createDataFrame([(1, 0, 30000, 37200, None, None)], "query_id int, stop_id long, arrival long, until long, last_trip long, required_trip long").withColumns({"cost": F.lit(0.0), "ride": F.lit(None).cast("long"), "trail": F.lit(0).cast("long")})
+    first = boarding.boardings(label, net).where("NOT only_opens").select("board_trip").collect()
+    assert len(first) == 2 and {r.board_trip for r in first} >= {0}
+    assert boarding.rides(boarding.boardings(label, net), net).count() < 60 * 5 / 4
+
+
+def test_a_loop_ends(spark):
+    """Trips in a circle: nothing that an earlier round dominates goes on, so later rounds have no labels."""
+    hops = [(10 * k + i, 1, 2, i, (i + 1) % 4, 28800 + 600 * k + 120 * i, 28860 + 600 * k + 120 * i, 0, 0, 1, 0) for k in range(6) for i in range(4)]
+    samples = [(1, "d", 1, 0, "morning_peak", 0.0) for _ in range(5)]
+    ask = spark.createDataFrame([(1, 0, 3, 28800, 5400)], ASK)
+    found = jo.journeys(ask, spark.createDataFrame(hops, HOPS), spark.createDataFrame([], RULES), Profiles(spark.createDataFrame(samples, SAMPLES)), max_transfers=8, max_extra=5400, most_labels=40)
+    assert [(r.arrival, r.transfers, [leg.trip_id for leg in r.path]) for r in found.collect()] == [(29100 + 0, 2, [0, 1, 2])]
+
+
+def test_search_limits(spark):
+    hops, rules, profiles = simple(spark)
+    ask = spark.createDataFrame([(1, 1, 3, 28700, 10800)], ASK)
+    for bound in ({"most_labels": 2}, {"most_candidates": 0}, {"deadline_s": 1e-9}):
+        with pytest.raises(SearchLimit):
+            jo.journeys(ask, hops, rules, profiles, max_extra=7200, **bound)
+
+
+def test_speed_bound_drops_labels_alone(spark):
+    """The same journeys with and without the bound; with it, the way that leads off the straight line isn't followed."""
+    hops = [(1, 1, 2, 1, 2, 28800, 29400, 0, 0, 1, 0), (2, 1, 2, 2, 3, 29500, 30000, 0, 0, 1, 0), (3, 1, 2, 1, 9, 28800, 32400, 0, 0, 1, 0), (4, 1, 2, 9, 3, 33000, 36600, 0, 0, 1, 0)]
+    places = spark.createDataFrame([(1, 49.0, -123.0), (2, 49.05, -123.0), (3, 49.1, -123.0), (9, 49.6, -123.0)], "stop_id long, stop_lat double, stop_lon double")
+    net = boarding.prepared(spark.createDataFrame(hops, HOPS), spark.createDataFrame([], RULES), Profiles(spark.createDataFrame([(1, "d", 1, 0, "morning_peak", 0.0)], SAMPLES)).kept(), 10800)
+    ask = spark.createDataFrame([(1, 1, 3, 28800, 7200)], ASK)
+    with_bound, without = jo.search(ask, net, max_extra=1800, places=places, speed=20.0), jo.search(ask, net, max_extra=1800)
+    assert with_bound.drop("path").collect() == without.drop("path").collect() and with_bound.count() == 1
+    labels = spark.createDataFrame([(1, 2, 29400, 36000), (1, 9, 32400, 36000), (1, 7, 30000, 36000)], "query_id int, stop_id long, arrival long, until long")
+    assert {r.stop_id for r in jo.in_reach(labels, ask, places, 15.0).collect()} == {2, 7}
 
 
 def simple(spark):
@@ -102,7 +181,7 @@ def test_candidates_and_validation(spark):
     with pytest.raises(ValueError):
         jo.candidates(ask, hops, rules, profiles, limit=0)
     real = spark.createDataFrame([(1, 1, 3, 28800, 30000)], "trip_id long, from_stop long, to_stop long, departure long, arrival long")
-    best = jo.earliest(ask, hops, rules, profiles, 1).join(ask, "query_id").withColumn("duration", F.col("arrival") - F.col("departure")).withColumn("origin", F.col("origin"))
+    best = jo.earliest(ask, boarding.prepared(hops, rules, profiles.kept(), 10800), 1).join(ask, "query_id").withColumn("duration", F.col("arrival") - F.col("departure")).withColumn("origin", F.col("origin"))
     assert {(r.query_id, r.rule) for r in jo.itinerary_violations(ask, best, real).collect()} == {(2, "nothing was found")}
     bad = best.withColumns({"transfers": F.lit(4), "duration": F.lit(1).cast("long"), "origin": F.lit(9).cast("long"), "departure": F.lit(28900).cast("long")})
     rules_broken = {r.rule for r in jo.itinerary_violations(ask, bad, real.where("false")).collect() if r.query_id == 1}

@@ -1,109 +1,149 @@
-"""Journeys by arrival, reliability and boardings, in rounds: one boarding a round, paths carried along.
+"""Journeys by arrival, reliability and boardings, in rounds: one boarding a round, for many searches at once (told apart by query_id).
 
-Labels hold a path of legs. Each round boards from the labels of the one before,
-rides on, walks, and drops labels that another of their stop and state dominates.
-Many searches run at once, told apart by query_id.
+A label is a stop, an arrival, a cost and what it may board. Each round boards from the labels of
+the one before, rides on and walks. A bag for each stop and state holds what all rounds have
+reached; a label that the bag has something as good for, with no more boardings, goes no further. Labels
+hold no paths: each ride is stored with the row of the ride before it, a table a round, and
+only the journeys that win are followed back.
 """
 
 from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..functions.gtfs import FLOOR, leg_cost, time_window
-from .reliability import Profiles, resolved
+from ..functions.gtfs import FLOOR, haversine_km
+from .boarding import Prepared, boardings, prepared, rides
 from .keep import kept
+from .reliability import Profiles
 from .search import SearchLimit, pareto
 
-LEG = "struct<trip_id:bigint,from_sequence:bigint,to_sequence:bigint,from_stop:bigint,to_stop:bigint,departure:bigint,arrival:bigint>"
-_STATE = ["query_id", "stop_id", "last_trip", "required_trip"]
+_STATE = ["query_id", "stop_id", "held", "required_trip"]
+_LABEL = ["query_id", "stop_id", "arrival", "cost", "last_trip", "held", "required_trip", "until", "ride", "trail"]
 
 
-def _undominated(labels: DataFrame) -> DataFrame:
-    """Of the labels of a state, those no other of which arrives as early and costs as little; of equal ones the first path."""
-    w = Window.partitionBy(*_STATE).orderBy("arrival", "cost", "path").rowsBetween(Window.unboundedPreceding, -1)
-    return labels.withColumn("least", F.min("cost").over(w)).where("least IS NULL OR cost < least - 1e-9").drop("least")
+def undominated(labels: DataFrame, bag: DataFrame | None) -> DataFrame:
+    """Of the labels of a state, those no other of which arrives as early and costs as little, with `new`: false for those of the bag.
 
+    Of equal ones the bag's stays, then the first trail. held is a trip that transfer rules name; other trips don't
+    tell states apart, as changing to the trip one has come by is never better than to stay on it.
+    """
+    both = labels.withColumn("new", F.lit(True))
+    if bag is not None:
+        both = both.unionByName(bag.withColumn("new", F.lit(False)), allowMissingColumns=True)
+    before = Window.partitionBy(*_STATE).orderBy("arrival", "cost", "new", "trail").rowsBetween(Window.unboundedPreceding, -1)
+    return both.withColumn("least", F.min("cost").over(before)).where("least IS NULL OR cost < least - 1e-9").drop("least")
+
+
+def _on_foot(labels: DataFrame, walks: DataFrame) -> DataFrame:
+    """Labels and what they reach on foot; a walker holds no trip and must take the rule's trip, if it names one."""
+    near = labels.join(walks, F.col("stop_id") == F.col("from_stop_id")).where("(from_trip_id IS NULL OR from_trip_id = last_trip) AND arrival + seconds <= until")
+    none = F.lit(None).cast(labels.schema["last_trip"].dataType)
+    return labels.unionByName(near.select("query_id", F.col("to_stop_id").alias("stop_id"), (F.col("arrival") + F.col("seconds")).alias("arrival"), "cost", none.alias("last_trip"), none.alias("held"), F.col("to_trip_id").alias("required_trip"), "until", "ride", "trail"))
 
-def _walked(labels: DataFrame, walks: DataFrame) -> DataFrame:
-    """One walk from each label; the walker holds no trip and must take the rule's trip, if it names one."""
-    near = labels.join(walks, F.col("stop_id") == F.col("from_stop_id")).where("from_trip_id IS NULL OR from_trip_id = last_trip")
-    arrival = F.col("arrival") + F.coalesce("min_transfer_time", F.lit(0))
-    return near.where(arrival <= F.col("until")).select("query_id", F.col("to_stop_id").alias("stop_id"), arrival.alias("arrival"), "cost", F.lit(None).cast("long").alias("last_trip"), F.col("to_trip_id").alias("required_trip"), "until", "path")
 
+def in_reach(labels: DataFrame, searches: DataFrame, places: DataFrame, speed: float) -> DataFrame:
+    """Labels from which the destination can be reached in time at no more than `speed` metres a second, as the crow flies; a place that is not known bounds nothing."""
+    place = lambda side: places.select(F.col("stop_id").alias(side), F.col("stop_lat").alias(f"{side}_lat"), F.col("stop_lon").alias(f"{side}_lon"))
+    ends = searches.select("query_id", F.col("destination").alias("end")).join(place("end"), "end", "left").drop("end")
+    here = labels.join(ends, "query_id").join(place("stop_id"), "stop_id", "left")
+    seconds = F.floor(haversine_km(F.col("stop_id_lat"), F.col("stop_id_lon"), F.col("end_lat"), F.col("end_lon")) * 1000 / speed)
+    return here.where(F.col("arrival") + F.coalesce(seconds, F.lit(0)) <= F.col("until")).select(*labels.columns)
 
-def _closed(labels: DataFrame, walks: DataFrame) -> DataFrame:
-    """Labels with all they reach on foot: walks are added until they bring no better label."""
-    whole = new = kept(labels)
-    while True:
-        reached = _walked(new, walks).withColumn("new", F.lit(True))
-        both = kept(_undominated(whole.withColumn("new", F.lit(False)).unionByName(reached)))
-        whole, new = both.drop("new"), both.where("new").drop("new")
-        if new.isEmpty():
-            return whole
 
+def journeys(searches: DataFrame, hops: DataFrame, transfers: DataFrame, profiles: Profiles, max_transfers: int = 3, max_extra: int = 1800, **bounds) -> DataFrame:
+    """As search, over a network that is prepared for these searches alone.
+
+    hops: trip_id, stop_sequence, to_sequence, from_stop_id, to_stop_id, departure_seconds, arrival_seconds, pickup_type,
+    drop_off_type, route_id, direction_id. transfers: from_stop_id, to_stop_id, transfer_type, min_transfer_time,
+    from_trip_id, to_trip_id; rules of a stop with itself hold whenever a trip is boarded there.
+    """
+    horizon = searches.agg(F.max("horizon")).first()[0] or 0
+    return search(searches, prepared(hops, transfers, profiles.kept(), horizon), max_transfers, max_extra, **bounds)
 
-def journeys(searches: DataFrame, hops: DataFrame, transfers: DataFrame, profiles: Profiles, max_transfers: int = 3, max_extra: int = 1800, deadline_s: float | None = None, most_labels: int = 250_000_000) -> DataFrame:
+
+def search(
+    searches: DataFrame, net: Prepared, max_transfers: int = 3, max_extra: int = 1800, deadline_s: float | None = None,
+    most_labels: int = 250_000, most_candidates: int = 10_000, places: DataFrame | None = None, speed: float | None = None,
+) -> DataFrame:
     """query_id, arrival, cost, transfers, path, reliability: for each search its Pareto-best journeys.
 
-    searches: query_id, origin, destination, departure, horizon (seconds after the
-    departure). transfers: from_stop_id, to_stop_id, transfer_type,
-    min_transfer_time, from_trip_id, to_trip_id; rules of a stop with itself hold
-    whenever a trip is boarded there. A passed deadline or number of labels raises
-    SearchLimit: there are no partial results.
+    searches: query_id, origin, destination, departure, horizon (seconds after the departure). A passed
+    deadline, or more labels in all rounds or more journeys at the destination than the bounds allow a search on
+    average, raises SearchLimit: there are no partial results. With places (stop_id, stop_lat, stop_lon) and a speed
+    that bounds all edges (see lookups.speed_bound) labels too far from their destination are dropped; without, none are.
+    Of equal journeys one stays, the same in every run.
     """
     limit = time.monotonic() + deadline_s if deadline_s else None
-    none = F.lit(None).cast("long")
+    searches = kept(searches, "searches")
+    asked, labels_seen, candidates_seen = searches.count(), 0, 0
+    trip = lambda: F.lit(None).cast(net.trip_type)
     ends = searches.select("query_id", "destination")
-    walks = transfers.where("transfer_type <> 3 AND from_stop_id <> to_stop_id")
-    rules = transfers.where("from_stop_id = to_stop_id").select(F.col("from_stop_id").alias("rule_stop"), "from_trip_id", "to_trip_id", "transfer_type", F.coalesce("min_transfer_time", F.lit(0)).alias("wait"))
-    at = searches.select("query_id", F.col("origin").alias("stop_id"), F.col("departure").cast("long").alias("arrival"), F.lit(0.0).alias("cost"), none.alias("last_trip"), none.alias("required_trip"), (F.col("departure") + F.col("horizon")).cast("long").alias("until"), F.array().cast(f"array<{LEG}>").alias("path"))
-    hops, profiles = kept(hops), profiles.kept()
-    frontier, done = _closed(at, walks), None
-    for _ in range(max_transfers + 1):
+    start = searches.select("query_id", F.col("origin").cast(net.stop_type).alias("stop_id"), F.col("departure").cast("long").alias("arrival"), F.lit(0.0).alias("cost"), trip().alias("last_trip"), trip().alias("held"), trip().alias("required_trip"), (F.col("departure") + F.col("horizon")).cast("long").alias("until"), F.lit(None).cast("long").alias("ride"), F.lit(0).cast("long").alias("trail"))
+
+    def settled(labels: DataFrame, bag: DataFrame | None) -> tuple[DataFrame, DataFrame, int]:
+        """The labels that go on, the bag with them, and how many they are; they are counted as they are written."""
+        if places is not None and speed:
+            labels = in_reach(labels, searches, places, speed)
+        seen = Observation()
+        both = kept(undominated(labels, bag).observe(seen, F.count_if("new").alias("n")), "bag")
+        return both.where("new").drop("new"), both.drop("new"), seen.get["n"]
+
+    stored: list[DataFrame] = []
+    found: DataFrame | None = None
+    frontier, _, n = settled(_on_foot(start, net.walks), None)
+    bag = None  # a place reached on foot alone is no journey's end, so it stands for none that a ride leads to
+    for k in range(max_transfers + 1):
         if limit and time.monotonic() > limit:
             raise SearchLimit("the search passed its deadline")
-        rode = kept(_undominated(_costed(_rides(frontier, hops, rules), profiles)))
-        if rode.count() > most_labels:
+        seen = Observation()
+        ridden = undominated(_ridden(frontier, net), bag).where("new").drop("new").join(ends, "query_id").withColumn("there", F.col("stop_id") == F.col("destination")).drop("destination")
+        ridden = kept(ridden.withColumn("row", F.monotonically_increasing_id()).observe(seen, F.count(F.lit(1)).alias("n"), F.count_if("there").alias("there")), f"rides-{k}")
+        stored.append(ridden)
+        labels_seen, candidates_seen = labels_seen + n + seen.get["n"], candidates_seen + seen.get["there"]
+        if labels_seen > most_labels * asked:
             raise SearchLimit("the search passed its number of labels")
-        there = rode.join(ends, "query_id").withColumn("there", F.col("stop_id") == F.col("destination")).drop("destination")
-        arrived = there.where("there").drop("there")
-        done = kept(arrived if done is None else done.unionByName(arrived))
-        cutoff = done.groupBy("query_id").agg((F.min("arrival") + max_extra).alias("cutoff"))
-        onward = there.where("NOT there").drop("there").join(cutoff, "query_id", "left")
-        onward = onward.withColumn("until", F.least("until", "cutoff")).where("arrival <= until").drop("cutoff")
-        frontier = _closed(onward, walks)
-        on_foot = frontier.join(ends, "query_id").where("stop_id = destination AND last_trip IS NULL").drop("destination")
-        done = kept(done.unionByName(on_foot))
-        if frontier.isEmpty():
+        if candidates_seen > most_candidates * asked:
+            raise SearchLimit("the search passed its number of journeys")
+        at_end = lambda df: df.select("query_id", "arrival", "cost", F.lit(k).alias("transfers"), "ride", "trail")
+        arrived = at_end(ridden.where("there").withColumn("ride", F.col("row")))
+        found = arrived if found is None else found.unionByName(arrived)
+        cutoff = found.groupBy("query_id").agg((F.min("arrival") + max_extra).alias("cutoff"))
+        onward = ridden.where("NOT there").withColumn("ride", F.col("row")).join(cutoff, "query_id", "left").withColumn("until", F.least("until", "cutoff")).where("arrival <= until")
+        frontier, bag, n = settled(_on_foot(onward.select(*_LABEL), net.walks), bag)
+        found = found.unionByName(at_end(frontier.join(ends, "query_id").where("stop_id = destination AND last_trip IS NULL")))
+        if not n:
             break
-    last = done.groupBy("query_id").agg((F.min("arrival") + max_extra).alias("last"))
-    rows = done.join(last, "query_id").where("arrival <= last").select("query_id", "arrival", F.round("cost", 9).alias("cost"), (F.size("path") - 1).alias("transfers"), "path")
-    first = Window.partitionBy("query_id", "arrival", "cost", "transfers").orderBy("path")
-    rows = rows.withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
-    return pareto(rows, ["query_id"]).withColumn("reliability", F.exp(-F.col("cost")))
-
-
-def _rides(frontier: DataFrame, hops: DataFrame, rules: DataFrame) -> DataFrame:
-    """All later stops of all trips that each label can board."""
-    board = frontier.join(hops, F.col("stop_id") == F.col("from_stop_id")).where("departure_seconds >= arrival AND departure_seconds <= until AND pickup_type <> 1 AND drop_off_type <> 1")
-    board = board.where("(last_trip IS NULL OR trip_id <> last_trip) AND (required_trip IS NULL OR trip_id = required_trip)")
-    board = board.select("query_id", "arrival", "cost", "until", "path", "last_trip", "trip_id", "route_id", "direction_id", F.col("stop_sequence").alias("from_sequence"), F.col("stop_id").alias("from_stop"), F.col("departure_seconds").alias("departure"))
-    # The rules of a stop are few: they come as one array, so that boardings are not grouped again.
-    few = rules.groupBy(F.col("rule_stop").alias("from_stop")).agg(F.collect_set(F.struct("from_trip_id", "to_trip_id", "transfer_type", "wait")).alias("rules"))
-    board = board.join(few, "from_stop", "left").withColumn("rules", F.expr("filter(rules, r -> (r.from_trip_id IS NULL OR r.from_trip_id = last_trip) AND (r.to_trip_id IS NULL OR r.to_trip_id = trip_id))"))
-    board = board.where("NOT coalesce(exists(rules, r -> r.transfer_type = 3), false) AND departure >= arrival + coalesce(array_max(rules.wait), 0)").drop("arrival", "rules", "last_trip")
-    later = hops.select("trip_id", F.col("stop_sequence").alias("to_sequence"), F.col("to_stop_id").alias("to_stop"), F.col("arrival_seconds").alias("reached"))
-    return board.join(later, "trip_id").where("to_sequence >= from_sequence AND reached <= until")
-
-
-def _costed(rides: DataFrame, profiles: Profiles) -> DataFrame:
-    """Labels after a ride: the leg joins the path, and its cost by the window of its arrival the sum."""
-    legs = resolved(rides.withColumn("time_window", time_window(F.col("reached"))), profiles)
-    leg = F.struct("trip_id", "from_sequence", "to_sequence", "from_stop", "to_stop", "departure", F.col("reached").alias("arrival")).cast(LEG)
-    return legs.select("query_id", F.col("to_stop").alias("stop_id"), F.col("reached").cast("long").alias("arrival"), (F.col("cost") + leg_cost(F.col("reliability"))).alias("cost"), F.col("trip_id").alias("last_trip"), F.lit(None).cast("long").alias("required_trip"), "until", F.concat("path", F.array(leg)).alias("path"))
+    last = found.groupBy("query_id").agg((F.min("arrival") + max_extra).alias("last"))
+    rows = found.join(last, "query_id").where("arrival <= last").withColumn("cost", F.round("cost", 9))
+    first = Window.partitionBy("query_id", "arrival", "cost", "transfers").orderBy("trail")
+    rows = rows.withColumn("k", F.row_number().over(first)).where("k = 1").drop("k", "trail", "last")
+    return _followed_back(pareto(rows, ["query_id"]), stored).withColumn("reliability", F.exp(-F.col("cost")))
+
+
+def _ridden(frontier: DataFrame, net: Prepared) -> DataFrame:
+    """Labels after a ride, with the ride itself."""
+    ridden = rides(boardings(frontier, net), net)
+    return ridden.select(
+        "query_id", F.col("to_stop").alias("stop_id"), F.col("reached").alias("arrival"), (F.col("cost") + F.col("leg_cost")).alias("cost"), F.col("trip_id").alias("last_trip"), F.when(F.col("named"), F.col("trip_id")).alias("held"),
+        F.lit(None).cast(net.trip_type).alias("required_trip"), "until", "ride", F.xxhash64("trail", "trip_id", "from_sequence", "to_sequence").alias("trail"), "from_sequence", "to_sequence", F.col("stop_id").alias("from_stop"), "departure",
+    )
+
+
+def _followed_back(winners: DataFrame, stored: list[DataFrame]) -> DataFrame:
+    """Winners with their path: rides of the last round are looked up, then the ones before them, one join a round."""
+    leg = F.struct(F.col("last_trip").alias("trip_id"), "from_sequence", "to_sequence", "from_stop", F.col("stop_id").alias("to_stop"), "departure", "arrival")
+    paths = None
+    for k in reversed(range(len(stored))):
+        table = stored[k].select(F.col("row").alias("ride"), F.col("ride").alias("before"), leg.alias("leg"))
+        none = F.array().cast(f"array<{table.schema['leg'].dataType.simpleString()}>")
+        own = winners.where(F.col("transfers") == k).withColumn("path", none)
+        if paths is not None:
+            own = own.unionByName(paths)
+        paths = kept(own.join(table, "ride").withColumns({"path": F.concat(F.array("leg"), "path"), "ride": F.col("before")}).drop("before", "leg"), "paths")
+    return paths.drop("ride")
 
 
 def product_reliability(legs: DataFrame, keys: list[str]) -> DataFrame:
@@ -154,6 +194,55 @@ def path_violations(legs: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, F.explode(F.array(*(F.when(c, k) for k, c in rules.items()))).alias("rule")).where("rule IS NOT NULL")
 
 
+def chain_violations(chains: DataFrame, asked: DataFrame, hops: DataFrame, transfers: DataFrame) -> DataFrame:
+    """chain_id, position, rule: what is wrong with chains of labels, one row each.
+
+    chains: chain_id, position, kind (start, ride of one hop, or walk), stop_id, departure (of a ride), arrival, trip_id, can_alight,
+    transfers, cost. asked: chain_id, origin, destination, departure. hops need leg_cost, transfers from_trip_id and to_trip_id.
+    A walker keeps the trip by which they have come. Each label is judged by the one before it, so all chains are judged
+    at once, in windows of a chain's length.
+    """
+    way = Window.partitionBy("chain_id").orderBy("position")
+    before = lambda c: F.lag(c).over(way)
+    rows = chains.withColumns({f"p_{c}": before(c) for c in ("stop_id", "arrival", "trip_id", "can_alight", "cost")} | {"first": before("position").isNull(), "last": F.lead("position").over(way).isNull()})
+    ride, walk = F.col("kind") == "ride", F.col("kind") == "walk"
+    boards = ride & ~F.col("trip_id").eqNullSafe(F.col("p_trip_id"))
+    changes = F.coalesce(boards & F.col("p_trip_id").isNotNull(), F.lit(False))
+    rows = rows.withColumn("changes", changes).withColumn("counted", F.sum(F.col("changes").cast("int")).over(way)).withColumn("boards", F.coalesce(boards, F.lit(False)))
+    rows = rows.withColumn("aboard", F.last(F.when(F.col("boards"), F.col("p_cost")), ignorenulls=True).over(way))
+
+    real = hops.select(F.col("trip_id").alias("h_trip"), F.col("from_stop_id").alias("h_from"), F.col("to_stop_id").alias("h_to"), F.col("departure_seconds").alias("h_departure"), F.col("arrival_seconds").alias("h_arrival"), "pickup_type", "drop_off_type", "leg_cost")
+    rows = rows.join(real, ride & (F.col("trip_id") == F.col("h_trip")) & (F.col("p_stop_id") == F.col("h_from")) & (F.col("stop_id") == F.col("h_to")) & (F.col("departure") == F.col("h_departure")), "left")
+    between = transfers.where("from_stop_id <> to_stop_id AND transfer_type <> 3").groupBy(F.col("from_stop_id").alias("w_from"), F.col("to_stop_id").alias("w_to")).agg(F.collect_set(F.coalesce("min_transfer_time", F.lit(0)).cast("long")).alias("seconds"))
+    rows = rows.join(between, walk & (F.col("p_stop_id") == F.col("w_from")) & (F.col("stop_id") == F.col("w_to")), "left")
+    few = F.collect_set(F.struct("from_trip_id", "to_trip_id", "transfer_type", F.coalesce("min_transfer_time", F.lit(0)).alias("wait")))
+    own = transfers.where("from_stop_id = to_stop_id").groupBy(F.col("from_stop_id").alias("r_stop")).agg(few.alias("rules"))
+    rows = rows.join(own, F.col("changes") & (F.col("p_stop_id") == F.col("r_stop")), "left")
+    rows = rows.withColumn("rules", F.expr("filter(rules, r -> (r.from_trip_id IS NULL OR r.from_trip_id = p_trip_id) AND (r.to_trip_id IS NULL OR r.to_trip_id = trip_id))"))
+    rows = rows.join(asked.select("chain_id", "origin", "destination", F.col("departure").alias("asked")), "chain_id")
+
+    found, walked = F.col("h_trip").isNotNull(), F.col("w_from").isNotNull()
+    expected = F.when(ride, F.col("aboard") + F.col("leg_cost")).when(walk, F.col("p_cost")).otherwise(F.lit(0.0))
+    rules = {
+        "begins elsewhere": F.col("first") & ((F.col("stop_id") != F.col("origin")) | (F.col("arrival") != F.col("asked"))),
+        "ends elsewhere": F.col("last") & ((F.col("stop_id") != F.col("destination")) | ~F.col("can_alight")),
+        "goes back in time": F.col("arrival") < F.col("p_arrival"),
+        "a ride that there is not": ride & ~found,
+        "leaves before it has come": ride & (F.col("departure") < F.col("p_arrival")),
+        "arrives at another time": found & (F.col("arrival") != F.col("h_arrival")),
+        "boards without a pickup": found & F.col("boards") & (F.col("pickup_type") != 0),
+        "gets off wrongly": found & (F.col("can_alight") != (F.col("drop_off_type") == 0)),
+        "a walk that there is not": walk & ~walked,
+        "a walk of another length": walked & ~F.array_contains("seconds", F.col("arrival") - F.col("p_arrival")),
+        "walks from where none gets off": walk & ~F.col("p_can_alight"),
+        "changes where none gets off": F.col("changes") & ~F.col("p_can_alight"),
+        "changes against a rule": F.col("changes") & F.coalesce(F.expr("exists(rules, r -> r.transfer_type = 3) OR departure < p_arrival + array_max(transform(rules, r -> r.wait))"), F.lit(False)),
+        "another number of changes": F.col("transfers") != F.col("counted"),
+        "another cost": F.abs(F.col("cost") - expected) > 1e-6,
+    }
+    return rows.select("chain_id", "position", F.explode(F.array(*(F.when(c, k) for k, c in rules.items()))).alias("rule")).where("rule IS NOT NULL")
+
+
 def itinerary_violations(asked: DataFrame, found: DataFrame, real: DataFrame) -> DataFrame:
     """query_id, rule: what is wrong with the journeys found for searches, each rule once a search.
 
@@ -184,36 +273,36 @@ def itinerary_violations(asked: DataFrame, found: DataFrame, real: DataFrame) ->
     return whole.where("rule IS NOT NULL").unionByName(broken).unionByName(unreal).distinct()
 
 
-def earliest(searches: DataFrame, hops: DataFrame, transfers: DataFrame, profiles: Profiles, max_transfers: int = 3) -> DataFrame:
+def earliest(searches: DataFrame, net: Prepared, max_transfers: int = 3, **bounds) -> DataFrame:
     """Of each search the journey that arrives first; of those with the fewest transfers, the most reliable, the first path."""
     w = Window.partitionBy("query_id").orderBy("arrival", "transfers", "cost", "path")
-    found = journeys(searches, hops, transfers, profiles, max_transfers, max_extra=0)
-    return found.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
+    return search(searches, net, max_transfers, max_extra=0, **bounds).withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
 
 
-def candidates(searches: DataFrame, hops: DataFrame, transfers: DataFrame, profiles: Profiles, limit: int = 5, max_extra: int = 1800, max_transfers: int = 3) -> DataFrame:
+def candidates(searches: DataFrame, hops: DataFrame, transfers: DataFrame, profiles: Profiles, limit: int = 5, max_extra: int = 1800, max_transfers: int = 3, **bounds) -> DataFrame:
     """query_id, attempt, arrival, cost, transfers, path: earliest journeys one after another, each asked a second after the last one's first boarding.
 
-    All searches go on together. One ends with `limit` different journeys, after 4 x limit attempts, without a
-    journey, or with one over max_extra seconds later than its first.
+    All searches go on together, over a network prepared once. One ends with `limit` different journeys, after 4 x limit
+    attempts, without a journey, or with one over max_extra seconds later than its first.
     """
     if limit < 1 or max_extra < 0:
         raise ValueError("a limit of 1 or more and no negative extra time")
-    hops, profiles = kept(hops), profiles.kept()
+    horizon = searches.agg(F.max("horizon")).first()[0] or 0
+    net = prepared(hops, transfers, profiles.kept(), horizon)
     ask, out = searches, None
     identity = F.transform("path", lambda leg: F.struct(leg["trip_id"], leg["from_stop"], leg["to_stop"])).cast("string")
     for attempt in range(limit * 4):
-        new = earliest(ask, hops, transfers, profiles, max_transfers).withColumn("attempt", F.lit(attempt)).withColumn("same", identity)
+        new = earliest(ask, net, max_transfers, **bounds).withColumn("attempt", F.lit(attempt)).withColumn("same", identity)
         if out is not None:
             fastest = out.groupBy("query_id").agg(F.min_by("arrival", "attempt").alias("fastest"))
             new = new.join(fastest, "query_id").where(F.col("arrival") <= F.col("fastest") + max_extra).drop("fastest")
-        new = kept(new)
-        if new.isEmpty():
+        new = kept(new, "candidates")
+        if new.isEmpty() and out is not None:
             break
-        out = kept(new if out is None else out.unionByName(new))
+        out = kept(new if out is None else out.unionByName(new), "candidates")
         enough = out.groupBy("query_id").agg(F.countDistinct("same").alias("n")).where(F.col("n") >= limit).select("query_id")
         again = new.where("size(path) > 0").select("query_id", (F.element_at("path", 1)["departure"] + 1).alias("next")).join(enough, "query_id", "left_anti")
-        ask = kept(ask.join(again, "query_id").where("next > departure").withColumn("departure", F.col("next")).drop("next"))
-    if out is None:
-        return earliest(searches.where("false"), hops, transfers, profiles, max_transfers).withColumn("attempt", F.lit(0))
+        ask = kept(ask.join(again, "query_id").where("next > departure").withColumn("departure", F.col("next")).drop("next"), "searches")
+        if ask.isEmpty():
+            break
     return out.withColumn("k", F.row_number().over(Window.partitionBy("query_id", "same").orderBy("attempt"))).where("k = 1").drop("k", "same")

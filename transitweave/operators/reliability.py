@@ -32,36 +32,63 @@ def _share(condition) -> F.Column:
 
 
 class Profiles:
-    """All levels from one table of samples; each shrinks to the level above."""
+    """All levels from one table of samples; each shrinks to the level above.
+
+    Samples are counted once by route, direction and date; the three upper levels come from these
+    counts, and distinct dates are counted there. With kept(), each level is computed once and read by all that use it.
+    """
 
     def __init__(self, samples: DataFrame, strength: float = 20.0, minimum: int = 10):
         self.samples = samples.withColumn("ok", F.col("delay").between(EARLY, LATE)).withColumn("direction_key", F.coalesce(F.col("direction_id"), F.lit(-1)))
-        self.strength, self.minimum = strength, minimum
-        self.counts = [F.count(F.lit(1)).alias("n"), F.countDistinct("service_date").alias("dates"), _share(F.col("ok")).alias("on_time")]
+        self.strength, self.minimum, self._keep, self._levels = strength, minimum, False, {}
 
     def kept(self) -> Profiles:
-        """The same, with samples computed once: all levels, and all uses of them, read what is kept."""
-        self.samples = kept(self.samples, "samples")
+        """The same, with samples and levels computed once each."""
+        if not self._keep:
+            self.samples, self._keep, self._levels = kept(self.samples, "samples"), True, {}
         return self
 
+    def _level(self, name: str, make) -> DataFrame:
+        if name not in self._levels:
+            self._levels[name] = kept(make(), f"profiles-{name}") if self._keep else make()
+        return self._levels[name]
+
+    def _daily(self) -> DataFrame:
+        """n and ok of each route, direction and date."""
+        counts = [F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("ok")]
+        return self._level("daily", lambda: self.samples.groupBy("route_id", "direction_key", "service_date").agg(*counts))
+
+    def _summed(self, *keys: str) -> DataFrame:
+        """n, dates and on_time by keys, from the counts by date."""
+        daily = self._daily().groupBy(*keys, "service_date").agg(F.sum("n").alias("n"), F.sum("ok").alias("ok"))
+        return daily.groupBy(*keys).agg(F.sum("n").alias("n"), F.count("service_date").alias("dates"), (F.sum("ok").cast("double") / F.sum("n")).alias("on_time"))
+
+    def _shrunk(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("reliability", shrunken(F.col("n"), F.col("on_time"), F.col("parent"), self.strength)).drop("parent")
+
     def network(self) -> DataFrame:
-        return self.samples.agg(*self.counts).where("n > 0").withColumn("reliability", F.col("on_time"))
+        return self._level("network", lambda: self._summed().where("n > 0").withColumn("reliability", F.col("on_time")))
 
     def route(self) -> DataFrame:
         parent = self.network().select(F.col("reliability").alias("parent"))  # a single row
-        return self.samples.groupBy("route_id").agg(*self.counts).crossJoin(F.broadcast(parent)).withColumn("reliability", shrunken(F.col("n"), F.col("on_time"), F.col("parent"), self.strength)).drop("parent")
+        return self._level("route", lambda: self._shrunk(self._summed("route_id").crossJoin(F.broadcast(parent))))
 
     def route_direction(self) -> DataFrame:
         parent = self.route().select("route_id", F.col("reliability").alias("parent"))
-        return self.samples.groupBy("route_id", "direction_key").agg(*self.counts).join(parent, "route_id").withColumn("reliability", shrunken(F.col("n"), F.col("on_time"), F.col("parent"), self.strength)).drop("parent")
+        return self._level("route-direction", lambda: self._shrunk(self._summed("route_id", "direction_key").join(parent, "route_id")))
 
     def exact(self) -> DataFrame:
+        return self._level("exact", self._exact)
+
+    def _exact(self) -> DataFrame:
         d = F.col("delay")
         parent = self.route_direction().select("route_id", "direction_key", F.col("reliability").alias("parent"))
-        rows = self.samples.groupBy("route_id", "direction_key", "time_window").agg(
-            *self.counts, F.avg(d).alias("mean"), F.avg(F.abs(d)).alias("mean_abs"), F.round(F.stddev_samp(d), 6).alias("stddev"), F.percentile(d, F.lit(0.5)).alias("p50"), F.round(F.percentile(F.abs(d), F.lit(0.9)), 6).alias("p90_abs"), _share(d < EARLY).alias("early"), _share(d > LATE).alias("late")
+        keys = ["route_id", "direction_key", "time_window"]
+        rows = self.samples.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("n"), _share(F.col("ok")).alias("on_time"), F.avg(d).alias("mean"), F.avg(F.abs(d)).alias("mean_abs"), F.round(F.stddev_samp(d), 6).alias("stddev"), F.percentile(d, F.lit(0.5)).alias("p50"), F.round(F.percentile(F.abs(d), F.lit(0.9)), 6).alias("p90_abs"), _share(d < EARLY).alias("early"), _share(d > LATE).alias("late")
         )
-        rows = rows.join(parent, ["route_id", "direction_key"]).withColumn("reliability", shrunken(F.col("n"), F.col("on_time"), F.col("parent"), self.strength)).drop("parent")
+        dates = self.samples.select(*keys, "service_date").distinct().groupBy(*keys).agg(F.count("service_date").alias("dates"))
+        rows = self._shrunk(rows.join(dates, keys).join(parent, ["route_id", "direction_key"]))
         return rows.withColumn("insufficient", F.col("n") < self.minimum)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions.gtfs import EARTH, FLOOR
 from ..sources.bridge import CALENDAR, EXCEPTIONS, TRANSFERS
+from .transit import ASKED_AT, ASKED_HORIZON, STATIONS
 
 
 def _rows(rows: list[tuple]) -> str:
@@ -58,6 +59,75 @@ _ROUND = """,
     l{k} AS (SELECT query_id, stop_id, min(arrival) AS arrival, min(ready) AS ready FROM t{k} GROUP BY ALL)"""
 _ROUNDS = _SEARCH + "".join(_ROUND.format(k=k, p=k - 1) for k in (1, 2)) + ", every AS (" + " UNION ALL ".join(f"SELECT query_id, stop_id, {k} AS boardings, arrival FROM l{k}" for k in range(3)) + ")"
 
+# Hops of the date with what a leg that ends there costs.
+_COSTED = f""", costed AS (SELECT h.*, -ln(greatest(coalesce(e.reliability, d.reliability, r.reliability, w.reliability, 0), {FLOOR})) AS leg_cost
+        FROM (SELECT *, coalesce(direction_id, -1) AS direction_key, {WINDOW('arrival_seconds')} AS time_window FROM today) h LEFT JOIN p_exact e USING (route_id, direction_key, time_window)
+        LEFT JOIN p_direction d USING (route_id, direction_key) LEFT JOIN p_route r USING (route_id) LEFT JOIN p_network w ON true)"""
+_JOURNEYS = f"""{_SEARCH}{_COSTED},
+    asks AS (SELECT a.stop_id * 1000 + b.stop_id AS query_id, a.stop_id AS origin, b.stop_id AS destination FROM stops a JOIN stops b ON b.parent_station = a.parent_station + 1 WHERE a.parent_station IN {STATIONS}),
+    e0 AS (SELECT query_id, destination, origin AS stop_id, {ASKED_AT}::BIGINT AS arrival, 0::DOUBLE AS cost, NULL::BIGINT AS trip FROM asks UNION ALL SELECT query_id, destination, b, {ASKED_AT} + s, 0, NULL FROM asks JOIN foot ON a = origin WHERE s <= {ASKED_HORIZON}),
+    """ + ",".join(f"""j{k} AS MATERIALIZED (SELECT query_id, destination, x.to_stop_id AS stop_id, x.arrival_seconds AS arrival, l.cost + x.leg_cost AS cost, x.trip_id AS trip
+        FROM {f'e{k - 1}'} l LEFT JOIN rules USING (stop_id) JOIN today h ON h.from_stop_id = l.stop_id AND h.departure_seconds >= l.arrival + coalesce(wait, 0) JOIN costed x ON x.trip_id = h.trip_id AND x.stop_sequence >= h.stop_sequence
+        WHERE coalesce(forbidden, 0) = 0 AND h.departure_seconds <= {ASKED_AT + ASKED_HORIZON} AND h.pickup_type <> 1 AND h.drop_off_type <> 1 AND x.arrival_seconds <= {ASKED_AT + ASKED_HORIZON} AND h.trip_id IS DISTINCT FROM l.trip
+            {'AND x.to_stop_id IN (SELECT l.destination UNION ALL SELECT a FROM foot WHERE b = l.destination)' if k == 2 else ''}),
+    f{k} AS (SELECT query_id, destination, b AS stop_id, arrival + s AS arrival, cost, NULL::BIGINT AS trip FROM j{k} JOIN foot ON a = stop_id WHERE stop_id <> destination AND arrival + s <= {ASKED_AT + ASKED_HORIZON}),
+    e{k} AS (SELECT * FROM j{k} WHERE stop_id <> destination UNION SELECT * FROM f{k})""" for k in (1, 2)) + f""",
+    arrived AS (SELECT DISTINCT query_id, arrival, round(cost, 9) AS cost, transfers FROM ({' UNION ALL '.join(f'SELECT query_id, arrival, cost, {k - 1} AS transfers FROM {c}{k} WHERE stop_id = destination' for k in (1, 2) for c in 'jf')})),
+    timely AS (SELECT * FROM arrived QUALIFY arrival <= min(arrival) OVER (PARTITION BY query_id) + 1800)
+    SELECT query_id, arrival, round(cost, 6) AS cost, transfers FROM timely t WHERE NOT EXISTS (SELECT 1 FROM timely o WHERE o.query_id = t.query_id AND o.arrival <= t.arrival AND o.cost <= t.cost AND o.transfers <= t.transfers AND (o.arrival < t.arrival OR o.cost < t.cost OR o.transfers < t.transfers))"""
+# Rules of single trips, by the first and the last stop of trips of three routes.
+_TRIP_RULES = """, ends AS (SELECT trip_id, route_id, arg_min(stop_id, stop_sequence) AS first_stop, arg_max(stop_id, stop_sequence) AS last_stop FROM stop_times JOIN trips USING (trip_id) GROUP BY ALL),
+    trip_rules AS (SELECT *, NULL::BIGINT AS from_trip_id, NULL::BIGINT AS to_trip_id FROM clique UNION ALL SELECT first_stop, first_stop, 3, NULL, NULL, trip_id FROM ends WHERE route_id = 7
+        UNION ALL SELECT first_stop, first_stop, 2, 600, NULL, trip_id FROM ends WHERE route_id = 8 UNION ALL SELECT last_stop, last_stop, 2, 600, trip_id, NULL FROM ends WHERE route_id = 9)"""
+_RULE = "SELECT {what} FROM trip_rules r WHERE r.from_stop_id = {stop} AND r.to_stop_id = {stop} AND (r.from_trip_id IS NULL OR r.from_trip_id = {own}) AND (r.to_trip_id IS NULL OR r.to_trip_id = {next})"
+_STATES = _SEARCH + _TRIP_RULES + """,
+    q0 AS (SELECT query_id, stop_id, NULL::BIGINT AS trip, true AS off, until AS arrival, until FROM starts UNION ALL SELECT query_id, b, NULL, true, until + s, until FROM starts JOIN foot ON a = stop_id)""" + "".join(f""",
+    g{k} AS MATERIALIZED (SELECT query_id, x.trip_id AS trip, x.to_stop_id AS stop_id, x.drop_off_type = 0 AS off, min(x.arrival_seconds) AS arrival, until FROM q{k - 1} l JOIN today h ON h.from_stop_id = l.stop_id AND h.departure_seconds >= l.arrival JOIN today x ON x.trip_id = h.trip_id AND x.stop_sequence >= h.stop_sequence
+        WHERE l.off AND h.pickup_type = 0 AND h.departure_seconds <= until + 10800 AND x.departure_seconds <= until + 10800 AND h.trip_id IS DISTINCT FROM l.trip
+            AND NOT EXISTS ({_RULE.format(what='1', stop='l.stop_id', own='l.trip', next='h.trip_id')} AND (r.transfer_type = 3 OR h.departure_seconds < l.arrival + coalesce(r.min_transfer_time, 0))) GROUP BY ALL),
+    q{k} AS (SELECT query_id, stop_id, trip, off, arrival, until FROM g{k} UNION SELECT query_id, b, trip, true, arrival + s, until FROM g{k} JOIN foot ON a = stop_id WHERE off)""" for k in (1, 2)) + """,
+    reached AS (SELECT query_id, stop_id, transfers, min(arrival) AS arrival FROM (SELECT *, 0 AS transfers FROM q0 UNION ALL SELECT *, 0 FROM q1 UNION ALL SELECT *, 1 FROM q2) WHERE off GROUP BY ALL)
+    SELECT query_id, stop_id, transfers, arrival FROM reached t WHERE NOT EXISTS (SELECT 1 FROM reached o WHERE o.query_id = t.query_id AND o.stop_id = t.stop_id AND o.transfers < t.transfers AND o.arrival <= t.arrival)"""
+_CHAINS = _SEARCH + _COSTED + _TRIP_RULES + """,
+    placed AS (SELECT *, row_number() OVER (PARTITION BY trip_id ORDER BY stop_sequence) AS position, drop_off_type = 0 AS off FROM costed),
+    c1 AS (SELECT trip_id AS chain_id, 0 AS position, 'start' AS kind, from_stop_id AS stop_id, NULL::BIGINT AS departure, departure_seconds AS arrival, NULL::BIGINT AS trip_id, true AS can_alight, 0 AS transfers, 0::DOUBLE AS cost FROM placed WHERE position = 1
+        UNION ALL SELECT trip_id, position, 'ride', to_stop_id, departure_seconds, arrival_seconds, trip_id, off, 0, leg_cost FROM placed),
+    near AS (SELECT from_stop_id, (min((to_stop_id, coalesce(min_transfer_time, 0)))) AS w FROM clique WHERE from_stop_id <> to_stop_id AND transfer_type <> 3 GROUP BY ALL),
+    c2 AS (SELECT chain_id, position + 1 AS position, 'walk' AS kind, w[1] AS stop_id, NULL::BIGINT AS departure, arrival + w[2] AS arrival, chain_id AS trip_id, true AS can_alight, 0 AS transfers, cost
+        FROM (SELECT * FROM c1 QUALIFY position = max(position) OVER (PARTITION BY chain_id)) e JOIN near ON from_stop_id = stop_id),
+    c3 AS (SELECT l.chain_id, l.position + 1 AS position, 'ride' AS kind, h.to_stop_id AS stop_id, h.departure_seconds AS departure, h.arrival_seconds AS arrival, h.trip_id, h.off AS can_alight, 1 AS transfers, l.cost + h.leg_cost AS cost
+        FROM c2 l JOIN placed h ON h.from_stop_id = l.stop_id AND h.pickup_type = 0 AND h.trip_id <> l.chain_id AND h.departure_seconds BETWEEN l.arrival AND l.arrival + 10800
+        QUALIFY row_number() OVER (PARTITION BY l.chain_id ORDER BY h.departure_seconds, h.trip_id, h.stop_sequence) = 1),
+    sound AS MATERIALIZED (SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3),
+    spoilt AS (SELECT * REPLACE (stop_id + (chain_id % 10 = 1 AND position = 1)::INT AS stop_id, departure - 60 * (chain_id % 10 = 2 AND position = 1)::INT AS departure, arrival + 3600 * (chain_id % 10 = 3 AND position = 1 OR chain_id % 10 = 7 AND kind = 'walk')::INT AS arrival,
+        CASE WHEN chain_id % 10 = 4 AND position = 1 THEN NOT can_alight ELSE can_alight END AS can_alight, CASE WHEN chain_id % 10 = 5 AND position = 1 THEN 1 ELSE transfers END AS transfers, cost + 0.5 * (chain_id % 10 = 6 AND position = 1)::INT AS cost) FROM sound),
+    way AS MATERIALIZED (SELECT s.*, p.stop_id AS p_stop, p.arrival AS p_arrival, p.trip_id AS p_trip, p.can_alight AS p_off, p.cost AS p_cost, s.kind = 'ride' AND p.trip_id IS NOT NULL AND p.trip_id <> s.trip_id AS changes, s.kind = 'ride' AND p.trip_id IS DISTINCT FROM s.trip_id AS boards
+        FROM spoilt s LEFT JOIN spoilt p ON p.chain_id = s.chain_id AND p.position = s.position - 1),
+    paid AS (SELECT w.*, h.pickup_type, h.off, h.arrival_seconds, h.leg_cost, h.trip_id IS NOT NULL AS real, (SELECT sum(b.changes::INT) FROM way b WHERE b.chain_id = w.chain_id AND b.position <= w.position) AS counted,
+        (SELECT arg_max(b.p_cost, b.position) FROM way b WHERE b.chain_id = w.chain_id AND b.position <= w.position AND b.boards) AS aboard
+        FROM way w LEFT JOIN placed h ON w.kind = 'ride' AND h.trip_id = w.trip_id AND h.from_stop_id = p_stop AND h.to_stop_id = w.stop_id AND h.departure_seconds = w.departure),
+    ends_of AS (SELECT chain_id, arg_min(stop_id, position) AS origin, arg_max(stop_id, position) AS destination, min(arrival) AS asked, max(position) AS last FROM sound GROUP BY ALL)
+    SELECT chain_id, position, rule FROM (
+        SELECT chain_id, position, unnest(["""
+_BROKEN = {
+    "begins elsewhere": "position = 0 AND (stop_id <> origin OR arrival <> asked)",
+    "ends elsewhere": "position = last AND (stop_id <> destination OR NOT can_alight)",
+    "goes back in time": "arrival < p_arrival",
+    "a ride that there is not": "kind = 'ride' AND NOT real",
+    "leaves before it has come": "kind = 'ride' AND departure < p_arrival",
+    "arrives at another time": "real AND arrival <> arrival_seconds",
+    "boards without a pickup": "real AND boards AND pickup_type <> 0",
+    "gets off wrongly": "real AND can_alight <> off",
+    "a walk that there is not": "kind = 'walk' AND NOT EXISTS (SELECT 1 FROM clique t WHERE t.from_stop_id = p_stop AND t.to_stop_id = paid.stop_id AND p_stop <> paid.stop_id AND t.transfer_type <> 3)",
+    "a walk of another length": "kind = 'walk' AND EXISTS (SELECT 1 FROM clique t WHERE t.from_stop_id = p_stop AND t.to_stop_id = paid.stop_id AND p_stop <> paid.stop_id AND t.transfer_type <> 3) AND NOT EXISTS (SELECT 1 FROM clique t WHERE t.from_stop_id = p_stop AND t.to_stop_id = paid.stop_id AND p_stop <> paid.stop_id AND t.transfer_type <> 3 AND coalesce(t.min_transfer_time, 0) = arrival - p_arrival)",
+    "walks from where none gets off": "kind = 'walk' AND NOT p_off",
+    "changes where none gets off": "changes AND NOT p_off",
+    "changes against a rule": f"changes AND EXISTS ({_RULE.format(what='1', stop='p_stop', own='p_trip', next='trip_id')} AND (r.transfer_type = 3 OR departure < p_arrival + coalesce(r.min_transfer_time, 0)))",
+    "another number of changes": "transfers <> counted",
+    "another cost": "abs(cost - CASE kind WHEN 'ride' THEN aboard + leg_cost WHEN 'walk' THEN p_cost ELSE 0 END) > 1e-6",
+}
+_CHAINS += ", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in _BROKEN.items()) + "]) AS rule FROM paid JOIN ends_of USING (chain_id)) WHERE rule IS NOT NULL"
+
 SELECTS = {
     "gtfs_time_parse_format": "SELECT trip_id, stop_sequence, printf('%02d:%02d:%02d', departure_seconds // 3600, departure_seconds % 3600 // 60, departure_seconds % 60) AS text, departure_seconds AS seconds FROM stop_times",
     "time_window_bucket": f"SELECT {WINDOW('departure_seconds')} AS time_window, count(*) AS n FROM stop_times GROUP BY ALL",
@@ -106,6 +176,9 @@ SELECTS = {
     "route_patterns": "SELECT route_id, coalesce(direction_id, -1) AS direction_id, stops, count(*) AS trips, min(trip_id) AS first_trip FROM (SELECT trip_id, route_id, direction_id, string_agg(from_stop_id::VARCHAR, '|' ORDER BY stop_sequence) || '|' || arg_max(to_stop_id, stop_sequence)::VARCHAR AS stops FROM hops GROUP BY ALL) GROUP BY ALL",
     "observation_backfill": "SELECT observation_id, trip_id, stop_sequence, gap FROM (SELECT event_id AS observation_id, trip_id, stop_sequence, abs(hour(ts) * 3600 + minute(ts) * 60 - arrival_seconds) AS gap, row_number() OVER (PARTITION BY event_id ORDER BY abs(hour(ts) * 3600 + minute(ts) * 60 - arrival_seconds), stop_sequence) AS k FROM events JOIN stop_times ON trip_id = user_id) WHERE k = 1",
     "max_speed_bound": f"SELECT round(max({METERS('a.stop_lat', 'b.stop_lat', 'a.stop_lon', 'b.stop_lon')} / (arrival_seconds - departure_seconds)) * 1.001, 6) AS meters_per_second FROM hops JOIN stops a ON a.stop_id = from_stop_id JOIN stops b ON b.stop_id = to_stop_id WHERE arrival_seconds > departure_seconds",
+    "journeys_by_station": _JOURNEYS,
+    "state_search_rounds": _STATES,
+    "label_chain_violations": _CHAINS,
     "earliest_arrival_rounds": _ROUNDS + " SELECT query_id, stop_id, min(arrival) AS arrival FROM every GROUP BY ALL",
     "snapshot_search_rounds": _ROUNDS + " SELECT query_id, stop_id, boardings, arrival FROM (SELECT *, min(arrival) OVER (PARTITION BY query_id, stop_id ORDER BY boardings ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM every) WHERE before IS NULL OR arrival < before",
     "walks_closed": _SEARCH + " SELECT a AS from_stop_id, b AS to_stop_id, s AS seconds FROM foot",
@@ -121,7 +194,7 @@ SELECTS = {
         WHERE o.trip_id = l.trip_id AND o.stop_id = l.from_stop_id AND d.stop_id = l.to_stop_id AND o.departure_seconds = l.departure AND d.arrival_seconds = l.arrival_seconds) AS present
         FROM (SELECT *, departure_seconds + CASE WHEN trip_id % 3 = 0 THEN 60 ELSE 0 END AS departure FROM hops) l""",
     "feed_version": "SELECT min(start_date)::VARCHAR || ':' || max(end_date)::VARCHAR AS version FROM calendar",
-    "profile_version": "SELECT coalesce(max(observed_at)::VARCHAR, 'no-profiles') AS version FROM observations WHERE trip_id < 0",
+    "profile_version": "SELECT coalesce(max(observed_at)::VARCHAR, 'no-profiles') AS version FROM observations",
     "service_dates": "SELECT (ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/Vancouver')::DATE::VARCHAR AS service_date, count(*) AS n FROM events GROUP BY ALL",
     "speed_bound_metadata": f""", edges AS (SELECT from_stop_id, to_stop_id, arrival_seconds - departure_seconds AS seconds, 'ride' AS kind FROM hops UNION ALL SELECT from_stop_id, to_stop_id, coalesce(min_transfer_time, 0), 'transfer' FROM transfers WHERE transfer_type <> 3),
         placed AS (SELECT kind, seconds, {METERS('a.stop_lat', 'b.stop_lat', 'a.stop_lon', 'b.stop_lon')} AS metres FROM edges JOIN stops a ON a.stop_id = from_stop_id JOIN stops b ON b.stop_id = to_stop_id),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import gtfs
 from ..operators import calendar as cal
-from ..operators import cleaning, journeys, keep, lookups, realtime, search, simulation, timetable
+from ..operators import cleaning, journeys, keep, lookups, realtime, search, simulation, states, timetable
 from ..operators import reliability as rel
 from ..sources import feed, stored
 from ..sources.bridge import Network
@@ -161,7 +161,7 @@ def feed_version(n):
 
 @query
 def profile_version(n):
-    return lookups.profile_version(n.observations().where("trip_id < 0"), "observed_at")
+    return lookups.profile_version(n.observations(), "observed_at")
 
 
 @query
@@ -468,8 +468,18 @@ def earliest_arrival_fixpoint(spark: SparkSession, folder: str) -> DataFrame:
 UNBOUNDED["earliest_arrival_fixpoint"] = earliest_arrival_fixpoint
 
 
+#: Stations whose stops are asked from; each is asked for the stops of the next.
+STATIONS = (0, 1, 2)
+ASKED_AT, ASKED_HORIZON = 28800, 7200
+
+
 def _asked(n: Network) -> DataFrame:
-    return n.spark.createDataFrame([(1, 1, 2, 28800, 7200), (2, 3, 8, 28800, 7200)], "query_id int, origin long, destination long, departure long, horizon long")
+    """A search from each stop of some stations to each stop of the next station."""
+    stops = n.stops().select("stop_id", "parent_station")
+    o = stops.where(F.col("parent_station").isin(*STATIONS)).select(F.col("stop_id").alias("origin"), (F.col("parent_station") + 1).alias("next"))
+    d = stops.select(F.col("stop_id").alias("destination"), F.col("parent_station").alias("next"))
+    at = lambda v: F.lit(v).cast("long")
+    return o.join(d, "next").select((F.col("origin") * 1000 + F.col("destination")).alias("query_id"), "origin", "destination", at(ASKED_AT).alias("departure"), at(ASKED_HORIZON).alias("horizon"))
 
 
 def _rules(n: Network) -> DataFrame:
@@ -477,6 +487,15 @@ def _rules(n: Network) -> DataFrame:
     return timetable.station_transfers(n.stops(), n.transfers()).withColumns({"from_trip_id": none, "to_trip_id": none})
 
 
+def _trip_rules(n: Network) -> DataFrame:
+    """_rules, and rules of single trips: none may change to a trip of route 7 where it starts; a trip of route 8 takes ten minutes to change to where it starts, and whoever leaves one of route 9 waits as long where it ends."""
+    none, kind = F.lit(None).cast("long"), lambda k, wait: [F.lit(k).alias("transfer_type"), F.lit(wait).cast("int").alias("min_transfer_time")]
+    calls = n.stop_times().groupBy("trip_id").agg(F.min_by("stop_id", "stop_sequence").alias("first"), F.max_by("stop_id", "stop_sequence").alias("last")).join(n.trips(), "trip_id")
+    starts = lambda route, *what: calls.where(F.col("route_id") == route).select(F.col("first").alias("from_stop_id"), F.col("first").alias("to_stop_id"), *what, none.alias("from_trip_id"), F.col("trip_id").alias("to_trip_id"))
+    ends = calls.where("route_id = 9").select(F.col("last").alias("from_stop_id"), F.col("last").alias("to_stop_id"), *kind(2, 600), F.col("trip_id").alias("from_trip_id"), none.alias("to_trip_id"))
+    return _rules(n).unionByName(starts(7, *kind(3, None))).unionByName(starts(8, *kind(2, 600))).unionByName(ends)
+
+
 def unbounded(f: Callable[[Network], DataFrame]) -> Callable[[Network], DataFrame]:
     UNBOUNDED[f.__name__] = lambda spark, folder: _plain(f(Network(spark, folder)))
     return f
@@ -486,6 +505,12 @@ def _journeys(n: Network, **bounds) -> DataFrame:
     return journeys.journeys(_asked(n), service_day_hops(n, "2026-06-29"), _rules(n), rel.Profiles(_samples(n)), **bounds)
 
 
+@query
+def journeys_by_station(n):
+    """Pareto-best journeys of two boardings at most, over all services of a date."""
+    return _journeys(n, max_transfers=1).select("query_id", "arrival", F.round("cost", 6).alias("cost"), "transfers")
+
+
 @unbounded
 def mc_raptor_alternatives(n):
     """Pareto-best journeys over all services of a date."""
@@ -499,7 +524,10 @@ def itinerary_nested(n):
 
 @unbounded
 def path_violations(n):
+    """Legs of journeys, of which those with an even destination leave their second trip's stop an hour early."""
     legs = journeys.legs_of(_journeys(n, max_transfers=1).withColumnRenamed("arrival", "end"), ["query_id", "end", "cost"])
+    spoilt = (F.col("query_id") % 2 == 0) & (F.col("position") == 1)
+    legs = legs.withColumn("departure", F.when(spoilt, F.col("departure") - 3600).otherwise(F.col("departure")))
     return journeys.path_violations(legs, ["query_id", "end", "cost"])
 
 
@@ -509,6 +537,50 @@ def plan_candidates(n):
     return found.select("query_id", "attempt", "arrival", "transfers")
 
 
+@query
+def state_search_rounds(n):
+    """One change at most, with rules of single trips: where one can get off, and when."""
+    hops = service_day_hops(n, "2026-06-29")
+    return states.state_arrivals(states.state_labels(_origins(n), hops, _trip_rules(n), max_transfers=1))
+
+
+def _chains(n: Network, day: DataFrame, transfers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chains of labels, one for each trip of a day: along the trip, on foot to the first stop near its end, and on by the first trip that leaves there within three hours."""
+    place = Window.partitionBy("trip_id").orderBy("stop_sequence")
+    on = day.withColumn("position", F.row_number().over(place))
+    off, none = F.col("drop_off_type") == 0, F.lit(None).cast("long")
+    own = {"chain_id": F.col("trip_id")}
+    start = on.where("position = 1").select(*(v.alias(k) for k, v in (own | {"position": F.lit(0), "kind": F.lit("start"), "stop_id": F.col("from_stop_id"), "departure": none, "arrival": F.col("departure_seconds"), "trip_id": none, "can_alight": F.lit(True), "transfers": F.lit(0), "cost": F.lit(0.0)}).items()))
+    ridden = on.select(*(v.alias(k) for k, v in (own | {"position": F.col("position"), "kind": F.lit("ride"), "stop_id": F.col("to_stop_id"), "departure": F.col("departure_seconds"), "arrival": F.col("arrival_seconds"), "trip_id": F.col("trip_id"), "can_alight": off, "transfers": F.lit(0), "cost": F.col("leg_cost")}).items()))
+    end = ridden.groupBy("chain_id").agg(F.max_by(F.struct("position", "stop_id", "arrival", "cost"), "position").alias("e"))
+    near = transfers.where("from_stop_id <> to_stop_id AND transfer_type <> 3").groupBy("from_stop_id").agg(F.min(F.struct("to_stop_id", F.coalesce("min_transfer_time", F.lit(0)).alias("seconds"))).alias("w"))
+    walked = end.join(near, F.col("e.stop_id") == F.col("from_stop_id")).select("chain_id", (F.col("e.position") + 1).alias("position"), F.lit("walk").alias("kind"), F.col("w.to_stop_id").alias("stop_id"), none.alias("departure"), (F.col("e.arrival") + F.col("w.seconds")).alias("arrival"), F.col("chain_id").alias("trip_id"), F.lit(True).alias("can_alight"), F.lit(0).alias("transfers"), F.col("e.cost").alias("cost"))
+    first = F.min(F.struct("departure_seconds", "n_trip", "stop_sequence", "to_stop_id", "arrival_seconds", off.alias("off"), "leg_cost")).alias("b")
+    board = day.where("pickup_type = 0").withColumnRenamed("trip_id", "n_trip")
+    next_hop = walked.join(board, F.col("stop_id") == F.col("from_stop_id")).where("departure_seconds BETWEEN arrival AND arrival + 10800 AND n_trip <> chain_id").groupBy("chain_id", "position", "cost").agg(first)
+    further = next_hop.select("chain_id", (F.col("position") + 1).alias("position"), F.lit("ride").alias("kind"), F.col("b.to_stop_id").alias("stop_id"), F.col("b.departure_seconds").alias("departure"), F.col("b.arrival_seconds").alias("arrival"), F.col("b.n_trip").alias("trip_id"), F.col("b.off").alias("can_alight"), F.lit(1).alias("transfers"), (F.col("cost") + F.col("b.leg_cost")).alias("cost"))
+    chains = keep.kept(start.unionByName(ridden).unionByName(walked).unionByName(further), "chains")
+    asked = chains.groupBy("chain_id").agg(F.min_by("stop_id", "position").alias("origin"), F.max_by("stop_id", "position").alias("destination"), F.min("arrival").alias("departure"))
+    return chains, asked
+
+
+@query
+def label_chain_violations(n):
+    """Chains of all trips of a date, seven in ten of them spoilt, each kind in another way."""
+    legs = service_day_hops(n, "2026-06-29").withColumn("time_window", gtfs.time_window(F.col("arrival_seconds")))
+    day = keep.kept(rel.resolved(legs, rel.Profiles(_samples(n)).kept()).withColumn("leg_cost", gtfs.leg_cost(F.col("reliability"))), "day")
+    transfers = _trip_rules(n)
+    chains, asked = _chains(n, day, transfers)
+    k, p = F.col("chain_id") % 10, F.col("position")
+    spoil = lambda column, when, value: F.when(when, value).otherwise(F.col(column))
+    chains = chains.select(
+        "chain_id", "position", "kind", spoil("stop_id", (k == 1) & (p == 1), F.col("stop_id") + 1).alias("stop_id"), spoil("departure", (k == 2) & (p == 1), F.col("departure") - 60).alias("departure"),
+        spoil("arrival", ((k == 3) & (p == 1)) | ((k == 7) & (F.col("kind") == "walk")), F.col("arrival") + 3600).alias("arrival"), "trip_id", spoil("can_alight", (k == 4) & (p == 1), ~F.col("can_alight")).alias("can_alight"),
+        spoil("transfers", (k == 5) & (p == 1), F.lit(1)).alias("transfers"), spoil("cost", (k == 6) & (p == 1), F.col("cost") + 0.5).alias("cost"),
+    )
+    return journeys.chain_violations(chains, asked, day, transfers)
+
+
 def _alternatives(n: Network) -> DataFrame:
     """Rides without a change from stop 1 to any stop, as alternatives."""
     h = lookups.hops_of_stop(n.stop_times(), n.trips(), 1)
