@@ -34,7 +34,7 @@ def test_feed(spark, folder, tmp_path):
     found = cleaning.judged(feed.read_feed(spark, folder))
     n = {(r.table, r.reason): r.n for r in cleaning.reason_counts(found).collect()}
     assert n["calendar", "invalid monday"] == 1 and n["calendar", "invalid start_date"] == 1 and n["calendar", None] == 1
-    assert n["routes", "orphan agency_id"] == 1 and n["routes", "wrong number of values"] == 1 and n["routes", "empty route_id"] == 1
+    assert n["routes", "orphan agency_id"] == 1 and sum(v for (t, r), v in n.items() if t == "routes" and r and r.startswith("wrong number of values at row ")) == 1 and n["routes", "empty route_id"] == 1
     assert n["stops", "invalid stop_lat"] == 1 and n["stops", "orphan parent_station"] == 1 and n["stops", None] == 1
     assert n["trips", "orphan route_id"] == 1 and n["stop_times", "invalid arrival_time"] == 1 and n["translations", None] == 1
     assert n["directions", None] == 1 and found["directions"].first().route_do == "x"

@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -43,6 +45,22 @@ def test_pareto(spark):
     assert sorted(map(tuple, out.collect())) == [(1, 10, 0.5, 0), (1, 12, 0.4, 1), (2, 99, 9.0, 2)]
 
 
+@pytest.mark.parametrize("piece", [3, 10])
+def test_pareto_of_large_groups(spark, piece, monkeypatch):
+    """One group with nearly all rows, a small one and one without a key, against all pairs; the large one is dealt in many pieces."""
+    monkeypatch.setattr(search, "_PIECE", piece)
+    rng = random.Random(7)
+    rows = [(rng.choice([1] * 40 + [2, None]), a := rng.randrange(400), float(800 - a + rng.randrange(0, 90)), rng.randrange(6)) for _ in range(3000)]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "g int, arrival int, cost double, transfers int, other int")
+    by = {}
+    for r in set(rows):
+        by.setdefault(r[0], []).append(r[1:])
+    want = {(g, *x) for g, own in by.items() for x in own if not any(y != x and all(p <= q for p, q in zip(y, x, strict=True)) for y in own)}
+    out = search.pareto(df, ["g"]).collect()
+    assert len(out) == len(want) > 50 and {tuple(r)[:4] for r in out} == want
+    assert search.pareto(df.where("false"), ["g"]).count() == 0
+
+
 def test_stop_search_bounds(spark):
     stops = spark.createDataFrame([(1, "Main")], "stop_id long, stop_name string")
     with pytest.raises(ValueError):

@@ -70,7 +70,7 @@ def reason_counts(tables: dict[str, DataFrame]) -> DataFrame:
 def cleaned_feed(spark: SparkSession, folder: str, target: str, dry_run: bool = False) -> DataFrame:
     """table, reason, n of a folder of text tables; with rows to remove, and unless dry_run, a cleaned version under target.
 
-    Rows are told apart by their values: a reason carries no row number, as a file read in parts has none.
+    The reason of a row with too few or too many values has its number in the file.
     """
     tables = judged(feed.read_feed(spark, folder))
     counts = kept_once(reason_counts(tables))

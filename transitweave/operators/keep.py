@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _OWN: dict[str, str] = {}
+_KEPT: dict[str, list[str]] = {}
 
 
 def folder(spark: SparkSession) -> str:
@@ -31,5 +32,21 @@ def kept(df: DataFrame, name: str = "kept") -> DataFrame:
     """df, computed once: written to the folder for it, which cuts the plan and survives lost executors."""
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _KEPT.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes files or folders of any store that Spark writes to; what isn't there is passed over."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+
+
+def remove_kept(spark: SparkSession) -> int:
+    """Deletes what kept() has written in this application, once the results made from it have been used; returns how many tables."""
+    paths = _KEPT.pop(spark.sparkContext.applicationId, [])
+    remove(spark, paths)
+    return len(paths)

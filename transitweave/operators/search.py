@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -124,23 +124,35 @@ def earliest_to_fixpoint(origins: DataFrame, hops: DataFrame, transfers: DataFra
     return best.drop("ready")
 
 
+#: Rows of a piece that is compared row by row: two to the power of this.
+_PIECE = 10
+
+
 def pareto(alternatives: DataFrame, group: list[str]) -> DataFrame:
     """Rows for which no other of their group is as good in arrival, cost and transfers and better in one. Equal rows stay once.
 
-    Only the cheapest row of each arrival and number of transfers can stay, and of
-    those only the ones that no earlier arrival with as many transfers undercuts:
-    two aggregations and a running minimum leave few rows. They are then joined
-    with each other for all numbers of transfers, however many there are.
+    Rows stand by group, arrival, cost and transfers, in pieces of about a thousand, so that one
+    group spreads over all tasks. Only a row that stands earlier can be better. Of each piece and number of
+    transfers the least cost is known; running minima over transfers and pieces give what all earlier
+    pieces undercut, a row for each piece and number of transfers. Inside a piece the rows left are joined with
+    each other.
     """
-    best = alternatives.dropDuplicates([*group, "arrival", "cost", "transfers"])
-    least = best.groupBy(*group, "arrival", "transfers").agg(F.min("cost").alias("cost"))
-    before = F.min("cost").over(Window.partitionBy(*group, "transfers").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1))
-    stairs = least.withColumn("before", before).where("before IS NULL OR cost < before").drop("before")
-    other = stairs.select(*(F.col(c).alias(f"o_{c}") for c in [*group, "arrival", "cost", "transfers"]))
-    on = [F.col(f"o_{g}").eqNullSafe(F.col(g)) for g in group] + [F.col("o_transfers") < F.col("transfers"), F.col("o_arrival") <= F.col("arrival"), F.col("o_cost") <= F.col("cost")]
-    keys = [*group, "arrival", "cost", "transfers"]
-    undominated = stairs.join(other, reduce(and_, on), "left_anti").select(*(F.col(c).alias(f"k_{c}") for c in keys))
-    return best.join(undominated, reduce(and_, [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in keys]), "left_semi")
+    values = ["arrival", "cost", "transfers"]
+    best = alternatives.dropDuplicates([*group, *values])
+    rows = best.select(F.struct(*group).alias("g"), *values)
+    rows = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g", *values).sortWithinPartitions("g", *values)
+    rows = kept(rows.withColumn("piece", F.shiftright(F.monotonically_increasing_id(), _PIECE)), "pieces")
+    least = rows.groupBy("g", "piece", "transfers").agg(F.min("cost").alias("cost"))
+    every = least.select("g", "piece").distinct().join(least.select("g", "transfers").distinct(), "g").join(least, ["g", "piece", "transfers"], "left")
+    fewer = every.withColumn("cost", F.min("cost").over(Window.partitionBy("g", "piece").orderBy("transfers")))
+    before = Window.partitionBy("g", "transfers").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    left = rows.join(fewer.select("g", "piece", "transfers", F.min("cost").over(before).alias("before")), ["g", "piece", "transfers"]).where("before IS NULL OR cost < before")
+    other = left.select(*(F.col(c).alias(f"o_{c}") for c in ["g", "piece", *values]))
+    as_good = [F.col(f"o_{c}") <= F.col(c) for c in values]
+    better = reduce(or_, [F.col(f"o_{c}") < F.col(c) for c in values])
+    left = left.join(other, reduce(and_, [F.col("g") == F.col("o_g"), F.col("piece") == F.col("o_piece"), *as_good, better]), "left_anti")
+    keys = left.select(*(F.col(f"g.{c}").alias(f"k_{c}") for c in group), *(F.col(c).alias(f"k_{c}") for c in values))
+    return best.join(keys, reduce(and_, [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in [*group, *values]]), "left_semi")
 
 
 def direct_alternatives(hops: DataFrame, origin: int, destination: int, after: int, horizon: int = 10800) -> DataFrame:

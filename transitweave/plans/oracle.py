@@ -223,7 +223,12 @@ SELECTS = {
     "stored_violations": """SELECT * FROM (SELECT 'hop starts at an unknown stop' AS rule, count(*) AS rows FROM hops WHERE from_stop_id = 5 UNION ALL SELECT 'hop ends at an unknown stop', count(*) FROM hops WHERE to_stop_id = 5
         UNION ALL SELECT 'transfer from an unknown stop', count(*) FROM transfers WHERE from_stop_id = 5 OR from_stop_id NOT IN (SELECT stop_id FROM stops) UNION ALL SELECT 'transfer to an unknown stop', count(*) FROM transfers WHERE to_stop_id = 5 OR to_stop_id NOT IN (SELECT stop_id FROM stops)
         UNION ALL SELECT 'stops is not as long as when written', 1) WHERE rows > 0""",
-    "csv_reason_codes": "SELECT CASE WHEN trip_id % 10 = 4 THEN 'empty route_id' WHEN trip_id % 10 = 3 THEN 'invalid direction_id' WHEN route_id = 7 THEN 'orphan route_id' ELSE 'kept' END AS reason, count(*) AS n FROM trips GROUP BY ALL",
+    "csv_reason_codes": """SELECT reason, count(*) AS n, min(place) AS first_row, max(place) AS last_row FROM (SELECT CASE WHEN trip_id % 10 = 5 THEN 'wrong number of values at row ' || place WHEN trip_id % 10 = 4 THEN 'empty route_id' WHEN trip_id % 10 = 3 THEN 'invalid direction_id'
+        WHEN route_id = 7 THEN 'orphan route_id' ELSE 'kept' END AS reason, place FROM (SELECT *, row_number() OVER (ORDER BY trip_id) + 1 AS place FROM trips)) GROUP BY ALL""",
+    "stream_keyed_newest": "SELECT * REPLACE (service_date::VARCHAR AS service_date, coalesce(scheduled_arrival, -1) AS scheduled_arrival) FROM latest",
+    "samples_merged": f""", early AS (SELECT trip_id, service_date, time_window, quantile_cont(delay_seconds, 0.5) AS delay, count(*) AS stops, max(observed_at) AS newest FROM (SELECT *, {WINDOW('scheduled_arrival')} AS time_window FROM latest WHERE stop_id <> 'click' AND scheduled_arrival IS NOT NULL) JOIN trips USING (trip_id) GROUP BY ALL)
+        SELECT trip_id, service_date::VARCHAR AS service_date, time_window, coalesce(s.delay, e.delay) AS delay, coalesce(s.stops, e.stops) AS stops, CASE WHEN (s.delay, s.stops, s.newest) IS NOT DISTINCT FROM (e.delay, e.stops, e.newest) THEN '2026-01-01' ELSE '2026-01-02' END AS updated
+        FROM samples s FULL JOIN early e USING (trip_id, service_date, time_window)""",
     "rt_schedule_match": """SELECT position, stop_sequence, stop_id FROM (SELECT position, t.stop_sequence, t.stop_id, row_number() OVER (PARTITION BY position ORDER BY t.stop_sequence NULLS LAST) AS k FROM
         (SELECT event_id AS position, user_id, CASE WHEN event_id % 3 <> 0 THEN event_id % 10 END AS stop, CASE WHEN event_id % 3 <> 1 THEN event_id % 4 + 1 END AS seq FROM events) e
         LEFT JOIN stop_times t ON t.trip_id = user_id AND (stop IS NULL OR stop = t.stop_id) AND (seq IS NULL OR seq = t.stop_sequence)) WHERE k = 1""",

@@ -14,6 +14,7 @@ from ..operators import cleaning, journeys, keep, lookups, realtime, search, sim
 from ..operators import reliability as rel
 from ..sources import feed, stored
 from ..sources.bridge import Network
+from ..streaming import merge, visits
 from ..streaming import observations as streamed
 
 REGISTERED: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -329,14 +330,16 @@ def stored_violations(n):
 
 @query
 def csv_reason_codes(n):
-    """Trips written as the text file of a feed, one in ten of them spoilt, and read with reasons."""
+    """Trips written as the text file of a feed in parts, two in ten of them spoilt, and read with reasons and row numbers."""
     target = f"{keep.folder(n.spark)}/feed-{uuid.uuid4().hex}"
-    spoilt = F.when(F.col("trip_id") % 10 == 3, "x").otherwise(F.coalesce(F.col("direction_id").cast("string"), F.lit("")))
-    rows = n.trips().select(F.when(F.col("trip_id") % 10 == 4, "").otherwise(F.col("route_id").cast("string")).alias("route_id"), "service_id", F.col("trip_id").cast("string").alias("trip_id"), spoilt.alias("direction_id"))
-    rows.write.option("header", True).option("emptyValue", "").csv(f"{target}/trips.txt")
-    found = feed.typed(feed.raw(n.spark, target, "trips"), "trips")
+    k = F.col("trip_id") % 10
+    spoilt = F.when(k == 3, "x").when(k == 5, "1,9").otherwise(F.coalesce(F.col("direction_id").cast("string"), F.lit("")))
+    rows = n.trips().repartitionByRange(8, "trip_id").sortWithinPartitions("trip_id")
+    rows = rows.select(F.when(k == 4, "").otherwise(F.col("route_id").cast("string")).alias("route_id"), "service_id", F.col("trip_id").cast("string").alias("trip_id"), spoilt.alias("direction_id"))
+    rows.write.option("header", True).option("emptyValue", "").option("quote", "\u0000").csv(f"{target}/trips.txt")
+    found = feed.typed(feed.raw(n.spark, target, "trips"), "trips", numbered=True)
     found = cleaning.with_orphans(found, "route_id", n.routes().where("route_id <> 7").select(F.col("route_id").cast("string").alias("route_id")), "route_id")
-    return found.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return found.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.min(feed.ROW).alias("first_row"), F.max(feed.ROW).alias("last_row"))
 
 
 @query
@@ -360,6 +363,28 @@ def stream_latest_observations(n):
     return streamed.newest(n.spark, f"{target}/out").fillna(-1, ["scheduled_arrival"])
 
 
+@query
+def stream_keyed_newest(n):
+    """As stream_latest_observations, by keyed state: only what is newer than the state is appended."""
+    target = f"{keep.folder(n.spark)}/visits-{uuid.uuid4().hex}"
+    n.observations().write.parquet(f"{target}/in")
+    stream = n.spark.readStream.schema(n.observations().schema).parquet(f"{target}/in")
+    visits.keep_newer(stream, f"{target}/out", f"{target}/state", late="60 days", keep=60).awaitTermination()
+    return visits.newest_visits(n.spark, f"{target}/out").fillna(-1, ["scheduled_arrival"])
+
+
+@query
+def samples_merged(n):
+    """Samples without the last stop's observations are stored, then all of them are merged in, twice: the second time nothing changes."""
+    target = f"{keep.folder(n.spark)}/samples-{uuid.uuid4().hex}"
+    first = rel.samples(n.observations().where("stop_id <> 'click'"), n.trips())
+    merge.merge_samples(first, target, "2026-01-01 00:00:00")
+    merge.merge_samples(_samples(n), target, "2026-01-02 00:00:00")
+    merge.merge_samples(_samples(n), target, "2026-01-03 00:00:00")
+    merge.compact(n.spark, target)
+    return merge.stored_samples(n.spark, target).select("trip_id", "service_date", "time_window", "delay", "stops", F.to_date("updated_at").alias("updated"))
+
+
 @query
 def latest_observations(n):
     return rel.latest(n.observations()).fillna(-1, ["scheduled_arrival"])

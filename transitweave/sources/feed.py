@@ -7,13 +7,13 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.gtfs import gtfs_seconds
 
-CORRUPT = "_corrupt"
+CORRUPT, ROW = "_corrupt", "_row"
 
 # The columns of the feed's files, parents before children. ! is required; t text, i integer,
 # d decimal, b boolean, D date, I service-day time. name=file_name where a column has another name in the file.
@@ -74,8 +74,25 @@ def effective_header(table: str, found: list[str]) -> list[str]:
     return header
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, _row: the lines of a text file after its header, with their numbers; the header is row 1.
+
+    path may be a folder of part files, each with the header, which count as one file in the order of their
+    names. Files are read in blocks, in any order: the lines of each block are counted, the sums of the blocks before
+    give each its first number. A block is one row in these sums.
+    """
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    lines = spark.read.text(path).select("value", *place, F.monotonically_increasing_id().alias("at"))
+    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    blocks = blocks.withColumn("header", F.when(F.col("block") == 0, 1).otherwise(0))
+    before = F.sum(F.col("n") - F.col("header")).over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = blocks.select("file", "block", "first", "header", (F.coalesce(before, F.lit(0)) + 2 - F.col("header")).alias("start"))
+    own = F.col("at") - F.col("first")
+    return lines.join(starts, ["file", "block"]).where(own >= F.col("header")).select("value", (F.col("start") + own).alias(ROW))
+
+
 def raw(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """The values of a file as text; the column _corrupt is set where a row has too few or too many."""
+    """The values of a file as text, with the number of their row; the column _corrupt is set where a row has too few or too many."""
     path = f"{folder.rstrip('/')}/{table}.txt"
     try:
         first = spark.read.text(path).first()
@@ -83,9 +100,12 @@ def raw(spark: SparkSession, folder: str, table: str) -> DataFrame:
         raise FeedError(f"{table}: no file {path}") from e
     if first is None:
         raise FeedError(f"{table}: an empty file")
-    header = effective_header(table, next(csv.reader([first[0].lstrip("﻿")])))
+    header = effective_header(table, next(csv.reader([first[0].lstrip("\ufeff")])))
     schema = T.StructType([T.StructField(h, T.StringType()) for h in [*header, CORRUPT]])
-    return spark.read.schema(schema).option("header", True).option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False).csv(path)
+    values = F.from_csv("value", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"columnNameOfCorruptRecord": CORRUPT})
+    rows = numbered_lines(spark, path).select("value", ROW, values.alias("v"))
+    blank = F.when(F.trim("value") == "", F.col("value"))
+    return rows.select(*(F.col(f"v.`{h}`").alias(h) for h in header), F.coalesce(F.col(f"v.{CORRUPT}"), blank).alias(CORRUPT), ROW)
 
 
 def parsed(text: Column, kind: str) -> Column:
@@ -102,21 +122,21 @@ def parsed(text: Column, kind: str) -> Column:
     return gtfs_seconds(t).cast("int") if kind == "I" else t
 
 
-def typed(rows: DataFrame, table: str) -> DataFrame:
+def typed(rows: DataFrame, table: str, numbered: bool = False) -> DataFrame:
     """All columns of a table, and `reason`: null, or the first why a row can't be used.
 
-    Reasons are a wrong number of values, then required values that are blank, then
+    Reasons are a wrong number of values, with the number of the row, then required values that are blank, then
     values that aren't of their type, each in the order of columns. Absent optional
-    columns are null.
+    columns are null. With `numbered`, rows keep their number, _row.
     """
     here = [f for f in fields(table) if f.file_name in rows.columns]
     blank = lambda f: F.coalesce(F.trim(F.col(f.file_name)), F.lit("")) == ""
-    checks = [F.when(F.col(CORRUPT).isNotNull(), "wrong number of values")]
+    checks = [F.when(F.col(CORRUPT).isNotNull(), F.concat(F.lit("wrong number of values at row "), ROW))]
     checks += [F.when(blank(f), f"empty {f.name}") for f in here if f.required]
     checks += [F.when(~blank(f) & parsed(F.col(f.file_name), f.kind).isNull(), f"invalid {f.name}") for f in here if f.kind != "t"]
     names = {f.name for f in here}
     values = [(parsed(F.col(f.file_name), f.kind) if f.name in names else F.lit(None)).cast(_TYPES[f.kind]).alias(f.name) for f in fields(table)]
-    return rows.select(*values, F.coalesce(*checks).alias("reason"))
+    return rows.select(*values, F.coalesce(*checks).alias("reason"), *([ROW] if numbered else []))
 
 
 def read_feed(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
