@@ -274,3 +274,19 @@ def test_against_sql(docs, name):
     duckdb.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{DIR}/documents.parquet'")
     want = duckdb.sql(f"SELECT {', '.join(found.columns)} FROM ({oracle.oracle_sql()[name]})").fetchall()
     assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+
+
+def test_scopes_remove_what_they_wrote(spark, tmp_path):
+    from transitweave.llm.common import remove_written, scope, written
+
+    outer = written(spark.range(3), "outer")
+    with scope(spark, "stage"):
+        inner = written(spark.range(4), "inner")
+    assert inner.count() == 4
+    with scope(spark, "stage"):
+        second = written(spark.range(5), "second")
+    assert outer.count() == 3 and second.count() == 5
+    with pytest.raises(Exception, match="(?i)not.exist|not.found"):
+        inner.count()
+    remove_written(spark, "stage")
+    assert outer.count() == 3

@@ -10,6 +10,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from pathlib import Path
 
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 NO_ID = -(1 << 63)
 _OWN: dict[str, str] = {}
 _SHIPPED: set[str] = set()
-_WRITTEN: dict[str, list[str]] = {}
+_WRITTEN: dict[tuple[str, str], list[str]] = {}
+_OPEN: list[str] = [""]  # names of the scopes that are open, innermost last
 _KEPT: dict[tuple, object] = {}  # in a worker: what its tasks of one kind share
 
 
@@ -46,19 +48,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage and survives lost executors. See remove_written."""
+    """df as a Parquet table in the shared folder: it cuts the lineage and survives lost executors. See remove_written and scope."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    _WRITTEN.setdefault((df.sparkSession.sparkContext.applicationId, _OPEN[-1]), []).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove_written(spark: SparkSession) -> None:
-    """Deletes what written() has left in the shared folder in this application; call it when its results have been used."""
-    jvm = spark.sparkContext._jvm
-    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+def remove_written(spark: SparkSession, name: str | None = None) -> None:
+    """Deletes what written() has left in the shared folder in this application, or in the scopes of a name; call it when its results have been used."""
+    jvm, app = spark.sparkContext._jvm, spark.sparkContext.applicationId
+    for key in [k for k in _WRITTEN if k[0] == app and name in (None, k[1])]:
+        for path in _WRITTEN.pop(key):
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scope(spark: SparkSession, name: str) -> Iterator[None]:
+    """What is written in here goes when the next scope of this name opens: until then its results must have been used."""
+    remove_written(spark, name)
+    _OPEN.append(name)
+    try:
+        yield
+    finally:
+        _OPEN.pop()
 
 
 def task_start(make=None, *key):
