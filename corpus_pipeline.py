@@ -7,10 +7,13 @@ of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from transitweave.llm.common import ship, table, written
+from transitweave.llm.common import scope, ship, table, written
 from transitweave.llm.decontaminate import without_leaks
 from transitweave.llm.ngram_join import one_of_each
 from transitweave.llm.piece_codec import piece_digests
@@ -18,28 +21,44 @@ from transitweave.llm.quality import good_documents, train
 from transitweave.llm.suffix_dedup import cut_documents
 
 
+def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """f, which first deletes what the stage before has left in the shared folder; its result has been written by then."""
+
+    @wraps(f)
+    def scoped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with scope(spark, "pipeline"):
+            return f(spark, docs, sf_dir)
+
+    return scoped
+
+
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     return good_documents(docs, train(docs, table(spark, sf_dir, "labels"), most=20_000))
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of documents with a five-word Jaccard similarity of 0.8 or more, the smallest id stays."""
     ship(spark)
     return one_of_each(docs, n=5, num=4, den=5)
 
 
+@stage
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of strings of 100 that also start earlier go; documents stay, if need be empty."""
     ship(spark)
     return cut_documents(docs, length=100)
 
 
+@stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a test item, copied or edited, go."""
     return without_leaks(docs, table(spark, sf_dir, "benchmark"), least=0.6)
 
 
+@stage
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document."""
     ship(spark)
@@ -55,8 +74,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on documents; what each returns is written to the shared folder."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    for k, (name, f) in enumerate(STAGES):
+        docs = f(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, "stage-" + name.split(" ")[0].lower())
     return docs
