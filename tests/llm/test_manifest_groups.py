@@ -280,13 +280,19 @@ def test_scopes_remove_what_they_wrote(spark, tmp_path):
     from transitweave.llm.common import remove_written, scope, written
 
     outer = written(spark.range(3), "outer")
-    with scope(spark, "stage"):
+    with scope(spark, "family", "one"):
         inner = written(spark.range(4), "inner")
-    assert inner.count() == 4
-    with scope(spark, "stage"):
+    with scope(spark, "family", "one"):
+        again = written(spark.range(6), "again")
+    assert (inner.count(), again.count()) == (4, 6)
+    with scope(spark, "family", "two", inner.where("id > 0")):
         second = written(spark.range(5), "second")
+    assert inner.count() == 4
+    with scope(spark, "family", "three", second):
+        pass
     assert outer.count() == 3 and second.count() == 5
-    with pytest.raises(Exception, match="(?i)not.exist|not.found"):
-        inner.count()
-    remove_written(spark, "stage")
+    for gone in (inner, again):
+        with pytest.raises(Exception, match="(?i)not.exist|not.found"):
+            gone.count()
+    remove_written(spark, of="family/")
     assert outer.count() == 3

@@ -55,20 +55,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove_written(spark: SparkSession, name: str | None = None) -> None:
-    """Deletes what written() has left in the shared folder in this application, or in the scopes of a name; call it when its results have been used."""
+def remove_written(spark: SparkSession, but: DataFrame | None = None, of: str = "", other_than: str | None = None) -> None:
+    """Deletes what written() has left in the shared folder in this application, apart from what `but` reads; call it when its results have been used.
+
+    With `of`, only what scopes wrote whose names begin so goes, apart from the scope `other_than`.
+    """
     jvm, app = spark.sparkContext._jvm, spark.sparkContext.applicationId
-    for key in [k for k in _WRITTEN if k[0] == app and name in (None, k[1])]:
-        for path in _WRITTEN.pop(key):
+    read = but.inputFiles() if but is not None else []
+    for key in [k for k in _WRITTEN if k[0] == app and k[1].startswith(of) and k[1] != other_than]:
+        paths = _WRITTEN.pop(key)
+        used = [p for p in paths if any(f"/{p.rpartition('/')[2]}/" in f for f in read)]
+        for path in set(paths) - set(used):
             place = jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        if used:
+            _WRITTEN[key] = used
 
 
 @contextmanager
-def scope(spark: SparkSession, name: str) -> Iterator[None]:
-    """What is written in here goes when the next scope of this name opens: until then its results must have been used."""
-    remove_written(spark, name)
-    _OPEN.append(name)
+def scope(spark: SparkSession, family: str, name: str, docs: DataFrame | None = None) -> Iterator[None]:
+    """What is written in here goes when another scope of the family opens, unless its docs read it; else its results must have been used by then."""
+    own = f"{family}/{name}"
+    remove_written(spark, docs, f"{family}/", own)
+    _OPEN.append(own)
     try:
         yield
     finally:
