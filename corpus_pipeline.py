@@ -22,11 +22,11 @@ from transitweave.llm.suffix_dedup import cut_documents
 
 
 def stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """f, which first deletes what the stage before has left in the shared folder; its result has been written by then."""
+    """f, which first deletes what other stages have left in the shared folder, apart from what docs read: their results have been written by then."""
 
     @wraps(f)
     def scoped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        with scope(spark, "pipeline"):
+        with scope(spark, "pipeline", f.__name__, docs):
             return f(spark, docs, sf_dir)
 
     return scoped
