@@ -196,6 +196,28 @@ def test_requests(spark):
     assert rows[0, 1].arrival == 30000 and (1, 1) in rows and (1, 2) not in rows
     leg = rows[1, 1].legs[0]
     assert [s.stop_name for s in leg.stops] == ["One", "Two", "Three"] and leg.stops[1].arrival == 29400 and leg.stops[1].departure == 29460 and leg.duration == 1200
-    for bad in ({"origin": " "}, {"destination": 1}, {"departure_time": "8:60:00"}, {"algorithm": "x"}, {"max_extra_minutes": 121}, {"timeout_seconds": 0}, {"reliability_effect": 0, "travel_time_effect": 0}, {"transfer_effect": -1.0}, {"limit": 0}):
+    for bad in ({"origin": " "}, {"destination": 1}, {"departure_time": "8:60:00"}, {"algorithm": "x"}, {"max_extra_minutes": 121}, {"timeout_seconds": 0}, {"reliability_effect": 0, "travel_time_effect": 0}, {"transfer_effect": -1.0}, {"limit": 0}, {"minimum_samples": 0}):
         with pytest.raises(ValueError):
             JourneyRequest(**({"origin": 1, "destination": 3, "departure_time": "8:00:00"} | bad))
+
+
+def test_requests_by_text_ids(spark):
+    """Stops and trips named by text; answers have their algorithm, and say where profiles are thin."""
+    hops, rules, profiles = simple(spark)
+    text = {c: F.concat(F.lit("T" if c == "trip_id" else "S"), F.col(c)) for c in ("trip_id", "from_stop_id", "to_stop_id")}
+    ruled = rules.withColumns({c: F.col(c).cast("string") for c in ("from_stop_id", "to_stop_id", "from_trip_id", "to_trip_id")})
+    stops = spark.createDataFrame([("S1", "One"), ("S3", "Three")], "stop_id string, stop_name string")
+    asked = [JourneyRequest("S1", "S3", "7:55:00", algorithm="AStar", timeout_seconds=120.0), JourneyRequest(" S1 ", "S3", "7:55:00", minimum_samples=5, timeout_seconds=120.0), JourneyRequest("S3", "S1", "7:55:00", timeout_seconds=120.0)]
+    rows = {r.query_id: r for r in answered(spark, asked, hops.withColumns(text), ruled, stops, profiles).collect()}
+    assert {k: (r.algorithm, r.arrival, r.insufficient) for k, r in rows.items()} == {0: ("astar", 30000, True), 1: ("mc_raptor", 30000, False)}
+    leg = rows[0].legs[0]
+    assert (leg.trip_id, leg.from_stop, leg.to_stop, leg.level, leg.samples, [s.stop_name for s in leg.stops]) == ("T1", "S1", "S3", "exact", 5, ["One", None, "Three"])
+    with pytest.raises(ValueError):
+        answered(spark, [JourneyRequest("S1", "S3", "7:55:00")], hops, rules, stops, profiles)
+    with pytest.raises(ValueError):
+        answered(spark, [], hops, rules, stops, profiles)
+
+
+def test_product_of_legs(spark):
+    legs = spark.createDataFrame([(1, 0.5), (1, 0.5), (2, None), (2, 0.9), (3, 1e-7), (3, 1e-7)], "k int, reliability double")
+    assert {r.k: r.reliability for r in jo.product_reliability(legs, ["k"]).collect()} == {1: 0.25, 2: 1e-9, 3: 1e-9}

@@ -26,11 +26,6 @@ def stops_like(stops: DataFrame, stop_times: DataFrame, text: str, limit: int =
     return found.orderBy("stop_name", "stop_id").limit(max(1, limit))
 
 
-def folded(text: Column) -> Column:
-    """Lower case for comparisons; a sharp s counts as two."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
-
-
 def feed_version(feed_info: DataFrame) -> DataFrame:
     """One row: the greatest version, else first and last day joined by a colon. Without rows that is a lone colon."""
     text = lambda c: F.coalesce(F.max(c).cast("string"), F.lit(""))

@@ -72,3 +72,9 @@ def new_observations(found: DataFrame, stored: DataFrame) -> DataFrame:
     keys = ["trip_id", "stop_id", "stop_sequence", "service_date", "observed_at"]
     w = Window.partitionBy(*keys).orderBy(F.col("scheduled_arrival").asc_nulls_last(), "delay_seconds")
     return found.join(stored.select(*keys), keys, "left_anti").withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
+
+
+def insert_counts(found: DataFrame, stored: DataFrame) -> DataFrame:
+    """One row: inserted, the observations that new_observations gives, and duplicates, all others of found."""
+    new = new_observations(found, stored).agg(F.count(F.lit(1)).alias("inserted"))
+    return found.agg(F.count(F.lit(1)).alias("all")).crossJoin(new).select("inserted", (F.col("all") - F.col("inserted")).alias("duplicates"))  # single rows

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.gtfs import folded
+
 
 def connections(stop_times: DataFrame, trips: DataFrame, routes: DataFrame | None = None) -> DataFrame:
     """A row for each two stops in a row of a trip. One shuffle by trip, whatever the number of columns."""
@@ -34,7 +36,7 @@ def search_stops(stops: DataFrame, stop_times: DataFrame, text: str, limit: int
     """Served stops whose name holds the text in any case, by name and id, 20 at most."""
     if len(text.strip()) < 2 or not 1 <= limit <= 20:
         raise ValueError("a search takes two characters or more and a limit from 1 to 20")
-    return stops_with_service(stops, stop_times).where(F.contains(F.lower("stop_name"), F.lower(F.lit(text)))).orderBy("stop_name", "stop_id").limit(limit)
+    return stops_with_service(stops, stop_times).where(F.contains(folded(F.col("stop_name")), folded(F.lit(text)))).orderBy("stop_name", "stop_id").limit(limit)
 
 
 def station_transfers(stops: DataFrame, explicit: DataFrame, seconds: int = 120) -> DataFrame:

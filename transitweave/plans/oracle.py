@@ -222,9 +222,19 @@ SELECTS = {
     "stored_departures": "SELECT trip_id, stop_sequence, from_stop_id, to_stop_id, departure_seconds, arrival_seconds FROM hops WHERE from_stop_id = 1 AND departure_seconds >= 28800 AND pickup_type <> 1 AND drop_off_type <> 1",
     "stored_violations": """SELECT * FROM (SELECT 'hop starts at an unknown stop' AS rule, count(*) AS rows FROM hops WHERE from_stop_id = 5 UNION ALL SELECT 'hop ends at an unknown stop', count(*) FROM hops WHERE to_stop_id = 5
         UNION ALL SELECT 'transfer from an unknown stop', count(*) FROM transfers WHERE from_stop_id = 5 OR from_stop_id NOT IN (SELECT stop_id FROM stops) UNION ALL SELECT 'transfer to an unknown stop', count(*) FROM transfers WHERE to_stop_id = 5 OR to_stop_id NOT IN (SELECT stop_id FROM stops)
+        UNION ALL SELECT 'hop of an unknown service', count(*) FROM hops WHERE service_id = '3-MEDIUM' UNION ALL SELECT 'calendar is not as long as when written', 1 UNION ALL SELECT 'calendar_dates is not as long as when written', 1
         UNION ALL SELECT 'stops is not as long as when written', 1) WHERE rows > 0""",
     "csv_reason_codes": """SELECT reason, count(*) AS n, min(place) AS first_row, max(place) AS last_row FROM (SELECT CASE WHEN trip_id % 10 = 5 THEN 'wrong number of values at row ' || place WHEN trip_id % 10 = 4 THEN 'empty route_id' WHEN trip_id % 10 = 3 THEN 'invalid direction_id'
         WHEN route_id = 7 THEN 'orphan route_id' ELSE 'kept' END AS reason, place FROM (SELECT *, row_number() OVER (ORDER BY trip_id) + 1 AS place FROM trips)) GROUP BY ALL""",
+    "ordered_scans": """SELECT 'stops' AS name, row_number() OVER (ORDER BY stop_id) AS place, concat_ws('|', stop_id, stop_lat >= 49, stop_lon >= -123) AS row FROM stops
+        UNION ALL SELECT 'transfers', row_number() OVER (ORDER BY from_stop_id, to_stop_id, transfer_type, min_transfer_time NULLS FIRST), concat_ws('|', from_stop_id, to_stop_id, transfer_type, coalesce(min_transfer_time, -1)) FROM clique
+        UNION ALL SELECT 'calendar', row_number() OVER (ORDER BY service_id), concat_ws('|', service_id, days, start_date, end_date) FROM calendar
+        UNION ALL SELECT 'calendar_dates', row_number() OVER (ORDER BY service_date, service_id), concat_ws('|', service_date, service_id, exception_type) FROM calendar_dates
+        UNION ALL SELECT 'profiles', row_number() OVER (ORDER BY route_id, direction_key, time_window), concat_ws('|', route_id, direction_key, time_window, n) FROM p_exact""",
+    "insert_counts": "SELECT count(*) AS inserted, (SELECT 2 * count(*) FROM observations) - count(*) AS duplicates FROM (SELECT DISTINCT trip_id, stop_id, stop_sequence, service_date, observed_at FROM observations WHERE (trip_id, stop_id, stop_sequence, service_date, observed_at) NOT IN (SELECT trip_id, stop_id, stop_sequence, service_date, observed_at FROM observations WHERE stop_id = 'click'))",
+    "trip_reliability": f"""{_SEARCH}{_COSTED} SELECT trip_id, round(greatest(product(exp(-leg_cost)), {FLOOR}), 9) AS reliability FROM costed GROUP BY ALL""",
+    "response_digest": """SELECT sha256(string_agg(line, chr(10) ORDER BY departure_seconds, trip_id, stop_sequence)) AS hash FROM (SELECT departure_seconds, trip_id, stop_sequence, '{"departure_seconds":' || departure_seconds || ',"stop_sequence":' || stop_sequence || ',"to_stop_id":' || to_stop_id || ',"trip_id":' || trip_id || '}' AS line
+        FROM hops WHERE from_stop_id = 1 AND departure_seconds >= 28800 AND pickup_type <> 1 AND drop_off_type <> 1 ORDER BY departure_seconds, trip_id, stop_sequence LIMIT 20 OFFSET 5)""",
     "stream_keyed_newest": "SELECT * REPLACE (service_date::VARCHAR AS service_date, coalesce(scheduled_arrival, -1) AS scheduled_arrival) FROM latest",
     "samples_merged": f""", early AS (SELECT trip_id, service_date, time_window, quantile_cont(delay_seconds, 0.5) AS delay, count(*) AS stops, max(observed_at) AS newest FROM (SELECT *, {WINDOW('scheduled_arrival')} AS time_window FROM latest WHERE stop_id <> 'click' AND scheduled_arrival IS NOT NULL) JOIN trips USING (trip_id) GROUP BY ALL)
         SELECT trip_id, service_date::VARCHAR AS service_date, time_window, coalesce(s.delay, e.delay) AS delay, coalesce(s.stops, e.stops) AS stops, CASE WHEN (s.delay, s.stops, s.newest) IS NOT DISTINCT FROM (e.delay, e.stops, e.newest) THEN '2026-01-01' ELSE '2026-01-02' END AS updated

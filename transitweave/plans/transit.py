@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import gtfs
 from ..operators import calendar as cal
-from ..operators import cleaning, journeys, keep, lookups, realtime, search, simulation, states, timetable
+from ..operators import cleaning, journeys, keep, lookups, realtime, scans, search, simulation, states, timetable
 from ..operators import reliability as rel
 from ..sources import feed, stored
 from ..sources.bridge import Network
@@ -322,8 +323,10 @@ def stored_departures(n):
 
 @query
 def stored_violations(n):
-    """A stored timetable that has lost a stop."""
+    """A stored timetable that has lost a stop and a service."""
     t = _stored(n)
+    for name in ("calendar", "calendar_dates"):
+        t.tables[name] = t.tables[name].where("service_id <> '3-MEDIUM'")
     t.tables["stops"] = t.tables["stops"].where("stop_id <> 5")
     return stored.violations(t)
 
@@ -396,6 +399,41 @@ def observation_dedup(n):
     return rel.deduplicated(o.unionByName(o)).groupBy("trip_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def insert_counts(n):
+    """All observations twice, put to those of one stop: how many are new, and how many repeat."""
+    o = n.observations()
+    return realtime.insert_counts(o.unionByName(o), o.where("stop_id = 'click'"))
+
+
+@query
+def ordered_scans(n):
+    """Whole tables in order: places, transfers, calendars, exceptions and profiles."""
+    text = lambda *c: F.concat_ws("|", *(F.col(x).cast("string") if isinstance(x, str) else x for x in c)).alias("row")
+    tables = {
+        "stops": (n.stops(), ["stop_id"], text("stop_id", (F.col("stop_lat") >= 49).cast("string"), (F.col("stop_lon") >= -123).cast("string"))),
+        "transfers": (timetable.station_transfers(n.stops(), n.transfers()), ["from_stop_id", "to_stop_id", "transfer_type", "min_transfer_time"], text("from_stop_id", "to_stop_id", "transfer_type", F.coalesce("min_transfer_time", F.lit(-1)).cast("string"))),
+        "calendar": (n.calendar(), ["service_id"], text("service_id", "days", "start_date", "end_date")),
+        "calendar_dates": (n.calendar_dates(), ["service_date", "service_id"], text("service_date", "service_id", "exception_type")),
+        "profiles": (rel.Profiles(_samples(n)).kept().exact(), ["route_id", "direction_key", "time_window"], text("route_id", "direction_key", "time_window", "n")),
+    }
+    return reduce(DataFrame.unionByName, [scans.placed(df, order).select(F.lit(name).alias("name"), "place", row) for name, (df, order, row) in tables.items()])
+
+
+@query
+def trip_reliability(n):
+    """For each trip of a date, the product of the probabilities of its hops as legs."""
+    legs = service_day_hops(n, "2026-06-29").withColumn("time_window", gtfs.time_window(F.col("arrival_seconds")))
+    rows = rel.resolved(legs, rel.Profiles(_samples(n)).kept()).withColumn("reliability", F.greatest("reliability", F.lit(gtfs.FLOOR)))
+    return journeys.product_reliability(rows, ["trip_id"]).select("trip_id", F.round("reliability", 9).alias("reliability"))
+
+
+@query
+def response_digest(n):
+    """SHA-256 of a page of departures."""
+    return lookups.response_hash(departures_from_stop(n), ["departure_seconds", "trip_id", "stop_sequence"])
+
+
 @query
 def trip_samples(n):
     return _samples(n).fillna(-1, ["direction_id"])
