@@ -80,6 +80,8 @@ def test_stream_keeps_the_newest(spark, tmp_path):
     query = streamed.keep_newest(stream, f"{tmp_path}/out", f"{tmp_path}/state", 1)
     query.awaitTermination(120)
     assert [r.delay_seconds for r in streamed.newest(spark, f"{tmp_path}/out").collect()] == [7]
+    assert streamed.compact(spark, f"{tmp_path}/out") == 1 and streamed.compact(spark, f"{tmp_path}/out") == 0
+    assert [r.delay_seconds for r in streamed.newest(spark, f"{tmp_path}/out").collect()] == [7]
     query = streamed.unrepeated(stream).writeStream.format("memory").queryName("once").option("checkpointLocation", f"{tmp_path}/once").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert spark.table("once").count() == 2

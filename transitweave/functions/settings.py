@@ -1,4 +1,4 @@
-"""Settings from the environment: a value that is not of its kind gives the default."""
+"""Settings from the environment: a value that is not of its kind gives the default; so does a number under 1, where other readers take 1."""
 
 from __future__ import annotations
 

@@ -376,6 +376,17 @@ def stream_keyed_newest(n):
     return visits.newest_visits(n.spark, f"{target}/out").fillna(-1, ["scheduled_arrival"])
 
 
+@query
+def stream_window_counts(n):
+    """Observations by hour and trip, of the hours that the stream has closed."""
+    target = f"{keep.folder(n.spark)}/windows-{uuid.uuid4().hex}"
+    rows = n.observations().withColumn("observed_at", F.col("observed_at").cast("timestamp"))
+    rows.write.parquet(f"{target}/in")
+    counts = streamed.class_counts(n.spark.readStream.schema(rows.schema).parquet(f"{target}/in"))
+    counts.writeStream.format("parquet").option("path", f"{target}/out").option("checkpointLocation", f"{target}/state").trigger(availableNow=True).start().awaitTermination()
+    return n.spark.read.parquet(f"{target}/out").select(F.unix_timestamp("window.start").alias("start"), "trip_id", "n", F.round("mean", 6).alias("mean"))
+
+
 @query
 def samples_merged(n):
     """Samples without the last stop's observations are stored, then all of them are merged in, twice: the second time nothing changes."""

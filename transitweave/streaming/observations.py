@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..operators.keep import kept, remove
 from ..operators.reliability import KEYS, latest, samples
 
 
@@ -71,6 +74,22 @@ def newest(spark: SparkSession, folder: str) -> DataFrame:
     return _read(spark, folder, where, schema)
 
 
+def compact(spark: SparkSession, folder: str) -> int:
+    """Deletes what later batches have written again, and puts the log into one file, while no stream writes; returns how many dates of batches that were.
+
+    The new log comes first, so whatever breaks off, what counts stays readable.
+    """
+    log = kept(_tables(spark, folder), "log")
+    if log.isEmpty():
+        return 0
+    lines = spark.read.schema("batch long, day date").parquet(f"{folder}/log/*")
+    stale = [f"{folder}/batch={r.batch}/day={r.day}" for r in lines.join(log, ["day", "batch"], "left_anti").distinct().collect()]  # a row a date and batch
+    old = sorted({f.rpartition("/")[0] for f in lines.inputFiles()})
+    log.select("batch", "day").coalesce(1).write.parquet(f"{folder}/log/whole-{uuid.uuid4().hex}")
+    remove(spark, old + stale)
+    return len(stale)
+
+
 def changed_samples(new: DataFrame, old: DataFrame) -> DataFrame:
     """Samples after an upsert: rows of new and old by trip, date and window, with `changed` where new differs from old or has no old one."""
     keys = ["trip_id", "service_date", "time_window"]
