@@ -329,7 +329,7 @@ def test_pipeline(spark):
 
 
 def test_all_registered():
-    assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.queries()} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("wide", [1, 3, 1000])
