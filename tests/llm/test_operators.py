@@ -206,6 +206,24 @@ def test_join(spark, odd, none, tile, num, den, monkeypatch):
         assert ngram_join.similar_documents(odd).count() == len(ODD) and ngram_join.similar_documents(none).count() == 0
 
 
+def test_join_of_near_copies_meets_one_of_them(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "_TILE", 64)
+    met, by_block = [], ngram_join._by_block
+    monkeypatch.setattr(ngram_join, "_by_block", lambda rows, *x: met.append(rows.count()) or by_block(rows, *x))
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(i, f"{base} end{i}") for i in range(2000)]
+    df = spark.createDataFrame([*rows, (9000, " ".join(f"v{k}" for k in range(60)))], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_documents(df, 3, 9, 10).collect()}
+    assert got == {i: 0 for i, _ in rows} | {9000: 9000}
+    assert len(met) == 6 and met[2] == met[5] == 0  # no tiles, in neither pass
+    assert 2000 < met[4] < 2100 and met[1] < 2100 * 45  # a meeting with the first in each group: pairs of 10 keys at most
+
+
+def test_classes_have_128_bits():
+    grams = np.arange(5, dtype=np.uint64)
+    assert len(ngram_join._class_of(grams)) == 16 and ngram_join._class_of(grams) != ngram_join._class_of(grams[1:])
+
+
 def test_join_rejects(spark, odd):
     for bad in ((0, 1), (3, 2)):
         with pytest.raises(ValueError):

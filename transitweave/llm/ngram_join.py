@@ -5,8 +5,9 @@
    order of all n-grams. The order puts n-grams of rare words first, so few
    classes that are unlike meet. Classes that share such a key form a block. With
    one n-gram more, two sets share two: a key of very many classes gives way to
-   its pairs with their other n-grams. What is large still is split by size, then
-   into tiles.
+   its pairs with their other n-grams (with all: of what two sets share, other
+   n-grams may come between). In what is large still, one class meets all others
+   of about its size, and only classes unlike it meet the rest, in tiles.
 3. A block is a signature tree: a leaf is a class with a bitmap of its n-grams, a
    node holds the bitmaps of its leaves, combined by OR, and the range of their
    sizes. Two trees are traversed together; pairs of nodes whose bitmaps and
@@ -66,8 +67,9 @@ def _set_of(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(shingle_hashes(h, n), return_index=True)
 
 
-def _class_of(grams: np.ndarray) -> int:
-    return int.from_bytes(hashlib.md5(grams.tobytes()).digest()[:8], "little", signed=True)
+def _class_of(grams: np.ndarray) -> bytes:
+    """What a set is known by: 128 bits."""
+    return hashlib.md5(grams.tobytes()).digest()
 
 
 def _signatures(docs: DataFrame, n: int, num: int, den: int, ranks: np.ndarray) -> DataFrame:
@@ -96,9 +98,9 @@ def _signatures(docs: DataFrame, n: int, num: int, den: int, ranks: np.ndarray)
                 first = size + (-size * num // den) + 1  # a set as similar has ceil(size * num / den) of them at least
                 maps.append(_bitmap(grams))
                 keys.append(grams[np.lexsort((grams, common))[: first + 1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(maps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "version", "n", "node", "bitmap", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(maps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "version", "n", "node", "bitmap", "keys"])
 
-    return docs.mapInArrow(signed, "id long, version long, n long, node long, bitmap binary, keys array<long>")
+    return docs.mapInArrow(signed, "id long, version long, n long, node binary, bitmap binary, keys array<long>")
 
 
 def _room(overlap, size_sum, num: int, den: int):
@@ -189,9 +191,12 @@ class _Union:
 
 
 def _found(sizes: np.ndarray, maps: list[bytes], sides: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of a block with room for enough common n-grams. A longer bitmap is folded onto a shorter one's length."""
+    """Pairs of rows of a block with room for enough common n-grams. A longer bitmap is folded onto a shorter one's length.
+
+    Rows of sides 0 and 1 meet across; with a row of side -1, all meet.
+    """
     lengths = np.array([len(m) for m in maps])
-    both = bool(sides.any() and not sides.all())
+    both = bool(sides.min() >= 0)
     for length in np.unique(lengths):
         trees: dict[tuple[bool, int], tuple[np.ndarray, _Tree]] = {}
         most = length << math.ceil(math.log2(den / num))  # sets with longer ones are too large
@@ -273,9 +278,12 @@ def _by_block(rows: DataFrame, num: int, den: int, exact: bool) -> DataFrame:
             maps = t.column("bitmap").to_pylist()
             sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()] if exact else None
             cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))
-            out = [_compared(node[i:j], n[i:j], maps[i:j], side[i:j], sets and sets[i:j], num, den) for i, j in zip(cuts[:-1], cuts[1:], strict=True) if j - i > 1]
-            a, b = (np.unique(np.stack([np.concatenate(x) for x in zip(*out, strict=True)]), axis=1)) if out else (np.zeros(0, np.int64),) * 2
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            found: set[tuple[bytes, bytes]] = set()
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if j - i > 1:
+                    found.update(zip(*_compared(node[i:j], n[i:j], maps[i:j], side[i:j], sets and sets[i:j], num, den), strict=True))
+            a, b = zip(*found, strict=True) if found else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -290,32 +298,64 @@ def _by_block(rows: DataFrame, num: int, den: int, exact: bool) -> DataFrame:
 
     columns = ["block", "side", "node", "n", "bitmap"] + ["set"] * exact
     spread = rows.select(*columns).repartition(partitions(rows.sparkSession), "block").sortWithinPartitions("block")
-    return spread.mapInArrow(edges, "a long, b long")
+    return spread.mapInArrow(edges, "a binary, b binary")
 
 
-def _tiled(rows: DataFrame, group: str, bands: bool, num: int, den: int) -> DataFrame:
-    """Adds block and side: rows of a group meet in one block; those of a large one in a block for each pair of tiles.
+def _edges(rows: DataFrame, group: str, bands: bool, num: int, den: int, maps: DataFrame | None = None) -> DataFrame:
+    """a, b: edges that connect the rows (group, node, n) of each group as all its pairs would.
 
-    With bands, a large group is first split by size: sets whose sizes differ by
-    more than a band can't be similar, so tiles meet inside a band and with the next.
+    maps: bitmaps by node, where rows have none; rows that have sets are compared
+    exactly. A group of over _TILE rows is split by size, if bands says so: sets
+    whose sizes differ by more than a band can't be similar. There
+    1. one row of each band meets all of its own band and the next ones;
+    2. rows which that has not connected with their band's meet all others, in
+       tiles. Bands meet where they aren't connected.
+    So near copies, however many, meet one of them each; tiles grow with the square
+    of what is unlike.
     """
+
+    def compared(blocks: DataFrame) -> DataFrame:
+        return _by_block(blocks if maps is None else blocks.join(maps, "node"), num, den, "set" in rows.columns)
+
     step = max(1e-6, math.log(den / num) * 1.0001)
-    band = F.floor(F.log("n") / step).cast("long") if bands else F.lit(0).cast("long")
-    rows = rows.withColumn("band", band)
-    large = rows.groupBy(group).count().where(F.col("count") > _TILE).select(group)
-    counts = rows.join(large, group).groupBy(group, "band").count().select(group, "band", F.ceil(F.col("count") / _TILE).cast("long").alias("tiles"))
-    counts = written(counts, "tiles")
-    if counts.isEmpty():
-        return rows.withColumn("block", F.col(group)).withColumn("side", F.lit(0))
-    near = counts
-    for name, by in (("below", 1), ("above", -1)):
-        near = near.join(counts.select(group, (F.col("band") + by).alias("band"), F.col("tiles").alias(name)), [group, "band"], "left")
-    rows = rows.join(near, [group, "band"], "left").withColumn("tile", F.expr("pmod(xxhash64(node), tiles)"))
-    meets = F.expr("""CASE WHEN tiles IS NULL THEN array(named_struct('b', 0L, 'i', 0L, 'd', 0L, 'j', 0L, 'side', 0)) ELSE concat(
-        transform(sequence(0L, tiles - 1), x -> named_struct('b', band, 'i', least(tile, x), 'd', band, 'j', greatest(tile, x), 'side', IF(tile <= x, 0, 1))),
-        IF(above IS NULL, array(), transform(sequence(0L, above - 1), x -> named_struct('b', band, 'i', tile, 'd', band + 1, 'j', x, 'side', 0))),
-        IF(below IS NULL, array(), transform(sequence(0L, below - 1), x -> named_struct('b', band - 1, 'i', x, 'd', band, 'j', tile, 'side', 1)))) END""")
-    return rows.withColumn("m", F.explode(meets)).withColumn("block", F.when(F.col("tiles").isNull(), F.col(group)).otherwise(F.xxhash64(group, "m.b", "m.i", "m.d", "m.j"))).withColumn("side", F.col("m.side"))
+    rows = rows.withColumn("band", F.floor(F.log("n") / step).cast("long") if bands else F.lit(0).cast("long"))
+    wide = written(rows.groupBy(group).count().where(F.col("count") > _TILE).select(group), "wide-groups")
+    if wide.isEmpty():
+        return compared(rows.withColumn("block", F.xxhash64(group)).withColumn("side", F.lit(-1)))
+    narrow = compared(rows.join(wide, group, "left_anti").withColumn("block", F.xxhash64(group)).withColumn("side", F.lit(-1)))
+    rows = rows.join(wide, group)
+
+    firsts = written(rows.groupBy(group, "band").agg(F.min("node").alias("first"), F.ceil(F.count(F.lit(1)) / _TILE).cast("long").alias("parts")), "band-firsts")
+    meets = firsts.select(group, F.col("band").alias("of"), "first", F.explode(F.array(*(F.col("band") + d for d in (-1, 0, 1)))).alias("band"))
+    meets = meets.join(firsts.select(group, "band", "parts"), [group, "band"])
+    around = rows.join(meets, [group, "band"]).where("node <> first").withColumn("part", F.expr("pmod(xxhash64(node), parts)")).withColumn("side", F.lit(1))
+    heads = meets.select(group, "of", F.col("band").alias("beside"), "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    heads = heads.join(rows.withColumnRenamed("node", "first"), [group, "first"]).withColumn("node", F.col("first")).withColumn("band", F.col("beside")).withColumn("side", F.lit(0))
+    own = [c for c in rows.columns if c not in (group, "band")]
+    block = F.xxhash64(group, "of", "band", "part").alias("block")
+    stars = written(compared(around.select(block, "side", *own).unionByName(heads.select(block, "side", *own))), "stars")
+
+    joined = written(components(stars).withColumnRenamed("root", "tied"), "joined")
+    roots = rows.select(group, "band", "node").join(joined, "node", "left").select(group, "band", "node", F.coalesce("tied", "node").alias("tied"))
+    main = firsts.join(joined, firsts["first"] == joined["node"], "left").select(group, "band", F.coalesce("tied", "first").alias("main"))
+    placed = written(roots.join(main, [group, "band"]).select(group, "node", "band", (F.col("tied") != F.col("main")).alias("apart"), "main"), "placed")
+    cells = written(placed.groupBy(group, "band", "apart").agg(F.ceil(F.count(F.lit(1)) / _TILE).cast("long").alias("tiles"), F.first("main").alias("main")), "cells")
+    left = cells.select(group, *(F.col(c).alias(f"{c}_l") for c in ("band", "apart", "tiles", "main")))
+    right = cells.select(group, *(F.col(c).alias(f"{c}_r") for c in ("band", "apart", "tiles", "main")), F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band_l"))
+    known = "NOT apart_l AND NOT apart_r AND main_l = main_r"
+    pairs = written(left.join(right, [group, "band_l"]).where(f"(band_l < band_r OR apart_l <= apart_r) AND NOT ({known})"), "cell-pairs")
+    whole = rows.join(placed.select(group, "node", "apart"), [group, "node"])
+
+    def side(own: str, other: str) -> DataFrame:
+        at = whole.join(pairs.select("*", F.col(f"band_{own}").alias("band"), F.col(f"apart_{own}").alias("apart")), [group, "band", "apart"])
+        return at.withColumn("i", F.expr(f"pmod(xxhash64(node), tiles_{own})")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"tiles_{other}") - 1)))
+
+    same = "band_l = band_r AND apart_l = apart_r"
+    one = side("l", "r").withColumn("side", F.expr(f"CASE WHEN NOT ({same}) THEN 0 WHEN i = j THEN -1 WHEN i < j THEN 0 ELSE 1 END"))
+    one = one.withColumn("p", F.expr(f"IF({same}, least(i, j), i)")).withColumn("q", F.expr(f"IF({same}, greatest(i, j), j)"))
+    two = side("r", "l").where(f"NOT ({same})").withColumn("side", F.lit(1)).withColumn("p", F.col("j")).withColumn("q", F.col("i"))
+    block = F.xxhash64(group, "band_l", "apart_l", "band_r", "apart_r", "p", "q").alias("block")
+    return narrow.unionByName(stars).unionByName(compared(one.select(block, "side", *own).unionByName(two.select(block, "side", *own))))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -387,8 +427,7 @@ def similar_documents(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10,
     rows; other columns are not read. Very long texts are taken whole. Ids that are
     not whole numbers, and a threshold that is not over 0 and up to 1, raise
     ValueError. Sets are compared by 64-bit hashes of their n-grams, and equal ones
-    known by 64 bits of MD5: of a thousand million different sets, two are taken for
-    one with a chance of 3 %.
+    known by the 128 bits of their MD5.
     """
     return _placed(docs, n, num, den, id_col, text_col).select("doc_id", "n_shingles", "component_id")
 
@@ -405,8 +444,7 @@ def _placed(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id",
     bitmaps = some.where("bitmap is not null").select("node", "bitmap").dropDuplicates(["node"])
 
     hits = written(_hits(some.where("keys is not null").select("node", "n", "keys"), num, den), "hits")
-    blocks = _tiled(hits, "key", True, num, den).select("block", "side", "node", "n")
-    candidates = components(_by_block(blocks.join(bitmaps, "node"), num, den, exact=False))
+    candidates = components(_edges(hits, "key", True, num, den, bitmaps))
     wanted = written(candidates.join(classes.select("node", "any_id"), "node").select(F.col("any_id").alias("id"), F.col("node").alias("wanted"), "root"), "candidates")
     if wanted.count() <= _SMALL:
         texts = plain.join(F.broadcast(wanted), "id")
@@ -427,8 +465,8 @@ def _placed(docs: DataFrame, n: int, num: int, den: int, id_col: str = "doc_id",
             at = pa.array(kept, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(1).take(at), batch.column(2).take(at), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary()), pa.array(data, pa.binary())], names=["node", "root", "n", "bitmap", "set"])
 
-    full = written(texts.select("text", "wanted", "root").mapInArrow(sets, "node long, root long, n long, bitmap binary, set binary").dropDuplicates(["node"]), "sets")
-    linked = components(_by_block(_tiled(full, "root", False, num, den), num, den, exact=True))
+    full = written(texts.select("text", "wanted", "root").mapInArrow(sets, "node binary, root binary, n long, bitmap binary, set binary").dropDuplicates(["node"]), "sets")
+    linked = components(_edges(full, "root", False, num, den))
 
     placed = classes.select("node", "least").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
