@@ -40,6 +40,38 @@ def test_stored_timetable(spark, tmp_path):
         stored.write_timetable({k: v.drop("stop_name") if k == "stops" else v for k, v in tables(spark, [good]).items()}, target)
 
 
+def test_stored_columns_keep_their_types(spark, tmp_path):
+    target = f"{tmp_path}/t"
+    version = stored.write_timetable(tables(spark, [(1, 1, 1, 2, 28800, 29400, 0, 0, 1, 0, "s")]), target)
+    t = stored.read_timetable(spark, target)
+    t.tables["hops"].withColumn("trip_id", F.lit("1")).write.parquet(f"{tmp_path}/other")
+    (tmp_path / "t" / f"version={version}" / "hops").rename(tmp_path / "old")
+    (tmp_path / "other").rename(tmp_path / "t" / f"version={version}" / "hops")
+    with pytest.raises(stored.TimetableError, match="in place of"):
+        stored.read_timetable(spark, target)
+
+
+def test_stored_rules_and_speed(spark, tmp_path):
+    hops = [(1, 1, 1, 2, 28800, 29400, 0, 0, 1, 0, "s"), (1, 2, 1, 2, 29500, 30000, 0, 0, 1, 0, "s"), (1, 2, 1, 2, 29500, 30000, 0, 0, 1, 0, "s")]
+    given = tables(spark, hops)
+    given["calendar"] = spark.createDataFrame([("s", "1111100", "2026-02-01", "2026-01-01")], "service_id string, days string, start_date string, end_date string").selectExpr("service_id", "days", "date(start_date) start_date", "date(end_date) end_date")
+    given["profiles"] = spark.createDataFrame([(1, 0, "midday", 5, 0.5), (1, 0, "midday", 5, float("nan")), (2, 0, "midday", 0, 1.0)], EMPTY["profiles"])
+    target = f"{tmp_path}/t"
+    stored.write_timetable(given, target, None, 1000.0)
+    t = stored.read_timetable(spark, target)
+    assert {r.rule: r.rows for r in stored.violations(t).collect()} == {
+        "hop is there twice": 1, "trip goes on from another stop": 2, "trip leaves before it has come": 1, "calendar ends before it starts": 1, "profiles: out of range": 2, "profiles: there twice": 1,
+    }
+    assert stored.checked_speed_bound(t).first() == (True, 1000.0, None)
+    for declared, reason in ((1.0, "the declared bound is too low"), (float("nan"), "the declared bound is no positive number"), (float("inf"), "the declared bound is no positive number"), (None, "no bound is declared")):
+        t.speed_bound = declared
+        assert stored.checked_speed_bound(t).first() == (False, None, reason)
+    t.speed_bound, t.tables["hops"] = 1000.0, t.tables["hops"].withColumn("arrival_seconds", F.col("departure_seconds"))
+    assert stored.checked_speed_bound(t).first() == (False, None, "takes no time: ride")
+    t.tables["hops"] = t.tables["hops"].where("false")
+    assert stored.checked_speed_bound(t).first() == (False, None, "no edge leads elsewhere")
+
+
 def test_fixture_file(spark, tmp_path):
     path = tmp_path / "f.json"
     path.write_text(json.dumps({"stops": [{"stop_id": "A", "stop_name": "a"}], "connections": [{"trip_id": "T", "from_stop_id": "A", "to_stop_id": "B", "departure_seconds": 1, "arrival_seconds": 2}], "source_version": "v"}, indent=1))

@@ -279,6 +279,33 @@ SELECTS = {
         UNION ALL SELECT 'transfer to an unknown stop', count(*) FROM transfers WHERE to_stop_id = 5 OR to_stop_id NOT IN (SELECT stop_id FROM stops)
         UNION ALL SELECT 'calendar is not as long as when written', 1 UNION ALL SELECT 'calendar_dates is not as long as when written', 1
         UNION ALL SELECT 'stops is not as long as when written', 1) WHERE rows > 0""",
+    "stored_rule_breaks": """, once AS (SELECT trip_id, stop_sequence, to_stop_id, from_stop_id + (trip_id % 10 = 2 AND stop_sequence = 2)::INT AS from_stop_id, departure_seconds - 7200 * (trip_id % 10 = 3 AND stop_sequence = 2)::INT AS departure_seconds,
+            CASE WHEN trip_id % 10 = 6 AND stop_sequence = 1 THEN departure_seconds - 60 WHEN NOT (trip_id % 10 = 4 AND stop_sequence = 1) THEN arrival_seconds END AS arrival_seconds, CASE WHEN trip_id % 10 = 5 AND stop_sequence = 1 THEN 7 ELSE direction_id END AS direction_id FROM hops),
+        again AS (SELECT * FROM once WHERE trip_id % 10 = 1 AND stop_sequence = 1), broken AS (SELECT * FROM once UNION ALL SELECT * FROM again),
+        along AS (SELECT *, lag(arrival_seconds) OVER w AS come, lag(to_stop_id) OVER w AS place FROM broken WINDOW w AS (PARTITION BY trip_id ORDER BY stop_sequence)), known AS (SELECT stop_id FROM stops)
+        SELECT * FROM (SELECT 'hop arrives before it departs' AS rule, count(*) AS rows FROM broken WHERE arrival_seconds < departure_seconds UNION ALL SELECT 'hop has no time', count(*) FROM broken WHERE arrival_seconds IS NULL
+        UNION ALL SELECT 'hop starts at an unknown stop', count(*) FROM broken WHERE from_stop_id NOT IN (FROM known) UNION ALL SELECT 'hop is there twice', count(*) FROM again
+        UNION ALL SELECT 'hops is not as long as when written', count(*) FROM again UNION ALL SELECT 'hop with an unknown direction', count(*) FROM broken WHERE direction_id = 7
+        UNION ALL SELECT 'trip leaves before it has come', count(*) FROM along WHERE departure_seconds < come UNION ALL SELECT 'trip goes on from another stop', count(*) FROM along WHERE from_stop_id <> place
+        UNION ALL SELECT 'transfer from an unknown stop', count(*) FROM transfers WHERE from_stop_id NOT IN (FROM known) UNION ALL SELECT 'transfer to an unknown stop', count(*) FROM transfers WHERE to_stop_id NOT IN (FROM known)
+        UNION ALL SELECT 'transfer of an unknown type', count(*) FROM transfers WHERE from_stop_id % 5 = 1 UNION ALL SELECT 'transfer takes negative time', count(*) FROM transfers WHERE from_stop_id % 2 = 0
+        UNION ALL SELECT 'stop off the globe', count(*) FROM stops WHERE stop_id % 20 = 3 UNION ALL SELECT 'profiles: out of range', count(*) FROM p_exact WHERE route_id % 10 = 1 AND reliability > 0
+        UNION ALL SELECT 'profiles: there twice', count(*) FROM p_exact WHERE route_id % 10 = 2 UNION ALL SELECT 'profiles is not as long as when written', count(*) FROM p_exact WHERE route_id % 10 = 2) WHERE rows > 0""",
+    "stored_speed_bounds": f""", edges AS (SELECT from_stop_id, to_stop_id, arrival_seconds - departure_seconds AS seconds FROM hops UNION ALL SELECT from_stop_id, to_stop_id, min_transfer_time FROM transfers WHERE transfer_type <> 3 AND from_stop_id <> to_stop_id AND min_transfer_time > 0),
+        placed AS (SELECT seconds, {METERS('a.stop_lat', 'b.stop_lat', 'a.stop_lon', 'b.stop_lon')} AS metres FROM edges LEFT JOIN stops a ON a.stop_id = from_stop_id LEFT JOIN stops b ON b.stop_id = to_stop_id),
+        seen AS (SELECT CASE WHEN count(*) FILTER (metres IS NULL) > 0 THEN 'a place is missing: transfer' END AS fault, round(max(metres / seconds) * 1.001, 6) AS most FROM placed WHERE metres IS NULL OR metres > 0),
+        judged_bounds AS (SELECT declared, CASE WHEN declared IS NULL THEN 'no bound is declared' WHEN declared <= 0 THEN 'the declared bound is no positive number' WHEN fault IS NOT NULL THEN fault WHEN declared < most THEN 'the declared bound is too low' END AS reason
+            FROM seen, (VALUES (NULL::DOUBLE), (-1), (1), (100000)) AS d(declared))
+        SELECT reason IS NULL AS enabled, CASE WHEN reason IS NULL THEN declared END AS meters_per_second, reason, declared FROM judged_bounds""",
+    "itinerary_violations": _SEARCH.split("\n")[0] + """
+        l1 AS (SELECT trip_id, arg_max(to_stop_id, stop_sequence) AS t1, arg_min(departure_seconds, stop_sequence) AS d1, arg_max(arrival_seconds, stop_sequence) AS a1 FROM today GROUP BY ALL),
+        l2 AS (SELECT l1.trip_id, h.departure_seconds AS d2, h.arrival_seconds AS a2 FROM l1 JOIN today h ON h.from_stop_id = t1 AND h.trip_id <> l1.trip_id AND h.departure_seconds BETWEEN a1 AND a1 + 10800
+            QUALIFY row_number() OVER (PARTITION BY l1.trip_id ORDER BY h.departure_seconds, h.trip_id, h.stop_sequence) = 1),
+        whole AS (SELECT trip_id AS query_id, trip_id % 10 AS k, d1, a1, d2, coalesce(a2, a1) AS arrival FROM l1 LEFT JOIN l2 USING (trip_id))
+        SELECT query_id, unnest(list_filter([CASE WHEN k = 1 THEN 'another destination' END, CASE WHEN k = 2 THEN 'nothing was found' END, CASE WHEN k = 3 OR (k = 7 AND d2 IS NOT NULL) THEN 'a wrong number of transfers' END,
+            CASE WHEN k = 4 THEN 'a wrong duration' END, CASE WHEN k = 5 AND d2 - 7200 < a1 THEN 'departs before the last leg arrives' END, CASE WHEN (k = 5 AND d2 IS NOT NULL) OR k = 8 THEN 'a ride that there is not' END,
+            CASE WHEN k = 6 THEN 'another departure' END, CASE WHEN k = 6 THEN 'departs before the departure asked for' END, CASE WHEN k = 6 AND arrival < d1 + 3600 THEN 'arrives before the departure asked for' END,
+            CASE WHEN k = 7 THEN 'no legs' END, CASE WHEN k = 8 AND d2 IS NULL THEN 'does not end at the destination' END], lambda r: r IS NOT NULL)) AS rule FROM whole""",
     "csv_reason_codes": """SELECT reason, count(*) AS n, min(place) AS first_row, max(place) AS last_row FROM (SELECT
         CASE WHEN trip_id % 10 = 5 THEN 'wrong number of values at row ' || place WHEN trip_id % 10 = 4 THEN 'empty route_id' WHEN trip_id % 10 = 3 THEN 'invalid direction_id'
         WHEN route_id = 7 THEN 'orphan route_id' ELSE 'kept' END AS reason, place FROM (SELECT *, row_number() OVER (ORDER BY trip_id) + 1 AS place FROM trips)) GROUP BY ALL""",

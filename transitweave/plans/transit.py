@@ -331,6 +331,38 @@ def stored_violations(n):
     return stored.violations(t)
 
 
+@query
+def stored_rule_breaks(n):
+    """A stored timetable of which six in ten trips, and profiles and transfers, have been spoilt, each kind in another way."""
+    t = _stored(n)
+    hops, k = t.tables["hops"], F.col("trip_id") % 10
+    at = lambda kind, place: (k == kind) & (F.col("stop_sequence") == place)
+    spoilt = {
+        "from_stop_id": F.when(at(2, 2), F.col("from_stop_id") + 1), "departure_seconds": F.when(at(3, 2), F.col("departure_seconds") - 7200),
+        "arrival_seconds": F.when(at(6, 1), F.col("departure_seconds") - 60).when(~at(4, 1), F.col("arrival_seconds")), "direction_id": F.when(at(5, 1), F.lit(7)),
+    }
+    hops = hops.withColumns({c: v if c == "arrival_seconds" else F.coalesce(v, c) for c, v in spoilt.items()})
+    t.tables["hops"] = hops.unionByName(hops.where(at(1, 1)))
+    profiles, r = t.tables["profiles"], F.col("route_id") % 10
+    t.tables["profiles"] = profiles.unionByName(profiles.where(r == 2)).withColumn("reliability", F.when(r == 1, F.col("reliability") + 1).otherwise(F.col("reliability")))
+    stop = F.col("from_stop_id")
+    t.tables["transfers"] = t.tables["transfers"].withColumn("min_transfer_time", F.when(stop % 2 == 0, -1).otherwise(F.col("min_transfer_time"))).withColumn("transfer_type", F.when(stop % 5 == 1, 9).otherwise(F.col("transfer_type")))
+    t.tables["stops"] = t.tables["stops"].withColumn("stop_lat", F.when(F.col("stop_id") % 20 == 3, F.col("stop_lat") + 90).otherwise(F.col("stop_lat")))
+    return stored.violations(t)
+
+
+@query
+def stored_speed_bounds(n):
+    """Bounds that a stored timetable may declare, each checked against its rides and its walks that take time."""
+    t = _stored(n)
+    t.tables["transfers"] = t.tables["transfers"].where("min_transfer_time > 0")
+    out = []
+    for declared in (None, -1.0, 1.0, 100_000.0):
+        t.speed_bound = declared
+        out.append(stored.checked_speed_bound(t).withColumn("declared", F.lit(declared).cast("double")))
+    return reduce(DataFrame.unionByName, out)
+
+
 @query
 def csv_reason_codes(n):
     """Trips written as the text file of a feed in parts, two in ten of them spoilt, and read with reasons and row numbers."""
@@ -655,6 +687,30 @@ def label_chain_violations(n):
     return journeys.chain_violations(chains, asked, day, transfers)
 
 
+@query
+def itinerary_violations(n):
+    """Journeys along all trips of a date and on by the first trip that leaves their last stop within three hours, eight in ten of them spoilt, each kind in another way."""
+    day = keep.kept(service_day_hops(n, "2026-06-29"), "day")
+    ends = lambda by, *columns: by(F.struct(*columns), "stop_sequence")
+    first = day.groupBy("trip_id").agg(ends(F.min_by, "from_stop_id", "departure_seconds", "stop_sequence").alias("o"), ends(F.max_by, "to_stop_id", "arrival_seconds", "stop_sequence").alias("d"))
+    first = keep.kept(first.select("trip_id", F.col("o.from_stop_id").alias("from_stop"), F.col("d.to_stop_id").alias("to_stop"), F.col("o.departure_seconds").alias("departure"), F.col("d.arrival_seconds").alias("arrival"), F.col("o.stop_sequence").alias("from_sequence"), F.col("d.stop_sequence").alias("to_sequence")), "first-legs")
+    hop = day.select("trip_id", F.col("from_stop_id").alias("from_stop"), F.col("to_stop_id").alias("to_stop"), F.col("departure_seconds").alias("departure"), F.col("arrival_seconds").alias("arrival"), F.col("stop_sequence").alias("from_sequence"), F.col("stop_sequence").alias("to_sequence"))
+    leg = lambda row: F.struct(*(F.col(f"{row}.{c}").alias(c) for c in hop.columns))
+    one, two = first.select(F.struct(*hop.columns).alias("one")), hop.select(F.struct(*hop.columns).alias("two"), F.struct("departure", "trip_id", "from_sequence").alias("order"))
+    on = (F.col("one.to_stop") == F.col("two.from_stop")) & (F.col("one.trip_id") != F.col("two.trip_id")) & F.col("two.departure").between(F.col("one.arrival"), F.col("one.arrival") + 10800)
+    rows = one.join(two, on, "left").groupBy("one").agg(F.min_by("two", "order").alias("two")).withColumn("query_id", F.col("one.trip_id"))
+    rows = rows.select("query_id", F.pmod("query_id", F.lit(10)).alias("k"), leg("one").alias("one"), F.when(F.col("two.trip_id").isNotNull(), leg("two")).alias("two"))
+    goal, end = F.coalesce("two.to_stop", "one.to_stop"), F.coalesce("two.arrival", "one.arrival")
+    spoil = lambda kind, value, by: value + F.when(F.col("k") == kind, by).otherwise(0)
+    asked = rows.select("query_id", F.col("one.from_stop").alias("origin"), goal.alias("destination"), spoil(6, F.col("one.departure"), 3600).alias("departure"))
+    legs = F.array_compact(F.array(F.col("one").withField("to_stop", spoil(8, F.col("one.to_stop"), 1)), F.col("two").withField("departure", spoil(5, F.col("two.departure"), -7200))))
+    found = rows.where("k <> 2").select(
+        "query_id", F.col("one.from_stop").alias("origin"), spoil(1, goal, 1).alias("destination"), F.col("one.departure").alias("departure"), end.alias("arrival"),
+        spoil(3, F.col("two").isNotNull().cast("int"), 1).alias("transfers"), spoil(4, end - F.col("one.departure"), 1).alias("duration"), F.when(F.col("k") == 7, F.slice(legs, 1, 0)).otherwise(legs).alias("path"),
+    )
+    return journeys.itinerary_violations(asked, found, first.unionByName(hop).distinct())
+
+
 def _alternatives(n: Network) -> DataFrame:
     """Rides without a change from stop 1 to any stop, as alternatives."""
     h = lookups.hops_of_stop(n.stop_times(), n.trips(), 1)
