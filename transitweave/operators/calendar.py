@@ -33,7 +33,8 @@ def operates(pairs: DataFrame, calendar: DataFrame, exceptions: DataFrame) -> Da
 
 def active_or_unruled(services: DataFrame, calendar: DataFrame, exceptions: DataFrame, date: str) -> DataFrame:
     """Services that run on a date, where one without a calendar row always does."""
-    unruled = services.select("service_id").distinct().join(calendar, "service_id", "left_anti")
+    services = services.select("service_id").distinct()  # first, as a service may have any number of trips
+    unruled = services.join(calendar, "service_id", "left_anti")
     return active_services(calendar, exceptions, date).join(services, "service_id", "left_semi").unionByName(unruled).distinct()
 
 
