@@ -221,3 +221,16 @@ def test_requests_by_text_ids(spark):
 def test_product_of_legs(spark):
     legs = spark.createDataFrame([(1, 0.5), (1, 0.5), (2, None), (2, 0.9), (3, 1e-7), (3, 1e-7)], "k int, reliability double")
     assert {r.k: r.reliability for r in jo.product_reliability(legs, ["k"]).collect()} == {1: 0.25, 2: 1e-9, 3: 1e-9}
+
+
+def test_only_trips_in_time_are_prepared(spark):
+    """Of trips all day long, those that can be boarded while a search lasts are prepared; journeys are those over the whole network."""
+    hops = [(100 * h + k, i + 1, i + 2, i, i + 1, 3600 * h + 120 * k + 600 * i, 3600 * h + 120 * k + 600 * i + 500, 0, 0, k % 2, 0) for h in range(24) for k in range(4) for i in range(4)]
+    samples = [(1, "d", r, 0, w, 0.0 if k < 20 else 900.0) for r in (0, 1) for w in ("morning_peak", "midday") for k in range(20 + 10 * r)]
+    h, rules, profiles = spark.createDataFrame(hops, HOPS), spark.createDataFrame([], RULES), Profiles(spark.createDataFrame(samples, SAMPLES)).kept()
+    ask = spark.createDataFrame([(1, 0, 4, 28800, 5400), (2, 1, 3, 30600, 5400)], ASK)
+    net = jo._prepared_for(ask, h, rules, profiles)
+    assert {r.trip_id // 100 for r in net.later.select("trip_id").distinct().collect()} <= {7, 8, 9, 10}
+    assert 0 < net.catch.count() < boarding.prepared(h, rules, profiles, 5400).catch.count() / 8
+    whole = jo.search(ask, boarding.prepared(h, rules, profiles, 5400)).collect()
+    assert whole and sorted(map(tuple, whole)) == sorted(map(tuple, jo.journeys(ask, h, rules, profiles).collect()))

@@ -52,9 +52,15 @@ def calls_of_patterns(hops: DataFrame) -> DataFrame:
         "trip_id", "route_id", "direction_id", F.row_number().over(trip.orderBy("stop_sequence")).alias("position"), "stop_sequence", F.col("from_stop_id").alias("from_stop"), F.col("to_stop_id").alias("to_stop"),
         F.col("departure_seconds").cast("long").alias("departure"), F.col("arrival_seconds").cast("long").alias("reached"), F.expr("pickup_type <> 1 AND drop_off_type <> 1").alias("boards"), F.min("departure_seconds").over(trip).alias("first"),
     )
-    stops = F.sort_array(F.collect_list(F.struct("position", "from_stop", "to_stop", "boards")))  # a trip's calls are few
-    shape = F.to_json(F.struct(F.first("route_id").alias("r"), F.first("direction_id").alias("d"), stops.alias("s")))
-    return calls.join(calls.groupBy("trip_id").agg(F.md5(shape.cast("binary")).alias("pattern")), "trip_id")
+    stops = F.sort_array(F.collect_list(F.struct("position", "from_stop", "to_stop", "boards")).over(trip))  # a trip's calls are few
+    shape = F.to_json(F.struct(F.col("route_id").alias("r"), F.col("direction_id").alias("d"), stops.alias("s")))
+    return calls.withColumn("pattern", F.md5(shape.cast("binary")))
+
+
+def boarded_between(hops: DataFrame, earliest: int, latest: int) -> DataFrame:
+    """Whole trips that can be boarded somewhere between these times, ends included: others carry no search that begins and ends there."""
+    boards = F.col("departure_seconds").between(earliest, latest) & (F.col("pickup_type") != 1) & (F.col("drop_off_type") != 1)
+    return hops.withColumn("in_time", F.max(boards).over(Window.partitionBy("trip_id"))).where("in_time").drop("in_time")
 
 
 def chains(calls: DataFrame) -> DataFrame:
@@ -90,8 +96,10 @@ def chained_walks(transfers: DataFrame) -> DataFrame:
     return one.unionByName(longer).groupBy("from_stop_id", "to_stop_id", *_TRIP_RULES).agg(F.min("seconds").alias("seconds"))
 
 
-def prepared(hops: DataFrame, transfers: DataFrame, profiles: Profiles, horizon: int) -> Prepared:
-    """For searches that end `horizon` seconds after their departure at most. See journeys for the columns."""
+def prepared(hops: DataFrame, transfers: DataFrame, profiles: Profiles, horizon: int, between: tuple[int, int] | None = None) -> Prepared:
+    """For searches that end `horizon` seconds after their departure at most, with `between` for those alone that begin and end between two times. See journeys for the columns."""
+    if between:
+        hops = boarded_between(hops, *between)
     rules = transfers.where("from_stop_id = to_stop_id").select(F.col("from_stop_id").alias("stop_id"), *_TRIP_RULES, "transfer_type", F.coalesce("min_transfer_time", F.lit(0)).alias("wait"))
     names = kept(transfers.select(F.explode(F.array(*_TRIP_RULES)).alias("trip_id")).where("trip_id IS NOT NULL").distinct().withColumn("named", F.lit(True)), "named-trips")
     some = not names.isEmpty()
@@ -105,12 +113,15 @@ def prepared(hops: DataFrame, transfers: DataFrame, profiles: Profiles, horizon:
 
     board = [F.col("from_stop").alias("stop_id"), F.col("trip_id").alias("board_trip"), F.col("position").alias("board_position"), F.col("stop_sequence").alias("from_sequence"), "departure"]
     low = F.greatest(F.col("departure") - horizon, F.col("previous") + 1)  # greatest skips a null
-    catch = rows.where("boards AND NOT named").withColumn("low", low).where("low <= departure")
+    in_time = rows if not between else rows.where(F.col("departure").between(*between))
+    if between:
+        low = F.greatest(low, F.lit(between[0]))
+    catch = in_time.where("boards AND NOT named").withColumn("low", low).where("low <= departure")
     catch = catch.select(*board, "low", F.explode(F.sequence(F.expr(f"floor(low / {QUARTER})"), F.expr(f"floor(departure / {QUARTER})"))).alias("quarter"))
     return Prepared(
         catch=kept(catch, "catch"),
-        openers=rows.where("boards AND opener AND NOT named").select(*board),
-        named=rows.where("boards AND named").select(*board) if some else None,
+        openers=in_time.where("boards AND opener AND NOT named").select(*board),
+        named=in_time.where("boards AND named").select(*board) if some else None,
         later=rows.select("trip_id", "position", F.col("stop_sequence").alias("to_sequence"), "to_stop", "reached", "leg_cost", "opens", "named"),
         rules=kept(rules.groupBy("stop_id").agg(F.collect_set(F.struct(*_TRIP_RULES, "transfer_type", "wait")).alias("rules")), "stop-rules"),  # the rules of a stop are few
         walks=kept(chained_walks(transfers), "walks"),

@@ -60,8 +60,13 @@ def journeys(searches: DataFrame, hops: DataFrame, transfers: DataFrame, profile
     drop_off_type, route_id, direction_id. transfers: from_stop_id, to_stop_id, transfer_type, min_transfer_time,
     from_trip_id, to_trip_id; rules of a stop with itself hold whenever a trip is boarded there.
     """
-    horizon = searches.agg(F.max("horizon")).first()[0] or 0
-    return search(searches, prepared(hops, transfers, profiles.kept(), horizon), max_transfers, max_extra, **bounds)
+    return search(searches, _prepared_for(searches, hops, transfers, profiles), max_transfers, max_extra, **bounds)
+
+
+def _prepared_for(searches: DataFrame, hops: DataFrame, transfers: DataFrame, profiles: Profiles, longer: int = 0) -> Prepared:
+    """The network for these searches alone: only trips that can be boarded while any of them lasts, or `longer` seconds after."""
+    horizon, earliest, latest = searches.agg(F.max("horizon"), F.min("departure"), F.max(F.col("departure") + F.col("horizon"))).first()
+    return prepared(hops, transfers, profiles.kept(), horizon or 0, None if earliest is None or latest is None else (earliest, latest + longer))
 
 
 def search(
@@ -287,8 +292,8 @@ def candidates(searches: DataFrame, hops: DataFrame, transfers: DataFrame, profi
     """
     if limit < 1 or max_extra < 0:
         raise ValueError("a limit of 1 or more and no negative extra time")
-    horizon = searches.agg(F.max("horizon")).first()[0] or 0
-    net = prepared(hops, transfers, profiles.kept(), horizon)
+    # What arrives later than max_extra after the first journey, which ends within its horizon, doesn't count.
+    net = _prepared_for(searches, hops, transfers, profiles, longer=max_extra)
     ask, out = searches, None
     identity = F.transform("path", lambda leg: F.struct(leg["trip_id"], leg["from_stop"], leg["to_stop"])).cast("string")
     for attempt in range(limit * 4):
