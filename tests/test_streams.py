@@ -1,6 +1,8 @@
 import csv
 import random
+from datetime import date
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +108,35 @@ def test_kept_tables_go(spark):
     with pytest.raises(Exception, match="(?i)not.exist|not.found|no such"):
         spark.read.parquet(path).count()
     assert keep.remove_kept(spark) == 0
+
+
+class _Map:
+    """A map state that counts what is asked of it."""
+
+    def __init__(self):
+        self.rows, self.calls = {}, 0
+
+    def exists(self):
+        return bool(self.rows)
+
+    def getValue(self, who):  # noqa: N802
+        self.calls += 1
+        return self.rows.get(who)
+
+    def updateValue(self, who, value):  # noqa: N802
+        self.calls += 1
+        self.rows[who] = value
+
+
+def test_visits_share_groups():
+    """Two calls for two hundred visits of a date: the newest of each go out, and the second reads and writes only what has come."""
+    state, timers = _Map(), []
+    handle = type("Handle", (), {"getMapState": lambda *_: state, "registerTimer": lambda _, at: timers.append(at)})()
+    processor = visits.newest_visit(3, {"trip_id": "bigint", "stop_id": "string", "stop_sequence": "bigint"})
+    processor.init(handle)
+    frame = lambda rows: pd.DataFrame([(t, None, 1, pd.Timestamp(2026, 1, 1, 0, m), s, 5) for t, m, s in rows], columns=["trip_id", "stop_id", "stop_sequence", "observed_at", "scheduled_arrival", "delay_seconds"])
+    key = (date(2026, 1, 1), 0)
+    (first,) = processor.handleInputRows(key, iter([frame([(t, m, 60) for t in range(200) for m in (1, 2)]), frame([(t, 0, 60) for t in range(200)])]), None)
+    assert len(first) == 200 == state.calls and set(first["observed_at"]) == {pd.Timestamp(2026, 1, 1, 0, 2)} and len(timers) == 1
+    (second,) = processor.handleInputRows(key, iter([frame([(7, 2, 60), (8, 3, None), (9, 1, 60)])]), None)
+    assert list(second["trip_id"]) == [8] and second["scheduled_arrival"].isna().all() and state.calls == 204 and len(timers) == 1

@@ -13,44 +13,57 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from ..operators.reliability import KEYS, latest
 
 _VALUES = ["observed_at", "scheduled_arrival", "delay_seconds"]
+#: Groups of the visits of one service date.
+_BUCKETS = 256
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def newest_visit(keep: int) -> StatefulProcessor:
-    """A processor whose state of a visit is the newest observation; it goes when the watermark passes `keep` days after the service date.
+def newest_visit(keep: int, kinds: dict[str, str]) -> StatefulProcessor:
+    """A processor whose groups are the visits of a service date in one bucket: a map holds the newest observation of each; it goes when the watermark passes `keep` days after the date.
 
+    A call costs far more than a row, so visits share groups; only the entries of visits that have come are read and written.
     All it needs is made in here, so that it reaches executors that don't have this package.
     """
-    keys = list(KEYS)
+    visit, date, values = [k for k in KEYS if k != "service_date"], "service_date", list(_VALUES)
+    columns, map_key = [*KEYS, *_VALUES], ", ".join(f"{k} {kinds[k]}" for k in KEYS if k != "service_date")
 
-    def order(observed, scheduled, delay) -> tuple:
+    def whole(column: pd.Series) -> list:
+        return [None if pd.isna(v) else int(v) for v in column]
+
+    def order(value: tuple) -> tuple:
         """Newest first; of equal moments the later schedule, then the greater delay; what is missing comes last."""
-        return tuple((not pd.isna(v), 0 if pd.isna(v) else int(v)) for v in (observed, scheduled, delay))
+        return tuple((v is not None, v or 0) for v in value)
 
     class NewestVisit(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.newest = handle.getValueState("newest", "observed bigint, scheduled bigint, delay bigint")
+            self.newest = handle.getMapState("newest", map_key, "observed bigint, scheduled bigint, delay bigint")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-            known = self.newest.get() if self.newest.exists() else None
-            best, most = None, order(*known) if known is not None else None
+            best: dict[tuple, tuple] = {}
             for frame in rows:
-                for observed, scheduled, delay in zip(frame["observed_at"], frame["scheduled_arrival"], frame["delay_seconds"], strict=True):
-                    micros = None if pd.isna(observed) else pd.Timestamp(observed).value // 1000
-                    now = order(micros, scheduled, delay)
-                    if most is None or now > most:
-                        best, most = (micros, None if pd.isna(scheduled) else int(scheduled), None if pd.isna(delay) else int(delay)), now
-            if best is None:
-                return
-            self.newest.update(best)
-            day = key[keys.index("service_date")]
-            if known is None and day is not None:
+                moments = pd.to_datetime(frame["observed_at"])
+                micros = moments.to_numpy("datetime64[us]").astype("int64").tolist()
+                observed = [None if gone else m for m, gone in zip(micros, moments.isna(), strict=True)]
+                texts = [[None if pd.isna(v) else v for v in frame[c].tolist()] for c in visit]
+                for who, now in zip(zip(*texts, strict=True), zip(observed, *(whole(frame[c]) for c in values[1:]), strict=True), strict=True):
+                    if who not in best or order(now) > order(best[who]):
+                        best[who] = now
+            day = key[0]
+            if self.newest.exists():
+                for who in list(best):
+                    known = self.newest.getValue(who)
+                    if known is not None and order(best[who]) <= order(tuple(known)):
+                        del best[who]
+            elif day is not None:
                 self.handle.registerTimer(int((datetime(day.year, day.month, day.day, tzinfo=UTC) + timedelta(days=keep)).timestamp() * 1000))
-            micros, scheduled, delay = best
-            moment = pd.to_datetime(pd.Series([micros], dtype="Int64"), unit="us")
-            whole = lambda v: pd.array([v], dtype="Int64")
-            yield pd.DataFrame({k: [v] for k, v in zip(keys, key, strict=True)} | {"observed_at": moment, "scheduled_arrival": whole(scheduled), "delay_seconds": whole(delay)})
+            for who, now in best.items():
+                self.newest.updateValue(who, now)
+            if best:
+                found = {c: pd.Series(v, dtype="object") for c, v in zip(visit, zip(*best, strict=True), strict=True)}
+                found |= {c: pd.array(v, dtype="Int64") for c, v in zip(values, zip(*best.values(), strict=True), strict=True)}
+                found[values[0]] = pd.to_datetime(pd.Series(found[values[0]]), unit="us")
+                yield pd.DataFrame(found | {date: pd.Series([day] * len(best), dtype="object")})[columns]
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
             self.newest.clear()
@@ -66,13 +79,14 @@ def newer(stream: DataFrame, late: str = "2 days", keep: int = 30) -> DataFrame:
     """Observations that are the newest of their visit when they come: at most one a visit and batch.
 
     Observations later than `late` are dropped. A visit is forgotten `keep` days after its service date, by event time; that
-    bounds the state by the visits of these days.
+    bounds the state by the visits of these days. The visits of a date are dealt to _BUCKETS groups.
     """
     kinds = {c: stream.schema[c].dataType.simpleString() for c in [*KEYS, *_VALUES]}
     inside = kinds | {"observed_at": "timestamp", "scheduled_arrival": "bigint", "delay_seconds": "bigint"}
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
     watched = stream.select(*(F.col(c).cast(t).alias(c) for c, t in inside.items())).withWatermark("observed_at", late)
-    found = watched.groupBy(*KEYS).transformWithStateInPandas(newest_visit(keep), ", ".join(f"{c} {t}" for c, t in inside.items()), "Append", "EventTime")
+    dealt = watched.withColumn("bucket", F.pmod(F.xxhash64(*(k for k in KEYS if k != "service_date")), F.lit(_BUCKETS)))
+    found = dealt.groupBy("service_date", "bucket").transformWithStateInPandas(newest_visit(keep, kinds), ", ".join(f"{c} {t}" for c, t in inside.items()), "Append", "EventTime")
     return found.select(*(F.col(c).cast(t).alias(c) for c, t in kinds.items()))
 
 
