@@ -1,10 +1,12 @@
 """How much is moved, at sizes where it tells."""
 
+import random
 from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
 from transitweave.operators import calendar as cal
+from transitweave.operators import journeys
 
 
 @contextmanager
@@ -41,3 +43,17 @@ def test_services_of_many_trips(spark):
     with unbroadcast(spark):
         n = shuffled(spark, lambda: found.extend(cal.active_or_unruled(trips, calendar, none, "2026-07-26").collect()))
     assert sorted(r.service_id for r in found) == ["s0", "s2", "s3", "s4"] and n < 500
+
+
+def test_next_rides_without_pairs(spark):
+    """A busy stop: each of 400 who wait gets the first ride of another trip, as all pairs give it, and little more than the rows themselves is moved."""
+    rng = random.Random(5)
+    rides = [(rng.randrange(2), rng.randrange(0, 4000, 20), rng.randrange(40), k) for k in range(400)] + [(0, 8000 + k, 3, 1000 + k) for k in range(30)]
+    waits = [(rng.randrange(3), rng.randrange(0, 5000, 20), rng.randrange(40), k) for k in range(400)] + [(0, 8000, 3, 400)]
+    waiting = spark.createDataFrame(waits, "stop_id long, arrival long, trip_id long, who long")
+    on = spark.createDataFrame(rides, "stop_id long, departure long, trip_id long, sequence long").select("stop_id", F.struct("departure", "trip_id", "sequence").alias("ride"))
+    found = []
+    with unbroadcast(spark):
+        n = shuffled(spark, lambda: found.extend(journeys.next_rides(waiting, on, 300).collect()))
+    want = {who: min((r[1:] for r in rides if r[0] == stop and r[2] != trip and at <= r[1] <= at + 300), default=None) for stop, at, trip, who in waits}
+    assert {r.who: r.ride and tuple(r.ride) for r in found} == want and len(found) == 401 and None in want.values() and n <= len(rides) + len(waits)

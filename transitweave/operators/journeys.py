@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.gtfs import FLOOR, haversine_km
@@ -186,19 +186,40 @@ def itineraries(found: DataFrame) -> DataFrame:
     return found.select("query_id", F.expr(text("arrival")).alias("arrival"), "transfers", "reliability", legs.alias("legs"))
 
 
+def _leg_rules(leg, before) -> dict[str, Column]:
+    """What is wrong with a leg, by itself and after the one before it; both are functions from names to columns."""
+    return {
+        "arrives before it departs": leg("arrival") < leg("departure"),
+        "departs before the last leg arrives": leg("departure") < before("arrival"),
+        "boards its own trip again": leg("trip_id") == before("trip_id"),
+        "runs backwards": leg("to_sequence") < leg("from_sequence"),
+    }
+
+
 def path_violations(legs: DataFrame, keys: list[str]) -> DataFrame:
     """Legs that break a rule, by rule: none for sound journeys."""
     w = Window.partitionBy(*keys).orderBy("position")
     rows = legs.withColumn("before", F.lag("arrival").over(w)).withColumn("trip_before", F.lag("trip_id").over(w))
-    rules = {
-        "arrives before it departs": F.col("arrival") < F.col("departure"),
-        "departs before the last leg arrives": F.col("departure") < F.col("before"),
-        "boards its own trip again": F.col("trip_id") == F.col("trip_before"),
-        "runs backwards": F.col("to_sequence") < F.col("from_sequence"),
-    }
+    rules = _leg_rules(F.col, lambda c: F.col({"arrival": "before", "trip_id": "trip_before"}[c]))
     return rows.select(*keys, F.explode(F.array(*(F.when(c, k) for k, c in rules.items()))).alias("rule")).where("rule IS NOT NULL")
 
 
+def next_rides(waiting: DataFrame, rides: DataFrame, within: int) -> DataFrame:
+    """waiting with `ride`: the first, by departure, trip and sequence, that leaves its stop by another trip no later than `within` seconds after; null if none does.
+
+    waiting: stop_id, arrival, trip_id and others. rides: stop_id and ride, a struct that holds departure, trip_id and sequence first.
+    Both stand in one order of time at each stop, so no pairs are made: a ride knows the next one of another trip, and who waits the next ride.
+    """
+    label, time, trip = F.struct(*waiting.columns), F.coalesce("ride.departure", "label.arrival"), "ride.trip_id"
+    both = waiting.select("stop_id", label.alias("label")).unionByName(rides.select("stop_id", "ride"), allowMissingColumns=True).withColumns({"time": time, "waits": F.col("label").isNotNull()})
+    back = Window.partitionBy("stop_id").orderBy(F.desc("time"), F.asc("waits"), F.desc("ride"))  # from the last to the first; who waits comes after the rides of that second
+    other = F.expr(f"lead({trip}) IGNORE NULLS OVER (PARTITION BY stop_id ORDER BY time DESC, waits ASC, ride DESC) <> {trip}")
+    rows = both.withColumn("other", other).withColumn("second", F.last(F.when(F.col("other"), F.col("ride")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("near", F.last(F.when(~F.col("waits"), F.struct("ride", "second")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))).where("waits")
+    rows = rows.withColumn("next", F.when(F.col("near.ride.trip_id") != F.col("label.trip_id"), F.col("near.ride")).otherwise(F.col("near.second")))
+    return rows.select("label.*", F.when(F.col("next.departure") <= F.col("label.arrival") + within, F.col("next")).alias("ride"))
+
+
 def chain_violations(chains: DataFrame, asked: DataFrame, hops: DataFrame, transfers: DataFrame) -> DataFrame:
     """chain_id, position, rule: what is wrong with chains of labels, one row each.
 
@@ -256,7 +277,7 @@ def itinerary_violations(asked: DataFrame, found: DataFrame, real: DataFrame) ->
     that there are.
     """
     a = asked.select("query_id", F.col("origin").alias("a_origin"), F.col("destination").alias("a_destination"), F.col("departure").alias("a_departure"))
-    rows = a.join(found.withColumn("found", F.lit(True)), "query_id", "left")
+    rows = kept(a.join(found.withColumn("found", F.lit(True)), "query_id", "left"), "asked-and-found")
     legs = F.coalesce(F.size("path"), F.lit(0))
     first, last = F.try_element_at("path", F.lit(1)), F.try_element_at("path", F.lit(-1))
     rules = {
@@ -271,11 +292,12 @@ def itinerary_violations(asked: DataFrame, found: DataFrame, real: DataFrame) ->
         "a wrong number of transfers": F.col("transfers") != F.greatest(F.lit(0), legs - 1),
         "a wrong duration": F.col("duration") != F.col("arrival") - F.col("departure"),
     }
-    whole = rows.select("query_id", F.explode(F.array(*(F.when(c, k) for k, c in rules.items()))).alias("rule"))
-    single = rows.where("found").select("query_id", F.posexplode("path").alias("position", "leg")).select("query_id", "position", "leg.*")
-    broken = path_violations(single, ["query_id"])
+    of_legs = F.transform("path", lambda leg, k: F.array(*(F.when(c, rule) for rule, c in _leg_rules(leg.getField, F.get("path", k - 1).getField).items())))
+    broken = F.array_distinct(F.concat(F.array(*(F.when(c, k) for k, c in rules.items())), F.coalesce(F.flatten(of_legs), F.array().cast("array<string>"))))
+    whole = rows.select("query_id", F.explode(broken).alias("rule")).where("rule IS NOT NULL")
+    single = rows.where("found").select("query_id", F.explode("path").alias("leg")).select("query_id", "leg.*")
     unreal = single.join(real.select("trip_id", "from_stop", "to_stop", "departure", "arrival"), ["trip_id", "from_stop", "to_stop", "departure", "arrival"], "left_anti").select("query_id", F.lit("a ride that there is not").alias("rule"))
-    return whole.where("rule IS NOT NULL").unionByName(broken).unionByName(unreal).distinct()
+    return whole.unionByName(unreal).distinct()
 
 
 def earliest(searches: DataFrame, net: Prepared, max_transfers: int = 3, **bounds) -> DataFrame:
