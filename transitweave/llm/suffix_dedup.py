@@ -36,6 +36,7 @@ _CHUNK = 1 << 18  # bytes hashed at once; positions in it take 22 bits
 _HELD = 1 << 18  # contexts held before they go out
 _SORTED = 1 << 20  # bytes of contexts whose suffixes are sorted at once
 _WIDE = 1000  # contexts of one anchor beyond which it is made longer
+_HOT = 1024  # copies of a part beyond which they are dealt to _SALTS tasks
 _SALTS = 16
 _RUNS = "doc long, version long, start long, n long"
 _ROWS = ["anchor", "context", "check", "doc", "version", "start", "n", "at"]
@@ -395,10 +396,13 @@ def _in_parts(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame | None
         ready = narrow if ready is None else ready.unionByName(narrow)
         parts = written(_longer(rows.where("wide"), length), "repeat-parts")
         keys = ["anchor", "at", "low", "high", "bytes"]
-        firsts = written(parts.groupBy(*keys).agg(F.min(F.struct("doc", "version", "start")).alias("first"), F.first("n").alias("n")), "repeat-firsts")
-        # A context of very many copies is spread over several tasks; only wide anchors come here, so the firsts are few.
-        salted = parts.withColumn("salt", F.pmod(F.xxhash64("doc", "version", "start"), F.lit(_SALTS)))
-        meets = firsts.drop("n").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
+        firsts = written(parts.groupBy(*keys).agg(F.min(F.struct("doc", "version", "start")).alias("first"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")), "repeat-firsts")
+        # A context of very many copies is spread over several tasks. Which ones are is told by a hash of the keys alone, on both sides.
+        key = F.xxhash64(*keys)
+        hot = F.broadcast(firsts.where(F.col("copies") > _HOT).select(key.alias("key"), F.lit(True).alias("hot")).distinct())  # at most one in _HOT parts
+        salts = F.when(F.col("hot"), F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+        salted = parts.withColumn("key", key).join(hot, "key", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc", "version", "start"), F.lit(_SALTS))).otherwise(F.lit(0)).cast("long")).drop("key", "hot")
+        meets = firsts.drop("n", "copies").withColumn("key", key).join(hot, "key", "left").withColumn("salt", F.explode(salts)).drop("key", "hot")
         again = salted.join(meets, [*keys, "salt"]).where(F.struct("doc", "version", "start") != F.col("first")).select("doc", "version", "start", "n")
         repeats = again if repeats is None else repeats.unionByName(again)
         rows = firsts.select(*keys, "n", "first.*")
