@@ -6,7 +6,7 @@ from contextlib import contextmanager
 from pyspark.sql import functions as F
 
 from transitweave.operators import calendar as cal
-from transitweave.operators import journeys
+from transitweave.operators import journeys, keep, search
 
 
 @contextmanager
@@ -57,3 +57,20 @@ def test_next_rides_without_pairs(spark):
         n = shuffled(spark, lambda: found.extend(journeys.next_rides(waiting, on, 300).collect()))
     want = {who: min((r[1:] for r in rides if r[0] == stop and r[2] != trip and at <= r[1] <= at + 300), default=None) for stop, at, trip, who in waits}
     assert {r.who: r.ride and tuple(r.ride) for r in found} == want and len(found) == 401 and None in want.values() and n <= len(rides) + len(waits)
+
+
+def test_rounds_leave_the_network_where_it_is(spark):
+    """Rounds along a line of five trips: the thousands of hops elsewhere are dealt out once, not a round each; a stop reached again sooner boards only what it couldn't before."""
+    schema = "trip_id long, stop_sequence long, from_stop_id long, to_stop_id long, departure_seconds long, arrival_seconds long, pickup_type int, drop_off_type int"
+    far = [(1000 + t, s, 100 + 7 * t % 900 + s, 101 + 7 * t % 900 + s, 600 * s, 600 * s + 500, 0, 0) for t in range(1000) for s in (1, 2, 3)]
+    line = [(k, 1, k, k + 1, 1000 * k, 1000 * k + 500, 0, 0) for k in range(1, 6)] + [(50, 1, 1, 3, 900, 2700, 0, 0), (51, 1, 3, 60, 2800, 2900, 0, 0), (52, 1, 3, 60, 2500, 2600, 0, 0), (53, 1, 3, 61, 2600, 2650, 0, 0)]
+    hops = spark.createDataFrame(far + line, schema)
+    walks = spark.createDataFrame([(3, 3, 2, 10)], "from_stop_id long, to_stop_id long, transfer_type int, min_transfer_time int")
+    origins = spark.createDataFrame([(1, 1, 800)], "query_id int, stop_id long, arrival long")
+    want = {1: 800, **{k + 1: 1000 * k + 500 for k in range(1, 6)}, 60: 2900, 61: 2650}
+    with unbroadcast(spark):
+        for rounds in (search.earliest_to_fixpoint, lambda *a: search.earliest_arrivals(*a, boardings=7)):
+            found = []
+            n = shuffled(spark, lambda: found.extend(rounds(origins, hops, walks).collect()))  # noqa: B023
+            assert {r.stop_id: r.arrival for r in found} == want and n < 4 * (len(far) + len(line))
+    assert keep.remove_kept(spark) and not [t for t in spark.catalog.listTables("default") if t.name.startswith(("calls_", "boards_"))]

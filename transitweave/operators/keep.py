@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 _KEPT: dict[str, list[str]] = {}
+_TABLES: dict[str, list[str]] = {}
 
 
 def folder(spark: SparkSession) -> str:
@@ -37,6 +38,18 @@ def kept(df: DataFrame, name: str = "kept") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept_by(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """As kept(), dealt by columns as shuffles deal rows: joins on just these columns don't move its rows again, however often it is joined."""
+    spark = df.sparkSession
+    app, parts = spark.sparkContext.applicationId, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = f"{name}_{uuid.uuid4().hex}"
+    path, table = f"{folder(spark)}/{own}", f"spark_catalog.default.{own}"
+    _KEPT.setdefault(app, []).append(path)
+    _TABLES.setdefault(app, []).append(table)
+    df.repartition(parts, *columns).write.format("parquet").bucketBy(parts, *columns).sortBy(*columns).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def remove(spark: SparkSession, paths: list[str]) -> None:
     """Deletes files or folders of any store that Spark writes to; what isn't there is passed over."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -46,7 +59,10 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
 
 
 def remove_kept(spark: SparkSession) -> int:
-    """Deletes what kept() has written in this application, once the results made from it have been used; returns how many tables."""
-    paths = _KEPT.pop(spark.sparkContext.applicationId, [])
+    """Deletes what kept() and kept_by() have written in this application, once the results made from it have been used; returns how many tables."""
+    app = spark.sparkContext.applicationId
+    for table in _TABLES.pop(app, []):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    paths = _KEPT.pop(app, [])
     remove(spark, paths)
     return len(paths)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.gtfs import leg_cost, percent_score
-from .keep import kept
+from .keep import kept, kept_by
 
 
 #: From when one can board where one has come by a ride; null where the stop's rules forbid it.
@@ -28,6 +28,26 @@ def _stop_rules(transfers: DataFrame) -> DataFrame:
     return rules.agg(F.max(F.coalesce("min_transfer_time", F.lit(0))).alias("wait"), F.max(F.col("transfer_type") == 3).alias("forbidden"))
 
 
+def _network(hops: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What can be boarded, dealt by stop, and where one can get off, dealt by trip and part. So no round moves the network, however many there are."""
+    calls = hops.withColumn("boards", F.expr("pickup_type <> 1 AND drop_off_type <> 1"))
+    calls = kept_by(calls.select("trip_id", "part", "stop_sequence", "from_stop_id", "to_stop_id", "departure_seconds", "arrival_seconds", "boards"), ["trip_id", "part"], "calls")
+    boards = kept_by(calls.where("boards").select(F.col("from_stop_id").alias("stop_id"), "departure_seconds", "trip_id", "part", "stop_sequence"), ["stop_id"], "boards")
+    return boards, calls.select("trip_id", "part", "stop_sequence", F.col("to_stop_id").alias("stop_id"), F.col("arrival_seconds").alias("arrival"))
+
+
+def _rides(frontier: DataFrame, boards: DataFrame, later: DataFrame) -> DataFrame:
+    """query_id, stop_id, arrival: where a frontier gets by a ride. latest: the last departure that counts, null: none.
+
+    Departures from old_ready on were boarded when the stop was reached before, so a
+    search boards each at most once.
+    """
+    new = "departure_seconds >= ready AND (old_ready IS NULL OR departure_seconds < old_ready) AND (latest IS NULL OR departure_seconds <= latest)"
+    board = frontier.join(boards, "stop_id").where(new).select("query_id", "trip_id", "part", "stop_sequence").repartition("trip_id", "part")
+    board = board.groupBy("query_id", "trip_id", "part").agg(F.min("stop_sequence").alias("from_sequence"))
+    return board.join(later, ["trip_id", "part"]).where("stop_sequence >= from_sequence").groupBy("query_id", "stop_id").agg(F.min("arrival").alias("arrival"))
+
+
 def closed_walks(transfers: DataFrame) -> DataFrame:
     """from_stop_id, to_stop_id, seconds: the shortest way on foot over any number of transfers, also back to where it began.
 
@@ -56,32 +76,29 @@ def arrivals_by_boardings(origins: DataFrame, hops: DataFrame, transfers: DataFr
     earliest_to_fixpoint: they hold where one has come by a ride.
     """
     limit = time.monotonic() + deadline_s if deadline_s else None
-    start = origins.select("query_id", F.col("arrival").alias("until"))
+    start = origins.select("query_id", (F.col("arrival") + horizon).alias("latest"))
     walks, rules = closed_walks(transfers), _stop_rules(transfers)
-    hops = kept(hops.select("trip_id", "stop_sequence", "from_stop_id", "to_stop_id", "departure_seconds", "arrival_seconds", "pickup_type", "drop_off_type"))
-    later = hops.select("trip_id", "stop_sequence", F.col("to_stop_id").alias("stop_id"), F.col("arrival_seconds").alias("arrival"))
+    boards, later = _network(hops.withColumn("part", F.lit(0)))
     ends = [F.min("arrival").alias("arrival"), F.min("ready").alias("ready")]
 
     def on_foot(labels: DataFrame) -> DataFrame:
         reached = labels.join(walks, F.col("stop_id") == F.col("from_stop_id")).select("query_id", F.col("to_stop_id").alias("stop_id"), (F.col("arrival") + F.col("seconds")).alias("arrival"))
         return labels.unionByName(reached.withColumn("ready", F.col("arrival"))).groupBy("query_id", "stop_id").agg(*ends)
 
-    frontier = kept(on_foot(origins.select("query_id", "stop_id", "arrival", F.col("arrival").alias("ready"))))
-    best, out = frontier, frontier.select("query_id", "stop_id", F.lit(0).alias("boardings"), "arrival")
+    best = kept(on_foot(origins.select("query_id", "stop_id", "arrival", F.col("arrival").alias("ready"))))
+    frontier, out = best.withColumn("old_ready", F.lit(None).cast("long")), best.select("query_id", "stop_id", F.lit(0).alias("boardings"), "arrival")
     for k in range(1, boardings + 1):
         if limit and time.monotonic() > limit:
             raise SearchLimit("the search passed its deadline")
-        board = frontier.join(start, "query_id").join(hops, F.col("stop_id") == F.col("from_stop_id")).where((F.col("departure_seconds") >= F.col("ready")) & (F.col("departure_seconds") <= F.col("until") + horizon) & (F.col("pickup_type") != 1) & (F.col("drop_off_type") != 1))
-        board = board.groupBy("query_id", "trip_id").agg(F.min("stop_sequence").alias("from_sequence"))
-        ride = board.join(later, "trip_id").where("stop_sequence >= from_sequence").groupBy("query_id", "stop_id").agg(F.min("arrival").alias("arrival"))
+        ride = _rides(frontier.join(start, "query_id"), boards, later)
         ride = ride.join(rules, "stop_id", "left").selectExpr("query_id", "stop_id", "arrival", _READY)
         old = best.withColumnsRenamed({"arrival": "old", "ready": "old_ready"})
         both = kept(on_foot(ride).join(old, ["query_id", "stop_id"], "left").where(_BETTER))
-        frontier = both.drop("old", "old_ready")
+        frontier = both.drop("old")
         if frontier.isEmpty():
             break
         out = out.unionByName(both.where("old IS NULL OR arrival < old").select("query_id", "stop_id", F.lit(k).alias("boardings"), "arrival"))
-        best = kept(best.unionByName(frontier).groupBy("query_id", "stop_id").agg(*ends))
+        best = kept(best.unionByName(frontier.drop("old_ready")).groupBy("query_id", "stop_id").agg(*ends))
     return out
 
 
@@ -104,23 +121,21 @@ def earliest_to_fixpoint(origins: DataFrame, hops: DataFrame, transfers: DataFra
     w = Window.partitionBy("trip_id").orderBy("stop_sequence")
     broken = (F.col("from_stop_id") != F.lag("to_stop_id").over(w)) | (F.col("departure_seconds") < F.lag("arrival_seconds").over(w))
     hops = hops.withColumn("broken", F.coalesce(broken, F.lit(False)).cast("int")).withColumn("part", F.sum("broken").over(w))
-    hops = kept(hops.select("trip_id", "part", "stop_sequence", "from_stop_id", "to_stop_id", "departure_seconds", "arrival_seconds", "pickup_type", "drop_off_type"))
-    later = hops.select("trip_id", "part", "stop_sequence", F.col("to_stop_id").alias("stop_id"), F.col("arrival_seconds").alias("arrival"))
+    boards, later = _network(hops)
     ends = [F.min("arrival").alias("arrival"), F.min("ready").alias("ready")]
     best = kept(origins.select("query_id", "stop_id", "arrival", F.col("arrival").alias("ready")).groupBy("query_id", "stop_id").agg(*ends))
-    frontier = best
+    none = F.lit(None).cast("long")
+    frontier = best.withColumn("old_ready", none)
     while not frontier.isEmpty():
         if limit and time.monotonic() > limit:
             raise SearchLimit("the search passed its deadline")
-        board = frontier.join(hops, F.col("stop_id") == F.col("from_stop_id")).where("departure_seconds >= ready AND pickup_type <> 1 AND drop_off_type <> 1")
-        board = board.groupBy("query_id", "trip_id", "part").agg(F.min("stop_sequence").alias("from_sequence"))
-        ride = board.join(later, ["trip_id", "part"]).where("stop_sequence >= from_sequence").groupBy("query_id", "stop_id").agg(F.min("arrival").alias("arrival"))
+        ride = _rides(frontier.withColumn("latest", none), boards, later)
         ride = ride.join(rules, "stop_id", "left").selectExpr("query_id", "stop_id", "arrival", _READY)
         walk = frontier.join(walks, F.col("stop_id") == F.col("from_stop_id")).select("query_id", F.col("to_stop_id").alias("stop_id"), (F.col("arrival") + F.col("seconds")).alias("arrival"))
         new = ride.unionByName(walk.withColumn("ready", F.col("arrival"))).groupBy("query_id", "stop_id").agg(*ends)
         old = best.withColumnsRenamed({"arrival": "old", "ready": "old_ready"})
-        frontier = kept(new.join(old, ["query_id", "stop_id"], "left").where(_BETTER).drop("old", "old_ready"))
-        best = kept(best.unionByName(frontier).groupBy("query_id", "stop_id").agg(*ends))
+        frontier = kept(new.join(old, ["query_id", "stop_id"], "left").where(_BETTER).drop("old"))
+        best = kept(best.unionByName(frontier.drop("old_ready")).groupBy("query_id", "stop_id").agg(*ends))
     return best.drop("ready")
 
 
