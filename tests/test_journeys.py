@@ -147,6 +147,21 @@ def test_a_loop_ends(spark):
     assert [(r.arrival, r.transfers, [leg.trip_id for leg in r.path]) for r in found.collect()] == [(29100 + 0, 2, [0, 1, 2])]
 
 
+def test_labels_that_lead_nowhere_are_dropped(spark):
+    """Of 30 x 30 ways one leads on to the destination, with four boardings: labels of the later half are those of that way, so the search stays under its bound, and a late trip to the destination brings none back."""
+    hops = [(100 + a, 1, 2, 0, a, 28800, 29100, 0, 0, 1, 0) for a in range(1, 31)]
+    hops += [(1000 * a + b, 1, 2, a, 100 * a + b, 29400, 29700, 0, 0, 1, 0) for a in range(1, 31) for b in range(30)]
+    hops += [(90001, 1, 2, 703, 8000, 30000, 30300, 0, 0, 1, 0), (90002, 1, 2, 8001, 9000, 30600, 30900, 0, 0, 1, 0), (90003, 1, 2, 805, 9000, 37000, 37100, 0, 0, 1, 0)]
+    rules = spark.createDataFrame([(8000, 8001, 2, 120, None, None), (703, 703, 2, 300, None, None)], RULES)
+    profiles = Profiles(spark.createDataFrame([(1, "d", 1, 0, "morning_peak", 0.0) for _ in range(5)], SAMPLES)).kept()
+    ask = spark.createDataFrame([(1, 0, 9000, 28800, 7200)], ASK)
+    net = boarding.prepared(spark.createDataFrame(hops, HOPS), rules, profiles, 7200)
+    found = jo.search(ask, net, most_labels=100).collect()
+    assert [(r.arrival, r.transfers, [leg.trip_id for leg in r.path]) for r in found] == [(30900, 3, [107, 7003, 90001, 90002])]
+    times = [{r.stop_id: r.latest for r in t.collect()} for t in boarding.latest_times(ask, net, 2)]
+    assert times == [{9000: 36000}, {9000: 36000, 8001: 30600, 8000: 30480}, {9000: 36000, 8001: 30600, 8000: 30480, 703: 30000}]
+
+
 def test_search_limits(spark):
     hops, rules, profiles = simple(spark)
     ask = spark.createDataFrame([(1, 1, 3, 28700, 10800)], ASK)

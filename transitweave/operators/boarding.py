@@ -31,13 +31,14 @@ _TRIP_RULES = ["from_trip_id", "to_trip_id"]
 class Prepared:
     """catch: departures by stop and quarter from which they are next. openers: later trips that open a window somewhere. named: departures of named trips.
 
-    later: trip_id, position, to_sequence, to_stop, reached, leg_cost, opens, named. rules: stop_id and the rules of boarding there as an array.
+    boards: stop_id, trip_id, position, departure of all that can be boarded. later: trip_id, position, to_sequence, to_stop, reached, leg_cost, opens, named. rules: stop_id and the rules of boarding there as an array.
     walks: ways on foot over any number of transfers.
     """
 
     catch: DataFrame
     openers: DataFrame
     named: DataFrame | None
+    boards: DataFrame
     later: DataFrame
     rules: DataFrame
     walks: DataFrame
@@ -122,6 +123,7 @@ def prepared(hops: DataFrame, transfers: DataFrame, profiles: Profiles, horizon:
         catch=kept(catch, "catch"),
         openers=in_time.where("boards AND opener AND NOT named").select(*board),
         named=in_time.where("boards AND named").select(*board) if some else None,
+        boards=in_time.where("boards").select(F.col("from_stop").alias("stop_id"), "trip_id", "position", "departure"),
         later=rows.select("trip_id", "position", F.col("stop_sequence").alias("to_sequence"), "to_stop", "reached", "leg_cost", "opens", "named"),
         rules=kept(rules.groupBy("stop_id").agg(F.collect_set(F.struct(*_TRIP_RULES, "transfer_type", "wait")).alias("rules")), "stop-rules"),  # the rules of a stop are few
         walks=kept(chained_walks(transfers), "walks"),
@@ -152,6 +154,28 @@ def boardings(labels: DataFrame, net: Prepared) -> DataFrame:
     return out
 
 
+def latest_times(searches: DataFrame, net: Prepared, boardings: int) -> list[DataFrame]:
+    """For none to `boardings` more boardings: destination, end, stop_id and latest, the time by which one must be at a stop to reach a destination by a search's end.
+
+    Found backwards from the destinations. Rules and waits of boarding are passed over, so no way that there is comes too late for its time; stops without any way aren't in it.
+    """
+    goals = searches.select(F.col("destination").cast(net.stop_type).alias("destination"), (F.col("departure") + F.col("horizon")).cast("long").alias("end")).distinct()
+    walks = net.walks.groupBy(F.col("from_stop_id").alias("before"), F.col("to_stop_id").alias("stop_id")).agg(F.min("seconds").alias("seconds"))
+    waits = net.rules.select("stop_id", F.expr("least(0, array_min(transform(rules, r -> r.wait)))").alias("wait"))  # a feed's mistake, if under zero
+
+    def with_walks(times: DataFrame) -> DataFrame:
+        back = times.join(walks, "stop_id").select("destination", "end", F.col("before").alias("stop_id"), (F.col("latest") - F.col("seconds")).alias("latest"))
+        return times.unionByName(back).groupBy("destination", "end", "stop_id").agg(F.max("latest").alias("latest"))
+
+    out = [kept(with_walks(goals.select("*", F.col("destination").alias("stop_id"), F.col("end").alias("latest"))), "latest")]
+    for _ in range(boardings):
+        off = net.later.join(out[-1], F.col("to_stop") == F.col("stop_id")).where("reached <= latest").groupBy("destination", "end", "trip_id").agg(F.max("position").alias("last"))
+        on = off.join(net.boards, "trip_id").where("position <= last").groupBy("destination", "end", "stop_id").agg(F.max("departure").alias("latest"))
+        on = on.join(waits, "stop_id", "left").select("destination", "end", "stop_id", (F.col("latest") - F.coalesce("wait", F.lit(0))).alias("latest"))
+        out.append(kept(with_walks(on.unionByName(out[-1])), "latest"))
+    return out
+
+
 def rides(boarded: DataFrame, net: Prepared) -> DataFrame:
     """All later stops of what is boarded; of trips boarded for the window they open, those where they do."""
     return boarded.join(net.later, F.col("board_trip") == F.col("trip_id")).where("position >= board_position AND reached <= until AND (opens OR NOT only_opens)").drop("board_trip")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.gtfs import FLOOR, haversine_km
-from .boarding import Prepared, boardings, prepared, rides
+from .boarding import Prepared, boardings, latest_times, prepared, rides
 from .keep import kept
 from .reliability import Profiles
 from .search import SearchLimit, pareto
@@ -80,6 +80,10 @@ def search(
     average, raises SearchLimit: there are no partial results. With places (stop_id, stop_lat, stop_lon) and a speed
     that bounds all edges (see lookups.speed_bound) labels too far from their destination are dropped; without, none are.
     Of equal journeys one stays, the same in every run.
+
+    For the later half of the boardings it is known from the other end by when a label must be where it is (latest_times). What comes
+    later is dropped, also from the bag: whatever it dominates comes later still, with no more boardings left. So labels grow as
+    the ways of half a search do and not with the network.
     """
     limit = time.monotonic() + deadline_s if deadline_s else None
     searches = kept(searches, "searches")
@@ -88,8 +92,18 @@ def search(
     ends = searches.select("query_id", "destination")
     start = searches.select("query_id", F.col("origin").cast(net.stop_type).alias("stop_id"), F.col("departure").cast("long").alias("arrival"), F.lit(0.0).alias("cost"), trip().alias("last_trip"), trip().alias("held"), trip().alias("required_trip"), (F.col("departure") + F.col("horizon")).cast("long").alias("until"), F.lit(None).cast("long").alias("ride"), F.lit(0).cast("long").alias("trail"))
 
-    def settled(labels: DataFrame, bag: DataFrame | None) -> tuple[DataFrame, DataFrame, int]:
+    goals = searches.select("query_id", F.col("destination").cast(net.stop_type).alias("destination"), (F.col("departure") + F.col("horizon")).cast("long").alias("end"))
+    latest = latest_times(searches, net, (max_transfers + 1) // 2)
+
+    def in_time(labels: DataFrame | None, left: int) -> DataFrame | None:
+        """Labels from which `left` more boardings can lead to the destination in time, as far as that is known."""
+        if labels is None or left >= len(latest):
+            return labels
+        return labels.join(goals, "query_id").join(latest[left], ["destination", "end", "stop_id"]).where("arrival <= latest").select(*labels.columns)
+
+    def settled(labels: DataFrame, bag: DataFrame | None, left: int) -> tuple[DataFrame, DataFrame, int]:
         """The labels that go on, the bag with them, and how many they are; they are counted as they are written."""
+        labels = in_time(labels, left)
         if places is not None and speed:
             labels = in_reach(labels, searches, places, speed)
         seen = Observation()
@@ -98,13 +112,15 @@ def search(
 
     stored: list[DataFrame] = []
     found: DataFrame | None = None
-    frontier, _, n = settled(_on_foot(start, net.walks), None)
+    frontier, _, n = settled(_on_foot(start, net.walks), None, max_transfers + 1)
     bag = None  # a place reached on foot alone is no journey's end, so it stands for none that a ride leads to
     for k in range(max_transfers + 1):
         if limit and time.monotonic() > limit:
             raise SearchLimit("the search passed its deadline")
         seen = Observation()
-        ridden = undominated(_ridden(frontier, net), bag).where("new").drop("new").join(ends, "query_id").withColumn("there", F.col("stop_id") == F.col("destination")).drop("destination")
+        left = max_transfers - k
+        bag = in_time(bag, left)
+        ridden = undominated(in_time(_ridden(frontier, net), left), bag).where("new").drop("new").join(ends, "query_id").withColumn("there", F.col("stop_id") == F.col("destination")).drop("destination")
         ridden = kept(ridden.withColumn("row", F.monotonically_increasing_id()).observe(seen, F.count(F.lit(1)).alias("n"), F.count_if("there").alias("there")), f"rides-{k}")
         stored.append(ridden)
         labels_seen, candidates_seen = labels_seen + n + seen.get["n"], candidates_seen + seen.get["there"]
@@ -117,7 +133,7 @@ def search(
         found = arrived if found is None else found.unionByName(arrived)
         cutoff = found.groupBy("query_id").agg((F.min("arrival") + max_extra).alias("cutoff"))
         onward = ridden.where("NOT there").withColumn("ride", F.col("row")).join(cutoff, "query_id", "left").withColumn("until", F.least("until", "cutoff")).where("arrival <= until")
-        frontier, bag, n = settled(_on_foot(onward.select(*_LABEL), net.walks), bag)
+        frontier, bag, n = settled(_on_foot(onward.select(*_LABEL), net.walks), bag, left)
         found = found.unionByName(at_end(frontier.join(ends, "query_id").where("stop_id = destination AND last_trip IS NULL")))
         if not n:
             break
