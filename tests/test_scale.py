@@ -74,3 +74,37 @@ def test_rounds_leave_the_network_where_it_is(spark):
             n = shuffled(spark, lambda: found.extend(rounds(origins, hops, walks).collect()))  # noqa: B023
             assert {r.stop_id: r.arrival for r in found} == want and n < 4 * (len(far) + len(line))
     assert keep.remove_kept(spark) and not [t for t in spark.catalog.listTables("default") if t.name.startswith(("calls_", "boards_"))]
+
+
+def test_chains_of_labels_are_moved_once(spark):
+    """Of 200 chains of six labels each, only rides, walks and changes go on to what they are looked up in; a break of each kind is found."""
+    label = "chain_id long, position int, kind string, stop_id long, departure long, arrival long, trip_id long, can_alight boolean, transfers int, cost double"
+    hop = "trip_id long, from_stop_id long, to_stop_id long, departure_seconds long, arrival_seconds long, pickup_type int, drop_off_type int, leg_cost double"
+    hops, chains, asked = [], [], []
+    for c in range(200):
+        one, two, at = 10 * c, 10 * c + 5, 100 * c
+        hops += [(one, at + k, at + k + 1, 1000 * k, 1000 * k + 500, 0, 0, 0.25) for k in range(3)] + [(two, at + 4, at + 5, 3000, 3500, 0, 0, 0.5)]
+        rides = [(c, k + 1, "ride", at + k + 1, 1000 * k, 1000 * k + 500, one, True, 0, 0.25) for k in range(3)]
+        chains += [(c, 0, "start", at, None, 0, None, True, 0, 0.0), *rides, (c, 4, "walk", at + 4, None, 2620, one, True, 0, 0.25), (c, 5, "ride", at + 5, 3000, 3500, two, True, 1, 0.75)]
+        asked.append((c, at, at + 5, 0))
+    rules = [(100 * c + 3, 100 * c + 4, 2, 120, None, None) for c in range(200)] + [(704, 704, 3, None, None, 75), (804, 804, 2, 390, 80, None), (904, 904, 3, None, 5, None)]
+
+    def spoil(row, **by):
+        names = [c.split()[0] for c in label.split(", ")]
+        k = next(i for i, x in enumerate(chains) if x[:2] == row)
+        chains[k] = tuple(by.get(c, v) for c, v in zip(names, chains[k], strict=True))
+
+    spoil((1, 2), departure=999)
+    spoil((2, 2), arrival=1501)
+    spoil((3, 4), arrival=2621)
+    spoil((4, 2), cost=0.5)
+    spoil((5, 4), stop_id=77)
+    spoil((6, 5), can_alight=False)
+    frames = [spark.createDataFrame(rows, schema) for rows, schema in ((chains, label), (asked, "chain_id long, origin long, destination long, departure long"), (hops, hop), (rules, "from_stop_id long, to_stop_id long, transfer_type int, min_transfer_time int, from_trip_id long, to_trip_id long"))]
+    found = []
+    with unbroadcast(spark):
+        n = shuffled(spark, lambda: found.extend(map(tuple, journeys.chain_violations(*frames).collect())))
+    want = {(1, 2): ["a ride that there is not"], (2, 2): ["arrives at another time"], (3, 4): ["a walk of another length"], (4, 2): ["another cost"], (5, 4): ["a walk that there is not"], (5, 5): ["a ride that there is not"], (6, 5): ["ends elsewhere", "gets off wrongly"]}
+    want |= {(7, 5): ["changes against a rule"], (8, 5): ["changes against a rule"]}
+    assert sorted(found) == sorted((*at, rule) for at, names in want.items() for rule in names)
+    assert n <= 2 * len(chains) + len(asked) + len(hops) + 2 * len(rules), n

@@ -242,7 +242,8 @@ def chain_violations(chains: DataFrame, asked: DataFrame, hops: DataFrame, trans
     chains: chain_id, position, kind (start, ride of one hop, or walk), stop_id, departure (of a ride), arrival, trip_id, can_alight,
     transfers, cost. asked: chain_id, origin, destination, departure. hops need leg_cost, transfers from_trip_id and to_trip_id.
     A walker keeps the trip by which they have come. Each label is judged by the one before it, so all chains are judged
-    at once, in windows of a chain's length.
+    at once, in windows of a chain's length. These are the only ones that move whole labels: the result is kept, and of it rides
+    go to the hops, walks to the ways on foot and changes to the stops' rules, each with the columns that they need.
     """
     way = Window.partitionBy("chain_id").orderBy("position")
     before = lambda c: F.lag(c).over(way)
@@ -252,37 +253,41 @@ def chain_violations(chains: DataFrame, asked: DataFrame, hops: DataFrame, trans
     changes = F.coalesce(boards & F.col("p_trip_id").isNotNull(), F.lit(False))
     rows = rows.withColumn("changes", changes).withColumn("counted", F.sum(F.col("changes").cast("int")).over(way)).withColumn("boards", F.coalesce(boards, F.lit(False)))
     rows = rows.withColumn("aboard", F.last(F.when(F.col("boards"), F.col("p_cost")), ignorenulls=True).over(way))
-
-    real = hops.select(F.col("trip_id").alias("h_trip"), F.col("from_stop_id").alias("h_from"), F.col("to_stop_id").alias("h_to"), F.col("departure_seconds").alias("h_departure"), F.col("arrival_seconds").alias("h_arrival"), "pickup_type", "drop_off_type", "leg_cost")
-    rows = rows.join(real, ride & (F.col("trip_id") == F.col("h_trip")) & (F.col("p_stop_id") == F.col("h_from")) & (F.col("stop_id") == F.col("h_to")) & (F.col("departure") == F.col("h_departure")), "left")
-    between = transfers.where("from_stop_id <> to_stop_id AND transfer_type <> 3").groupBy(F.col("from_stop_id").alias("w_from"), F.col("to_stop_id").alias("w_to")).agg(F.collect_set(F.coalesce("min_transfer_time", F.lit(0)).cast("long")).alias("seconds"))
-    rows = rows.join(between, walk & (F.col("p_stop_id") == F.col("w_from")) & (F.col("stop_id") == F.col("w_to")), "left")
-    few = F.collect_set(F.struct("from_trip_id", "to_trip_id", "transfer_type", F.coalesce("min_transfer_time", F.lit(0)).alias("wait")))
-    own = transfers.where("from_stop_id = to_stop_id").groupBy(F.col("from_stop_id").alias("r_stop")).agg(few.alias("rules"))
-    rows = rows.join(own, F.col("changes") & (F.col("p_stop_id") == F.col("r_stop")), "left")
-    rows = rows.withColumn("rules", F.expr("filter(rules, r -> (r.from_trip_id IS NULL OR r.from_trip_id = p_trip_id) AND (r.to_trip_id IS NULL OR r.to_trip_id = trip_id))"))
     rows = rows.join(asked.select("chain_id", "origin", "destination", F.col("departure").alias("asked")), "chain_id")
-
-    found, walked = F.col("h_trip").isNotNull(), F.col("w_from").isNotNull()
-    expected = F.when(ride, F.col("aboard") + F.col("leg_cost")).when(walk, F.col("p_cost")).otherwise(F.lit(0.0))
-    rules = {
+    alone = {
         "begins elsewhere": F.col("first") & ((F.col("stop_id") != F.col("origin")) | (F.col("arrival") != F.col("asked"))),
         "ends elsewhere": F.col("last") & ((F.col("stop_id") != F.col("destination")) | ~F.col("can_alight")),
         "goes back in time": F.col("arrival") < F.col("p_arrival"),
-        "a ride that there is not": ride & ~found,
         "leaves before it has come": ride & (F.col("departure") < F.col("p_arrival")),
-        "arrives at another time": found & (F.col("arrival") != F.col("h_arrival")),
-        "boards without a pickup": found & F.col("boards") & (F.col("pickup_type") != 0),
-        "gets off wrongly": found & (F.col("can_alight") != (F.col("drop_off_type") == 0)),
-        "a walk that there is not": walk & ~walked,
-        "a walk of another length": walked & ~F.array_contains("seconds", F.col("arrival") - F.col("p_arrival")),
         "walks from where none gets off": walk & ~F.col("p_can_alight"),
         "changes where none gets off": F.col("changes") & ~F.col("p_can_alight"),
-        "changes against a rule": F.col("changes") & F.coalesce(F.expr("exists(rules, r -> r.transfer_type = 3) OR departure < p_arrival + array_max(transform(rules, r -> r.wait))"), F.lit(False)),
         "another number of changes": F.col("transfers") != F.col("counted"),
-        "another cost": F.abs(F.col("cost") - expected) > 1e-6,
+        "another cost": ~ride & (F.abs(F.col("cost") - F.when(walk, F.col("p_cost")).otherwise(F.lit(0.0))) > 1e-6),
+    }
+    broken = lambda rules: F.array_compact(F.array(*(F.when(c, k) for k, c in rules.items())))
+    judged = kept(rows.select("chain_id", "position", "kind", "p_stop_id", "stop_id", "departure", "p_arrival", "arrival", "p_trip_id", "trip_id", "can_alight", "changes", "boards", (F.col("cost") - F.col("aboard")).alias("paid"), broken(alone).alias("broken")), "judged")
+
+    def found(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
+        return rows.select("chain_id", "position", F.explode(broken(rules)).alias("rule"))
+
+    real = hops.select("trip_id", F.col("from_stop_id").alias("p_stop_id"), F.col("to_stop_id").alias("stop_id"), F.col("departure_seconds").alias("departure"), F.col("arrival_seconds").alias("h_arrival"), "pickup_type", "drop_off_type", "leg_cost", F.lit(True).alias("real"))
+    rides = judged.where(ride).select("chain_id", "position", "trip_id", "p_stop_id", "stop_id", "departure", "arrival", "can_alight", "boards", "paid").join(real, ["trip_id", "p_stop_id", "stop_id", "departure"], "left")
+    of_rides = {
+        "a ride that there is not": F.col("real").isNull(),
+        "arrives at another time": F.col("real") & (F.col("arrival") != F.col("h_arrival")),
+        "boards without a pickup": F.col("real") & F.col("boards") & (F.col("pickup_type") != 0),
+        "gets off wrongly": F.col("real") & (F.col("can_alight") != (F.col("drop_off_type") == 0)),
+        "another cost": F.abs(F.col("paid") - F.col("leg_cost")) > 1e-6,
     }
-    return rows.select("chain_id", "position", F.explode(F.array(*(F.when(c, k) for k, c in rules.items()))).alias("rule")).where("rule IS NOT NULL")
+    between = transfers.where("from_stop_id <> to_stop_id AND transfer_type <> 3").groupBy(F.col("from_stop_id").alias("p_stop_id"), F.col("to_stop_id").alias("stop_id")).agg(F.collect_set(F.coalesce("min_transfer_time", F.lit(0)).cast("long")).alias("seconds"))
+    walks = judged.where(walk).select("chain_id", "position", "p_stop_id", "stop_id", (F.col("arrival") - F.col("p_arrival")).alias("took")).join(between, ["p_stop_id", "stop_id"], "left")
+    of_walks = {"a walk that there is not": F.col("seconds").isNull(), "a walk of another length": ~F.array_contains("seconds", F.col("took"))}
+    few = F.collect_set(F.struct("from_trip_id", "to_trip_id", "transfer_type", F.coalesce("min_transfer_time", F.lit(0)).alias("wait")))
+    own = transfers.where("from_stop_id = to_stop_id").groupBy(F.col("from_stop_id").alias("p_stop_id")).agg(few.alias("rules"))
+    changed = judged.where("changes").select("chain_id", "position", "p_stop_id", "p_trip_id", "trip_id", "departure", "p_arrival").join(own, "p_stop_id")
+    changed = changed.withColumn("rules", F.expr("filter(rules, r -> (r.from_trip_id IS NULL OR r.from_trip_id = p_trip_id) AND (r.to_trip_id IS NULL OR r.to_trip_id = trip_id))"))
+    of_changes = {"changes against a rule": F.expr("exists(rules, r -> r.transfer_type = 3) OR departure < p_arrival + array_max(transform(rules, r -> r.wait))")}
+    return judged.select("chain_id", "position", F.explode("broken").alias("rule")).unionByName(found(rides, of_rides)).unionByName(found(walks, of_walks)).unionByName(found(changed, of_changes))
 
 
 def itinerary_violations(asked: DataFrame, found: DataFrame, real: DataFrame) -> DataFrame:
